@@ -205,21 +205,21 @@ def ranking(t: Tables, *, as_of: date | None = None, reto: str | None = None, re
     return totals.join(places, ["nombre_reto", "_v"]).select(*PERSON, "total", "puesto")
 
 
-def daily_habits(t: Tables, *, as_of: date | None = None, reto: str | None = None, retador: str | None = None,
-                 dias: int = CHALLENGE_DAYS) -> DataFrame:
-    """Habit points on the day they were earned."""
+def _daily(rows: DataFrame) -> DataFrame:
+    return rows.select(*PERSON, "concepto", "fecha_ocurrencia", _rounded(F.col("puntaje")).alias("puntaje"))
+
+
+def _habit_days(t: Tables, reto: str | None, retador: str | None, dias: int) -> DataFrame:
     per_participation = (
         _worth(t, HABITS, reto, retador).groupBy("id_participacion", "fecha_ocurrencia").agg(F.sum("_valor").alias("_valor")))
     return (
         per_participation.join(participants(t, reto, retador), "id_participacion")
         .groupBy(*PERSON, "fecha_ocurrencia").agg(F.sum("_valor").alias("_valor"))
         .select(*PERSON, F.lit(HABITS).alias("concepto"), "fecha_ocurrencia",
-                _rounded(_habit_points(t, F.col("_valor"), dias)).alias("puntaje")))
+                _habit_points(t, F.col("_valor"), dias).alias("puntaje")))
 
 
-def daily_activities(t: Tables, *, as_of: date | None = None, reto: str | None = None,
-                     retador: str | None = None) -> DataFrame:
-    """Activity points per time slot attended, dated on the day the slot ends. A slot counts once."""
+def _activity_days(t: Tables, reto: str | None, retador: str | None) -> DataFrame:
     slots = t.actividades.select("id_actividad", "inicio", "fin")
     per_participation = (
         logs_of(t, "registros_actividades", ACTIVITIES, reto, retador).join(slots, "id_actividad")
@@ -231,25 +231,44 @@ def daily_activities(t: Tables, *, as_of: date | None = None, reto: str | None =
     return (
         per_slot.join(scored_activities(t, reto), "nombre_reto")
         .select(*PERSON, F.lit(ACTIVITIES).alias("concepto"), F.to_date("fin").alias("fecha_ocurrencia"),
-                _rounded(share * _component_weight(t, ACTIVITIES) * 100.0).alias("puntaje")))
+                (share * _component_weight(t, ACTIVITIES) * 100.0).alias("puntaje")))
+
+
+def _rating_days(t: Tables, reto: str | None, retador: str | None, escala: int) -> DataFrame:
+    days = t.retos.select("nombre_reto", last_day(F.col("fecha_fin_excl")).alias("fecha_ocurrencia"))
+    points = F.col(COMPONENTS[RATINGS])
+    return (
+        _wide_points(t, [RATINGS], reto, retador, CHALLENGE_DAYS, escala).filter(points.isNotNull()).join(days, "nombre_reto")
+        .select(*PERSON, F.lit(RATINGS).alias("concepto"), "fecha_ocurrencia", points.alias("puntaje")))
+
+
+def daily_habits(t: Tables, *, as_of: date | None = None, reto: str | None = None, retador: str | None = None,
+                 dias: int = CHALLENGE_DAYS) -> DataFrame:
+    """Habit points on the day they were earned."""
+    return _daily(_habit_days(t, reto, retador, dias))
+
+
+def daily_activities(t: Tables, *, as_of: date | None = None, reto: str | None = None,
+                     retador: str | None = None) -> DataFrame:
+    """Activity points per time slot attended, dated on the day the slot ends. A slot counts once."""
+    return _daily(_activity_days(t, reto, retador))
 
 
 def daily_ratings(t: Tables, *, as_of: date | None = None, reto: str | None = None, retador: str | None = None,
                   escala: int = RATING_SCALE) -> DataFrame:
     """Rating points, dated on the last day of the challenge."""
-    days = t.retos.select("nombre_reto", last_day(F.col("fecha_fin_excl")).alias("fecha_ocurrencia"))
-    return (
-        score_ratings(t, reto=reto, retador=retador, escala=escala).join(days, "nombre_reto")
-        .select(*PERSON, "concepto", "fecha_ocurrencia", "puntaje"))
+    return _daily(_rating_days(t, reto, retador, escala))
 
 
 def daily_scoreboard(t: Tables, *, as_of: date | None = None, reto: str | None = None, retador: str | None = None,
                      dias: int = CHALLENGE_DAYS, escala: int = RATING_SCALE) -> DataFrame:
     """All points by day, none below zero, with the total of the challenger's day."""
     rows = (
-        daily_habits(t, reto=reto, retador=retador, dias=dias)
-        .unionByName(daily_activities(t, reto=reto, retador=retador))
-        .unionByName(daily_ratings(t, reto=reto, retador=retador, escala=escala)))
+        _habit_days(t, reto, retador, dias)
+        .unionByName(_activity_days(t, reto, retador))
+        .unionByName(_rating_days(t, reto, retador, escala))
+        .withColumn("puntaje", clamp(F.col("puntaje"))))
     day = Window.partitionBy(*PERSON, "fecha_ocurrencia")
-    clamped = rows.withColumn("puntaje", clamp(F.col("puntaje")))
-    return clamped.withColumn("total", _rounded(F.coalesce(F.sum("puntaje").over(day), F.lit(0.0))))
+    total = F.coalesce(F.sum("puntaje").over(day), F.lit(0.0))
+    return rows.select(
+        *PERSON, "concepto", "fecha_ocurrencia", _rounded(F.col("puntaje")).alias("puntaje"), _rounded(total).alias("total"))

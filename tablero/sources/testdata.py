@@ -16,6 +16,17 @@ from tablero.sources.tables import Tables
 
 PARQUET = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages"]
 
+# Columns of the activity an order stands for.
+_ACTIVITY = """o_orderkey AS id_actividad,
+  CASE o_orderkey % 12 WHEN 0 THEN 'Ceremonia' WHEN 1 THEN 'Charla Alimentación' WHEN 2 THEN 'Charla Motivación'
+    ELSE 'Fit Camp' END AS actividad,
+  CAST(fecha_ini AS {TS})
+    + INTERVAL '1' HOUR * CAST(24 * (CAST(FLOOR(o_orderkey / 5) AS BIGINT) % 23) + 8 + o_orderkey % 10 AS INT) AS inicio,
+  CAST(fecha_ini AS {TS})
+    + INTERVAL '1' HOUR * CAST(24 * (CAST(FLOOR(o_orderkey / 5) AS BIGINT) % 23) + 13 + o_orderkey % 10 AS INT) AS fin,
+  nombre_reto, concat('Tema ', CAST(o_orderkey % 7 AS STRING)) AS tema_actividad,
+  concat('Supplier#', lpad(CAST(o_orderkey % 10 AS STRING), 9, '0')) AS coach_expositor"""
+
 VIEWS: dict[str, str] = {
     "coaches": """
 SELECT s_suppkey AS id_coach, s_name AS nombre_coach, concat('user', CAST(s_suppkey AS STRING)) AS user_coach,
@@ -27,7 +38,7 @@ FROM {supplier}""",
     "retadores": """
 SELECT c_custkey AS id_retador, c_name AS nombre_retador,
   CAST(DATE '1950-01-01' + CAST(c_custkey * 37 % 20000 AS INT) AS DATE) AS fecha_nacimiento,
-  CASE WHEN c_custkey % 2 = 0 THEN 'Mujer' ELSE 'Hombre' END AS sexo, lpad(CAST(c_custkey AS STRING), 9, '9') AS num_celular_retador,
+  CASE WHEN c_custkey % 2 = 0 THEN 'Mujer' ELSE 'Hombre' END AS sexo, lpad(CAST(c_custkey AS STRING), 9, '0') AS num_celular_retador,
   CAST(1.45 + (c_custkey % 50) / 100.0 AS DECIMAL(3,2)) AS talla,
   concat('Supplier#', lpad(CAST(c_custkey % 10 AS STRING), 9, '0')) AS nombre_coach
 FROM {customer}""",
@@ -70,25 +81,16 @@ FROM (SELECT min(id_registro_habito) AS id_registro_habito, id_participacion, fe
       FROM {raw_habitos} GROUP BY id_participacion, fecha_ocurrencia, nombre_habito) q
   JOIN {participacion} p ON q.id_participacion = p.id_participacion JOIN {retos} r ON p.nombre_reto = r.nombre_reto
 WHERE fecha_ocurrencia >= fecha_ini AND fecha_ocurrencia < fecha_fin_excl AND fecha_ocurrencia <= DATE '2024-01-25'""",
-    "raw_actividades": """
-SELECT o_orderkey AS id_actividad,
-  CASE o_orderkey % 12 WHEN 0 THEN 'Ceremonia' WHEN 1 THEN 'Charla Alimentación' WHEN 2 THEN 'Charla Motivación'
-    ELSE 'Fit Camp' END AS actividad,
-  CAST(fecha_ini AS {TS})
-    + INTERVAL '1' HOUR * CAST(24 * (CAST(FLOOR(o_orderkey / 5) AS BIGINT) % 23) + 8 + o_orderkey % 10 AS INT) AS inicio,
-  CAST(fecha_ini AS {TS})
-    + INTERVAL '1' HOUR * CAST(24 * (CAST(FLOOR(o_orderkey / 5) AS BIGINT) % 23) + 13 + o_orderkey % 10 AS INT) AS fin,
-  nombre_reto, concat('Tema ', o_orderpriority) AS tema_actividad,
-  concat('Supplier#', lpad(CAST(o_orderkey % 10 AS STRING), 9, '0')) AS coach_expositor
-FROM {orders} JOIN {retos} ON id_reto = o_orderkey % 5""",
+    "raw_actividades": f"""
+SELECT {_ACTIVITY} FROM {{orders}} JOIN {{retos}} ON id_reto = o_orderkey % 5""",
     # One slot per challenge and day: the activity registered first keeps it, as the overlap rule would have it.
-    "actividades": """
-SELECT min(id_actividad) AS id_actividad, min_by(actividad, id_actividad) AS actividad, min_by(inicio, id_actividad) AS inicio,
-  min_by(fin, id_actividad) AS fin, a.nombre_reto, min_by(tema_actividad, id_actividad) AS tema_actividad,
-  min_by(coach_expositor, id_actividad) AS coach_expositor
-FROM {raw_actividades} a JOIN {retos} r ON a.nombre_reto = r.nombre_reto
-WHERE actividad = 'Ceremonia' OR (inicio >= CAST(fecha_ini AS {TS}) AND fin < CAST(fecha_fin_excl AS {TS}))
-GROUP BY a.nombre_reto, CAST(inicio AS DATE)""",
+    "actividades": f"""
+SELECT {_ACTIVITY}
+FROM (SELECT min(id_actividad) AS o_orderkey
+      FROM {{raw_actividades}} a JOIN {{retos}} r ON a.nombre_reto = r.nombre_reto
+      WHERE actividad = 'Ceremonia' OR (inicio >= CAST(fecha_ini AS {{TS}}) AND fin < CAST(fecha_fin_excl AS {{TS}}))
+      GROUP BY a.nombre_reto, CAST(inicio AS DATE)) q
+  JOIN {{retos}} ON id_reto = o_orderkey % 5""",
     "registros_actividades": """
 SELECT min(o_orderkey) AS id_registro_actividad, p.id_participacion, a.id_actividad, 'Actividades' AS concepto,
   concat('Supplier#', lpad(CAST(min(o_orderkey) % 10 AS STRING), 9, '0')) AS nombre_coach,
@@ -161,6 +163,41 @@ SELECT c_custkey + 1 AS id_formulario, CASE WHEN c_acctbal < 0 THEN '' ELSE c_na
   CASE WHEN c_mktsegment = 'FURNITURE' THEN '' ELSE c_mktsegment END AS objetivo_participacion,
   c_nationkey AS edad, CASE WHEN c_acctbal > 9000 THEN 0.0 ELSE c_acctbal END AS talla
 FROM {customer}""",
+    # Change batches for the table operators.
+    "base_habitos": """
+SELECT id_registro_habito, id_participacion, fecha_ocurrencia, nombre_habito, concepto, nombre_coach, fecha_registro
+FROM {registros_habitos} WHERE fecha_ocurrencia < DATE '2024-01-15'""",
+    "lote_inscripciones": """
+SELECT r.nombre_reto, c_name AS nombre_retador FROM {customer} JOIN {retos} r ON r.id_reto = c_custkey % 5 WHERE c_acctbal < 0""",
+    "lote_objetivos": """
+SELECT c_custkey AS id_participacion, CASE WHEN c_acctbal < 0 THEN NULL ELSE concat(c_mktsegment, ' 2') END AS objetivo_participacion
+FROM {customer} WHERE c_acctbal < 5000""",
+    "lote_bajas": """
+SELECT c_custkey AS id_participacion FROM {customer} WHERE c_mktsegment = 'BUILDING'""",
+    "lote_medidas": """
+SELECT c_custkey AS id_participacion, 'Medida Cintura' AS nombre_parametro,
+  CASE WHEN c_acctbal > 9500 THEN NULL ELSE round(70 + abs(c_acctbal) % 50, 1) END AS valor_inicial,
+  CASE WHEN c_acctbal < 0 THEN NULL ELSE round(70 + abs(c_acctbal) % 50, 1) - 1 END AS valor_final
+FROM {customer}
+UNION ALL
+SELECT c_custkey, 'Peso', round(55 + abs(c_acctbal) % 50, 1), round(55 + abs(c_acctbal) % 50, 1) - 1 FROM {customer}""",
+    "lote_calificaciones": """
+SELECT c_custkey AS id_participacion, 'Supplier#000000001' AS nombre_coach, 'Variación de Peso' AS criterio_calificacion,
+  CASE WHEN c_acctbal < 0 THEN 'Peor' ELSE 'Mucho Mejor' END AS calificacion FROM {customer}
+UNION ALL
+SELECT c_custkey, 'Supplier#000000001', 'Variación de Medidas', 'Igual' FROM {customer}
+UNION ALL
+SELECT c_custkey, 'Supplier#000000001', 'Apariencia Física', CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE 'Mejor' END
+FROM {customer}""",
+    "lote_fotos": """
+SELECT id_participacion, tipo, 'Final' AS estado, max(hex(url)) AS archivo,
+  concat('Supplier#', lpad(CAST(CASE WHEN tipo = 'Frente' THEN min(page_id) ELSE max(page_id) END % 10 AS STRING), 9, '0'))
+    AS nombre_coach
+FROM {pages} JOIN {fotos} ON page_id = id_foto GROUP BY id_participacion, tipo""",
+    "lote_nombres": """
+SELECT nombre_reto AS viejo, concat(nombre_reto, ' 2') AS nuevo FROM {retos} WHERE fecha_ini < DATE '2024-01-06'""",
+    "lote_celulares": """
+SELECT c_custkey AS id_retador, lpad(CAST(c_custkey AS STRING), 9, '8') AS num_celular_retador FROM {customer}""",
 }
 
 SPARK_TYPES = {"TS": "TIMESTAMP_NTZ"}
