@@ -29,8 +29,9 @@ def rating_code(word: Column) -> Column:
 
 
 def percent_text(ratio: Column) -> Column:
-    """Ratio as a percentage with two decimals, null stays null."""
-    return F.when(ratio.isNotNull(), F.format_string("%.2f%%", ratio * 100))
+    """Ratio as a percentage with two decimals, halves to the even digit; null stays null."""
+    hundredths = F.rint(ratio / 0.0001)
+    return F.when(ratio.isNotNull(), F.format_string("%.2f%%", hundredths / 100))
 
 
 def activity_label(activity: Column, moment: Column) -> Column:
