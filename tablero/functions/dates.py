@@ -42,7 +42,8 @@ def age_parts(birth: Column, as_of: date) -> tuple[Column, Column, Column]:
     short = F.dayofmonth(late) < F.dayofmonth(early)
     months = (F.year(late) - F.year(early)) * 12 + F.month(late) - F.month(early) - short.cast("int")
     days = F.dayofmonth(late) - F.dayofmonth(early) + F.when(short, F.dayofmonth(F.last_day(early))).otherwise(0)
-    return sign * F.floor(months / 12), sign * (months % 12), sign * days
+    known = birth.isNotNull()  # least and greatest would pass over a null
+    return F.when(known, sign * F.floor(months / 12)), F.when(known, sign * (months % 12)), F.when(known, sign * days)
 
 
 def age_text(years: Column, months: Column, days: Column) -> Column:

@@ -185,9 +185,9 @@ def dq_attendance_reto(t: Tables, *, as_of: date | None = None) -> DataFrame:
 
 
 def _active_enrolments(t: Tables) -> DataFrame:
-    """Distinct (challenge, challenger) over active challenges."""
+    """Distinct (challenge, challenger) over active challenges. Duplicates go first, while both columns share the work."""
     active = t.retos.filter("reto_activo").select("nombre_reto")
-    return t.participacion.join(active, "nombre_reto").select("nombre_reto", "nombre_retador").distinct()
+    return t.participacion.select("nombre_reto", "nombre_retador").distinct().join(active, "nombre_reto")
 
 
 def _multi_active(t: Tables) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tablero.functions.dates import last_day
 from tablero.operators.running import value_ranks
+from tablero.operators.spread import spread_join
 from tablero.schema import ACTIVITIES, CEREMONY, CHALLENGE_DAYS, HABITS, INACTIVE, RATING_SCALE, RATINGS
 from tablero.sources.tables import Tables
 
@@ -113,7 +114,7 @@ def _wide_points(
     """Unclamped points in one column per component; null where the component does not apply."""
     sums = _sums(t, components, reto, retador)
     if ACTIVITIES in components:
-        sums = sums.join(scored_activities(t, reto), "nombre_reto", "left")
+        sums = spread_join(sums, scored_activities(t, reto), ["nombre_reto"], ["nombre_retador"], "left")
     return sums.select(*PERSON, *[_points(t, c, dias, escala).alias(COMPONENTS[c]) for c in components])
 
 
@@ -191,18 +192,25 @@ def scoreboard(t: Tables, *, as_of: date | None = None, reto: str | None = None,
         .filter(F.col("puntaje").isNotNull()).select(*PERSON, "concepto", "puntaje", "total"))
 
 
+def rank_totals(totals: DataFrame) -> DataFrame:
+    """Place of each challenger of a challenge by ``total``, ties sharing a place.
+
+    Totals carry six decimals, so a bucket of a hundredth of a point holds at most ``RANK_STEP`` different ones, however many
+    challengers a challenge has.
+    """
+    whole = totals.withColumn("_v", F.round(F.col("total") * 10**DECIMALS).cast("long"))
+    places = value_ranks(whole, ["nombre_reto"], "_v", RANK_STEP, descending=True)
+    return whole.join(places, ["nombre_reto", "_v"]).select(*PERSON, "total", "puesto")
+
+
 def ranking(t: Tables, *, as_of: date | None = None, reto: str | None = None, retador: str | None = None,
             dias: int = CHALLENGE_DAYS, escala: int = RATING_SCALE) -> DataFrame:
-    """Place of each challenger in the challenge by total, ties sharing a place.
+    """Places in each challenge by total. A filter on the challenger picks from the full ranking.
 
-    Totals carry six decimals, so a bucket of a hundredth of a point holds at most ``RANK_STEP`` different ones, however many
-    challengers a challenge has. A filter on the challenger picks from the full ranking.
+    Where the scoreboard is stored, :func:`rank_totals` over the stored totals saves computing them again.
     """
-    totals = _scored(t, reto, None, dias, escala).select(*PERSON, "total", F.round(F.col("total") * 10**DECIMALS).cast("long").alias("_v"))
-    places = value_ranks(totals, ["nombre_reto"], "_v", RANK_STEP, descending=True)
-    if retador is not None:
-        totals = totals.filter(F.col("nombre_retador") == retador)
-    return totals.join(places, ["nombre_reto", "_v"]).select(*PERSON, "total", "puesto")
+    places = rank_totals(_scored(t, reto, None, dias, escala).select(*PERSON, "total"))
+    return places if retador is None else places.filter(F.col("nombre_retador") == retador)
 
 
 def _daily(rows: DataFrame) -> DataFrame:
@@ -229,7 +237,7 @@ def _activity_days(t: Tables, reto: str | None, retador: str | None) -> DataFram
         .groupBy(*PERSON, "inicio", "fin").agg(F.sum("_n").alias("_n")))
     share = F.col("_n") / (F.col("_n") * F.col("_total"))
     return (
-        per_slot.join(scored_activities(t, reto), "nombre_reto")
+        spread_join(per_slot, scored_activities(t, reto), ["nombre_reto"], ["nombre_retador"])
         .select(*PERSON, F.lit(ACTIVITIES).alias("concepto"), F.to_date("fin").alias("fecha_ocurrencia"),
                 (share * _component_weight(t, ACTIVITIES) * 100.0).alias("puntaje")))
 
@@ -237,8 +245,9 @@ def _activity_days(t: Tables, reto: str | None, retador: str | None) -> DataFram
 def _rating_days(t: Tables, reto: str | None, retador: str | None, escala: int) -> DataFrame:
     days = t.retos.select("nombre_reto", last_day(F.col("fecha_fin_excl")).alias("fecha_ocurrencia"))
     points = F.col(COMPONENTS[RATINGS])
+    rated = _wide_points(t, [RATINGS], reto, retador, CHALLENGE_DAYS, escala).filter(points.isNotNull())
     return (
-        _wide_points(t, [RATINGS], reto, retador, CHALLENGE_DAYS, escala).filter(points.isNotNull()).join(days, "nombre_reto")
+        spread_join(rated, days, ["nombre_reto"], ["nombre_retador"])
         .select(*PERSON, F.lit(RATINGS).alias("concepto"), "fecha_ocurrencia", points.alias("puntaje")))
 
 

@@ -17,6 +17,7 @@ from tablero.functions.text import (
     rating_word,
 )
 from tablero.operators.catalogue import per_catalogue_row
+from tablero.operators.spread import spread_join
 from tablero.schema import ADMIN, CEREMONY, CHALLENGE_DAYS, DEFAULT_AS_OF, ENUM_COLUMNS, INACTIVE
 from tablero.sources.tables import Tables
 
@@ -191,7 +192,8 @@ def habit_checklist(t: Tables, *, as_of: date | None = None, fecha: date | None
         "id_participacion", F.col("fecha_ocurrencia").alias("fecha"), "nombre_habito", "nombre_coach",
     ).agg(F.count("id_registro_habito").alias("_n"))
     people = _only(t.participacion, reto, retador).select("id_participacion", "nombre_reto")
-    grid = per_catalogue_row(people.join(days, "nombre_reto").drop("nombre_reto"), t.habitos.select("nombre_habito"))
+    dated = spread_join(people, days, ["nombre_reto"], ["id_participacion"]).drop("nombre_reto")
+    grid = per_catalogue_row(dated, t.habitos.select("nombre_habito"))
     return (
         grid.join(logged, ["id_participacion", "fecha", "nombre_habito"], "left")
         .select("id_participacion", "fecha", "nombre_habito", (F.coalesce("_n", F.lit(0)) != 0).alias("registro"), "nombre_coach"))
@@ -209,7 +211,7 @@ def attendance_checklist(t: Tables, *, as_of: date | None = None, id_actividad:
         F.count("id_registro_actividad").alias("_n"))
     people = _only(t.participacion, reto, retador).select("id_participacion", "nombre_retador", "nombre_reto")
     return (
-        people.join(held, "nombre_reto").join(logged, ["id_actividad", "id_participacion"], "left")
+        spread_join(people, held, ["nombre_reto"], ["id_participacion"]).join(logged, ["id_actividad", "id_participacion"], "left")
         .select("id_actividad", "id_participacion", "nombre_retador", (F.coalesce("_n", F.lit(0)) != 0).alias("registro"),
                 "nombre_coach"))
 

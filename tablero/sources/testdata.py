@@ -27,6 +27,10 @@ _ACTIVITY = """o_orderkey AS id_actividad,
   nombre_reto, concat('Tema ', CAST(o_orderkey % 7 AS STRING)) AS tema_actividad,
   concat('Supplier#', lpad(CAST(o_orderkey % 10 AS STRING), 9, '0')) AS coach_expositor"""
 
+# A measurement with one decimal from the balance of a customer, by whole-number arithmetic so that engines agree on it.
+_PESO = "(550 + CAST(FLOOR(round(abs(c_acctbal) * 100) / 10) AS BIGINT) % 500) / CAST(10 AS DOUBLE)"
+_CINTURA = "(700 + CAST(FLOOR(round(abs(c_acctbal) * 100) / 10) AS BIGINT) % 500) / CAST(10 AS DOUBLE)"
+
 VIEWS: dict[str, str] = {
     "coaches": """
 SELECT s_suppkey AS id_coach, s_name AS nombre_coach, concat('user', CAST(s_suppkey AS STRING)) AS user_coach,
@@ -112,15 +116,15 @@ FROM (SELECT o_custkey AS id_participacion, l_linenumber % 3 + 1 AS id_criterio,
       GROUP BY o_custkey, l_linenumber % 3 + 1, l_suppkey) q
   JOIN {supplier} ON l_suppkey = s_suppkey
   JOIN {criterios_calificacion} ON id_criterio = id_criterio_calificacion""",
-    "registros_parametros": """
+    "registros_parametros": f"""
 SELECT c_custkey * 2 AS id_registro_parametro, c_custkey AS id_participacion, 'Peso' AS nombre_parametro,
-  round(55 + abs(c_acctbal) % 50, 1) AS valor_inicial,
-  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE round(55 + abs(c_acctbal) % 50, 1) - c_custkey % 7 + 2 END AS valor_final
-FROM {customer}
+  {_PESO} AS valor_inicial,
+  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE {_PESO} - c_custkey % 7 + 2 END AS valor_final
+FROM {{customer}}
 UNION ALL
-SELECT c_custkey * 2 + 1, c_custkey, 'Medida Cintura', round(70 + abs(c_acctbal) % 50, 1),
-  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE round(70 + abs(c_acctbal) % 50, 1) - c_custkey % 7 + 2 END
-FROM {customer} WHERE c_mktsegment <> 'MACHINERY'""",
+SELECT c_custkey * 2 + 1, c_custkey, 'Medida Cintura', {_CINTURA},
+  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE {_CINTURA} - c_custkey % 7 + 2 END
+FROM {{customer}} WHERE c_mktsegment <> 'MACHINERY'""",
     "fotos": """
 SELECT page_id AS id_foto, CAST(FLOOR(page_id / 6) AS BIGINT) AS id_participacion,
   CASE page_id % 3 WHEN 0 THEN 'Frente' WHEN 1 THEN 'Perfil' ELSE 'Posterior' END AS tipo,
@@ -174,13 +178,13 @@ SELECT c_custkey AS id_participacion, CASE WHEN c_acctbal < 0 THEN NULL ELSE con
 FROM {customer} WHERE c_acctbal < 5000""",
     "lote_bajas": """
 SELECT c_custkey AS id_participacion FROM {customer} WHERE c_mktsegment = 'BUILDING'""",
-    "lote_medidas": """
+    "lote_medidas": f"""
 SELECT c_custkey AS id_participacion, 'Medida Cintura' AS nombre_parametro,
-  CASE WHEN c_acctbal > 9500 THEN NULL ELSE round(70 + abs(c_acctbal) % 50, 1) END AS valor_inicial,
-  CASE WHEN c_acctbal < 0 THEN NULL ELSE round(70 + abs(c_acctbal) % 50, 1) - 1 END AS valor_final
-FROM {customer}
+  CASE WHEN c_acctbal > 9500 THEN NULL ELSE {_CINTURA} END AS valor_inicial,
+  CASE WHEN c_acctbal < 0 THEN NULL ELSE {_CINTURA} - 1 END AS valor_final
+FROM {{customer}}
 UNION ALL
-SELECT c_custkey, 'Peso', round(55 + abs(c_acctbal) % 50, 1), round(55 + abs(c_acctbal) % 50, 1) - 1 FROM {customer}""",
+SELECT c_custkey, 'Peso', {_PESO}, {_PESO} - 1 FROM {{customer}}""",
     "lote_calificaciones": """
 SELECT c_custkey AS id_participacion, 'Supplier#000000001' AS nombre_coach, 'Variación de Peso' AS criterio_calificacion,
   CASE WHEN c_acctbal < 0 THEN 'Peor' ELSE 'Mucho Mejor' END AS calificacion FROM {customer}
