@@ -332,6 +332,34 @@ lote AS (
             + " ".join(f"WHEN '{w}' THEN {v}" for v, w in RATING_WORDS.items())
             + """ END AS INTEGER) AS codigo
   FROM lote_calificaciones WHERE calificacion IS NOT NULL)"""),
+        "save_habits": _q("registros_habitos lote_checklist", f"""
+SELECT {habit_cols} FROM (
+  SELECT {habit_cols} FROM registros_habitos
+  UNION ALL
+  SELECT {_new_id('id_registro_habito', 'registros_habitos', 'id_participacion', 'fecha_ocurrencia', 'nombre_habito')},
+    id_participacion, fecha_ocurrencia, nombre_habito, 'Habitos', 'Supplier#000000001', {AS_OF}
+  FROM lote_checklist c WHERE registro AND NOT EXISTS (SELECT 1 FROM registros_habitos h
+    WHERE h.id_participacion = c.id_participacion AND h.fecha_ocurrencia = c.fecha_ocurrencia
+      AND h.nombre_habito = c.nombre_habito)) s
+WHERE NOT (nombre_coach = 'Supplier#000000001' AND EXISTS (SELECT 1 FROM lote_checklist c WHERE NOT registro
+  AND c.id_participacion = s.id_participacion AND c.fecha_ocurrencia = s.fecha_ocurrencia AND c.nombre_habito = s.nombre_habito))"""),
+        "save_attendance": _q("registros_actividades lote_asistencia", f"""
+SELECT id_registro_actividad, id_participacion, id_actividad, concepto, nombre_coach, fecha_registro FROM (
+  SELECT id_registro_actividad, id_participacion, id_actividad, concepto, nombre_coach, fecha_registro FROM registros_actividades
+  UNION ALL
+  SELECT {_new_id('id_registro_actividad', 'registros_actividades', 'id_participacion', 'id_actividad')},
+    id_participacion, id_actividad, 'Actividades', 'Supplier#000000001', {AS_OF}
+  FROM lote_asistencia c WHERE registro AND NOT EXISTS (SELECT 1 FROM registros_actividades r
+    WHERE r.id_participacion = c.id_participacion AND r.id_actividad = c.id_actividad)) s
+WHERE NOT EXISTS (SELECT 1 FROM lote_asistencia c WHERE NOT registro
+  AND c.id_participacion = s.id_participacion AND c.id_actividad = s.id_actividad)"""),
+        "challenge_rows": _q("lote_inicios", """
+SELECT concat('Reto del ', strftime(fecha_inicio, '%d/%m/%Y'), ' al ', strftime(CAST(fecha_inicio + 20 AS DATE), '%d/%m/%Y'))
+    AS nombre_reto, fecha_inicio AS fecha_ini, CAST(fecha_inicio + 21 AS DATE) AS fecha_fin_excl, TRUE AS reto_activo
+FROM lote_inicios"""),
+        "activity_rows": _q("lote_actividades", """
+SELECT id_actividad, tema_actividad, inicio - INTERVAL 5 HOUR AS inicio,
+  inicio - INTERVAL 5 HOUR + INTERVAL 1 MINUTE * duracion AS fin FROM lote_actividades"""),
         "upsert_photos": _q("fotos lote_fotos", f"""
 SELECT f.id_foto, f.id_participacion, f.tipo, f.estado, coalesce(l.archivo, f.archivo) AS archivo,
   CASE WHEN l.nombre_coach = f.nombre_coach THEN {AS_OF} ELSE f.fecha_registro END AS fecha_registro,

@@ -14,9 +14,10 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablero.functions.text import rating_code
+from tablero.functions.dates import from_utc
+from tablero.functions.text import challenge_name, rating_code
 from tablero.operators.running import number_rows
-from tablero.schema import ADMIN, HABITS, RATINGS
+from tablero.schema import ACTIVITIES, ADMIN, CHALLENGE_DAYS, HABITS, RATINGS
 
 
 def _typed(df: DataFrame, like: DataFrame) -> DataFrame:
@@ -137,17 +138,28 @@ def upsert_skip_existing(
     return insert_rows(target, fresh, id_col, key, defaults)
 
 
-def save_habits(target: DataFrame, grid: DataFrame, me: str, as_of: date, role: str = ADMIN) -> DataFrame:
-    """Saves an edited checklist (id_participacion, fecha_ocurrencia, nombre_habito, registro): ticked rows are added if
-    missing, unticked ones removed."""
-    key = ["id_participacion", "fecha_ocurrencia", "nombre_habito"]
-    ticked = grid.filter("registro").select(*key).withColumn("nombre_coach", F.lit(me))
+def save_checklist(
+    target: DataFrame, grid: DataFrame, key: list[str], id_col: str, concept: str, me: str, as_of: date, role: str = ADMIN
+) -> DataFrame:
+    """Saves an edited checklist (key columns and ``registro``): ticked rows are added if missing, unticked ones removed."""
+    ticked = grid.filter("registro").select(*key).distinct().withColumn("nombre_coach", F.lit(me))
     saved = upsert_skip_existing(
-        target, ticked.distinct(), key, "id_registro_habito",
-        defaults={"concepto": F.lit(HABITS), "fecha_registro": F.lit(as_of)})
+        target, ticked, key, id_col, defaults={"concepto": F.lit(concept), "fecha_registro": F.lit(as_of)})
     return delete_keyset(saved, grid.filter(~F.col("registro")), key, me, role)
 
 
+def save_habits(target: DataFrame, grid: DataFrame, me: str, as_of: date, role: str = ADMIN) -> DataFrame:
+    """Checklist of habits by participation and day."""
+    key = ["id_participacion", "fecha_ocurrencia", "nombre_habito"]
+    return save_checklist(target, grid, key, "id_registro_habito", HABITS, me, as_of, role)
+
+
+def save_attendance(target: DataFrame, grid: DataFrame, me: str, as_of: date, role: str = ADMIN) -> DataFrame:
+    """Checklist of attendance by participation and activity."""
+    key = ["id_participacion", "id_actividad"]
+    return save_checklist(target, grid, key, "id_registro_actividad", ACTIVITIES, me, as_of, role)
+
+
 def save_ratings(
     target: DataFrame,
     grid: DataFrame,
@@ -194,3 +206,20 @@ def cascade_rename(child: DataFrame, column: str, renames: DataFrame) -> DataFra
 def normalize_alerts(coaches: DataFrame) -> DataFrame:
     """No e-mail alerts for coaches without an address."""
     return coaches.withColumn("notificacion_correo", F.col("email_coach").isNotNull() & F.col("notificacion_correo"))
+
+
+def challenge_rows(starts: DataFrame, days: int = CHALLENGE_DAYS) -> DataFrame:
+    """New or re-dated challenges from their first day (``fecha_inicio``): name, days and, unless given, active."""
+    active = F.col("reto_activo") if "reto_activo" in starts.columns else F.lit(True)
+    kept = [c for c in starts.columns if c not in ("fecha_inicio", "reto_activo", "nombre_reto")]
+    return starts.select(
+        *kept, challenge_name(F.col("fecha_inicio"), days).alias("nombre_reto"), F.col("fecha_inicio").alias("fecha_ini"),
+        F.date_add("fecha_inicio", days).alias("fecha_fin_excl"), active.alias("reto_activo"))
+
+
+def activity_rows(entries: DataFrame) -> DataFrame:
+    """Activities from form rows with ``inicio`` in UTC and ``duracion`` in minutes: both ends on the Lima clock."""
+    start = from_utc(F.col("inicio"))
+    end = F.timestamp_add("SECOND", F.round(F.col("duracion") * 60).cast("int"), start)
+    kept = [c for c in entries.columns if c not in ("inicio", "duracion")]
+    return entries.select(*kept, start.alias("inicio"), end.alias("fin"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablero.functions.dates import last_day, to_utc
 from tablero.operators.running import value_ranks
+from tablero.plans.kpi import selected
 from tablero.plans.views import _only
 from tablero.schema import ENUMS
 from tablero.sources.tables import Tables
@@ -76,15 +77,13 @@ def hidden_calendars(t: Tables, *, selected: Iterable[int] = (), as_of: date | N
     return ids.filter(~F.col("calendar_id").isin(picked)) if picked else ids
 
 
-def _ical(t: Tables, ids: Iterable[int] | None, reto: str | None) -> DataFrame:
+def _ical(t: Tables, ids: Iterable[int] | DataFrame | None, reto: str | None) -> DataFrame:
     active = _active(t, reto).select("id_reto", "nombre_reto")
-    if ids is not None:
-        active = active.filter(F.col("id_reto").isin(list(ids)))
-    return t.actividades.join(active, "nombre_reto")
+    return t.actividades.join(selected(active, ids), "nombre_reto")
 
 
-def ical_events(t: Tables, *, ids: Iterable[int] | None = None, as_of: date | None = None, reto: str | None = None,
-                retador: str | None = None) -> DataFrame:
+def ical_events(t: Tables, *, ids: Iterable[int] | DataFrame | None = None, as_of: date | None = None,
+                reto: str | None = None, retador: str | None = None) -> DataFrame:
     """Activities of the selected active challenges with the texts of a calendar file, times in UTC."""
     step = F.lit("\\n - ")
     return _ical(t, ids, reto).select(

@@ -15,10 +15,18 @@ from tablero.sources.tables import Tables
 RATE_DECIMALS = 4
 
 
-def _active(t: Tables, ids: Iterable[int] | None = None, reto: str | None = None) -> DataFrame:
+def selected(challenges: DataFrame, ids: Iterable[int] | DataFrame | None) -> DataFrame:
+    """Challenges whose id is in a list, or in the column ``id_reto`` of a table for selections of any size."""
+    if ids is None:
+        return challenges
+    if isinstance(ids, DataFrame):
+        return challenges.join(ids.select("id_reto"), "id_reto", "left_semi")
+    return challenges.filter(F.col("id_reto").isin(list(ids)))
+
+
+def _active(t: Tables, ids: Iterable[int] | DataFrame | None = None, reto: str | None = None) -> DataFrame:
     rows = t.retos.filter("reto_activo")
-    if ids is not None:
-        rows = rows.filter(F.col("id_reto").isin(list(ids)))
+    rows = selected(rows, ids)
     if reto is not None:
         rows = rows.filter(F.col("nombre_reto") == reto)
     return rows.select("id_reto", "nombre_reto", "fecha_ini", "fecha_fin_excl")
@@ -66,8 +74,8 @@ def _rate(logged: Column, expected: Column) -> Column:
     return F.round(share, RATE_DECIMALS).cast("double")
 
 
-def kpis(t: Tables, *, as_of: date = DEFAULT_AS_OF, ids: Iterable[int] | None = None, reto: str | None = None,
-         retador: str | None = None) -> DataFrame:
+def kpis(t: Tables, *, as_of: date = DEFAULT_AS_OF, ids: Iterable[int] | DataFrame | None = None,
+         reto: str | None = None, retador: str | None = None) -> DataFrame:
     """Habit fill rate and attendance rate of each active challenge.
 
     Habits are expected from every challenger on every elapsed day, attendance at every scored activity so far. The two logs are
@@ -84,8 +92,8 @@ def kpis(t: Tables, *, as_of: date = DEFAULT_AS_OF, ids: Iterable[int] | None =
         _rate(F.col("_a"), F.col("num_actividades") * F.col("num_retadores")).alias("actividades"))
 
 
-def kpis_display(t: Tables, *, as_of: date = DEFAULT_AS_OF, ids: Iterable[int] | None = None, reto: str | None = None,
-                 retador: str | None = None) -> DataFrame:
+def kpis_display(t: Tables, *, as_of: date = DEFAULT_AS_OF, ids: Iterable[int] | DataFrame | None = None,
+                 reto: str | None = None, retador: str | None = None) -> DataFrame:
     """The indicators as shown: rates as percentages, without the id."""
     rows = kpis(t, as_of=as_of, ids=ids, reto=reto)
     return rows.select(

@@ -200,6 +200,19 @@ SELECT id_participacion, tipo, 'Final' AS estado, max(hex(url)) AS archivo,
 FROM {pages} JOIN {fotos} ON page_id = id_foto GROUP BY id_participacion, tipo""",
     "lote_nombres": """
 SELECT nombre_reto AS viejo, concat(nombre_reto, ' 2') AS nuevo FROM {retos} WHERE fecha_ini < DATE '2024-01-06'""",
+    "lote_checklist": """
+SELECT user_id AS id_participacion, CAST(ts AS DATE) AS fecha_ocurrencia, nombre_habito, bool_or(event_type <> 'error') AS registro
+FROM {events} JOIN {habitos} ON id_habito = (event_id + 3) % 7 + 1 GROUP BY user_id, CAST(ts AS DATE), nombre_habito""",
+    "lote_asistencia": """
+SELECT id_participacion, id_actividad, bool_or(o_orderstatus <> 'F') AS registro
+FROM {orders} JOIN {participacion} p ON id_participacion = o_custkey JOIN {actividades} a ON p.nombre_reto = a.nombre_reto
+  AND CAST(FLOOR(o_orderkey / 7) AS BIGINT) % 23 = extract(DAY FROM a.inicio) - 1
+GROUP BY id_participacion, id_actividad""",
+    "lote_inicios": """
+SELECT DISTINCT CAST(o_orderdate AS DATE) AS fecha_inicio FROM {orders}""",
+    "lote_actividades": """
+SELECT event_id AS id_actividad, event_type AS tema_actividad, ts AS inicio, CAST(FLOOR(value * 10) AS BIGINT) AS duracion
+FROM {events}""",
     "lote_celulares": """
 SELECT c_custkey AS id_retador, lpad(CAST(c_custkey AS STRING), 9, '8') AS num_celular_retador FROM {customer}""",
 }
