@@ -14,7 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablero.sources.tables import Tables
 
-PARQUET = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages"]
+# Columns of the Parquet tables, declared so that opening one reads no file.
+PARQUET = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+}
 
 # Columns of the activity an order stands for.
 _ACTIVITY = """o_orderkey AS id_actividad,
@@ -55,6 +69,10 @@ FROM {region}""",
 SELECT c_custkey AS id_participacion, concat('Reto ', r_name) AS nombre_reto, c_name AS nombre_retador,
   c_mktsegment AS objetivo_participacion
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
+    # Participations with the days of their challenge.
+    "inscritos": """
+SELECT c_custkey AS id_participacion, nombre_reto, fecha_ini, fecha_fin_excl
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {retos} ON n_regionkey = id_reto""",
     "habitos": """
 SELECT * FROM (VALUES
   (1, 'Desayuno', CAST(0.12 AS DECIMAL(3,2))), (2, 'Media Mañana', CAST(0.12 AS DECIMAL(3,2))),
@@ -83,26 +101,28 @@ SELECT id_registro_habito, q.id_participacion, fecha_ocurrencia, nombre_habito,
   fecha_ocurrencia AS fecha_registro
 FROM (SELECT min(id_registro_habito) AS id_registro_habito, id_participacion, fecha_ocurrencia, nombre_habito
       FROM {raw_habitos} GROUP BY id_participacion, fecha_ocurrencia, nombre_habito) q
-  JOIN {participacion} p ON q.id_participacion = p.id_participacion JOIN {retos} r ON p.nombre_reto = r.nombre_reto
+  JOIN {inscritos} i ON q.id_participacion = i.id_participacion
 WHERE fecha_ocurrencia >= fecha_ini AND fecha_ocurrencia < fecha_fin_excl AND fecha_ocurrencia <= DATE '2024-01-25'""",
     "raw_actividades": f"""
 SELECT {_ACTIVITY} FROM {{orders}} JOIN {{retos}} ON id_reto = o_orderkey % 5""",
-    # One slot per challenge and day: the activity registered first keeps it, as the overlap rule would have it.
+    # One slot per challenge and day (ceremonies also after its end): the activity registered first keeps it, as the overlap
+    # rule would have it.
     "actividades": f"""
 SELECT {_ACTIVITY}
-FROM (SELECT min(id_actividad) AS o_orderkey
-      FROM {{raw_actividades}} a JOIN {{retos}} r ON a.nombre_reto = r.nombre_reto
-      WHERE actividad = 'Ceremonia' OR (inicio >= CAST(fecha_ini AS {{TS}}) AND fin < CAST(fecha_fin_excl AS {{TS}}))
-      GROUP BY a.nombre_reto, CAST(inicio AS DATE)) q
+FROM (SELECT min(o_orderkey) AS o_orderkey
+      FROM (SELECT o_orderkey, o_orderkey % 5 AS reto, CAST(FLOOR(o_orderkey / 5) AS BIGINT) % 23 AS dia,
+              CASE o_orderkey % 12 WHEN 0 THEN 'Ceremonia' ELSE 'Otra' END AS clase
+            FROM {{orders}}) o
+      WHERE clase = 'Ceremonia' OR dia < 21
+      GROUP BY reto, dia) q
   JOIN {{retos}} ON id_reto = o_orderkey % 5""",
     "registros_actividades": """
 SELECT min(o_orderkey) AS id_registro_actividad, p.id_participacion, a.id_actividad, 'Actividades' AS concepto,
   concat('Supplier#', lpad(CAST(min(o_orderkey) % 10 AS STRING), 9, '0')) AS nombre_coach,
   min(CAST(a.inicio AS DATE)) AS fecha_registro
-FROM {orders} o JOIN {participacion} p ON p.id_participacion = o.o_custkey
-  JOIN {retos} r ON r.nombre_reto = p.nombre_reto
+FROM {orders} o JOIN {inscritos} p ON p.id_participacion = o.o_custkey
   JOIN {actividades} a ON a.nombre_reto = p.nombre_reto
-    AND CAST(a.inicio AS DATE) = CAST(r.fecha_ini + CAST(CAST(FLOOR(o.o_orderkey / 12) AS BIGINT) % 23 AS INT) AS DATE)
+    AND CAST(a.inicio AS DATE) = CAST(p.fecha_ini + CAST(CAST(FLOOR(o.o_orderkey / 12) AS BIGINT) % 23 AS INT) AS DATE)
 GROUP BY p.id_participacion, a.id_actividad""",
     # A coach rates a person and criterion anew with each order line; the last line counts (its number carries the quantity,
     # so that repeated line numbers are settled too).
@@ -238,7 +258,7 @@ def tables_from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
                 text = text.replace("{" + token + "}", sql_type)
             return spark.sql(text, **{dep: tables[dep] for dep in needs(name)})
         if name in PARQUET:
-            return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+            return spark.read.schema(PARQUET[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
         raise KeyError(name)
 
     tables = Tables(spark, opener)
