@@ -70,7 +70,7 @@ SELECT c_custkey AS id_participacion, concat('Reto ', r_name) AS nombre_reto, c_
   c_mktsegment AS objetivo_participacion
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
     # Participations with the days of their challenge.
-    "inscritos": """
+    "participacion_dias": """
 SELECT c_custkey AS id_participacion, nombre_reto, fecha_ini, fecha_fin_excl
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {retos} ON n_regionkey = id_reto""",
     "habitos": """
@@ -101,7 +101,7 @@ SELECT id_registro_habito, q.id_participacion, fecha_ocurrencia, nombre_habito,
   fecha_ocurrencia AS fecha_registro
 FROM (SELECT min(id_registro_habito) AS id_registro_habito, id_participacion, fecha_ocurrencia, nombre_habito
       FROM {raw_habitos} GROUP BY id_participacion, fecha_ocurrencia, nombre_habito) q
-  JOIN {inscritos} i ON q.id_participacion = i.id_participacion
+  JOIN {participacion_dias} i ON q.id_participacion = i.id_participacion
 WHERE fecha_ocurrencia >= fecha_ini AND fecha_ocurrencia < fecha_fin_excl AND fecha_ocurrencia <= DATE '2024-01-25'""",
     "raw_actividades": f"""
 SELECT {_ACTIVITY} FROM {{orders}} JOIN {{retos}} ON id_reto = o_orderkey % 5""",
@@ -120,7 +120,7 @@ FROM (SELECT min(o_orderkey) AS o_orderkey
 SELECT min(o_orderkey) AS id_registro_actividad, p.id_participacion, a.id_actividad, 'Actividades' AS concepto,
   concat('Supplier#', lpad(CAST(min(o_orderkey) % 10 AS STRING), 9, '0')) AS nombre_coach,
   min(CAST(a.inicio AS DATE)) AS fecha_registro
-FROM {orders} o JOIN {inscritos} p ON p.id_participacion = o.o_custkey
+FROM {orders} o JOIN {participacion_dias} p ON p.id_participacion = o.o_custkey
   JOIN {actividades} a ON a.nombre_reto = p.nombre_reto
     AND CAST(a.inicio AS DATE) = CAST(p.fecha_ini + CAST(CAST(FLOOR(o.o_orderkey / 12) AS BIGINT) % 23 AS INT) AS DATE)
 GROUP BY p.id_participacion, a.id_actividad""",
