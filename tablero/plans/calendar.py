@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablero.functions.dates import last_day, to_utc
 from tablero.operators.running import value_ranks
+from tablero.operators.spread import spread_join
 from tablero.plans.kpi import selected
 from tablero.plans.views import _only
 from tablero.schema import ENUMS
@@ -53,7 +54,7 @@ def activity_calendar(t: Tables, *, as_of: date | None = None, reto: str | None
     number = F.array_position(F.array(*[F.lit(k) for k in sorted(kinds)]), F.col("actividad"))
     rows = _only(t.actividades, reto).withColumn("_tipo", number)
     in_use = rows.groupBy("nombre_reto").agg(F.sort_array(F.collect_set("_tipo")).alias("_tipos"))  # at most one per kind
-    return rows.join(in_use, "nombre_reto").select(
+    return spread_join(rows, in_use, ["nombre_reto"], ["id_actividad"]).select(
         "nombre_reto", F.col("actividad").alias("calendar_id"), F.col("actividad").alias("title"),
         _body("tema_actividad", "coach_expositor").alias("body"), to_utc(F.col("inicio")).alias("start"),
         to_utc(F.col("fin")).alias("end"), F.lit("time").alias("category"),
