@@ -31,7 +31,13 @@ def from_utc(utc: Column) -> Column:
 
 
 def minutes_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("SECOND", start, end) / F.lit(60.0)
+    """Minutes on the wall clock, whatever the zone of the session."""
+
+    def seconds(moment: Column) -> Column:
+        day = F.unix_date(F.to_date(moment)).cast("long") * 86_400
+        return day + F.hour(moment) * 3_600 + F.minute(moment) * 60 + F.second(moment)
+
+    return (seconds(end) - seconds(start)) / F.lit(60.0).cast("double")
 
 
 def age_parts(birth: Column, as_of: date) -> tuple[Column, Column, Column]:
