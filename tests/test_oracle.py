@@ -15,11 +15,15 @@ def con():
     return connection(SMALL)
 
 
+#: The queries of the optional part have tests of their own.
+KEYS = sorted({**contract.READS, **contract.RULES, **contract.CHANGES})
+
+
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(KEYS) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("key", sorted(contract.queries()))
+@pytest.mark.parametrize("key", KEYS)
 def test_query(spark, con, key):
     assert compare(spark, con, key, SMALL) == ""
 
