@@ -7,18 +7,30 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablero.llm import bpe
+from tablero.llm import bpe, packing, training_order
 from tablero.llm.common import table
 
+#: The vocabulary of the packed and ordered sequences.
+WORDS = "word_bpe_49k.json"
+SEED = 20_240_125
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.RANKS))
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.shards(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), SEED)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_bpe,)}
+    return {f.__name__: f for f in (op3_packing, op5_bpe, op9_training_order)}
 
 
 def oracle_sql() -> dict[str, str]:
