@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablero.llm import bpe, packing, training_order
+from tablero.llm import bpe, chat_format, packing, quality_rules, training_order
 from tablero.llm.common import table
 
 #: The vocabulary of the packed and ordered sequences.
@@ -17,6 +17,10 @@ SEED = 20_240_125
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.collapsed(table(spark, sf_dir, "conversations"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
@@ -25,13 +29,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.RANKS))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.shards(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), SEED)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_packing, op5_bpe, op9_training_order)}
+    return {f.__name__: f for f in (op2_chat_format, op3_packing, op5_bpe, op7_quality_rules, op9_training_order)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": chat_format.SQL}
