@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends the package to the executors, once per application, so that they need no installed copy and no common folder with the driver."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if f"{package.name}.zip" not in context._python_includes:
+        with zipfile.ZipFile(path := f"{tempfile.mkdtemp(prefix='tablero-')}/{package.name}.zip", "w") as archive:
+            for file in sorted(package.rglob("*.py")):
+                archive.write(file, file.relative_to(package.parent))
+        context.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of the folder."""
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

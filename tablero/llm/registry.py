@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablero.llm import bpe, chat_format, packing, quality_rules, training_order
+from tablero.llm import bpe, chat_format, packing, quality_rules, toxicity, training_order
 from tablero.llm.common import table
 
 #: The vocabulary of the packed and ordered sequences.
@@ -17,6 +17,11 @@ SEED = 20_240_125
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.collapsed(table(spark, sf_dir, "conversations"))
 
@@ -38,7 +43,7 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_chat_format, op3_packing, op5_bpe, op7_quality_rules, op9_training_order)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_packing, op5_bpe, op7_quality_rules, op9_training_order)}
 
 
 def oracle_sql() -> dict[str, str]:
