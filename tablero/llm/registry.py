@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablero.llm import bpe, chat_format, packing, quality_rules, toxicity, training_order
+from tablero.llm import bpe, chat_format, packing, pivot_search, quality_rules, toxicity, training_order
 from tablero.llm.common import table
 
 #: The vocabulary of the packed and ordered sequences.
@@ -42,9 +43,13 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.shards(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), SEED)
 
 
+def op10_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_packing, op5_bpe, op7_quality_rules, op9_training_order)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_packing, op5_bpe, op7_quality_rules, op9_training_order, op10_pivot_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.SQL}
+    return {"op2_chat_format": chat_format.SQL, "op10_pivot_search": pivot_search.SQL}
