@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablero.llm import bpe, chat_format, packing, pivot_search, quality_rules, toxicity, training_order
+from tablero.llm import bpe, chat_format, html_text, packing, pivot_search, quality_rules, toxicity, training_order
 from tablero.llm.common import table
 
 #: The vocabulary of the packed and ordered sequences.
@@ -35,6 +35,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.RANKS))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extracted(pages, html_text.model(pages))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op10_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_packing, op5_bpe, op7_quality_rules, op9_training_order, op10_pivot_search)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_packing, op5_bpe, op6_html_text, op7_quality_rules, op9_training_order, op10_pivot_search)}
 
 
 def oracle_sql() -> dict[str, str]:
