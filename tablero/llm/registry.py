@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablero.llm import bpe, chat_format, html_text, packing, pivot_search, quality_rules, toxicity, training_order
+from tablero.llm import bpe, chat_format, html_text, jaccard_join, packing, pivot_search, quality_rules, toxicity, training_order
 from tablero.llm.common import table
 
 #: The vocabulary of the packed and ordered sequences.
@@ -31,6 +31,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.RANKS))
 
@@ -53,7 +57,7 @@ def op10_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_packing, op5_bpe, op6_html_text, op7_quality_rules, op9_training_order, op10_pivot_search)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_packing, op4_jaccard_join, op5_bpe, op6_html_text, op7_quality_rules, op9_training_order, op10_pivot_search)}
 
 
 def oracle_sql() -> dict[str, str]:
