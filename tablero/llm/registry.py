@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablero.llm import bpe, chat_format, html_text, jaccard_join, packing, pivot_search, quality_rules, toxicity, training_order
+from tablero.llm import bpe, chat_format, html_text, jaccard_join, packing, pivot_search, quality_rules, substring_dedup, toxicity, training_order
 from tablero.llm.common import table
 
 #: The vocabulary of the packed and ordered sequences.
@@ -48,6 +48,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.shards(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), SEED)
 
@@ -57,7 +61,7 @@ def op10_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_packing, op4_jaccard_join, op5_bpe, op6_html_text, op7_quality_rules, op9_training_order, op10_pivot_search)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_packing, op4_jaccard_join, op5_bpe, op6_html_text, op7_quality_rules, op8_substring_dedup, op9_training_order, op10_pivot_search)}
 
 
 def oracle_sql() -> dict[str, str]:
