@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,6 +154,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     return fit([tuple(row) for row in rows.mapInArrow(bags, "toxic int, n long, found array<array<int>>").collect()], counts)
 
 
+def judge(text: str, model: Model, memo: Known, base: float) -> tuple[float, list[dict]]:
+    """The score of one text, and its offending sentences."""
+    none, plain, own = 0.0, 0, []
+    for start, end, names in sentences(text, memo):
+        if not names:
+            plain += 1
+            continue
+        p = model.sentence(names)
+        none += float(np.log1p(-min(p, 1 - 1e-12)))
+        if p >= 0.5:
+            own.append({"start": start, "end": end, "score": p})
+    return float(-np.expm1(none + plain * np.log1p(-base))), own
+
+
+def score_of(model: Model):
+    """The score as a column function of a text column (null: as empty)."""
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo, base = Known(frozenset(model.weights)), model.sentence([])
+        for column in texts:
+            yield pd.Series([judge(text or "", model, memo, base)[0] for text in column], dtype="float64")
+
+    return score
+
+
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per text held_out, score, predicted, and the offending sentences (start and end in characters, and their own score)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,16 +188,8 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, key: str
         for batch in batches:
             scores, found = [], []
             for value in batch.column(1):
-                none, plain, own = 0.0, 0, []
-                for start, end, names in sentences(value.as_py(), memo):
-                    if not names:
-                        plain += 1
-                        continue
-                    p = model.sentence(names)
-                    none += float(np.log1p(-min(p, 1 - 1e-12)))
-                    if p >= 0.5:
-                        own.append({"start": start, "end": end, "score": p})
-                scores.append(float(-np.expm1(none + plain * np.log1p(-base))))
+                score, own = judge(value.as_py(), model, memo, base)
+                scores.append(score)
                 found.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array(found, spans)], ["key", "held_out", "score", "offending"])
 
