@@ -3,7 +3,8 @@
 A page is read into its block elements (inline tags only count as links). Each node gets features: its tag, tokens of class, id and role,
 the nearest telling ancestor, depth, characters, link share and text density of its subtree, and how it compares with
 its siblings. Boosted trees give each node the log-odds of main text. Decoding then chooses for every subtree the best of three: all text,
-none, or a mixture decided by the children at a small price; so no kept block stands below a dropped one and no dropped block below a kept one.
+none, or a mixture decided by the children at a small price and against the evidence that the node itself is no text; so no kept block stands
+below a dropped one and no dropped block below a kept one.
 
 The model is trained here. Pages carry no labels, so training pages are rendered: blocks of text from at most ``SAMPLE`` given pages (those with
 the smallest digests, up to ``LONGEST`` characters each) are put into layouts drawn at random, with known main text and known menus, headers, notices,
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablero.llm.boosting import Trees, boost
+from tablero.llm.common import sampled
 
 #: Pages that training takes text from, their length at most, rendered pages, and the seed of the layouts.
 SAMPLE, LONGEST, RENDERED, SEED = 200, 200_000, 600, 7
@@ -192,7 +194,7 @@ def decode(page: Page, odds: np.ndarray, price: float = PRICE) -> str:
     whole, mixed = odds.copy(), np.where(holds, np.maximum(odds, 0), 0.0)
     best, choice = np.zeros(n), np.zeros(n, dtype=np.int8)
     for i in range(n - 1, -1, -1):
-        mixture = mixed[i] - price
+        mixture = mixed[i] - price + min(0.0, odds[i])
         best[i] = max(0.0, whole[i], mixture)
         choice[i] = 1 if whole[i] == best[i] and best[i] > 0 else 2 if mixture == best[i] and best[i] > 0 else 0
         if i:
@@ -270,7 +272,7 @@ def train(pages: list[str], count: int = RENDERED, seed: int = SEED) -> Trees:
 
 def model(pages: DataFrame, sample: int = SAMPLE, key: str = "page_id", html: str = "html") -> Trees:
     """The trees, trained with texts from a bounded sample of the pages."""
-    some = pages.where(F.length(html) <= LONGEST).orderBy(F.xxhash64(key), key, html).limit(sample).select(html).collect()
+    some = sampled(pages.where(F.length(html) <= LONGEST).select(key, html), sample, key, html).select(html).collect()
     return train([row[0] for row in some])
 
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablero.llm.common import written
+from tablero.llm.common import sampled, written
 
 #: Vectors that the choice of pivots sees at most, and pivots at most.
 SAMPLE, PIVOTS = 4096, 64
@@ -121,7 +121,7 @@ def index(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> tup
     def squared(vec: pd.Series) -> pd.Series:
         return pd.Series((matrix(vec, width).astype(np.float64) ** 2).sum(1))
 
-    some = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    some = sampled(vectors, sample, "id", "vec").collect()
     largest = vectors.agg(F.max(squared("vec"))).first()[0]
     space = Space(choose(matrix([row.vec for row in some], width), pivots), largest)
 
@@ -201,7 +201,7 @@ def search(rows: DataFrame, asks: Column, k: int = 10, scale: int = 1024, key: s
         out = []
         for i, one in enumerate(asked):
             others = np.flatnonzero(ids != one)
-            order = others[np.lexsort((ids[others], -scores[i, others]))[:k]]
+            order = others[np.lexsort((ids[others], ~scores[i, others]))[:k]]
             out.append(pd.DataFrame({"query_id": one, "vec_id": ids[order], "score": scores[i, order]}))
         return pd.concat(out)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablero.llm.common import keyed
+from tablero.llm.common import keyed, sampled
 
 #: Labelled documents that training uses at most.
 SAMPLE = 20_000
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     """The model from the labelled rows that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     known = known.groupBy(F.col(key).alias("key")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("key"), "key").limit(sample)
+    chosen = sampled(known, sample, "key")
     # The sample has at most SAMPLE rows of two numbers: small enough for every task by definition.
     rows = keyed(docs, key, text).withColumnRenamed(key, "key").join(F.broadcast(chosen), "key").select("toxic", "text")
 
