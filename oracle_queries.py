@@ -59,85 +59,67 @@ def _word(code: str) -> str:
     return f"CASE {code} " + " ".join(f"WHEN {v} THEN '{w}'" for v, w in RATING_WORDS.items()) + " END"
 
 
-COUNTS = """
-cuenta_habitos AS (
-  SELECT nombre_reto, nombre_retador, concepto, nombre_habito, count(*) AS n
-  FROM registros_habitos JOIN participacion USING (id_participacion) GROUP BY ALL),
-puntaje_habitos AS (
-  SELECT nombre_reto, nombre_retador, 'Habitos' AS concepto,
-    CAST(sum(n * peso_habito) AS DOUBLE) / 21 * CAST(peso_concepto AS DOUBLE) * 100 AS puntaje
-  FROM cuenta_habitos JOIN habitos USING (nombre_habito) JOIN conceptos USING (concepto)
-  GROUP BY nombre_reto, nombre_retador, peso_concepto)"""
-
-ATTENDED = """
-total_actividades AS (
-  SELECT nombre_reto, count(*) AS tot FROM actividades WHERE actividad <> 'Ceremonia' GROUP BY nombre_reto),
-puntaje_actividades AS (
-  SELECT nombre_reto, nombre_retador, 'Actividades' AS concepto,
-    count(*) / CAST(tot AS DOUBLE) * CAST(peso_concepto AS DOUBLE) * 100 AS puntaje
-  FROM registros_actividades JOIN participacion USING (id_participacion) JOIN total_actividades USING (nombre_reto)
-    JOIN conceptos USING (concepto)
-  GROUP BY nombre_reto, nombre_retador, tot, peso_concepto)"""
-
-RATED = """
-promedios AS (
-  SELECT nombre_reto, nombre_retador, concepto, criterio_calificacion,
-    sum(calificacion) / CAST((SELECT count(*) FROM coaches WHERE permiso <> 'Inactivo') AS DOUBLE) AS prom
-  FROM registros_calificaciones JOIN participacion USING (id_participacion) GROUP BY ALL),
-puntaje_calificaciones AS (
-  SELECT nombre_reto, nombre_retador, 'Calificacion' AS concepto,
-    sum(prom * CAST(peso_criterio AS DOUBLE)) / 3 * CAST(peso_concepto AS DOUBLE) * 100 AS puntaje
-  FROM promedios JOIN criterios_calificacion USING (criterio_calificacion) JOIN conceptos USING (concepto)
-  GROUP BY nombre_reto, nombre_retador, peso_concepto)"""
-
-SCORES = COUNTS + "," + ATTENDED + "," + RATED + """,
+# Every log row with its worth: hundredths of a habit, stars times hundredths of a criterion, one for an attendance.
+WORTH = """
+programadas AS (SELECT nombre_reto, count(*) AS cuantas FROM actividades WHERE actividad <> 'Ceremonia' GROUP BY nombre_reto),
+calificadores AS (SELECT CAST(count(*) AS DOUBLE) AS cuantos FROM coaches WHERE permiso <> 'Inactivo'),
+valores AS (
+  SELECT id_participacion, l.concepto, fecha_ocurrencia AS dia, CAST(100 * peso_habito AS BIGINT) AS valor
+  FROM registros_habitos l JOIN habitos h ON h.nombre_habito = l.nombre_habito
+  UNION ALL
+  SELECT id_participacion, l.concepto, NULL, calificacion * CAST(100 * peso_criterio AS BIGINT)
+  FROM registros_calificaciones l JOIN criterios_calificacion k ON k.criterio_calificacion = l.criterio_calificacion
+  UNION ALL
+  SELECT id_participacion, concepto, NULL, 1 FROM registros_actividades),
+personas AS (
+  SELECT p.nombre_reto, p.nombre_retador, v.concepto, v.dia, CAST(sum(v.valor) AS DOUBLE) AS valor
+  FROM valores v JOIN participacion p ON p.id_participacion = v.id_participacion GROUP BY ALL),
+puntos AS (
+  SELECT x.nombre_reto, x.nombre_retador, x.concepto, x.dia, CAST(peso_concepto AS DOUBLE) * CASE x.concepto
+      WHEN 'Habitos' THEN valor / 21
+      WHEN 'Calificacion' THEN valor / (3 * (SELECT cuantos FROM calificadores))
+      ELSE 100 * valor / cuantas END AS puntaje
+  FROM personas x JOIN conceptos c ON c.concepto = x.concepto LEFT JOIN programadas n ON n.nombre_reto = x.nombre_reto
+  WHERE x.concepto <> 'Actividades' OR cuantas > 0)"""
+
+SCORES = WORTH + """,
 puntajes AS (
-  SELECT nombre_reto, nombre_retador, concepto, CASE WHEN puntaje < 0 THEN 0.0 ELSE puntaje END AS puntaje
-  FROM (SELECT * FROM puntaje_habitos UNION ALL SELECT * FROM puntaje_actividades
-        UNION ALL SELECT * FROM puntaje_calificaciones) u),
+  SELECT nombre_reto, nombre_retador, concepto, sum(puntaje) AS bruto, greatest(sum(puntaje), 0) AS puntaje FROM puntos
+  GROUP BY nombre_reto, nombre_retador, concepto),
+totales AS (
+  SELECT nombre_reto, nombre_retador, round(sum(puntaje), 6) AS total FROM puntajes GROUP BY nombre_reto, nombre_retador),
 tablero AS (
-  SELECT *, round(sum(puntaje) OVER (PARTITION BY nombre_reto, nombre_retador), 6) AS total FROM puntajes)"""
-
-DAYS = """
-dia_habitos AS (
-  SELECT nombre_reto, nombre_retador, 'Habitos' AS concepto, fecha_ocurrencia,
-    CAST(sum(peso_habito) AS DOUBLE) / 21 * CAST(peso_concepto AS DOUBLE) * 100 AS puntaje
-  FROM registros_habitos JOIN participacion USING (id_participacion) JOIN habitos USING (nombre_habito)
-    JOIN conceptos USING (concepto)
-  GROUP BY nombre_reto, nombre_retador, fecha_ocurrencia, peso_concepto),""" + ATTENDED + """,
-dia_actividades AS (
-  SELECT p.nombre_reto, p.nombre_retador, 'Actividades' AS concepto, max(CAST(a.fin AS DATE)) AS fecha_ocurrencia,
-    count(*) / CAST(sum(tot) AS DOUBLE) * CAST(peso_concepto AS DOUBLE) * 100 AS puntaje
-  FROM registros_actividades r JOIN participacion p USING (id_participacion) JOIN total_actividades x USING (nombre_reto)
-    JOIN conceptos c USING (concepto) JOIN actividades a ON r.id_actividad = a.id_actividad
-  GROUP BY p.nombre_reto, p.nombre_retador, peso_concepto, a.inicio, a.fin),""" + RATED + """,
-dia_calificaciones AS (
-  SELECT nombre_reto, nombre_retador, concepto, CAST(fecha_fin_excl - 1 AS DATE) AS fecha_ocurrencia, puntaje
-  FROM puntaje_calificaciones JOIN retos USING (nombre_reto))"""
+  SELECT p.*, total FROM puntajes p JOIN totales t ON t.nombre_reto = p.nombre_reto AND t.nombre_retador = p.nombre_retador)"""
+
+# A slot that a person attends counts once, on the day it ends; ratings count on the last day.
+DAYS = WORTH + """,
+dias AS (
+  SELECT nombre_reto, nombre_retador, concepto, dia AS fecha_ocurrencia, puntaje FROM puntos WHERE concepto = 'Habitos'
+  UNION ALL
+  SELECT p.nombre_reto, nombre_retador, concepto, CAST(fecha_fin_excl - 1 AS DATE), puntaje
+  FROM puntos p JOIN retos r ON r.nombre_reto = p.nombre_reto WHERE concepto = 'Calificacion'
+  UNION ALL
+  SELECT s.nombre_reto, nombre_retador, 'Actividades', CAST(fin AS DATE), CAST(peso_concepto AS DOUBLE) * 100 / cuantas
+  FROM (SELECT DISTINCT p.nombre_reto, nombre_retador, inicio, fin FROM registros_actividades l
+        JOIN participacion p ON p.id_participacion = l.id_participacion JOIN actividades a ON a.id_actividad = l.id_actividad) s
+    JOIN programadas n ON n.nombre_reto = s.nombre_reto JOIN conceptos c ON c.concepto = 'Actividades')"""
 
 RATES = f"""
-activos AS (SELECT * FROM retos WHERE reto_activo),
-inscritos AS (
-  SELECT id_reto, nombre_reto, count(*) AS num_retadores,
-    CASE WHEN {AS_OF} < fecha_fin_excl THEN {AS_OF} - fecha_ini + 1 ELSE fecha_fin_excl - fecha_ini END AS num_dias
-  FROM participacion JOIN activos USING (nombre_reto) GROUP BY id_reto, nombre_reto, fecha_ini, fecha_fin_excl),
-hechas AS (
-  SELECT nombre_reto, count(*) AS num_actividades FROM actividades
-  WHERE CAST(inicio AS DATE) <= {AS_OF} AND actividad <> 'Ceremonia' GROUP BY nombre_reto),
-logs_habitos AS (
-  SELECT nombre_reto, count(*) AS h FROM registros_habitos JOIN participacion USING (id_participacion) GROUP BY nombre_reto),
-logs_actividades AS (
-  SELECT nombre_reto, count(*) AS a FROM registros_actividades JOIN participacion USING (id_participacion) GROUP BY nombre_reto),
-esperado AS (
-  SELECT id_reto, nombre_reto, num_retadores, h, a, num_retadores * num_dias * (SELECT count(*) FROM habitos) AS eh,
-    num_actividades * num_retadores AS ea
-  FROM inscritos LEFT JOIN hechas USING (nombre_reto) LEFT JOIN logs_habitos USING (nombre_reto)
-    LEFT JOIN logs_actividades USING (nombre_reto)),
+cifras AS (
+  SELECT id_reto, nombre_reto, least({AS_OF} + 1, fecha_fin_excl) - fecha_ini AS dias,
+    (SELECT count(*) FROM participacion p WHERE p.nombre_reto = r.nombre_reto) AS gente,
+    (SELECT count(*) FROM actividades a WHERE a.nombre_reto = r.nombre_reto AND actividad <> 'Ceremonia'
+       AND CAST(inicio AS DATE) <= {AS_OF}) AS sesiones,
+    (SELECT nullif(count(*), 0) FROM registros_habitos l JOIN participacion p ON p.id_participacion = l.id_participacion
+       WHERE p.nombre_reto = r.nombre_reto) AS marcas,
+    (SELECT nullif(count(*), 0) FROM registros_actividades l JOIN participacion p ON p.id_participacion = l.id_participacion
+       WHERE p.nombre_reto = r.nombre_reto) AS asistencias
+  FROM retos r WHERE reto_activo),
 tasas AS (
-  SELECT id_reto, nombre_reto, CAST(num_retadores AS BIGINT) AS retadores,
-    CAST((20000 * h + eh) // (2 * eh) AS DOUBLE) / 10000 AS habitos,
-    CAST((20000 * a + ea) // (2 * ea) AS DOUBLE) / 10000 AS actividades
-  FROM esperado)"""
+  SELECT id_reto, nombre_reto, dias, gente, CAST((20000 * marcas + tope) // (2 * tope) AS DOUBLE) / 10000 AS habitos,
+    CAST((20000 * asistencias + plazas) // (2 * plazas) AS DOUBLE) / 10000 AS actividades
+  FROM (SELECT *, nullif(gente * dias * (SELECT count(*) FROM habitos), 0) AS tope, nullif(gente * sesiones, 0) AS plazas
+        FROM cifras WHERE gente > 0) q)"""
 
 MEASURES = """
 medidas AS (
@@ -153,6 +135,29 @@ def _new_id(id_col: str, target: str, *key: str) -> str:
     return f"CAST({NEW_IDS.format(id=id_col, target=target, key=text)} AS BIGINT) AS {id_col}"
 
 
+# What the triggers of the log tables refuse: reasons as (condition, name), over x (the change), p (participation) and r (challenge).
+DAY_RULE = [
+    ("x.registro AND NOT (x.fecha_ocurrencia >= r.fecha_ini AND x.fecha_ocurrencia < r.fecha_fin_excl)", "fuera_de_reto"),
+    (f"x.registro AND r.nombre_reto IS NOT NULL AND x.fecha_ocurrencia > {AS_OF}", "fecha_futura"),
+]
+PLACE_RULE = [
+    ("x.registro AND NOT EXISTS (SELECT 1 FROM actividades a WHERE a.id_actividad = x.id_actividad)", "actividad_desconocida"),
+    ("x.registro AND EXISTS (SELECT 1 FROM actividades a WHERE a.id_actividad = x.id_actividad AND a.nombre_reto <> p.nombre_reto)",
+     "actividad_de_otro_reto"),
+]
+
+
+def _judged(batch: str, rules: list[tuple[str, str]] | None = None) -> str:
+    """CTEs ``juzgado`` (the batch with its reasons) and ``valido`` (what no rule refuses)."""
+    every = [("r.nombre_reto IS NULL", "participacion_desconocida"), ("NOT r.reto_activo", "reto_inactivo"), *(rules or [])]
+    reasons = ", ".join(f"CASE WHEN {condition} THEN '{name}' END" for condition, name in every)
+    return f"""
+juzgado AS (
+  SELECT x.*, concat_ws(',', {reasons}) AS motivos FROM {batch} x
+    LEFT JOIN participacion p ON p.id_participacion = x.id_participacion LEFT JOIN retos r ON r.nombre_reto = p.nombre_reto),
+valido AS (SELECT * FROM juzgado WHERE motivos = '')"""
+
+
 def _rules() -> dict[str, str]:
     """The integrity rules over the raw views."""
     everything = " ".join(dict.fromkeys([_raw(name) for name in SCHEMAS] + list(SCHEMAS)))
@@ -191,12 +196,24 @@ miembros AS (SELECT DISTINCT nombre_reto, nombre_retador FROM raw_participacion
         "dq_nulls": _q(everything, union.join(nulls)),
         "dq_format": _q("coaches raw_retadores", union.join(formats)),
         "dq_domain": _q("coaches raw_retadores parametros fotos raw_actividades", union.join(domains)),
-        "dq_weight_sum": _q("raw_pesos", """
+        "dq_weight_sum": _q("raw_pesos conceptos criterios_calificacion", """
 SELECT 'dq_weight_sum:rango' AS rule, 'habitos' AS tabla, nombre_habito AS clave, CAST(peso_habito AS VARCHAR) AS detalle
 FROM raw_pesos WHERE peso_habito < 0 OR peso_habito > 1
 UNION ALL
 SELECT 'dq_weight_sum:suma', 'habitos', 'total', CAST(CAST(sum(peso_habito) AS DECIMAL(18,2)) AS VARCHAR) FROM raw_pesos
-HAVING sum(peso_habito) > 1"""),
+HAVING sum(peso_habito) > 1
+UNION ALL
+SELECT 'dq_weight_sum:rango', 'conceptos', concepto, CAST(peso_concepto AS VARCHAR) FROM conceptos
+WHERE peso_concepto < 0 OR peso_concepto > 1
+UNION ALL
+SELECT 'dq_weight_sum:suma', 'conceptos', 'total', CAST(CAST(sum(peso_concepto) AS DECIMAL(18,2)) AS VARCHAR) FROM conceptos
+HAVING sum(peso_concepto) > 1
+UNION ALL
+SELECT 'dq_weight_sum:rango', 'criterios_calificacion', criterio_calificacion, CAST(peso_criterio AS VARCHAR) FROM criterios_calificacion
+WHERE peso_criterio < 0 OR peso_criterio > 1
+UNION ALL
+SELECT 'dq_weight_sum:suma', 'criterios_calificacion', 'total', CAST(CAST(sum(peso_criterio) AS DECIMAL(18,2)) AS VARCHAR)
+FROM criterios_calificacion HAVING sum(peso_criterio) > 1"""),
         "dq_rating_range": _q("raw_registros_calificaciones", f"""
 SELECT 'dq_rating_range' AS rule, 'registros_calificaciones' AS tabla, {_key('registros_calificaciones')} AS clave,
   CAST(calificacion AS VARCHAR) AS detalle
@@ -249,9 +266,18 @@ FROM miembros m WHERE EXISTS (
 SELECT m.nombre_reto, m.nombre_retador, EXISTS (
   SELECT 1 FROM miembros o WHERE o.nombre_retador = m.nombre_retador AND o.nombre_reto <> m.nombre_reto) AS compartido
 FROM miembros m""", active_members),
-        "dq_inactive": _q("raw_habitos participacion retos", """
-SELECT 'dq_inactive' AS rule, 'registros_habitos' AS tabla, CAST(id_registro_habito AS VARCHAR) AS clave, nombre_reto AS detalle
-FROM raw_habitos JOIN participacion USING (id_participacion) JOIN retos USING (nombre_reto) WHERE NOT reto_activo"""),
+        "dq_inactive": _q(
+            "raw_habitos raw_registros_actividades raw_registros_calificaciones raw_actividades fotos participacion retos",
+            union.join(
+                f"SELECT 'dq_inactive' AS rule, '{table}' AS tabla, CAST(x.{key} AS VARCHAR) AS clave, r.nombre_reto AS detalle FROM {view} x"
+                + (" JOIN participacion p ON p.id_participacion = x.id_participacion" if person else "")
+                + f" JOIN retos r ON r.nombre_reto = {'p' if person else 'x'}.nombre_reto WHERE NOT reto_activo"
+                for table, view, key, person in (
+                    ("participacion", "participacion", "id_participacion", False), ("fotos", "fotos", "id_foto", True),
+                    ("actividades", "raw_actividades", "id_actividad", False),
+                    ("registros_actividades", "raw_registros_actividades", "id_registro_actividad", True),
+                    ("registros_habitos", "raw_habitos", "id_registro_habito", True),
+                    ("registros_calificaciones", "raw_registros_calificaciones", "id_registro_calificacion", True)))),
         "dq_height": _q("raw_retadores", """
 SELECT 'dq_height' AS rule, 'retadores' AS tabla, CAST(id_retador AS VARCHAR) AS clave, CAST(talla AS VARCHAR) AS detalle
 FROM raw_retadores WHERE talla < 0 OR talla > 2"""),
@@ -315,44 +341,55 @@ SELECT {habit_cols} FROM registros_habitos WHERE id_participacion NOT IN (SELECT
         "delete_keyset_own": _q("registros_habitos lote_bajas", f"""
 SELECT {habit_cols} FROM registros_habitos
 WHERE NOT (nombre_coach = 'Supplier#000000001' AND id_participacion IN (SELECT id_participacion FROM lote_bajas))"""),
-        "save_ratings": _q("registros_calificaciones lote_calificaciones", f"""
-SELECT id_participacion, criterio_calificacion, nombre_coach, calificacion, concepto, fecha_registro FROM (
-  SELECT r.id_participacion, r.criterio_calificacion, r.nombre_coach, coalesce(l.codigo, r.calificacion) AS calificacion,
+        "save_ratings": _q("registros_calificaciones lote_calificaciones participacion retos", f"""
+SELECT id_registro_calificacion, id_participacion, criterio_calificacion, nombre_coach, calificacion, concepto, fecha_registro FROM (
+  SELECT r.id_registro_calificacion, r.id_participacion, r.criterio_calificacion, r.nombre_coach, coalesce(l.codigo, r.calificacion) AS calificacion,
     r.concepto, CASE WHEN l.codigo IS NOT NULL THEN {AS_OF} ELSE r.fecha_registro END AS fecha_registro
   FROM registros_calificaciones r LEFT JOIN lote l ON r.id_participacion = l.id_participacion
     AND r.nombre_coach = l.nombre_coach AND r.criterio_calificacion = l.criterio_calificacion
   UNION ALL
-  SELECT id_participacion, criterio_calificacion, nombre_coach, codigo, 'Calificacion', {AS_OF} FROM lote
+  SELECT {_new_id('id_registro_calificacion', 'registros_calificaciones', 'id_participacion', 'nombre_coach', 'criterio_calificacion')},
+    id_participacion, criterio_calificacion, nombre_coach, codigo, 'Calificacion', {AS_OF} FROM lote
   WHERE NOT EXISTS (SELECT 1 FROM registros_calificaciones r WHERE r.id_participacion = lote.id_participacion
     AND r.nombre_coach = lote.nombre_coach AND r.criterio_calificacion = lote.criterio_calificacion)) s
-WHERE NOT EXISTS (SELECT 1 FROM lote_calificaciones b WHERE b.calificacion IS NULL
-  AND b.id_participacion = s.id_participacion AND b.nombre_coach = s.nombre_coach)""", """
+WHERE NOT EXISTS (SELECT 1 FROM valido b WHERE b.calificacion IS NULL
+  AND b.id_participacion = s.id_participacion AND b.nombre_coach = s.nombre_coach)""", _judged("lote_calificaciones") + """,
 lote AS (
   SELECT id_participacion, nombre_coach, criterio_calificacion, CAST(CASE calificacion """
             + " ".join(f"WHEN '{w}' THEN {v}" for v, w in RATING_WORDS.items())
             + """ END AS INTEGER) AS codigo
-  FROM lote_calificaciones WHERE calificacion IS NOT NULL)"""),
-        "save_habits": _q("registros_habitos lote_checklist", f"""
+  FROM valido WHERE calificacion IS NOT NULL)"""),
+        "save_ratings_rejected": _q("lote_calificaciones participacion retos", """
+SELECT id_participacion, nombre_coach, criterio_calificacion, calificacion, motivos FROM juzgado WHERE motivos <> ''""",
+            _judged("lote_calificaciones")),
+        "save_habits_rejected": _q("lote_checklist participacion retos", """
+SELECT id_participacion, fecha_ocurrencia, nombre_habito, registro, motivos FROM juzgado WHERE motivos <> ''""", _judged("lote_checklist", DAY_RULE)),
+        "save_attendance_rejected": _q("lote_asistencia participacion retos actividades", """
+SELECT id_participacion, id_actividad, registro, motivos FROM juzgado WHERE motivos <> ''""", _judged("lote_asistencia", PLACE_RULE)),
+        "upsert_photos_rejected": _q("lote_fotos participacion retos", """
+SELECT id_participacion, tipo, estado, archivo, nombre_coach, motivos FROM juzgado WHERE motivos <> ''""", _judged("lote_fotos")),
+        "save_habits": _q("registros_habitos lote_checklist participacion retos", f"""
 SELECT {habit_cols} FROM (
   SELECT {habit_cols} FROM registros_habitos
   UNION ALL
   SELECT {_new_id('id_registro_habito', 'registros_habitos', 'id_participacion', 'fecha_ocurrencia', 'nombre_habito')},
     id_participacion, fecha_ocurrencia, nombre_habito, 'Habitos', 'Supplier#000000001', {AS_OF}
-  FROM lote_checklist c WHERE registro AND NOT EXISTS (SELECT 1 FROM registros_habitos h
+  FROM valido c WHERE registro AND NOT EXISTS (SELECT 1 FROM registros_habitos h
     WHERE h.id_participacion = c.id_participacion AND h.fecha_ocurrencia = c.fecha_ocurrencia
       AND h.nombre_habito = c.nombre_habito)) s
-WHERE NOT (nombre_coach = 'Supplier#000000001' AND EXISTS (SELECT 1 FROM lote_checklist c WHERE NOT registro
-  AND c.id_participacion = s.id_participacion AND c.fecha_ocurrencia = s.fecha_ocurrencia AND c.nombre_habito = s.nombre_habito))"""),
-        "save_attendance": _q("registros_actividades lote_asistencia", f"""
+WHERE NOT (nombre_coach = 'Supplier#000000001' AND EXISTS (SELECT 1 FROM valido c WHERE NOT registro
+  AND c.id_participacion = s.id_participacion AND c.fecha_ocurrencia = s.fecha_ocurrencia AND c.nombre_habito = s.nombre_habito))""",
+            _judged("lote_checklist", DAY_RULE)),
+        "save_attendance": _q("registros_actividades lote_asistencia participacion retos actividades", f"""
 SELECT id_registro_actividad, id_participacion, id_actividad, concepto, nombre_coach, fecha_registro FROM (
   SELECT id_registro_actividad, id_participacion, id_actividad, concepto, nombre_coach, fecha_registro FROM registros_actividades
   UNION ALL
   SELECT {_new_id('id_registro_actividad', 'registros_actividades', 'id_participacion', 'id_actividad')},
     id_participacion, id_actividad, 'Actividades', 'Supplier#000000001', {AS_OF}
-  FROM lote_asistencia c WHERE registro AND NOT EXISTS (SELECT 1 FROM registros_actividades r
+  FROM valido c WHERE registro AND NOT EXISTS (SELECT 1 FROM registros_actividades r
     WHERE r.id_participacion = c.id_participacion AND r.id_actividad = c.id_actividad)) s
-WHERE NOT EXISTS (SELECT 1 FROM lote_asistencia c WHERE NOT registro
-  AND c.id_participacion = s.id_participacion AND c.id_actividad = s.id_actividad)"""),
+WHERE NOT EXISTS (SELECT 1 FROM valido c WHERE NOT registro
+  AND c.id_participacion = s.id_participacion AND c.id_actividad = s.id_actividad)""", _judged("lote_asistencia", PLACE_RULE)),
         "challenge_rows": _q("lote_inicios", """
 SELECT concat('Reto del ', strftime(fecha_inicio, '%d/%m/%Y'), ' al ', strftime(CAST(fecha_inicio + 20 AS DATE), '%d/%m/%Y'))
     AS nombre_reto, fecha_inicio AS fecha_ini, CAST(fecha_inicio + 21 AS DATE) AS fecha_fin_excl, TRUE AS reto_activo
@@ -360,16 +397,16 @@ FROM lote_inicios"""),
         "activity_rows": _q("lote_actividades", """
 SELECT id_actividad, tema_actividad, inicio - INTERVAL 5 HOUR AS inicio,
   inicio - INTERVAL 5 HOUR + INTERVAL 1 MINUTE * duracion AS fin FROM lote_actividades"""),
-        "upsert_photos": _q("fotos lote_fotos", f"""
+        "upsert_photos": _q("fotos lote_fotos participacion retos", f"""
 SELECT f.id_foto, f.id_participacion, f.tipo, f.estado, coalesce(l.archivo, f.archivo) AS archivo,
   CASE WHEN l.nombre_coach = f.nombre_coach THEN {AS_OF} ELSE f.fecha_registro END AS fecha_registro,
   coalesce(l.nombre_coach, f.nombre_coach) AS nombre_coach
-FROM fotos f LEFT JOIN lote_fotos l ON f.id_participacion = l.id_participacion AND f.tipo = l.tipo AND f.estado = l.estado
+FROM fotos f LEFT JOIN valido l ON f.id_participacion = l.id_participacion AND f.tipo = l.tipo AND f.estado = l.estado
 UNION ALL
 SELECT {_new_id('id_foto', 'fotos', 'id_participacion', 'tipo', 'estado')}, id_participacion, tipo, estado, archivo, {AS_OF},
   nombre_coach
-FROM lote_fotos l WHERE NOT EXISTS (SELECT 1 FROM fotos f WHERE f.id_participacion = l.id_participacion AND f.tipo = l.tipo
-  AND f.estado = l.estado)"""),
+FROM valido l WHERE NOT EXISTS (SELECT 1 FROM fotos f WHERE f.id_participacion = l.id_participacion AND f.tipo = l.tipo
+  AND f.estado = l.estado)""", _judged("lote_fotos")),
         "cascade_rename": _q("participacion lote_nombres", """
 SELECT id_participacion, coalesce(nuevo, nombre_reto) AS nombre_reto, nombre_retador, objetivo_participacion
 FROM participacion LEFT JOIN lote_nombres ON nombre_reto = viejo"""),
@@ -392,6 +429,7 @@ def oracle_sql() -> dict[str, str]:
     wide = ", ".join(
         f"max(CASE WHEN nombre_habito = '{h}' THEN {{v}} END) AS \"{h}\""
         for h in ["Desayuno", "Media Mañana", "Almuerzo", "Media Tarde", "Cena", "Hidratación", "Actividad Física"])
+    other = "nombre_habito NOT IN ('Desayuno', 'Media Mañana', 'Almuerzo', 'Media Tarde', 'Cena', 'Hidratación', 'Actividad Física')"
     ical = """strftime({c} + INTERVAL 5 HOUR, '%Y%m%dT%H%M%SZ')"""
     result = {
         "scan_coaches": _q("coaches", "SELECT * FROM coaches"),
@@ -408,8 +446,12 @@ SELECT id_reto, concat('Reto del ', strftime(fecha_ini, '%d/%m/%Y'), ' al ', str
 SELECT id_participacion, concepto, nombre_coach, fecha_registro FROM registros_habitos UNION ALL
 SELECT id_participacion, concepto, nombre_coach, fecha_registro FROM registros_actividades UNION ALL
 SELECT id_participacion, concepto, nombre_coach, fecha_registro FROM registros_calificaciones"""),
-        "domain_values": _q("coaches retadores parametros fotos actividades", " UNION ALL ".join(
-            f"SELECT DISTINCT '{d}' AS variable, {c} AS valor FROM {tb} WHERE {c} IS NOT NULL" for tb, c, d in ENUM_COLUMNS)),
+        "domain_values": _q("coaches retadores parametros fotos actividades", """
+SELECT coalesce(e.variable, u.variable) AS variable, coalesce(e.valor, u.valor) AS valor, orden, coalesce(usos, 0) AS usos
+FROM etiquetas e FULL JOIN (SELECT variable, valor, count(*) AS usos FROM en_uso GROUP BY variable, valor) u
+  ON e.variable = u.variable AND e.valor = u.valor""", "etiquetas AS (SELECT * FROM (VALUES " + ", ".join(
+            f"('{d}', '{v}', {n})" for d, values in ENUMS.items() for n, v in enumerate(values, 1)) + ") v(variable, valor, orden)),\nen_uso AS ("
+            + " UNION ALL ".join(f"SELECT '{d}' AS variable, {c} AS valor FROM {tb} WHERE {c} IS NOT NULL" for tb, c, d in ENUM_COLUMNS) + ")"),
         "participation_lookup": _q("participacion retadores", """
 SELECT id_participacion, nombre_reto, nombre_retador, CAST(talla AS DOUBLE) AS talla, nombre_coach, objetivo_participacion
 FROM participacion JOIN retadores USING (nombre_retador)"""),
@@ -421,13 +463,14 @@ FROM participacion JOIN retadores USING (nombre_retador)"""),
 SELECT id_participacion, nombre_reto, nombre_retador, objetivo_participacion, nombre_coach, num_celular_retador,
   concat(nombre_retador, ' - ', num_celular_retador) AS lista
 FROM participacion JOIN retadores USING (nombre_retador) WHERE nombre_coach = 'Supplier#000000001'"""),
-        "activities": _q("actividades", """
-SELECT id_actividad, nombre_reto, actividad, inicio, fin, date_diff('second', inicio, fin) / 60.0 AS duracion, tema_actividad,
+        "activities": _q("raw_actividades", """
+SELECT id_actividad, nombre_reto, actividad, inicio, fin,
+  CAST(date_diff('microsecond', inicio, fin) AS DOUBLE) / 60000000 AS duracion, tema_actividad,
   coach_expositor, strftime(inicio, '%d/%m/%Y %I:%M %p') AS inicio_mostrar, strftime(fin, '%d/%m/%Y %I:%M %p') AS fin_mostrar
-FROM actividades"""),
-        "activity_labels": _q("actividades", """
+FROM raw_actividades"""),
+        "activity_labels": _q("raw_actividades", """
 SELECT id_actividad, nombre_reto, concat(actividad, ' ', strftime(inicio, '%d/%m/%Y')) AS etiqueta
-FROM actividades WHERE actividad <> 'Ceremonia'"""),
+FROM raw_actividades WHERE actividad <> 'Ceremonia'"""),
         "blank_to_null": _q("raw_formularios", """
 SELECT id_formulario, nullif(nombre_retador, '') AS nombre_retador, nullif(objetivo_participacion, '') AS objetivo_participacion,
   nullif(edad, 0) AS edad, nullif(talla, 0) AS talla FROM raw_formularios"""),
@@ -465,25 +508,32 @@ FROM (
 LEFT JOIN registros_habitos h ON h.id_participacion = g.id_participacion AND h.fecha_ocurrencia = g.fecha
   AND h.nombre_habito = g.nombre_habito
 GROUP BY g.id_participacion, g.fecha, g.nombre_habito, h.nombre_coach"""),
-        "attendance_checklist": _q("participacion actividades registros_actividades", """
+        "attendance_checklist": _q("participacion actividades registros_actividades lote_asistencia", """
 SELECT a.id_actividad, p.id_participacion, p.nombre_retador, count(r.id_registro_actividad) <> 0 AS registro, r.nombre_coach
 FROM participacion p JOIN actividades a ON p.nombre_reto = a.nombre_reto
   LEFT JOIN registros_actividades r ON r.id_actividad = a.id_actividad AND r.id_participacion = p.id_participacion
+WHERE a.id_actividad IN (SELECT id_actividad FROM lote_asistencia)
 GROUP BY a.id_actividad, p.id_participacion, p.nombre_retador, r.nombre_coach"""),
         "ratings_dense": _q("participacion criterios_calificacion registros_calificaciones", f"""
 SELECT p.id_participacion, k.criterio_calificacion, {_word('r.calificacion')} AS calificacion
 FROM participacion p JOIN criterios_calificacion k ON k.id_criterio_calificacion > 0
   LEFT JOIN registros_calificaciones r ON r.id_participacion = p.id_participacion
     AND r.criterio_calificacion = k.criterio_calificacion AND r.nombre_coach = 'Supplier#000000001'"""),
-        "habit_counts": _q(habits, "SELECT nombre_reto, nombre_retador, nombre_habito, n FROM cuenta_habitos", COUNTS),
+        "habit_counts": _q(habits, """
+SELECT nombre_reto, nombre_retador, nombre_habito, count(*) AS n
+FROM registros_habitos l JOIN participacion p ON p.id_participacion = l.id_participacion
+GROUP BY nombre_reto, nombre_retador, nombre_habito"""),
         "rating_means": _q(rated, """
-SELECT nombre_reto, nombre_retador, criterio_calificacion, round(prom, 6) AS prom FROM promedios""", RATED),
-        "score_habits": _q(habits, """
-SELECT nombre_reto, nombre_retador, concepto, round(puntaje, 6) AS puntaje FROM puntaje_habitos""", COUNTS),
-        "score_activities": _q(attended, """
-SELECT nombre_reto, nombre_retador, concepto, round(puntaje, 6) AS puntaje FROM puntaje_actividades""", ATTENDED),
-        "score_ratings": _q(rated, """
-SELECT nombre_reto, nombre_retador, concepto, round(puntaje, 6) AS puntaje FROM puntaje_calificaciones""", RATED),
+SELECT nombre_reto, nombre_retador, criterio_calificacion,
+  round(sum(calificacion) / (SELECT CAST(count(*) AS DOUBLE) FROM coaches WHERE permiso <> 'Inactivo'), 6) AS prom
+FROM registros_calificaciones l JOIN participacion p ON p.id_participacion = l.id_participacion
+GROUP BY nombre_reto, nombre_retador, criterio_calificacion"""),
+        "score_habits": _q(scores, """
+SELECT nombre_reto, nombre_retador, concepto, round(bruto, 6) AS puntaje FROM puntajes WHERE concepto = 'Habitos'""", SCORES),
+        "score_activities": _q(scores, """
+SELECT nombre_reto, nombre_retador, concepto, round(bruto, 6) AS puntaje FROM puntajes WHERE concepto = 'Actividades'""", SCORES),
+        "score_ratings": _q(scores, """
+SELECT nombre_reto, nombre_retador, concepto, round(bruto, 6) AS puntaje FROM puntajes WHERE concepto = 'Calificacion'""", SCORES),
         "scoreboard": _q(scores, """
 SELECT nombre_reto, nombre_retador, concepto, round(puntaje, 6) AS puntaje, total FROM tablero""", SCORES),
         "scoreboard_report": _q(scores, """
@@ -493,50 +543,57 @@ SELECT nombre_reto AS "Reto", nombre_retador AS "Retador", concepto AS "Concepto
 SELECT nombre_reto, nombre_retador, total, rank() OVER (PARTITION BY nombre_reto ORDER BY total DESC) AS puesto
 FROM (SELECT DISTINCT nombre_reto, nombre_retador, total FROM tablero) d""", SCORES),
         "daily_habits": _q(f"{scores} retos", """
-SELECT nombre_reto, nombre_retador, concepto, fecha_ocurrencia, round(puntaje, 6) AS puntaje FROM dia_habitos""", DAYS),
+SELECT nombre_reto, nombre_retador, concepto, fecha_ocurrencia, round(puntaje, 6) AS puntaje FROM dias
+WHERE concepto = 'Habitos'""", DAYS),
         "daily_activities": _q(f"{scores} retos", """
-SELECT nombre_reto, nombre_retador, concepto, fecha_ocurrencia, round(puntaje, 6) AS puntaje FROM dia_actividades""", DAYS),
+SELECT nombre_reto, nombre_retador, concepto, fecha_ocurrencia, round(puntaje, 6) AS puntaje FROM dias
+WHERE concepto = 'Actividades'""", DAYS),
         "daily_ratings": _q(f"{scores} retos", """
-SELECT nombre_reto, nombre_retador, concepto, fecha_ocurrencia, round(puntaje, 6) AS puntaje FROM dia_calificaciones""", DAYS),
+SELECT nombre_reto, nombre_retador, concepto, fecha_ocurrencia, round(puntaje, 6) AS puntaje FROM dias
+WHERE concepto = 'Calificacion'""", DAYS),
         "daily_scoreboard": _q(f"{scores} retos", """
-SELECT nombre_reto, nombre_retador, concepto, fecha_ocurrencia, round(p, 6) AS puntaje,
-  round(sum(p) OVER (PARTITION BY nombre_reto, nombre_retador, fecha_ocurrencia), 6) AS total
-FROM (
-  SELECT *, CASE WHEN puntaje < 0 THEN 0.0 ELSE puntaje END AS p
-  FROM (SELECT * FROM dia_habitos UNION ALL SELECT * FROM dia_actividades UNION ALL SELECT * FROM dia_calificaciones) u) v""", DAYS),
+SELECT nombre_reto, nombre_retador, concepto, fecha_ocurrencia, round(greatest(puntaje, 0), 6) AS puntaje,
+  round(sum(greatest(puntaje, 0)) OVER (PARTITION BY nombre_reto, nombre_retador, fecha_ocurrencia), 6) AS total FROM dias""", DAYS),
         "challenge_progress": _q(rates, """
-SELECT id_reto, nombre_reto, CAST(num_retadores AS BIGINT) AS num_retadores, CAST(num_dias AS BIGINT) AS num_dias
-FROM inscritos""", RATES),
-        "kpis": _q(rates, "SELECT id_reto, nombre_reto, retadores, habitos, actividades FROM tasas", RATES),
+SELECT id_reto, nombre_reto, gente AS num_retadores, CAST(dias AS BIGINT) AS num_dias FROM tasas""", RATES),
+        "kpis": _q(rates, "SELECT id_reto, nombre_reto, gente AS retadores, habitos, actividades FROM tasas", RATES),
         "kpis_display": _q(rates, """
-SELECT nombre_reto, retadores, printf('%.2f%%', habitos * 100) AS habitos, printf('%.2f%%', actividades * 100) AS actividades
+SELECT nombre_reto, gente AS retadores, printf('%.2f%%', habitos * 100) AS habitos, printf('%.2f%%', actividades * 100) AS actividades
 FROM tasas""", RATES),
-        "calendar_feed": _q("retos actividades", """
+        "calendar_feed": _q("retos raw_actividades", """
 SELECT id_reto AS calendar_id, nombre_reto AS title, NULL AS body, CAST(fecha_ini AS TIMESTAMP) + INTERVAL 5 HOUR AS start,
   CAST(fecha_fin_excl - 1 AS TIMESTAMP) + INTERVAL 29 HOUR AS "end", 'time' AS category FROM retos WHERE reto_activo
 UNION ALL
 SELECT id_reto, actividad, concat(tema_actividad, ' - (', coach_expositor, ')'), inicio + INTERVAL 5 HOUR,
-  fin + INTERVAL 5 HOUR, 'time' FROM actividades JOIN retos USING (nombre_reto) WHERE reto_activo"""),
-        "activity_calendar": _q("actividades", """
+  fin + INTERVAL 5 HOUR, 'time' FROM raw_actividades JOIN retos USING (nombre_reto) WHERE reto_activo"""),
+        "activity_calendar": _q("raw_actividades", """
 SELECT nombre_reto, actividad AS calendar_id, actividad AS title, concat(tema_actividad, ' - (', coach_expositor, ')') AS body,
   inicio + INTERVAL 5 HOUR AS start, fin + INTERVAL 5 HOUR AS "end", 'time' AS category,
   dense_rank() OVER (PARTITION BY nombre_reto ORDER BY actividad) AS slot,
   greatest(n, 3) AS n_slots
-FROM actividades JOIN (SELECT nombre_reto, count(DISTINCT actividad) AS n FROM actividades GROUP BY nombre_reto) x USING (nombre_reto)"""),
+FROM raw_actividades JOIN (SELECT nombre_reto, count(DISTINCT actividad) AS n FROM raw_actividades GROUP BY nombre_reto) x USING (nombre_reto)"""),
         "hidden_calendars": _q("retos", "SELECT id_reto AS calendar_id FROM retos WHERE reto_activo AND id_reto <> 1"),
         "group_slots": _q("retos", """
 SELECT id_reto AS calendar_id, row_number() OVER (ORDER BY id_reto) AS slot,
   greatest((SELECT count(*) FROM retos WHERE reto_activo), 3) AS n_slots
 FROM retos WHERE reto_activo"""),
-        "ical_events": _q("retos actividades", f"""
+        "ical_events": _q("retos raw_actividades", f"""
 SELECT id_reto, actividad AS summary, concat(nombre_reto, '\\n - ', tema_actividad, '\\n - ', coach_expositor) AS description,
   {ical.format(c='inicio')} AS dtstart, {ical.format(c='fin')} AS dtend, 'Zoom' AS location,
   concat(nombre_reto, '-', actividad, '-', strftime(inicio, '%Y-%m-%d %H:%M:%S')) AS uid
-FROM actividades JOIN retos USING (nombre_reto) WHERE reto_activo"""),
+FROM raw_actividades JOIN retos USING (nombre_reto) WHERE reto_activo"""),
         "pivot_habit_counts": _q(habits, f"""
-SELECT nombre_reto, nombre_retador, {wide.format(v='n')} FROM cuenta_habitos GROUP BY nombre_reto, nombre_retador""", COUNTS),
+SELECT nombre_reto, nombre_retador, {wide.format(v='n')}, CAST(coalesce(sum(CASE WHEN {other} THEN n END), 0) AS BIGINT) AS otros
+FROM (SELECT nombre_reto, nombre_retador, nombre_habito, count(*) AS n FROM registros_habitos JOIN participacion USING (id_participacion)
+      GROUP BY ALL) c
+GROUP BY nombre_reto, nombre_retador"""),
+        "habit_days": _q("registros_habitos participacion coaches", """
+SELECT nombre_reto, nombre_retador, fecha_ocurrencia AS fecha, nombre_habito, max(user_coach) AS user_coach, count(*) AS n
+FROM registros_habitos JOIN participacion USING (id_participacion) JOIN coaches USING (nombre_coach)
+GROUP BY nombre_reto, nombre_retador, fecha_ocurrencia, nombre_habito"""),
         "pivot_habit_days": _q("registros_habitos participacion coaches", f"""
-SELECT nombre_reto, nombre_retador, fecha_ocurrencia AS fecha, {wide.format(v='user_coach')}
+SELECT nombre_reto, nombre_retador, fecha_ocurrencia AS fecha, {wide.format(v='user_coach')},
+  CAST(count(*) FILTER (WHERE {other}) AS BIGINT) AS otros
 FROM registros_habitos JOIN participacion USING (id_participacion) JOIN coaches USING (nombre_coach)
 GROUP BY nombre_reto, nombre_retador, fecha_ocurrencia"""),
         "photos_decoded": _q("fotos", """
@@ -559,7 +616,9 @@ SELECT concat('Reto del ', strftime(fecha_ini, '%d/%m/%Y'), ' al ', strftime(CAS
   concat('detalle_reto_', strftime(fecha_ini, '%Y-%m-%d'), '_', replace(nombre_retador, ' ', '_'), '.html') AS archivo_retador
 FROM participacion JOIN retos USING (nombre_reto)"""),
         "delete_blocked": _blocked(),
-        "intake_batch": _q("registros_habitos", "SELECT * FROM registros_habitos"),
+        "intake_batch": _q("registros_habitos participacion retos", """
+SELECT l.* FROM registros_habitos l JOIN participacion p ON p.id_participacion = l.id_participacion
+  JOIN retos r ON r.nombre_reto = p.nombre_reto WHERE reto_activo"""),
     }
     result.update(_rules())
     result.update(_changes())

@@ -31,13 +31,14 @@ def from_utc(utc: Column) -> Column:
 
 
 def minutes_between(start: Column, end: Column) -> Column:
-    """Minutes on the wall clock, whatever the zone of the session."""
+    """Minutes on the wall clock with their fractions, whatever the zone of the session."""
 
-    def seconds(moment: Column) -> Column:
+    def micros(moment: Column) -> Column:
         day = F.unix_date(F.to_date(moment)).cast("long") * 86_400
-        return day + F.hour(moment) * 3_600 + F.minute(moment) * 60 + F.second(moment)
+        whole = day + F.hour(moment) * 3_600 + F.minute(moment) * 60
+        return whole * 1_000_000 + (F.date_part(F.lit("SECOND"), moment) * 1_000_000).cast("long")
 
-    return (seconds(end) - seconds(start)) / F.lit(60.0).cast("double")
+    return (micros(end) - micros(start)) / F.lit(60_000_000.0).cast("double")
 
 
 def age_parts(birth: Column, as_of: date) -> tuple[Column, Column, Column]:

@@ -1,41 +1,17 @@
 """Every row of a table once per row of a catalogue (habits, criteria, parameters), without a cartesian product.
 
-The dense grids of the domain (person x day x habit and the like) are results in their own right. A catalogue is a list people
-keep by hand, so it is first counted up to a limit; within the limit it travels as one array value and each row is exploded in
-place, with no shuffle. Beyond the limit an equi-join on salted keys gives the same rows in evenly sized pieces.
+The dense grids of the domain (person x day x habit and the like) are results in their own right. There is one plan for any size of the
+catalogue and no job while it is built: the rows are divided into parts and the catalogue is repeated once per part, so that
+Spark broadcasts it where it measures it as small and shares the work among the parts where it does not.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-CATALOGUE_LIMIT = 10_000
+from tablero.operators.spread import spread_join
 
 
-def is_small(catalogue: DataFrame, limit: int = CATALOGUE_LIMIT) -> bool:
-    """Whether the catalogue has at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
-    return catalogue.limit(limit + 1).count() <= limit
-
-
-def per_catalogue_row(
-    df: DataFrame, catalogue: DataFrame, limit: int = CATALOGUE_LIMIT, row_slots: int = 64, entry_slots: int = 16
-) -> DataFrame:
+def per_catalogue_row(df: DataFrame, catalogue: DataFrame, slots: int | None = None) -> DataFrame:
     """The columns of ``df`` followed by those of ``catalogue``, for each pair of rows."""
-    cols = catalogue.columns
-    if is_small(catalogue, limit):
-        entries = catalogue.agg(F.collect_list(F.struct(*cols)).alias("_entradas")).scalar()
-        return df.select("*", F.inline(entries))
-    rows = df.withColumn("_tramo", F.pmod(F.xxhash64(*df.columns), F.lit(row_slots))).withColumn(
-        "_ranura", F.explode(F.sequence(F.lit(0), F.lit(entry_slots - 1))))
-    entries = catalogue.withColumn("_ranura", F.pmod(F.xxhash64(*cols), F.lit(entry_slots)).cast("int")).withColumn(
-        "_tramo", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_slots - 1).cast("long"))))
-    return rows.join(entries, ["_tramo", "_ranura"]).select(*df.columns, *cols)
-
-
-def ordered_names(catalogue: DataFrame, name: str, order: str, limit: int = 1_000) -> list[str]:
-    """Names of a small catalogue in its own order, for the columns of a pivot."""
-    rows = catalogue.select(name, order).orderBy(F.col(order).asc_nulls_last()).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{len(rows)}+ columnas: use la forma larga en lugar del pivote")
-    return [row[0] for row in rows]
+    return spread_join(df, catalogue, [], df.columns, slots=slots).select(*df.columns, *catalogue.columns)

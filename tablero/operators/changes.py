@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tablero.functions.dates import from_utc
 from tablero.functions.text import challenge_name, rating_code
 from tablero.operators.running import number_rows
+from tablero.operators.spread import spread_join
 from tablero.schema import ACTIVITIES, ADMIN, CHALLENGE_DAYS, HABITS, RATINGS
 
 
@@ -33,9 +34,14 @@ def _with_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return df
 
 
-def _joined(target: DataFrame, changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Target rows beside the new values of their key in ``_n_*``; ``_hay`` is true where there are any."""
-    new = changes.select(
+def _joined(
+    target: DataFrame, changes: DataFrame, key: list[str], columns: list[str], order: list[str] | None = None
+) -> DataFrame:
+    """Target rows beside the new values of their key in ``_n_*``; ``_hay`` is true where there are any.
+
+    Of several changes for one key the first in ``order`` counts, by default the one with the smallest values.
+    """
+    new = first_by(changes.select(*dict.fromkeys([*key, *columns, *(order or [])])), key, order or columns).select(
         *[F.col(c).alias(f"_k_{c}") for c in key], *[F.col(c).alias(f"_n_{c}") for c in columns], F.lit(True).alias("_hay"))
     return target.join(new, reduce(and_, [F.col(c) == F.col(f"_k_{c}") for c in key]), "left")
 
@@ -64,10 +70,13 @@ def insert_rows(
     return target.unionByName(_typed(rows, target))
 
 
-def update_rows(target: DataFrame, changes: DataFrame, key: list[str], columns: list[str] | None = None) -> DataFrame:
-    """New values for the rows whose key is in ``changes``; a null there is a new value too. Keys in ``changes`` are unique."""
+def update_rows(
+    target: DataFrame, changes: DataFrame, key: list[str], columns: list[str] | None = None, order: list[str] | None = None
+) -> DataFrame:
+    """New values for the rows whose key is in ``changes``; a null there is a new value too. Of repeated keys the first in
+    ``order`` counts."""
     columns = columns or [c for c in changes.columns if c not in key]
-    return _joined(target, changes, key, columns).select(*_replaced(target, columns))
+    return _joined(target, changes, key, columns, order).select(*_replaced(target, columns))
 
 
 def delete_rows(target: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
@@ -101,8 +110,10 @@ def upsert_update(
     id_col: str | None = None,
     defaults: dict[str, Column] | None = None,
     stamp: tuple[str, Column] | None = None,
+    order: list[str] | None = None,
 ) -> DataFrame:
-    """Updates rows that match on ``key`` and inserts the others. Matched rows keep their id.
+    """Updates rows that match on ``key`` and inserts the others. Matched rows keep their id. Of several changes for one key the
+    first in ``order`` counts, by default the one with the smallest values.
 
     ``stamp`` names a date column that is set on update when the coach stays the same.
     """
@@ -111,8 +122,8 @@ def upsert_update(
         name, today = stamp
         coach = F.col("_n_nombre_coach" if "nombre_coach" in columns else "_k_nombre_coach")
         special[name] = F.when(F.col("_hay") & (coach == F.col("nombre_coach")), today).otherwise(F.col(name))
-    kept = _joined(target, changes, key, columns).select(*_replaced(target, columns, special))
-    added = changes.join(target.select(*key), key, "left_anti")
+    kept = _joined(target, changes, key, columns, order).select(*_replaced(target, columns, special))
+    added = first_by(changes, key, order or columns).join(target.select(*key), key, "left_anti")
     return insert_rows(kept, added, id_col, key, defaults)
 
 
@@ -165,7 +176,7 @@ def save_ratings(
     grid: DataFrame,
     as_of: date,
     strict_criterion: bool = False,
-    id_col: str | None = None,
+    id_col: str | None = "id_registro_calificacion",
 ) -> DataFrame:
     """Saves edited ratings (id_participacion, nombre_coach, criterio_calificacion, calificacion as a word or null).
 
@@ -199,7 +210,9 @@ def guarded_changes(changes: DataFrame, owners: DataFrame, key: str, me: str, ro
 def cascade_rename(child: DataFrame, column: str, renames: DataFrame) -> DataFrame:
     """Child rows under the new key of their parent; ``renames`` has (viejo, nuevo), each old key once."""
     names = renames.select(F.col("viejo").alias("_viejo"), F.col("nuevo").alias("_nuevo"))
-    return child.join(names, F.col(column) == F.col("_viejo"), "left").select(*[
+    by = [c for c in child.columns if c != column]
+    spread = spread_join(child.withColumn("_viejo", F.col(column)), first_by(names, ["_viejo"], ["_nuevo"]), ["_viejo"], by or [column], "left")
+    return spread.select(*[
         F.coalesce("_nuevo", column).alias(column) if c == column else F.col(c) for c in child.columns])
 
 

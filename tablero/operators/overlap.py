@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablero.operators.running import running_sums
+from tablero.operators.spread import spread_join
 
 
 def overlap_counts(df: DataFrame, group: str, start: str, end: str, out: str = "solapes") -> DataFrame:
@@ -25,10 +26,11 @@ def overlap_counts(df: DataFrame, group: str, start: str, end: str, out: str = "
             F.struct(F.col(start).alias("_t"), one.alias("_ini"), none.alias("_fin")),
             F.struct(F.col(end).alias("_t"), none.alias("_ini"), one.alias("_fin")))))
         .groupBy(group, "_t").agg(F.sum("_ini").alias("_ini"), F.sum("_fin").alias("_fin")))
-    hour = F.unix_date(F.to_date("_t")) * 24 + F.hour("_t")
-    line = running_sums(instants, [group], "_t", hour, ["_ini", "_fin"])
+    # Seconds, hours of them and years of those: at most a million instants in a window, then 3,600, then 8,784.
+    second = F.unix_date(F.to_date("_t")).cast("long") * 86_400 + F.hour("_t") * 3_600 + F.minute("_t") * 60 + F.second("_t")
+    line = running_sums(instants, [group], "_t", second, ["_ini", "_fin"], coarser=(3_600, 8_784))
     starts = line.select(group, F.col("_t").alias(end), (F.col("_ini_antes") + F.col("_ini")).alias("_hasta_fin"))
     ends = line.select(group, F.col("_t").alias(start), F.col("_fin_antes").alias("_antes_inicio"))
     return (
-        proper.join(starts, [group, end]).join(ends, [group, start])
+        spread_join(spread_join(proper, starts, [group, end], df.columns), ends, [group, start], df.columns)
         .select(*df.columns, (F.col("_hasta_fin") - F.col("_antes_inicio") - 1).alias(out)))

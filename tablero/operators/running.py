@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 
 def running_sums(
-    points: DataFrame, group: list[str], axis: str, bucket: Column, sums: list[str], descending: bool = False
+    points: DataFrame, group: list[str], axis: str, bucket: Column, sums: list[str], descending: bool = False,
+    coarser: tuple[int, ...] = (),
 ) -> DataFrame:
     """Adds ``<c>_antes``: the sum of ``c`` over the points of the group that come before on the axis.
 
-    ``points`` holds one row per (group, axis value). ``bucket`` must not decrease along the axis; a window holds the distinct
-    axis values of one bucket, the other one row per bucket of a group.
+    ``points`` holds one row per (group, axis value). ``bucket``, a whole number, must not decrease along the axis; a window holds
+    the distinct axis values of one bucket, the other one row per bucket of a group. With ``coarser`` widths the buckets are
+    themselves cut into buckets of so many, and so on, so that every window stays small.
     """
 
     def ordered(c: str) -> Column:
@@ -24,8 +26,14 @@ def running_sums(
 
     marked = points.withColumn("_cubo", bucket)
     totals = marked.groupBy(*group, "_cubo").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    earlier_buckets = Window.partitionBy(*group).orderBy(ordered("_cubo")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_cubo", *[F.sum(f"_t_{c}").over(earlier_buckets).alias(f"_o_{c}") for c in sums])
+    if coarser:
+        level = totals.select(*group, F.col("_cubo").alias("_eje"), *[F.col(f"_t_{c}") for c in sums])
+        level = running_sums(
+            level, group, "_eje", F.floor(F.col("_eje") / coarser[0]), [f"_t_{c}" for c in sums], descending, coarser[1:])
+        offsets = level.select(*group, F.col("_eje").alias("_cubo"), *[F.col(f"_t_{c}_antes").alias(f"_o_{c}") for c in sums])
+    else:
+        earlier_buckets = Window.partitionBy(*group).orderBy(ordered("_cubo")).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(*group, "_cubo", *[F.sum(f"_t_{c}").over(earlier_buckets).alias(f"_o_{c}") for c in sums])
     inside = Window.partitionBy(*group, "_cubo").orderBy(ordered(axis)).rowsBetween(Window.unboundedPreceding, -1)
     local = marked.select("*", *[F.sum(c).over(inside).alias(f"_l_{c}") for c in sums])
     zero = F.lit(0)
@@ -34,7 +42,9 @@ def running_sums(
         *[(F.coalesce(f"_o_{c}", zero) + F.coalesce(f"_l_{c}", zero)).alias(f"{c}_antes") for c in sums])
 
 
-def value_ranks(df: DataFrame, group: list[str], value: str, width: int, descending: bool = False) -> DataFrame:
+def value_ranks(
+    df: DataFrame, group: list[str], value: str, width: int, descending: bool = False, coarser: tuple[int, ...] = ()
+) -> DataFrame:
     """One row per (group, whole-number value) with ``puesto`` (gaps after ties) and ``denso`` (no gaps).
 
     Equal values are counted before anything is ordered, so a value shared by most of a group is one row. A bucket spans
@@ -42,7 +52,7 @@ def value_ranks(df: DataFrame, group: list[str], value: str, width: int, descend
     """
     points = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_uno", F.lit(1).cast("long"))
     bucket = F.floor(F.col(value) / width)
-    ranked = running_sums(points, group, value, bucket, ["_n", "_uno"], descending)
+    ranked = running_sums(points, group, value, bucket, ["_n", "_uno"], descending, coarser)
     return ranked.select(
         *group, value, (F.col("_n_antes") + 1).alias("puesto"), (F.col("_uno_antes") + 1).alias("denso"))
 

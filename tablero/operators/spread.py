@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLOTS = 32
+#: Session setting with the number of parts; on a large cluster about the number of tasks that one key may take.
+SETTING = "tablero.spread.slots"
 
 
 def spread_join(
-    df: DataFrame, per_key: DataFrame, key: list[str], by: list[str], how: str = "inner", slots: int = SLOTS
+    df: DataFrame, per_key: DataFrame, key: list[str], by: list[str], how: str = "inner", slots: int | None = None
 ) -> DataFrame:
     """``df`` joined with ``per_key``, each key divided into ``slots`` parts by the columns ``by`` of ``df``.
 
     The small side is repeated once per part. Where Spark measures it as small it is broadcast and nothing moves; otherwise the
     rows of one key are shared by up to ``slots`` tasks. Later steps cannot mistake the result for data already grouped by key.
     """
+    slots = slots or int(df.sparkSession.conf.get(SETTING, str(SLOTS)))
     parts = df.withColumn("_parte", F.pmod(F.xxhash64(*by), F.lit(slots)).cast("int"))
     copies = per_key.withColumn("_parte", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     return parts.join(copies, [*key, "_parte"], how).drop("_parte")

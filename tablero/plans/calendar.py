@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,22 +32,21 @@ def _active(t: Tables, reto: str | None = None) -> DataFrame:
     return _only(t.retos.filter("reto_activo"), reto)
 
 
-def calendar_feed(t: Tables, *, as_of: date | None = None, reto: str | None = None, retador: str | None = None) -> DataFrame:
+def calendar_feed(t: Tables, *, reto: str | None = None) -> DataFrame:
     """Active challenges as bars over their days and their activities as events, all in UTC."""
     active = _active(t, reto)
     first, last = F.col("fecha_ini").cast("timestamp_ntz"), last_day(F.col("fecha_fin_excl")).cast("timestamp_ntz")
     bars = active.select(
         F.col("id_reto").alias("calendar_id"), F.col("nombre_reto").alias("title"), F.lit(None).cast("string").alias("body"),
         to_utc(first).alias("start"), to_utc(last + F.expr("INTERVAL 1 DAY")).alias("end"), F.lit("time").alias("category"))
-    events = t.actividades.join(active.select("id_reto", "nombre_reto"), "nombre_reto").select(
+    events = spread_join(t.actividades, active.select("id_reto", "nombre_reto"), ["nombre_reto"], ["id_actividad"]).select(
         F.col("id_reto").alias("calendar_id"), F.col("actividad").alias("title"),
         _body("tema_actividad", "coach_expositor").alias("body"), to_utc(F.col("inicio")).alias("start"),
         to_utc(F.col("fin")).alias("end"), F.lit("time").alias("category"))
     return bars.unionByName(events)
 
 
-def activity_calendar(t: Tables, *, as_of: date | None = None, reto: str | None = None,
-                      retador: str | None = None) -> DataFrame:
+def activity_calendar(t: Tables, *, reto: str | None = None) -> DataFrame:
     """Activities of each challenge, active or not, as events with one calendar and palette slot per kind of activity."""
     kinds = ENUMS["tipo_actividad"]
     number = F.array_position(F.array(*[F.lit(k) for k in sorted(kinds)]), F.col("actividad"))
@@ -62,16 +60,16 @@ def activity_calendar(t: Tables, *, as_of: date | None = None, reto: str | None
         F.greatest(F.size("_tipos"), F.lit(MIN_SLOTS)).cast("long").alias("n_slots"))
 
 
-def group_slots(t: Tables, *, as_of: date | None = None, reto: str | None = None, retador: str | None = None) -> DataFrame:
-    """Palette slot of each calendar in the feed and the size of the palette."""
-    ids = calendar_feed(t, reto=reto).select("calendar_id").distinct()
+def group_slots(t: Tables, *, reto: str | None = None) -> DataFrame:
+    """Palette slot of each calendar in the feed and the size of the palette. Ids are cut four times over, so that no window holds
+    more than ``ID_STEP`` rows even where ids are sparse."""
+    ids = _active(t, reto).select(F.col("id_reto").alias("calendar_id")).distinct()
     n = F.greatest(ids.agg(F.count("calendar_id")).scalar(), F.lit(MIN_SLOTS))
-    return value_ranks(ids, [], "calendar_id", ID_STEP).select(
+    return value_ranks(ids, [], "calendar_id", ID_STEP, coarser=(ID_STEP, ID_STEP)).select(
         "calendar_id", F.col("denso").alias("slot"), n.cast("long").alias("n_slots"))
 
 
-def hidden_calendars(t: Tables, *, selected: Iterable[int] = (), as_of: date | None = None, reto: str | None = None,
-                     retador: str | None = None) -> DataFrame:
+def hidden_calendars(t: Tables, *, selected: Iterable[int] = (), reto: str | None = None) -> DataFrame:
     """Active challenges that are not selected."""
     ids = _active(t, reto).select(F.col("id_reto").alias("calendar_id")).distinct()
     picked = list(selected)
@@ -80,35 +78,45 @@ def hidden_calendars(t: Tables, *, selected: Iterable[int] = (), as_of: date | N
 
 def _ical(t: Tables, ids: Iterable[int] | DataFrame | None, reto: str | None) -> DataFrame:
     active = _active(t, reto).select("id_reto", "nombre_reto")
-    return t.actividades.join(selected(active, ids), "nombre_reto")
+    return spread_join(t.actividades, selected(active, ids), ["nombre_reto"], ["id_actividad"])
+
+
+def _escaped(value: Column | str) -> Column:
+    """A text as a calendar file writes it: backslash, semicolon, comma and line ends escaped."""
+    text = F.regexp_replace(F.col(value) if isinstance(value, str) else value, r"([\\;,])", r"\\$1")
+    return F.regexp_replace(text, r"\r\n|\r|\n", r"\\n")
 
 
-def ical_events(t: Tables, *, ids: Iterable[int] | DataFrame | None = None, as_of: date | None = None,
-                reto: str | None = None, retador: str | None = None) -> DataFrame:
-    """Activities of the selected active challenges with the texts of a calendar file, times in UTC."""
+def _folded(line: Column) -> Column:
+    """A content line in pieces of at most 75 octets; a continuation starts with a blank. Text beyond ASCII is cut by characters
+    of up to four octets."""
+    plain = F.octet_length(line) == F.length(line)
+    return F.when(F.octet_length(line) <= 75, line).when(plain, F.regexp_replace(line, "(.{74})(?=.)", "$1\r\n ")).otherwise(
+        F.regexp_replace(line, "(.{18})(?=.)", "$1\r\n "))
+
+
+def ical_events(t: Tables, *, ids: Iterable[int] | DataFrame | None = None, reto: str | None = None) -> DataFrame:
+    """Activities of the selected active challenges with the escaped texts of a calendar file, times in UTC."""
     step = F.lit("\\n - ")
     return _ical(t, ids, reto).select(
-        "id_reto", F.col("actividad").alias("summary"),
-        F.concat("nombre_reto", step, "tema_actividad", step, "coach_expositor").alias("description"),
+        "id_reto", _escaped("actividad").alias("summary"),
+        F.concat(_escaped("nombre_reto"), step, _escaped("tema_actividad"), step, _escaped("coach_expositor")).alias("description"),
         F.date_format(to_utc(F.col("inicio")), ICAL_STAMP).alias("dtstart"),
         F.date_format(to_utc(F.col("fin")), ICAL_STAMP).alias("dtend"), F.lit("Zoom").alias("location"),
-        F.concat("nombre_reto", F.lit("-"), "actividad", F.lit("-"), F.date_format("inicio", "yyyy-MM-dd HH:mm:ss")).alias("uid"))
+        _escaped(F.concat("nombre_reto", F.lit("-"), "actividad", F.lit("-"), F.date_format("inicio", "yyyy-MM-dd HH:mm:ss"))).alias("uid"))
 
 
 def ical_text(events: DataFrame) -> DataFrame:
     """Each event as a calendar object of its own; any sequence of such objects is a valid calendar stream."""
 
     def line(name: str, value: Column) -> Column:
-        return F.concat(F.lit(f"{name}:"), value)
-
-    def escaped(c: str) -> Column:
-        return F.regexp_replace(F.col(c), r"([,;])", r"\\$1")
+        return _folded(F.concat(F.lit(f"{name}:"), value))
 
     lines = [
         F.lit("BEGIN:VCALENDAR"), F.lit("PRODID:-//tablero//ES"), F.lit("VERSION:2.0"), F.lit("BEGIN:VEVENT"),
         line("UID", F.col("uid")), line("DTSTAMP", F.col("dtstart")), line("DTSTART", F.col("dtstart")),
-        line("DTEND", F.col("dtend")), line("SUMMARY", escaped("summary")), line("DESCRIPTION", escaped("description")),
-        line("LOCATION", escaped("location")), F.lit("END:VEVENT"), F.lit("END:VCALENDAR"),
+        line("DTEND", F.col("dtend")), line("SUMMARY", F.col("summary")), line("DESCRIPTION", F.col("description")),
+        line("LOCATION", F.col("location")), F.lit("END:VEVENT"), F.lit("END:VCALENDAR"),
     ]
     return events.select("id_reto", "dtstart", F.concat_ws("\r\n", *lines).alias("value"))
 

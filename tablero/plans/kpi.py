@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablero.functions.text import percent_text
-from tablero.schema import ACTIVITIES, CEREMONY, DEFAULT_AS_OF, HABITS
+from tablero.schema import ACTIVITIES, CEREMONY, HABITS
 from tablero.sources.tables import Tables
 
 RATE_DECIMALS = 4
@@ -45,8 +45,7 @@ def _per_challenge(t: Tables, active: DataFrame, as_of: date, *aggregates: Colum
     return active.join(per_name, "nombre_reto").withColumn("num_dias", _elapsed_days(as_of))
 
 
-def challenge_progress(t: Tables, *, as_of: date = DEFAULT_AS_OF, reto: str | None = None,
-                       retador: str | None = None) -> DataFrame:
+def challenge_progress(t: Tables, *, as_of: date, reto: str | None = None) -> DataFrame:
     """Enrolled challengers and elapsed days of each active challenge."""
     return _per_challenge(t, _active(t, reto=reto), as_of).select("id_reto", "nombre_reto", "num_retadores", "num_dias")
 
@@ -57,15 +56,22 @@ def activities_to_date(t: Tables, as_of: date) -> DataFrame:
     return t.actividades.filter(begun).groupBy("nombre_reto").agg(F.count(F.lit(1)).alias("num_actividades"))
 
 
-def _counted_participations(t: Tables) -> DataFrame:
-    """Participations with the number of their habit and attendance rows, null where there are none."""
+def _counted_participations(t: Tables, wanted: DataFrame | None = None) -> DataFrame:
+    """Participations with the number of their habit and attendance rows, null where there are none.
+
+    ``wanted`` (challenge names) reaches the participations and, through them, the logs before anything is counted.
+    """
     none = F.lit(None).cast("long")
-    habits = t.registros_habitos.filter(F.col("concepto") == HABITS).select(
+    people, logs = t.participacion, {name: t[name] for name in ("registros_habitos", "registros_actividades")}
+    if wanted is not None:
+        people = people.join(wanted, "nombre_reto", "left_semi")
+        logs = {name: df.join(people.select("id_participacion"), "id_participacion", "left_semi") for name, df in logs.items()}
+    habits = logs["registros_habitos"].filter(F.col("concepto") == HABITS).select(
         "id_participacion", F.lit(1).cast("long").alias("_h"), none.alias("_a"))
-    attended = t.registros_actividades.filter(F.col("concepto") == ACTIVITIES).select(
+    attended = logs["registros_actividades"].filter(F.col("concepto") == ACTIVITIES).select(
         "id_participacion", none.alias("_h"), F.lit(1).cast("long").alias("_a"))
     counts = habits.unionByName(attended).groupBy("id_participacion").agg(F.sum("_h").alias("_h"), F.sum("_a").alias("_a"))
-    return t.participacion.join(counts, "id_participacion", "left")
+    return people.join(counts, "id_participacion", "left")
 
 
 def _rate(logged: Column, expected: Column) -> Column:
@@ -74,16 +80,17 @@ def _rate(logged: Column, expected: Column) -> Column:
     return F.round(share, RATE_DECIMALS).cast("double")
 
 
-def kpis(t: Tables, *, as_of: date = DEFAULT_AS_OF, ids: Iterable[int] | DataFrame | None = None,
-         reto: str | None = None, retador: str | None = None) -> DataFrame:
+def kpis(t: Tables, *, as_of: date, ids: Iterable[int] | DataFrame | None = None, reto: str | None = None) -> DataFrame:
     """Habit fill rate and attendance rate of each active challenge.
 
     Habits are expected from every challenger on every elapsed day, attendance at every scored activity so far. The two logs are
     counted per participation in one pass before they meet the participations.
     """
-    counted = t.replace(participacion=_counted_participations(t))
+    active = _active(t, ids, reto)
+    wanted = None if ids is None and reto is None else active.select("nombre_reto")
+    counted = t.replace(participacion=_counted_participations(t, wanted))
     per_challenge = _per_challenge(
-        counted, _active(t, ids, reto), as_of, F.sum("_h").alias("_h"), F.sum("_a").alias("_a"))
+        counted, active, as_of, F.sum("_h").alias("_h"), F.sum("_a").alias("_a"))
     habits = t.habitos.agg(F.count(F.lit(1))).scalar()
     joined = per_challenge.join(activities_to_date(t, as_of), "nombre_reto", "left")
     return joined.select(
@@ -92,8 +99,8 @@ def kpis(t: Tables, *, as_of: date = DEFAULT_AS_OF, ids: Iterable[int] | DataFra
         _rate(F.col("_a"), F.col("num_actividades") * F.col("num_retadores")).alias("actividades"))
 
 
-def kpis_display(t: Tables, *, as_of: date = DEFAULT_AS_OF, ids: Iterable[int] | DataFrame | None = None,
-                 reto: str | None = None, retador: str | None = None) -> DataFrame:
+def kpis_display(t: Tables, *, as_of: date, ids: Iterable[int] | DataFrame | None = None,
+                 reto: str | None = None) -> DataFrame:
     """The indicators as shown: rates as percentages, without the id."""
     rows = kpis(t, as_of=as_of, ids=ids, reto=reto)
     return rows.select(

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from tablero.functions.dates import in_days, is_minor
 from tablero.operators.overlap import overlap_counts
+from tablero.operators.spread import spread_join
 from tablero.schema import (
     CEREMONY,
-    DEFAULT_AS_OF,
     ENUM_COLUMNS,
     ENUMS,
     FOREIGN_KEYS,
@@ -63,25 +63,40 @@ def _all(t: Tables, parts: list[DataFrame]) -> DataFrame:
 
 def dq_duplicates(t: Tables, *, tables: tuple[str, ...] | None = None, as_of: date | None = None) -> DataFrame:
     """Key values that occur more than once, with how often."""
-    keys = [(table, [column]) for table, column in PRIMARY_KEYS.items()] + UNIQUE_KEYS
+    keys: dict[str, list[list[str]]] = {}
+    for table, columns in [(table, [column]) for table, column in PRIMARY_KEYS.items()] + UNIQUE_KEYS:
+        if tables is None or table in tables:
+            keys.setdefault(table, []).append(columns)
     parts = []
-    for table, columns in keys:
-        if tables is not None and table not in tables:
-            continue
-        counted = t[table].dropna(subset=columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        parts.append(_found(counted, "dq_duplicates:" + ",".join(columns), table, F.col("_n"), _text(*columns)))
+    for table, sets in keys.items():
+        # One pass over the table for all its keys: (rule, key values) are counted.
+        values = F.array(*[
+            F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in columns]), F.struct(
+                F.lit("dq_duplicates:" + ",".join(columns)).alias("rule"), F.array(*[F.col(c).cast("string") for c in columns]).alias("clave")))
+            for columns in sets])
+        counted = t[table].select(F.inline(F.filter(values, lambda v: v.isNotNull()))).groupBy("rule", "clave").agg(F.count(F.lit(1)).alias("_n"))
+        parts.append(counted.filter("_n > 1").select(
+            "rule", F.lit(table).alias("tabla"), F.concat_ws("|", "clave").alias("clave"), F.col("_n").cast("string").alias("detalle")))
     return _all(t, parts)
 
 
 def dq_orphans(t: Tables, *, tables: tuple[str, ...] | None = None, as_of: date | None = None) -> DataFrame:
     """Rows that refer to a parent that does not exist, with the missing value."""
     parts = []
-    for table, column, parent, parent_column in FOREIGN_KEYS:
+    for table in dict.fromkeys(rule[0] for rule in FOREIGN_KEYS):
         if tables is not None and table not in tables:
             continue
-        known = t[parent].select(F.col(parent_column).alias(column))
-        lost = t[table].filter(F.col(column).isNotNull()).join(known, column, "left_anti")
-        parts.append(_found(lost, f"dq_orphans:{column}->{parent}", table, F.col(column)))
+        # One pass over the child: each parent marks what it knows, then the missing ones are listed.
+        rows, own = t[table], t[table].columns
+        marks = []
+        for number, (_, column, parent, parent_column) in enumerate(rule for rule in FOREIGN_KEYS if rule[0] == table):
+            known = t[parent].select(F.col(parent_column).alias(column)).distinct().withColumn(f"_hay{number}", F.lit(True))
+            rows = spread_join(rows, known, [column], own, "left")
+            marks.append(F.when(F.col(column).isNotNull() & F.col(f"_hay{number}").isNull(), F.struct(
+                F.lit(f"dq_orphans:{column}->{parent}").alias("rule"), F.col(column).cast("string").alias("detalle"))))
+        lost = rows.withColumn("_perdida", F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())))
+        parts.append(lost.select(
+            F.col("_perdida.rule").alias("rule"), F.lit(table).alias("tabla"), _key(table, lost).alias("clave"), F.col("_perdida.detalle").alias("detalle")))
     return _all(t, parts)
 
 
@@ -146,7 +161,7 @@ def dq_activity_overlap(t: Tables, *, as_of: date | None = None) -> DataFrame:
 
 def dq_activity_range(t: Tables, *, as_of: date | None = None) -> DataFrame:
     """Activities, ceremonies aside, not wholly inside their challenge."""
-    joined = t.actividades.join(t.retos.select("nombre_reto", "fecha_ini", "fecha_fin_excl"), "nombre_reto")
+    joined = spread_join(t.actividades, t.retos.select("nombre_reto", "fecha_ini", "fecha_fin_excl"), ["nombre_reto"], ["id_actividad"])
     inside = (F.col("inicio") >= F.col("fecha_ini").cast("timestamp_ntz")) & (
         F.col("fin") < F.col("fecha_fin_excl").cast("timestamp_ntz"))
     rows = joined.filter(~inside & (F.col("actividad") != CEREMONY))
@@ -163,12 +178,17 @@ def habit_reasons(as_of: date) -> Column:
 
 def with_challenge(t: Tables, logs: DataFrame) -> DataFrame:
     """Log rows with the days and the active flag of their challenge."""
-    dated = t.participacion.select("id_participacion", "nombre_reto").join(
-        t.retos.select("nombre_reto", "fecha_ini", "fecha_fin_excl", "reto_activo"), "nombre_reto")
-    return logs.join(dated, "id_participacion")
+    return logs.join(dated_people(t), "id_participacion")
+
 
+def dated_people(t: Tables) -> DataFrame:
+    """Participations with the days and the active flag of their challenge."""
+    return spread_join(
+        t.participacion.select("id_participacion", "nombre_reto"),
+        t.retos.select("nombre_reto", "fecha_ini", "fecha_fin_excl", "reto_activo"), ["nombre_reto"], ["id_participacion"])
 
-def dq_habit_range(t: Tables, *, as_of: date = DEFAULT_AS_OF) -> DataFrame:
+
+def dq_habit_range(t: Tables, *, as_of: date) -> DataFrame:
     """Habits dated outside their challenge or after the given day; a row can be both."""
     rows = with_challenge(t, t.registros_habitos).withColumn("_motivo", F.explode(habit_reasons(as_of)))
     detail = F.concat(F.col("_motivo"), F.lit("="), F.col("fecha_ocurrencia").cast("string"))
@@ -179,7 +199,7 @@ def dq_attendance_reto(t: Tables, *, as_of: date | None = None) -> DataFrame:
     """Attendance of an activity of another challenge."""
     held = t.actividades.select("id_actividad", F.col("nombre_reto").alias("_reto_actividad"))
     people = t.participacion.select("id_participacion", "nombre_reto")
-    rows = t.registros_actividades.join(people, "id_participacion").join(held, "id_actividad").filter(
+    rows = spread_join(t.registros_actividades.join(people, "id_participacion"), held, ["id_actividad"], ["id_participacion"]).filter(
         F.col("_reto_actividad") != F.col("nombre_reto"))
     return _found(rows, "dq_attendance_reto", "registros_actividades", F.concat_ws(" <> ", "_reto_actividad", "nombre_reto"))
 
@@ -187,7 +207,8 @@ def dq_attendance_reto(t: Tables, *, as_of: date | None = None) -> DataFrame:
 def _active_enrolments(t: Tables) -> DataFrame:
     """Distinct (challenge, challenger) over active challenges. Duplicates go first, while both columns share the work."""
     active = t.retos.filter("reto_activo").select("nombre_reto")
-    return t.participacion.select("nombre_reto", "nombre_retador").distinct().join(active, "nombre_reto")
+    members = t.participacion.select("nombre_reto", "nombre_retador").distinct()
+    return spread_join(members, active, ["nombre_reto"], ["nombre_retador"])
 
 
 def _multi_active(t: Tables) -> DataFrame:
@@ -217,16 +238,21 @@ def dq_shared_challengers(t: Tables, *, as_of: date | None = None) -> DataFrame:
     return _found(rows, "dq_shared_challengers", "retos", F.col("nombre_retador"), F.col("nombre_reto"))
 
 
-def dq_inactive(t: Tables, *, tables: tuple[str, ...] = ("registros_habitos",), as_of: date | None = None) -> DataFrame:
+#: Tables that may not change while their challenge is inactive.
+FROZEN = ("participacion", "fotos", "actividades", "registros_actividades", "registros_habitos", "registros_calificaciones")
+
+
+def dq_inactive(t: Tables, *, tables: tuple[str, ...] = FROZEN, as_of: date | None = None) -> DataFrame:
     """Rows that belong to inactive challenges, whose data must not change."""
     idle = t.retos.filter(~F.col("reto_activo")).select("nombre_reto")
+    people = spread_join(t.participacion.select("id_participacion", "nombre_reto"), idle, ["nombre_reto"], ["id_participacion"])
     parts = []
     for table in tables:
         df = t[table]
         if "nombre_reto" in df.columns:
-            rows = df.join(idle, "nombre_reto")
+            rows = spread_join(df, idle, ["nombre_reto"], [PRIMARY_KEYS[table]])
         else:
-            rows = df.join(t.participacion.select("id_participacion", "nombre_reto").join(idle, "nombre_reto"), "id_participacion")
+            rows = df.join(people, "id_participacion")
         parts.append(_found(rows, "dq_inactive", table, F.col("nombre_reto")))
     return _all(t, parts)
 
@@ -237,7 +263,7 @@ def dq_height(t: Tables, *, as_of: date | None = None) -> DataFrame:
     return _found(rows, "dq_height", "retadores", F.col("talla"))
 
 
-def dq_minor(t: Tables, *, as_of: date = DEFAULT_AS_OF) -> DataFrame:
+def dq_minor(t: Tables, *, as_of: date) -> DataFrame:
     """Challengers under age."""
     rows = t.retadores.filter(is_minor(F.col("fecha_nacimiento"), as_of))
     return _found(rows, "dq_minor", "retadores", F.col("fecha_nacimiento"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablero.functions.text import DAY_FORMAT, activity_label, challenge_name, rating_word, sentence_case
-from tablero.operators.catalogue import ordered_names
+from tablero.operators.spread import spread_join
 from tablero.plans.scoring import habit_counts, scoreboard
 from tablero.plans.views import _only
 from tablero.schema import CHALLENGE_DAYS
@@ -17,34 +18,37 @@ from tablero.sources.tables import Tables
 PERSON = ["nombre_reto", "nombre_retador"]
 
 
-def _habit_names(t: Tables) -> list[str]:
-    return ordered_names(t.habitos, "nombre_habito", "id_habito")
+def _spread(df: DataFrame, keys: list[str], by: str, names: Sequence[str], value: str, rows: str) -> DataFrame:
+    """Long to wide over the given names; one value per cell, null where there is none. ``otros`` counts the log rows
+    (column ``rows``) of all other names."""
+    other = F.sum(F.when(~F.col(by).isin(list(names)), F.col(rows)))
+    return df.groupBy(*keys).agg(
+        *[F.max(F.when(F.col(by) == name, F.col(value))).alias(name) for name in names], F.coalesce(other, F.lit(0)).alias("otros"))
 
 
-def _spread(df: DataFrame, keys: list[str], by: str, names: list[str], value: str) -> DataFrame:
-    """Long to wide over a known list of names; one value per cell, null where there is none."""
-    return df.groupBy(*keys).agg(*[F.max(F.when(F.col(by) == name, F.col(value))).alias(name) for name in names])
+def pivot_habit_counts(t: Tables, names: Sequence[str], *, reto: str | None = None, retador: str | None = None) -> DataFrame:
+    """Logged days per challenger, one column per given habit and one for the rows of all others; ``habit_counts`` is the long form."""
+    return _spread(habit_counts(t, reto=reto, retador=retador), PERSON, "nombre_habito", names, "n", "n")
 
 
-def pivot_habit_counts(t: Tables, *, as_of: date | None = None, reto: str | None = None,
-                       retador: str | None = None) -> DataFrame:
-    """Logged days per challenger, one column per habit in catalogue order."""
-    names = _habit_names(t)
-    counts = habit_counts(t, reto=reto, retador=retador).filter(F.col("nombre_habito").isin(names))
-    return _spread(counts, PERSON, "nombre_habito", names, "n")
-
-
-def pivot_habit_days(t: Tables, *, as_of: date | None = None, reto: str | None = None,
-                     retador: str | None = None) -> DataFrame:
-    """Who registered each habit on each day, one column per habit in catalogue order."""
-    names = _habit_names(t)
+def habit_days(t: Tables, *, reto: str | None = None, retador: str | None = None) -> DataFrame:
+    """Who registered each habit on each day, with how many rows. The log is reduced before it meets coaches and people."""
     users = t.coaches.select("nombre_coach", "user_coach")
     people = _only(t.participacion, reto, retador).select("id_participacion", *PERSON)
-    logged = (
-        t.registros_habitos.filter(F.col("nombre_habito").isin(names))
-        .join(users, "nombre_coach").join(people, "id_participacion")
-        .select(*PERSON, F.col("fecha_ocurrencia").alias("fecha"), "nombre_habito", "user_coach"))
-    return _spread(logged, [*PERSON, "fecha"], "nombre_habito", names, "user_coach")
+    logged = t.registros_habitos
+    if reto is not None or retador is not None:
+        logged = logged.join(people.select("id_participacion"), "id_participacion", "left_semi")
+    reduced = logged.groupBy("id_participacion", F.col("fecha_ocurrencia").alias("fecha"), "nombre_habito", "nombre_coach").agg(
+        F.count(F.lit(1)).alias("n"))
+    known = spread_join(reduced, users, ["nombre_coach"], ["id_participacion", "fecha", "nombre_habito"])
+    return (
+        known.join(people, "id_participacion")
+        .groupBy(*PERSON, "fecha", "nombre_habito").agg(F.max("user_coach").alias("user_coach"), F.sum("n").alias("n")))
+
+
+def pivot_habit_days(t: Tables, names: Sequence[str], *, reto: str | None = None, retador: str | None = None) -> DataFrame:
+    """Who registered each habit on each day, one column per given habit and one for the rows of all others."""
+    return _spread(habit_days(t, reto=reto, retador=retador), [*PERSON, "fecha"], "nombre_habito", names, "user_coach", "n")
 
 
 def attendance_report(t: Tables, *, as_of: date | None = None, reto: str | None = None,
@@ -54,7 +58,7 @@ def attendance_report(t: Tables, *, as_of: date | None = None, reto: str | None
     people = _only(t.participacion, reto, retador).select("id_participacion", *PERSON)
     return (
         t.registros_actividades.select("id_participacion", "id_actividad", "nombre_coach")
-        .join(people, "id_participacion").join(held, "id_actividad", "left")
+        .join(people, "id_participacion").transform(lambda rows: spread_join(rows, held, ["id_actividad"], ["id_participacion"], "left"))
         .select("nombre_reto", activity_label(F.col("actividad"), F.col("inicio")).alias("actividad"),
                 F.col("nombre_retador").alias("retador"), F.col("nombre_coach").alias("registrador")))
 
@@ -63,7 +67,7 @@ def ratings_report(t: Tables, *, as_of: date | None = None, reto: str | None = N
                    retador: str | None = None) -> DataFrame:
     """Ratings in words per challenger, coach and criterion."""
     known = t.retos.select("nombre_reto")
-    people = _only(t.participacion, reto, retador).join(known, "nombre_reto").select("id_participacion", *PERSON)
+    people = spread_join(_only(t.participacion, reto, retador), known, ["nombre_reto"], ["id_participacion"]).select("id_participacion", *PERSON)
     return (
         t.registros_calificaciones.select("id_participacion", "nombre_coach", "criterio_calificacion", "calificacion")
         .join(people, "id_participacion")
@@ -78,7 +82,7 @@ def report_names(t: Tables, *, as_of: date | None = None, reto: str | None = Non
     day = F.to_date(F.regexp_extract("_nombre", r"del\s(\d{2}/\d{2}/\d{4})", 1), DAY_FORMAT)
     stem = F.concat(F.lit("detalle_reto_"), F.date_format(day, "yyyy-MM-dd"))
     return (
-        _only(t.participacion, reto, retador).join(names, "nombre_reto")
+        spread_join(_only(t.participacion, reto, retador), names, ["nombre_reto"], ["id_participacion"])
         .select(F.col("_nombre").alias("nombre_reto"), "nombre_retador",
                 F.concat(stem, F.lit(".html")).alias("archivo_reto"),
                 F.concat(stem, F.lit("_"), F.regexp_replace("nombre_retador", r"\s", "_"), F.lit(".html")).alias("archivo_retador")))
@@ -93,22 +97,26 @@ def scoreboard_report(t: Tables, *, as_of: date | None = None, reto: str | None
 
 REPORTS = {
     "puntajes": scoreboard,
-    "cuenta_habitos": pivot_habit_counts,
-    "habitos_por_dia": pivot_habit_days,
+    "cuenta_habitos": habit_counts,
+    "habitos_por_dia": habit_days,
     "asistencia": attendance_report,
     "calificaciones": ratings_report,
 }
 
 
 def write_reports(t: Tables, path: str, *, reto: str | None = None, retador: str | None = None,
-                  max_records_per_file: int = 5_000_000) -> dict[str, str]:
-    """Write each report table under ``path``, one folder per challenge.
+                  max_records_per_file: int = 5_000_000, parts: int = 8) -> dict[str, str]:
+    """Write each report table under ``path``, one folder per challenge; the habit tables in their long form, so that any
+    number of habits fits.
 
-    Rows stay in the tasks that made them; a challenge with many rows is spread over several files.
+    Rows are dealt by challenge and one of ``parts`` parts before they are written: a challenge has at most that many files (more
+    only beyond the records per file), and a large one is shared by as many tasks.
     """
     places = {}
     for name, build in REPORTS.items():
         places[name] = f"{path.rstrip('/')}/{name}"
-        (build(t, reto=reto, retador=retador).write.mode("errorifexists")
+        rows = build(t, reto=reto, retador=retador)
+        part = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
+        (rows.repartition("nombre_reto", part).write.mode("errorifexists")
          .option("maxRecordsPerFile", max_records_per_file).partitionBy("nombre_reto").parquet(places[name]))
     return places

@@ -200,7 +200,7 @@ def rank_totals(totals: DataFrame) -> DataFrame:
     """
     whole = totals.withColumn("_v", F.round(F.col("total") * 10**DECIMALS).cast("long"))
     places = value_ranks(whole, ["nombre_reto"], "_v", RANK_STEP, descending=True)
-    return whole.join(places, ["nombre_reto", "_v"]).select(*PERSON, "total", "puesto")
+    return spread_join(whole, places, ["nombre_reto", "_v"], ["nombre_retador"]).select(*PERSON, "total", "puesto")
 
 
 def ranking(t: Tables, *, as_of: date | None = None, reto: str | None = None, retador: str | None = None,
@@ -229,9 +229,12 @@ def _habit_days(t: Tables, reto: str | None, retador: str | None, dias: int) ->
 
 def _activity_days(t: Tables, reto: str | None, retador: str | None) -> DataFrame:
     slots = t.actividades.select("id_actividad", "inicio", "fin")
+    reduced = (
+        logs_of(t, "registros_actividades", ACTIVITIES, reto, retador)
+        .groupBy("id_participacion", "id_actividad").agg(F.count(F.lit(1)).alias("_n")))
     per_participation = (
-        logs_of(t, "registros_actividades", ACTIVITIES, reto, retador).join(slots, "id_actividad")
-        .groupBy("id_participacion", "inicio", "fin").agg(F.count(F.lit(1)).alias("_n")))
+        spread_join(reduced, slots, ["id_actividad"], ["id_participacion"])
+        .groupBy("id_participacion", "inicio", "fin").agg(F.sum("_n").alias("_n")))
     per_slot = (
         per_participation.join(participants(t, reto, retador), "id_participacion")
         .groupBy(*PERSON, "inicio", "fin").agg(F.sum("_n").alias("_n")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from tablero.functions.text import (
 )
 from tablero.operators.catalogue import per_catalogue_row
 from tablero.operators.spread import spread_join
-from tablero.schema import ADMIN, CEREMONY, CHALLENGE_DAYS, DEFAULT_AS_OF, ENUM_COLUMNS, INACTIVE
+from tablero.schema import ADMIN, CEREMONY, CHALLENGE_DAYS, ENUM_COLUMNS, ENUMS, INACTIVE
 from tablero.sources.tables import Tables
 
 LOG_COLUMNS = ["id_participacion", "concepto", "nombre_coach", "fecha_registro"]
@@ -32,18 +33,17 @@ def _only(df: DataFrame, reto: str | None, retador: str | None = None) -> DataFr
     return df
 
 
-def scan_coaches(t: Tables, *, as_of: date | None = None, reto: str | None = None, retador: str | None = None) -> DataFrame:
+def scan_coaches(t: Tables) -> DataFrame:
     """All coaches by name."""
     return t.coaches.orderBy(F.col("nombre_coach").asc_nulls_last())
 
 
-def active_coaches(t: Tables, *, as_of: date | None = None, reto: str | None = None,
-                   retador: str | None = None) -> DataFrame:
+def active_coaches(t: Tables) -> DataFrame:
     """Coaches who may expose, rate and log in."""
     return t.coaches.filter(F.col("permiso") != INACTIVE).select("id_coach", "nombre_coach")
 
 
-def challenges(t: Tables, *, as_of: date | None = None, reto: str | None = None, retador: str | None = None) -> DataFrame:
+def challenges(t: Tables, *, reto: str | None = None) -> DataFrame:
     """Challenges with their first and last day, newest first. The two days also bound what may be logged."""
     rows = _only(t.retos, reto).select(
         "id_reto", "nombre_reto", F.col("fecha_ini").alias("fecha_inicio"),
@@ -51,13 +51,11 @@ def challenges(t: Tables, *, as_of: date | None = None, reto: str | None = None,
     return rows.orderBy(F.col("fecha_inicio").desc_nulls_first())
 
 
-def active_challenges(t: Tables, *, as_of: date | None = None, reto: str | None = None,
-                      retador: str | None = None) -> DataFrame:
+def active_challenges(t: Tables, *, reto: str | None = None) -> DataFrame:
     return challenges(t, reto=reto).filter("reto_activo")
 
 
-def challenge_names(t: Tables, *, as_of: date | None = None, reto: str | None = None, retador: str | None = None,
-                    dias: int = CHALLENGE_DAYS) -> DataFrame:
+def challenge_names(t: Tables, *, reto: str | None = None, dias: int = CHALLENGE_DAYS) -> DataFrame:
     """The name each challenge would get from its first day."""
     return _only(t.retos, reto).select("id_reto", challenge_name(F.col("fecha_ini"), dias).alias("nombre"))
 
@@ -73,16 +71,16 @@ def all_logs(t: Tables, *, as_of: date | None = None, reto: str | None = None, r
     return rows.join(_only(t.participacion, reto, retador).select("id_participacion"), "id_participacion", "left_semi")
 
 
-def domain_values(t: Tables, *, as_of: date | None = None, reto: str | None = None, retador: str | None = None) -> DataFrame:
-    """The values in use of each enumerated column."""
-    parts = [
-        t[table].filter(F.col(column).isNotNull()).select(F.lit(domain).alias("variable"), F.col(column).alias("valor")).distinct()
-        for table, column, domain in ENUM_COLUMNS
-    ]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows
+def domain_values(t: Tables) -> DataFrame:
+    """Every label of each enumerated column, in its declared order, with how often it is used; also values in use that are no label."""
+    used = reduce(DataFrame.unionByName, [
+        t[table].filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("valor")).agg(F.count(F.lit(1)).alias("usos"))
+        .select(F.lit(domain).alias("variable"), "valor", "usos")
+        for table, column, domain in ENUM_COLUMNS])
+    labels = [(domain, label, place) for domain, values in ENUMS.items() for place, label in enumerate(values, 1)]
+    declared = t.spark.createDataFrame(labels, "variable string, valor string, orden int")
+    return used.groupBy("variable", "valor").agg(F.sum("usos").alias("usos")).join(declared, ["variable", "valor"], "full").select(
+        "variable", "valor", "orden", F.coalesce("usos", F.lit(0)).cast("long").alias("usos")).orderBy("variable", F.col("orden").asc_nulls_last(), "valor")
 
 
 def participation_lookup(t: Tables, *, as_of: date | None = None, reto: str | None = None,
@@ -111,7 +109,7 @@ def roster_visible(t: Tables, *, me: str, role: str, as_of: date | None = None,
     return rows if role == ADMIN else rows.filter(F.col("nombre_coach") == me)
 
 
-def activities(t: Tables, *, as_of: date | None = None, reto: str | None = None, retador: str | None = None) -> DataFrame:
+def activities(t: Tables, *, reto: str | None = None) -> DataFrame:
     """Activities with duration in minutes and printed times, latest first."""
     rows = _only(t.actividades, reto).select(
         "id_actividad", "nombre_reto", "actividad", "inicio", "fin",
@@ -120,8 +118,7 @@ def activities(t: Tables, *, as_of: date | None = None, reto: str | None = None,
     return rows.orderBy(F.col("inicio").desc_nulls_first())
 
 
-def activity_labels(t: Tables, *, as_of: date | None = None, reto: str | None = None,
-                    retador: str | None = None) -> DataFrame:
+def activity_labels(t: Tables, *, reto: str | None = None) -> DataFrame:
     """Labels of the activities that can be attended for points."""
     return _only(t.actividades, reto).filter(F.col("actividad") != CEREMONY).select(
         "id_actividad", "nombre_reto", activity_label(F.col("actividad"), F.col("inicio")).alias("etiqueta"))
@@ -142,12 +139,16 @@ def rating_codes(df: DataFrame) -> DataFrame:
 def measurements_dense(t: Tables, *, as_of: date | None = None, reto: str | None = None,
                        retador: str | None = None) -> DataFrame:
     """Every parameter for every participation, with its values where measured."""
+    return _measured(t, _only(t.participacion, reto, retador).select("id_participacion"))
+
+
+def _measured(t: Tables, people: DataFrame) -> DataFrame:
+    """The grid of people (with whatever columns they bring) and parameters."""
     logged = t.registros_parametros.select("id_participacion", "nombre_parametro", "valor_inicial", "valor_final")
     catalogue = t.parametros.select("nombre_parametro", "unidad")
-    people = _only(t.participacion, reto, retador).select("id_participacion")
     return (
         per_catalogue_row(people, catalogue).join(logged, ["id_participacion", "nombre_parametro"], "left")
-        .select("id_participacion", F.col("nombre_parametro").alias("parametro"), F.col("valor_inicial").alias("inicial"),
+        .select(*people.columns, F.col("nombre_parametro").alias("parametro"), F.col("valor_inicial").alias("inicial"),
                 F.col("valor_final").alias("final"), F.col("unidad").alias("und")))
 
 
@@ -156,7 +157,7 @@ def measurement_deltas(t: Tables, *, as_of: date | None = None, reto: str | None
     """Measurements with their change, and a body-mass-index row for each weight row."""
     heights = participation_lookup(t, reto=reto, retador=retador).select(
         "id_participacion", F.col("talla").alias("_talla"))
-    rows = measurements_dense(t, reto=reto, retador=retador).join(heights, "id_participacion")
+    rows = _measured(t, heights)
     square = F.col("_talla") * F.col("_talla")
     own = F.struct("parametro", "inicial", "final", "und")
     index = F.struct(
@@ -171,11 +172,13 @@ def measurement_deltas(t: Tables, *, as_of: date | None = None, reto: str | None
                 F.round(ratio, 6).alias("var_pct"), percent_text(ratio).alias("var_pct_text"), "und"))
 
 
-def challenger_age(t: Tables, *, as_of: date = DEFAULT_AS_OF, reto: str | None = None,
-                   retador: str | None = None) -> DataFrame:
-    """Age in years, months and days, and in words."""
+def challenger_age(t: Tables, *, as_of: date, reto: str | None = None, retador: str | None = None) -> DataFrame:
+    """Age in years, months and days, and in words; of those enrolled in a challenge when asked."""
+    people = _only(t.retadores, None, retador)
+    if reto is not None:
+        people = people.join(_only(t.participacion, reto).select("nombre_retador"), "nombre_retador", "left_semi")
     years, months, days = age_parts(F.col("fecha_nacimiento"), as_of)
-    parts = _only(t.retadores, None, retador).select(
+    parts = people.select(
         "id_retador", years.cast("int").alias("anios"), months.cast("int").alias("meses"), days.cast("int").alias("dias"))
     return parts.withColumn("edad", age_text(F.col("anios"), F.col("meses"), F.col("dias")))
 
@@ -185,6 +188,8 @@ def habit_checklist(t: Tables, *, as_of: date | None = None, fecha: date | None
     """Every habit on every day of a participation, whether logged and by whom."""
     days = t.retos.select("nombre_reto", F.explode(F.sequence("fecha_ini", last_day(F.col("fecha_fin_excl")))).alias("fecha"))
     logged = t.registros_habitos
+    if reto is not None or retador is not None:
+        logged = logged.join(_only(t.participacion, reto, retador).select("id_participacion"), "id_participacion", "left_semi")
     if fecha is not None:
         days = days.filter(F.col("fecha") == fecha)
         logged = logged.filter(F.col("fecha_ocurrencia") == fecha)
@@ -199,17 +204,17 @@ def habit_checklist(t: Tables, *, as_of: date | None = None, fecha: date | None
         .select("id_participacion", "fecha", "nombre_habito", (F.coalesce("_n", F.lit(0)) != 0).alias("registro"), "nombre_coach"))
 
 
-def attendance_checklist(t: Tables, *, as_of: date | None = None, id_actividad: int | None = None,
-                         reto: str | None = None, retador: str | None = None) -> DataFrame:
-    """The roster of a challenge for each of its activities, whether attended and registered by whom."""
-    held = _only(t.actividades, reto).select("id_actividad", "nombre_reto")
-    logged = t.registros_actividades
-    if id_actividad is not None:
-        held = held.filter(F.col("id_actividad") == id_actividad)
-        logged = logged.filter(F.col("id_actividad") == id_actividad)
+def attendance_checklist(t: Tables, *, actividades: int | DataFrame, retador: str | None = None) -> DataFrame:
+    """The roster of the challenge of an activity, whether attended and registered by whom; for one id or a table of ids."""
+    held, logged = t.actividades.select("id_actividad", "nombre_reto"), t.registros_actividades
+    if isinstance(actividades, DataFrame):
+        wanted = actividades.select("id_actividad").distinct()
+        held, logged = (df.join(wanted, "id_actividad", "left_semi") for df in (held, logged))
+    else:
+        held, logged = (df.filter(F.col("id_actividad") == actividades) for df in (held, logged))
     logged = logged.groupBy("id_actividad", "id_participacion", "nombre_coach").agg(
         F.count("id_registro_actividad").alias("_n"))
-    people = _only(t.participacion, reto, retador).select("id_participacion", "nombre_retador", "nombre_reto")
+    people = _only(t.participacion, None, retador).select("id_participacion", "nombre_retador", "nombre_reto")
     return (
         spread_join(people, held, ["nombre_reto"], ["id_participacion"]).join(logged, ["id_actividad", "id_participacion"], "left")
         .select("id_actividad", "id_participacion", "nombre_retador", (F.coalesce("_n", F.lit(0)) != 0).alias("registro"),

@@ -6,12 +6,9 @@ integrity rules in :mod:`tablero.plans.quality` are generated from the same decl
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import types as T
 
 # --- fixed values -----------------------------------------------------------------------------------------------------
-DEFAULT_AS_OF = date(2024, 1, 25)
 CHALLENGE_DAYS = 21
 RATING_SCALE = 3
 
@@ -101,9 +98,8 @@ SCHEMAS: dict[str, T.StructType] = {
         ("concepto", _STR), ("nombre_coach", _STR), ("fecha_registro", _DATE)),
     "criterios_calificacion": _struct(
         ("id_criterio_calificacion", _INT), ("criterio_calificacion", _STR), ("peso_criterio", WEIGHT)),
-    # The identity column of the ratings is read by no operator, so it is optional and not declared.
     "registros_calificaciones": _struct(
-        ("id_participacion", _LONG), ("criterio_calificacion", _STR), ("nombre_coach", _STR), ("calificacion", _INT),
+        ("id_registro_calificacion", _LONG), ("id_participacion", _LONG), ("criterio_calificacion", _STR), ("nombre_coach", _STR), ("calificacion", _INT),
         ("concepto", _STR), ("fecha_registro", _DATE)),
 }
 
@@ -112,7 +108,7 @@ PRIMARY_KEYS = {
     "parametros": "id_parametro", "registros_parametros": "id_registro_parametro", "fotos": "id_foto",
     "conceptos": "id_concepto", "actividades": "id_actividad", "registros_actividades": "id_registro_actividad",
     "habitos": "id_habito", "registros_habitos": "id_registro_habito",
-    "criterios_calificacion": "id_criterio_calificacion",
+    "criterios_calificacion": "id_criterio_calificacion", "registros_calificaciones": "id_registro_calificacion",
 }
 
 UNIQUE_KEYS = [

@@ -64,7 +64,11 @@ FROM {customer}""",
 SELECT CAST(r_regionkey AS BIGINT) AS id_reto, concat('Reto ', r_name) AS nombre_reto,
   CAST(DATE '2024-01-01' + 2 * r_regionkey AS DATE) AS fecha_ini,
   CAST(DATE '2024-01-22' + 2 * r_regionkey AS DATE) AS fecha_fin_excl, r_regionkey <> 4 AS reto_activo
-FROM {region}""",
+FROM {region}
+UNION ALL
+SELECT 1000 + s_suppkey, concat('Reto ', s_name), CAST(DATE '2024-01-01' + CAST(s_suppkey % 10 AS INT) AS DATE),
+  CAST(DATE '2024-01-22' + CAST(s_suppkey % 10 AS INT) AS DATE), s_suppkey % 3 <> 0
+FROM {supplier}""",
     "participacion": """
 SELECT c_custkey AS id_participacion, concat('Reto ', r_name) AS nombre_reto, c_name AS nombre_retador,
   c_mktsegment AS objetivo_participacion
@@ -127,7 +131,8 @@ GROUP BY p.id_participacion, a.id_actividad""",
     # A coach rates a person and criterion anew with each order line; the last line counts (its number carries the quantity,
     # so that repeated line numbers are settled too).
     "registros_calificaciones": """
-SELECT id_participacion, criterio_calificacion, s_name AS nombre_coach, CAST(ultima % 100 AS INT) % 7 - 3 AS calificacion,
+SELECT (id_participacion * 3 + id_criterio - 1) * 10000000 + l_suppkey AS id_registro_calificacion, id_participacion,
+  criterio_calificacion, s_name AS nombre_coach, CAST(ultima % 100 AS INT) % 7 - 3 AS calificacion,
   'Calificacion' AS concepto, fecha_registro
 FROM (SELECT o_custkey AS id_participacion, l_linenumber % 3 + 1 AS id_criterio, l_suppkey,
         max((l_orderkey * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT)) AS ultima,
@@ -172,7 +177,8 @@ SELECT o_orderkey AS id_registro_actividad, o_custkey AS id_participacion, o_ord
   concat('Supplier#', lpad(CAST(o_orderkey % 10 AS STRING), 9, '0')) AS nombre_coach, CAST(o_orderdate AS DATE) AS fecha_registro
 FROM {orders}""",
     "raw_registros_calificaciones": """
-SELECT o_custkey AS id_participacion, concat('Criterio ', CAST(l_linenumber AS STRING)) AS criterio_calificacion,
+SELECT l_orderkey * 10 + l_linenumber AS id_registro_calificacion, o_custkey AS id_participacion,
+  concat('Criterio ', CAST(l_linenumber AS STRING)) AS criterio_calificacion,
   s_name AS nombre_coach, CAST(l_quantity AS INT) - 25 AS calificacion, 'Calificacion' AS concepto,
   CAST(l_shipdate AS DATE) AS fecha_registro
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {supplier} ON l_suppkey = s_suppkey""",
@@ -227,7 +233,15 @@ FROM {events} JOIN {habitos} ON id_habito = (event_id + 3) % 7 + 1 GROUP BY user
 SELECT id_participacion, id_actividad, bool_or(o_orderstatus <> 'F') AS registro
 FROM {orders} JOIN {participacion} p ON id_participacion = o_custkey JOIN {actividades} a ON p.nombre_reto = a.nombre_reto
   AND CAST(FLOOR(o_orderkey / 7) AS BIGINT) % 23 = extract(DAY FROM a.inicio) - 1
-GROUP BY id_participacion, id_actividad""",
+GROUP BY id_participacion, id_actividad
+UNION ALL
+SELECT o_custkey, 3000000000000 + o_orderkey, TRUE FROM {orders} WHERE o_orderstatus = 'P'
+UNION ALL
+SELECT DISTINCT o_custkey, primera, TRUE
+FROM {orders} JOIN {participacion} p ON p.id_participacion = o_custkey JOIN {retos} r ON r.nombre_reto = p.nombre_reto
+  JOIN (SELECT id_reto, min(id_actividad) AS primera FROM {actividades} a JOIN {retos} s ON a.nombre_reto = s.nombre_reto
+        GROUP BY id_reto) m ON m.id_reto = (r.id_reto + 1) % 5
+WHERE o_orderstatus = 'F'""",
     "lote_inicios": """
 SELECT DISTINCT CAST(o_orderdate AS DATE) AS fecha_inicio FROM {orders}""",
     "lote_actividades": """

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from tablero.schema import HABIT_WEIGHTS, SCHEMAS
 from tablero.sources.tables import Tables
 
+AS_OF = date(2024, 1, 25)
 START = date(2024, 1, 1)
 END = date(2024, 1, 22)
 RETO, ANA, LUIS = "Reto Uno", "Ana Rojas Paz", "Luis Soto Gil"
@@ -56,4 +57,5 @@ def attendance(id_: int, person: int, activity_id: int) -> tuple:
 
 
 def ratings(person: int, coach: str, values: list[int]) -> list[tuple]:
-    return [(person, c, coach, v, "Calificacion", START) for c, v in zip(CRITERIA, values, strict=True)]
+    first = person * 1000 + COACHES.index(coach) * 10
+    return [(first + n, person, c, coach, v, "Calificacion", START) for n, (c, v) in enumerate(zip(CRITERIA, values, strict=True))]

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from tablero.functions.text import blank_to_null
 from tablero.operators import changes
-from tests.frames import ANA, COACHES, CRITERIA, HABITS, RETO, START, base, frame, habit_rows, ratings
+from tablero.plans import quality, saving
+from tests.frames import ANA, COACHES, CRITERIA, HABITS, RETO, START, activity, base, frame, habit_rows, ratings
 
 TODAY = date(2024, 1, 25)
 HABIT_KEY = ["id_participacion", "fecha_ocurrencia", "nombre_habito"]
@@ -101,6 +102,55 @@ def test_photo_date_moves_only_for_the_same_coach(spark):
         (3, 1, "Frente", "Final", "EE", TODAY, COACHES[1])]
 
 
+def test_repeated_keys_change_a_row_once(spark):
+    target = base(spark).participacion
+    new = spark.createDataFrame([(1, "b", 2), (1, "a", 3), (1, "c", 1)], "id_participacion long, objetivo_participacion string, n int")
+    once = changes.update_rows(target, new, ["id_participacion"], ["objetivo_participacion"])
+    assert [r.objetivo_participacion for r in once.filter("id_participacion = 1").collect()] == ["a"]
+    first = changes.update_rows(target, new, ["id_participacion"], ["objetivo_participacion"], order=["n"])
+    assert [r.objetivo_participacion for r in first.filter("id_participacion = 1").collect()] == ["c"]
+    photos = frame(spark, "fotos", [(1, 1, "Frente", "Inicial", "AA", START, COACHES[0])])
+    twice = spark.createDataFrame([(1, "Frente", e, x, COACHES[0]) for e in ("Inicial", "Final") for x in ("DD", "CC")],
+                                  "id_participacion long, tipo string, estado string, archivo string, nombre_coach string")
+    assert rows(changes.upsert_photos(photos, twice, TODAY).select("id_foto", "archivo")) == [(1, "CC"), (2, "CC")]
+
+
+def test_saves_reject_what_the_rules_forbid(spark):
+    closed, late = "Reto Dos", START + timedelta(days=30)
+    t = base(
+        spark, retos=frame(spark, "retos", [(1, RETO, START, date(2024, 1, 22), True), (2, closed, START, date(2024, 1, 22), False)]),
+        participacion=frame(spark, "participacion", [(1, RETO, ANA, None), (2, closed, ANA, None)]),
+        actividades=frame(spark, "actividades", [activity(5, "Fit Camp", datetime(2024, 1, 2, 10), 1), activity(6, "Fit Camp", datetime(2024, 1, 2, 10), 1, reto=closed)]))
+    grid = spark.createDataFrame(
+        [(1, START, "a", True), (1, late, "a", True), (1, late, "b", False), (2, START, "a", True), (9, START, "a", False), (1, date(2024, 1, 21), "a", True)],
+        "id_participacion long, fecha_ocurrencia date, nombre_habito string, registro boolean")
+    table, rejected = saving.save_habits(t, grid, COACHES[0], date(2024, 1, 20))
+    assert rows(table.select("id_participacion", "fecha_ocurrencia")) == [(1, START)]
+    assert {(r.id_participacion, r.fecha_ocurrencia, r.motivos) for r in rejected.collect()} == {
+        (1, late, "fuera_de_reto,fecha_futura"), (2, START, "reto_inactivo"), (9, START, "participacion_desconocida"), (1, date(2024, 1, 21), "fecha_futura")}
+    marks = spark.createDataFrame([(1, 5, True), (1, 6, True), (1, 7, True), (2, 6, True)], "id_participacion long, id_actividad long, registro boolean")
+    table, rejected = saving.save_attendance(t, marks, COACHES[0], TODAY)
+    assert rows(table.select("id_participacion", "id_actividad")) == [(1, 5)]
+    assert {(r.id_participacion, r.id_actividad, r.motivos) for r in rejected.collect()} == {
+        (1, 6, "actividad_de_otro_reto"), (1, 7, "actividad_desconocida"), (2, 6, "reto_inactivo")}
+    rated = spark.createDataFrame([(p, COACHES[0], c, "Mejor") for p in (1, 2) for c in CRITERIA], "id_participacion long, nombre_coach string, criterio_calificacion string, calificacion string")
+    table, rejected = saving.save_ratings(t, rated, TODAY)
+    assert table.count() == 3 and {r.id_registro_calificacion for r in table.collect()} == {1, 2, 3} and rejected.count() == 3
+    photo = spark.createDataFrame([(2, "Frente", "Final", "AA", COACHES[0])], "id_participacion long, tipo string, estado string, archivo string, nombre_coach string")
+    table, rejected = saving.save_photos(t, photo, TODAY)
+    assert table.count() == 0 and [r.motivos for r in rejected.collect()] == ["reto_inactivo"]
+
+
+def test_saved_test_tables_break_no_rule(small):
+    habits = saving.save_habits(small, small["lote_checklist"], COACHES[0], TODAY).table
+    attended = saving.save_attendance(small, small["lote_asistencia"], COACHES[0], TODAY).table
+    saved = small.replace(registros_habitos=habits, registros_actividades=attended)
+    for rule in (quality.dq_habit_range, quality.dq_attendance_reto):
+        assert rule(saved, as_of=TODAY).count() == 0
+    before, after = (quality.dq_inactive(x, tables=("registros_habitos", "registros_actividades")).select("tabla", "clave") for x in (small, saved))
+    assert after.exceptAll(before).count() == 0
+
+
 def test_guard_rename_alerts_and_blanks(spark):
     t = base(spark)
     asked = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id_retador long, dato string")

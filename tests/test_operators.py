@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablero.operators.catalogue import is_small, ordered_names, per_catalogue_row
+from tablero.operators.catalogue import per_catalogue_row
 from tablero.operators.overlap import overlap_counts
 from tablero.operators.running import number_rows, running_sums, value_ranks
 from tablero.operators.spread import spread_join
@@ -80,23 +80,24 @@ def test_number_rows_is_dense_and_stable(spark):
     assert {(r.a, r.id) for r in one} == {(r.a, r.id) for r in again}
 
 
-def test_catalogue_rows_within_and_beyond_the_limit(spark):
+def test_catalogue_rows(spark):
     left = spark.createDataFrame([(i,) for i in range(40)], "id long")
-    catalogue = spark.createDataFrame([(f"h{i}", i) for i in range(30)], "h string, n int")
-    assert is_small(catalogue, 30)
-    assert not is_small(catalogue, 29)
-    inside, beyond = per_catalogue_row(left, catalogue), per_catalogue_row(left, catalogue, limit=5, row_slots=4, entry_slots=3)
-    assert inside.columns == beyond.columns == ["id", "h", "n"]
-    assert Counter(map(tuple, inside.collect())) == Counter(map(tuple, beyond.collect()))
-    assert inside.count() == 1200
-    plan = beyond._jdf.queryExecution().optimizedPlan().toString()
+    catalogue = spark.createDataFrame([(f"h{i}", i) for i in range(1500)], "h string, n int")
+    one, other = per_catalogue_row(left, catalogue), per_catalogue_row(left, catalogue, slots=3)
+    assert one.columns == other.columns == ["id", "h", "n"]
+    assert Counter(map(tuple, one.collect())) == Counter(map(tuple, other.collect()))
+    assert one.distinct().count() == 60_000
+    plan = other._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan
     assert per_catalogue_row(left, catalogue.limit(0)).count() == 0
 
 
-def test_ordered_names(spark):
-    catalogue = spark.createDataFrame([("b", 1), ("a", 2)], "h string, n int")
-    assert ordered_names(catalogue, "h", "n") == ["b", "a"]
+def test_running_sums_at_several_levels(spark):
+    points = spark.createDataFrame([("g", i * i % 1009, 1) for i in range(500)], "g string, x long, n long").groupBy("g", "x").agg(F.sum("n").alias("n"))
+    for descending in (False, True):
+        flat = running_sums(points, ["g"], "x", F.floor(F.col("x") / 3), ["n"], descending)
+        deep = running_sums(points, ["g"], "x", F.floor(F.col("x") / 3), ["n"], descending, coarser=(5, 4))
+        assert Counter(map(tuple, flat.collect())) == Counter(map(tuple, deep.collect()))
 
 
 def test_spread_join_equals_join(spark):

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+from collections import Counter
 from datetime import date, datetime
 from decimal import Decimal
 
 from tablero.plans import quality, views
+from tablero.schema import FOREIGN_KEYS, PRIMARY_KEYS, UNIQUE_KEYS
 from tablero.sources.tables import seed_weights
-from tests.frames import COACHES, HABITS, RETO, START, activity, base, frame, habit_rows, ratings
+from tests.frames import AS_OF, COACHES, HABITS, RETO, START, activity, base, frame, habit_rows, ratings
 
 
 def found(df):
@@ -15,14 +17,14 @@ def found(df):
 def test_sound_tables_have_no_violations(spark):
     t = base(spark, registros_habitos=frame(spark, "registros_habitos", habit_rows(1, HABITS, 3)))
     for name, rule in quality.RULES.items():
-        assert found(rule(t)) == set(), name
+        assert found(rule(t, as_of=AS_OF)) == set(), name
 
 
 def test_only_expected_findings_on_clean_test_data(small):
     for name, rule in quality.RULES.items():
         if name in ("dq_format", "dq_inactive"):  # generated names have one word; logs of the closed challenge are kept
             continue
-        assert rule(small).count() == 0, name
+        assert rule(small, as_of=AS_OF).count() == 0, name
 
 
 def test_touching_activities_overlap_once_each(spark):
@@ -60,7 +62,7 @@ def test_seed_weights(spark):
 
 def test_ratings_components_and_nulls(spark):
     rows = [*ratings(1, COACHES[0], [4, 0, -4])]
-    rows[1] = rows[1][:4] + ("Habitos", START)
+    rows[1] = rows[1][:5] + ("Habitos", START)
     t = base(spark, registros_calificaciones=frame(spark, "registros_calificaciones", rows))
     assert {d for _, d in found(quality.dq_rating_range(t))} == {"4", "-4"}
     assert {d for _, d in found(quality.dq_component(t))} == {"Habitos"}
@@ -94,6 +96,44 @@ def test_challenger_in_two_active_challenges(spark):
     assert found(quality.dq_inactive(t, tables=("participacion",))) == {("3", "C"), ("5", "C")}
 
 
+def test_inactive_challenges_freeze_six_tables(spark):
+    t = base(
+        spark, retos=frame(spark, "retos", [(1, RETO, START, date(2024, 1, 22), False)]),
+        fotos=frame(spark, "fotos", [(4, 1, "Frente", "Inicial", "AA", START, COACHES[0])]),
+        actividades=frame(spark, "actividades", [activity(5, "Fit Camp", datetime(2024, 1, 2, 10), 1)]),
+        registros_actividades=frame(spark, "registros_actividades", [(6, 1, 5, "Actividades", COACHES[0], START)]),
+        registros_habitos=frame(spark, "registros_habitos", habit_rows(1, HABITS[:1], 1, first_id=7)),
+        registros_calificaciones=frame(spark, "registros_calificaciones", ratings(1, COACHES[0], [1, 1, 1])[:1]))
+    got = {(r.tabla, r.clave) for r in quality.dq_inactive(t).collect()}
+    assert got == {("participacion", "1"), ("participacion", "2"), ("fotos", "4"), ("actividades", "5"), ("registros_actividades", "6"),
+                   ("registros_habitos", "7"), ("registros_calificaciones", "1000")}
+
+
+def test_keys_written_out_once_more():
+    """The keys as the tables declare them, apart from the module that rules and their SQL are generated from."""
+    assert set(PRIMARY_KEYS.items()) == {
+        ("coaches", "id_coach"), ("retadores", "id_retador"), ("retos", "id_reto"), ("participacion", "id_participacion"),
+        ("parametros", "id_parametro"), ("registros_parametros", "id_registro_parametro"), ("fotos", "id_foto"), ("conceptos", "id_concepto"),
+        ("actividades", "id_actividad"), ("registros_actividades", "id_registro_actividad"), ("habitos", "id_habito"),
+        ("registros_habitos", "id_registro_habito"), ("criterios_calificacion", "id_criterio_calificacion"),
+        ("registros_calificaciones", "id_registro_calificacion")}
+    assert {(table, *columns) for table, columns in UNIQUE_KEYS} >= {
+        ("retos", "nombre_reto"), ("participacion", "nombre_reto", "nombre_retador"), ("fotos", "id_participacion", "tipo", "estado"),
+        ("registros_habitos", "id_participacion", "fecha_ocurrencia", "nombre_habito"), ("registros_actividades", "id_participacion", "id_actividad"),
+        ("registros_calificaciones", "id_participacion", "criterio_calificacion", "nombre_coach"), ("registros_parametros", "id_participacion", "nombre_parametro")}
+    children = Counter(rule[0] for rule in FOREIGN_KEYS)
+    assert children == {"retadores": 1, "participacion": 2, "registros_parametros": 2, "fotos": 2, "actividades": 2, "registros_actividades": 4,
+                        "registros_habitos": 4, "registros_calificaciones": 4}
+
+
+def test_every_label_is_listed(spark):
+    rows = {(r.variable, r.valor): (r.orden, r.usos) for r in views.domain_values(base(spark)).collect()}
+    assert len(rows) == 18 and rows["permisos_coach", "Inactivo"] == (3, 1) and rows["tipo_foto", "Perfil"] == (2, 0)
+    odd = base(spark, retadores=frame(spark, "retadores", [(1, "a", None, "Otro", "1", None, "c")]))
+    assert {(r.valor, r.orden, r.usos) for r in views.domain_values(odd).filter("variable = 'sexos'").collect()} == {
+        ("Mujer", 1, 0), ("Hombre", 2, 0), ("Otro", None, 1)}
+
+
 def test_delete_blocked(spark):
     t = base(spark)
     assert {(r.tabla, r.clave) for r in quality.delete_blocked(t, parent="retos").collect()} == {("retos", RETO)}
