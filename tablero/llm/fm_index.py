@@ -76,20 +76,23 @@ class Index:
         moved = both - np.concatenate([self.base[symbols]] * 2) + np.concatenate([self.first[symbols]] * 2)
         return moved[: len(symbols)], moved[len(symbols) :]
 
-    def matches(self, text: np.ndarray, ends: np.ndarray, length: int, least: int = 2, at_once: int = 1 << 16) -> np.ndarray:
-        """Matching statistics up to ``length``: for each end position of the streamed text how many symbols up to it occur
-        at least ``least`` times in the index as they stand."""
+    def matches(self, text: np.ndarray, ends: np.ndarray, length: int | np.ndarray, least: int = 2, at_once: int = 1 << 16) -> np.ndarray:
+        """Matching statistics up to ``length`` (of each): for each end position of the streamed text how many symbols up to it
+        occur at least ``least`` times in the index as they stand."""
         out = np.zeros(len(ends), dtype=np.int64)
+        limits = np.broadcast_to(length, len(ends))
         for begin in range(0, len(ends), at_once):
-            own = ends[begin : begin + at_once]
-            alive = np.arange(len(own))
-            low, high = np.zeros(len(own), dtype=np.int64), np.full(len(own), self.size, dtype=np.int64)
-            for step in range(length):
-                symbols = text[own[alive] - step]
-                low, high = self.back(symbols, low, high)
+            own, limit = ends[begin : begin + at_once], limits[begin : begin + at_once]
+            alive = np.flatnonzero(limit > 0)
+            symbols = text[own[alive]]
+            low, high = self.first[symbols], self.first[symbols + 1]
+            for step in range(1, int(limit.max(initial=0)) + 1):
                 keep = high - low >= least
                 alive, low, high = alive[keep], low[keep], high[keep]
+                out[begin + alive] += 1
+                more = limit[alive] > step
+                alive, low, high = alive[more], low[more], high[more]
                 if not len(alive):
                     break
-                out[begin + alive] += 1
+                low, high = self.back(text[own[alive] - step], low, high)
         return out

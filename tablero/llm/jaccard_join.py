@@ -22,7 +22,6 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from math import comb
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablero.llm.common import WORD, keyed, written
+from tablero.llm.common import keyed, words_of, written
 from tablero.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -42,7 +41,6 @@ BANDS, ROWS, STRETCH = 24, 4, 16
 TOLERANCE = 1e-6
 #: Representatives of a block.
 BLOCK = 512
-SPLIT = re.compile(WORD)
 _draw = np.random.default_rng(20_240_125)
 FACTORS = (_draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 SHIFTS = _draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -50,10 +48,10 @@ SPREAD = (_draw.integers(0, 2**63, SHINGLE, dtype=np.uint64) << np.uint64(1)) |
 
 
 class WordHashes(dict):
-    """Word to its 64-bit hash; emptied when it has met half a million words."""
+    """Word to its 64-bit hash; emptied when it has met 200,000 words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
@@ -67,7 +65,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str, memo: WordHashes) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    words = SPLIT.findall(text)
+    words = words_of(text)
     if not words:
         return np.empty(0, dtype=np.uint64)
     hashes = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))

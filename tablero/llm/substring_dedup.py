@@ -24,22 +24,21 @@ other, so their windows are repeated. A null id is an id like any other. An empt
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablero.llm.common import WORD, written
+from tablero.llm.common import words_of, written
 from tablero.llm.fm_index import Index
 from tablero.llm.jaccard_join import WordHashes, mixed
 
 WINDOW, GRAM = 35, 8
 #: Occurrences of an anchor beyond which its windows are dealt by content, words of a shard, words at either end that make the finer key.
-HOT, SHARD, EDGE = 2048, 400_000, 4
-SPLIT = re.compile(WORD)
+HOT, SHARD, EDGE = 2048, 200_000, 4
 _draw = np.random.default_rng(41)
 GRAM_FACTORS = (_draw.integers(0, 2**63, GRAM, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 EDGE_FACTORS = (_draw.integers(0, 2**63, 2 * EDGE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -83,7 +82,7 @@ def anchored(rows: DataFrame) -> DataFrame:
         for batch in batches:
             sizes, digests, places, hashes = [], [], [], []
             for value in batch.column(1):
-                words = SPLIT.findall(value.as_py())
+                words = words_of(value.as_py())
                 grams, at = elected(hashed(words, memo))
                 at = np.unique(at)
                 sizes.append(len(words))
@@ -119,27 +118,29 @@ def segmented(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 text = batch.column(2)[i].as_py()
-                words = hashed(SPLIT.findall(text), memo)
+                words = hashed(words_of(text), memo)
                 grams, at = elected(words)
-                own = []
-                for place in batch.column(3)[i].as_py():
-                    p, hot = place["pos"], place["hot"]
-                    first, last = int(np.searchsorted(at, p)), int(np.searchsorted(at, p, side="right"))
-                    anchor = grams[p : p + 1]
+                raw, own = words.tobytes(), []
+                places = batch.column(3)[i].values
+                pos, hots = places.field("pos").to_numpy(), places.field("hot").to_numpy(zero_copy_only=False)
+                firsts, lasts = np.searchsorted(at, pos), np.searchsorted(at, pos, side="right")
+                anchors = grams[pos].view(np.int64).tolist()
+                for p, hot, first, last, key in zip(pos.tolist(), hots.tolist(), firsts.tolist(), lasts.tolist(), anchors, strict=True):
                     if not hot:
-                        own.append({"start": first, "key": int(anchor.view(np.int64)[0]), "hot": False, "words": words[first : last - 1 + WINDOW].tobytes()})
+                        own.append({"start": first, "key": key, "hot": False, "words": raw[8 * first : 8 * (last - 1 + WINDOW)]})
                         continue
+                    anchor = grams[p : p + 1]
                     edges = np.zeros(last - first, dtype=np.uint64)
                     for j in range(EDGE):
                         edges += mixed(words[first + j : last + j] + EDGE_FACTORS[j]) * EDGE_FACTORS[j]
                         end = first + WINDOW - EDGE + j
                         edges += mixed(words[end : end + last - first] + EDGE_FACTORS[EDGE + j]) * EDGE_FACTORS[EDGE + j]
                     keys = mixed(edges ^ anchor).view(np.int64)
-                    own += [{"start": s, "key": int(keys[s - first]), "hot": True, "words": words[s : s + WINDOW].tobytes()} for s in range(first, last)]
+                    own += [{"start": s, "key": int(keys[s - first]), "hot": True, "words": raw[8 * s : 8 * (s + WINDOW)]} for s in range(first, last)]
                 for c, x in zip(out, (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), text, own), strict=True):
                     c.append(x)
                 size += sum(len(x["words"]) for x in own)
-                if size > 8 << 20:
+                if size > 4 << 20:
                     yield flushed(out, kinds, names)
                     size = 0
         if out[0]:
@@ -162,9 +163,13 @@ def search(shard: dict[bytes, int]) -> Iterator[tuple[bytes, bytes]]:
     again = [spread[s + i : e + i + 1] for i, (s, e, x) in enumerate(zip(starts.tolist(), ends.tolist(), segments, strict=True)) if shard[x] > 1]
     index = Index(np.concatenate([spread, *again]))
     windows = sizes - WINDOW + 1
+    # First whole segments (they are shorter than what the index orders): if one occurs twice, so do all its windows.
+    whole = index.matches(symbols, ends - 1, sizes) == sizes
     owner = np.repeat(np.arange(len(segments)), windows)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    found = index.matches(symbols, starts[owner] + nth + WINDOW - 1, WINDOW) >= WINDOW
+    found = whole[owner]
+    rest = np.flatnonzero(~found)
+    found[rest] = index.matches(symbols, starts[owner[rest]] + nth[rest] + WINDOW - 1, WINDOW) >= WINDOW
     marks = found.astype(np.uint8).tobytes()
     at = 0
     for i, count in enumerate(windows.tolist()):
@@ -215,14 +220,16 @@ def cleaned(texts: DataFrame) -> DataFrame:
         for batch in batches:
             removed, digests, kept = [], [], []
             for value, marks in zip(batch.column(2), batch.column(3), strict=True):
-                words = SPLIT.findall(value.as_py())
-                edge = np.zeros(len(words) + 1, dtype=np.int64)
-                for x in marks.as_py():
-                    at = x["start"] + np.flatnonzero(np.frombuffer(x["marks"], dtype=np.uint8))
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + WINDOW, -1)
-                stay = np.cumsum(edge)[:-1] == 0
-                own = [words[i] for i in np.flatnonzero(stay)]
+                words = words_of(value.as_py())
+                starts, bits = marks.values.field("start").to_numpy(), marks.values.field("marks").to_pylist()
+                counts = np.array([len(x) for x in bits])
+                ahead = np.cumsum(counts) - counts
+                at = np.flatnonzero(np.frombuffer(b"".join(bits), dtype=np.uint8))
+                segment = np.searchsorted(ahead, at, side="right") - 1
+                at = starts[segment] + at - ahead[segment]
+                # Each window start opens, its end closes.
+                edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + WINDOW, minlength=len(words) + 1)
+                own = list(compress(words, (np.cumsum(edge)[:-1] == 0).tolist()))
                 removed.append(len(words) - len(own))
                 digests.append(kept_digest(own))
                 kept.append(" ".join(own))
