@@ -10,7 +10,7 @@ to each variance: most texts have no symbol and no repeated line at all, so that
 harmless in any source; the cut-off lies far in the tail, so that clean texts stay.
 
 Only built-in functions are used. A source may hold any share of the rows: every statistic is a partial aggregate, the estimates are one
-row per language and source. The vectors are written once; each step reads that narrow table.
+row per language and source, joined in parts of a group. The vectors are written once; each step reads that narrow table.
 
 Results for odd input: a null or empty text has no words and fails the base rules. A null language or source counts as the empty name. A
 text that fails the base rules takes no part in the estimates. A group of one text, or of equal texts, is its own centre and stays.
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablero.llm.common import GAP, written
+from tablero.operators.spread import spread_join
 
 #: Fewer words fail; so does a larger share (in percent) of words in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -94,7 +95,7 @@ def factored(estimates: DataFrame) -> DataFrame:
 
 def with_distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows with their squared distance d2 from the centre of their group; null where the group has no estimate."""
-    out, solved = rows.join(groups, ["lang", "source"], "left"), []
+    out, solved = spread_join(rows, groups, ["lang", "source"], ["key"], "left"), []
     for i in DIMENSIONS:
         left = F.col(f"x{i}") - F.col(f"m{i}")
         for k in range(i):
@@ -115,7 +116,7 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     for _ in range(steps):
         near = with_distance(rows, groups)
         limit = near.groupBy("lang", "source").agg(F.percentile_approx("d2", HALF).alias("limit"))
-        half = near.join(limit, ["lang", "source"]).where("d2 <= limit")
+        half = spread_join(near, limit, ["lang", "source"], ["key"]).where("d2 <= limit")
         moments = half.groupBy("lang", "source").agg(
             *(F.avg(f"x{i}").alias(f"m{i}") for i in DIMENSIONS),
             *((F.coalesce(F.covar_pop(f"x{i}", f"x{j}"), F.lit(0.0)) * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS))
