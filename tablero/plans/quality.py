@@ -91,7 +91,9 @@ def dq_orphans(t: Tables, *, tables: tuple[str, ...] | None = None, as_of: date
         marks = []
         for number, (_, column, parent, parent_column) in enumerate(rule for rule in FOREIGN_KEYS if rule[0] == table):
             known = t[parent].select(F.col(parent_column).alias(column)).distinct().withColumn(f"_hay{number}", F.lit(True))
-            rows = spread_join(rows, known, [column], own, "left")
+            # Persons are many and none is common among sound rows; a challenge, coach, activity or catalogue entry may be.
+            person = column in ("id_participacion", "nombre_retador")
+            rows = rows.join(known, column, "left") if person else spread_join(rows, known, [column], own, "left")
             marks.append(F.when(F.col(column).isNotNull() & F.col(f"_hay{number}").isNull(), F.struct(
                 F.lit(f"dq_orphans:{column}->{parent}").alias("rule"), F.col(column).cast("string").alias("detalle"))))
         lost = rows.withColumn("_perdida", F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())))
