@@ -56,11 +56,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The same rows, written as a Parquet table to the shared folder and read back: lineage ends here, a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(StructType(df.schema.fields)).parquet(path)
 
 

@@ -37,9 +37,20 @@ CAPACITY = 2048
 CLOSING = 0
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def narrowed(ids: bytes, width: int) -> bytes:
+    """Little-endian unsigned 32-bit integers as such of ``width`` bytes."""
+    if width == 4:
+        return ids
+    found = np.frombuffer(ids, dtype="<u4")
+    if found.max(initial=0) >= 1 << 8 * width:
+        raise ValueError(f"id {found.max()} does not fit {width} bytes")
+    return found.astype(f"<u{width}").tobytes()
+
+
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False, width: int = 4) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, and where it was made: part (the task) and local (its rank there among the
-    pieces of its length). ``with_ids`` adds the ids themselves as little-endian unsigned 32-bit integers."""
+    pieces of its length). ``with_ids`` adds the ids themselves as little-endian unsigned integers of ``width`` bytes; an id that needs
+    more is an error."""
     names = ["key", "piece", "start", "length", "ids_crc32", "part", "local"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +69,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str
                     rows.append((piece, start // 4, length, zlib.crc32(own), part, seen[length]))
                     seen[length] += 1
                     if with_ids:
-                        kept.append(own)
+                        kept.append(narrowed(own, width))
             numbers = np.array(rows, dtype=np.int64).reshape(-1, 6)
             columns = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(numbers[:, k]) for k in range(6))]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.binary())] if with_ids else [])], names + ["ids"] * with_ids)

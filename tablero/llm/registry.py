@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablero.llm import bpe, chat_format, html_text, jaccard_join, packing, pivot_search, quality_rules, substring_dedup, toxicity, training_order
-from tablero.llm.common import table
+from tablero.llm.common import shared_dir, table
 
 #: The vocabulary of the packed and ordered sequences.
 WORDS = "word_bpe_49k.json"
@@ -53,7 +54,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.shards(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), SEED)
+    folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    return training_order.shards(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), SEED, folder)
 
 
 def op10_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:

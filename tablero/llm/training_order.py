@@ -6,7 +6,8 @@ cycle until it falls below their count, maps number to slot: a bijection that an
 shuffle table. Slots are dealt to partitions by range, so a partition holds whole shards. A shard is ``rows`` records of ``stride`` ids;
 slot s is record s % rows of shard s // rows, so a reader resumes at any slot with one seek.
 
-The partition of a slot is computed, not sampled. The driver sees one count per input task, never a row.
+The partition of a slot is computed, not sampled. The driver sees one count per input task, never a row. Ids take ``WIDTH`` bytes wherever they
+are written (pieces, shuffle, shards); one that needs more stops the run.
 
 Results for odd input: a null or empty text is one sequence with the closing id only. Repeated rows and null keys are sequences like any
 others. An empty table gives no shard. Extra columns of the input are ignored.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,9 @@ from tablero.llm.common import written
 from tablero.llm.packing import token_pieces
 
 STRIDE = 256
-#: Records of a shard: 8 MB at the default stride.
+#: Bytes of an id: the vocabulary has fewer than 65,536 (another one may need 4).
+WIDTH = 2
+#: Records of a shard: 4 MB at the default stride and width.
 ROWS = 8192
 #: Fills the records: the closing text id of the vocabulary.
 PAD = 49407
@@ -60,9 +64,10 @@ def permuted(numbers: np.ndarray, count: int, key: int, rounds: int = ROUNDS) ->
     return out.astype(np.int64)
 
 
-def slots(docs: DataFrame, path: str, seed: int, stride: int = STRIDE, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+def slots(docs: DataFrame, path: str, seed: int, stride: int = STRIDE, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> tuple[DataFrame, int]:
     """Every token piece with its ids and its slot, and how many there are."""
-    pieces = written(token_pieces(docs, path, stride, key, text, with_ids=True).withColumn("nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    unnumbered = token_pieces(docs, path, stride, key, text, with_ids=True, width=width)
+    pieces = written(unnumbered.withColumn("nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "zstd")
     made = sorted((row[0], row[1]) for row in pieces.groupBy("part").agg((F.max("nth") + 1).alias("n")).collect())
     parts, ahead = np.array([p for p, _ in made], dtype=np.int64), np.cumsum([0, *(n for _, n in made)])
     count = int(ahead[-1])
@@ -82,60 +87,72 @@ def by_range(sequences: DataFrame, count: int, rows: int, partitions: int) -> Da
 
 
 def shards(docs: DataFrame, path: str, seed: int, folder: str | None = None, stride: int = STRIDE, rows: int = ROWS, pad: int = PAD,
-           key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per sequence: key, piece, start, length, ids_crc32 of its own ids, slot, shard, record and record_crc32 of the padded record.
+           key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """One row per sequence: key, piece, start, length, ids_crc32 of its own ids, slot, shard, record, record_crc32 of the padded record (both of
+    32-bit ids, whatever the width) and shard_crc32 of its shard's bytes.
 
     With a folder (any URI that Arrow's file systems open) each shard is written there as ``shard-<number>.bin``: first under a name of its
-    own, then moved into place, so a repeated task leaves the same file."""
-    sequences, count = slots(docs, path, seed, stride, key, text)
+    own, then moved into place, so a repeated task leaves the same file. shard_crc32 is then that of the file as read back."""
+    sequences, count = slots(docs, path, seed, stride, key, text, width)
     kind = sequences.schema[key].dataType.simpleString()
-    names = ["key", "piece", "start", "length", "ids_crc32", "slot", "shard", "record", "record_crc32"]
+    names = ["key", "piece", "start", "length", "ids_crc32", "slot", "shard", "record", "record_crc32", "shard_crc32"]
 
-    def flush(number: int, records: list[bytes]) -> None:
+    def flush(number: int, raw: bytes) -> bytes:
         files, at = fs.FileSystem.from_uri(folder)
         files.create_dir(at, recursive=True)
         with files.open_output_stream(draft := f"{at}/.{number}-{uuid.uuid4().hex}") as out:
-            out.write(b"".join(records))
+            out.write(raw)
         files.move(draft, f"{at}/shard-{number:08d}.bin")
+        with files.open_input_stream(f"{at}/shard-{number:08d}.bin") as data:
+            return data.read()
+
+    def finished(number: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a whole shard, which is written before."""
+        record = np.full((sum(len(x) for x in held), stride), pad, dtype=f"<u{width}")
+        for line, ids in zip(record, (x for batch in held for x in batch.column(5)), strict=True):
+            own = np.frombuffer(ids.as_py(), dtype=f"<u{width}")
+            line[: len(own)] = own
+        raw = record.tobytes()
+        whole, first = zlib.crc32(flush(number, raw) if folder else raw), 0
+        for batch in held:
+            slot = batch.column(6).to_numpy()
+            sums = [zlib.crc32(x) for x in record[first : first + len(slot)].astype("<u4")]
+            first += len(slot)
+            numbers = [pa.array(x) for x in (slot, slot // rows, slot % rows, np.array(sums, dtype=np.int64), np.full(len(slot), whole, dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), *numbers], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, records = -1, []
+        number, held = -1, []
         for batch in batches:
-            slot = batch.column(6).to_numpy()
-            sums = []
-            for one, ids in zip(slot.tolist(), batch.column(5), strict=True):
-                record = np.full(stride, pad, dtype="<u4")
-                own = np.frombuffer(ids.as_py(), dtype="<u4")
-                record[: len(own)] = own
-                raw = record.tobytes()
-                sums.append(zlib.crc32(raw))
-                if folder:
-                    if one // rows != number:
-                        if records:
-                            flush(number, records)
-                        number, records = one // rows, []
-                    records.append(raw)
-            numbers = [pa.array(x) for x in (slot, slot // rows, slot % rows, np.array(sums, dtype=np.int64))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), *numbers], names)
-        if records:
-            flush(number, records)
+            of = batch.column(6).to_numpy() // rows
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for first, end in pairwise(cuts):
+                if first == end:
+                    continue
+                if of[first] != number:
+                    if held:
+                        yield from finished(number, held)
+                    number, held = int(of[first]), []
+                held.append(batch.slice(first, end - first))
+        if held:
+            yield from finished(number, held)
 
     partitions = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     schema = f"key {kind}, " + ", ".join(f"{x} long" for x in names[1:])
     return by_range(sequences, count, rows, partitions).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-def read_from(folder: str, slot: int, count: int, stride: int = STRIDE, rows: int = ROWS) -> np.ndarray:
-    """``count`` records from a slot on, by seeking: how a reader resumes."""
+def read_from(folder: str, slot: int, count: int, stride: int = STRIDE, rows: int = ROWS, width: int = WIDTH) -> np.ndarray:
+    """``count`` records from a slot on as 32-bit ids, by seeking: how a reader resumes."""
     files, at = fs.FileSystem.from_uri(folder)
-    found, size = [], 4 * stride
+    found, size = [], width * stride
     while count:
         number, record = divmod(slot, rows)
         own = min(count, rows - record)
         with files.open_input_file(f"{at}/shard-{number:08d}.bin") as data:
             data.seek(record * size)
             raw = data.read(own * size)
-        found.append(np.frombuffer(raw, dtype="<u4").reshape(-1, stride))
+        found.append(np.frombuffer(raw, dtype=f"<u{width}").astype("<u4").reshape(-1, stride))
         if len(raw) < own * size:
             break
         slot, count = slot + own, count - own

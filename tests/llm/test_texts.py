@@ -6,15 +6,17 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from tablero.llm import bpe, html_text, packing, quality_rules, toxicity, training_order
+from tablero.llm import bpe, html_text, packing, quality_rules, registry, toxicity, training_order
 from tablero.llm.boosting import boost
+from tablero.llm.common import shared_dir
 from tablero.llm.word_bpe import Words
-from tests.llm.frames import documents, odd_texts, prose, quality_counts
+from tests.llm.frames import SMALL, documents, odd_texts, prose, quality_counts
 
 RANKS, VOCABULARY = public_tokenizers.path(bpe.RANKS), public_tokenizers.path("word_bpe_49k.json")
 
@@ -127,6 +129,24 @@ def test_training_order(spark, tmp_path):
     assert training_order.shards(documents(spark, []), VOCABULARY, 11).count() == 0
 
 
+def test_training_order_query_writes_its_shards(spark):
+    """The registered query leaves the shard files, their digests are in its rows, and they hold the ids of every sequence."""
+    found = registry.op9_training_order(spark, SMALL).collect()
+    folders = list(Path(shared_dir(spark).removeprefix("file:").replace("//", "/")).glob("shards-*"))
+    files = {int(p.stem[6:]): p.read_bytes() for p in max(folders, key=lambda p: p.stat().st_mtime).glob("*.bin")}
+    assert {r.shard: r.shard_crc32 for r in found} == {k: zlib.crc32(raw) for k, raw in files.items()}
+    for r in found:
+        own = np.frombuffer(files[r.shard], dtype="<u2").reshape(-1, training_order.STRIDE)[r.record].astype("<u4")
+        assert zlib.crc32(own.tobytes()) == r.record_crc32
+        assert zlib.crc32(own[: r.length].tobytes()) == r.ids_crc32
+
+
+def test_wide_ids_are_not_cut():
+    assert packing.narrowed(np.array([1, 65535], dtype="<u4").tobytes(), 2) == np.array([1, 65535], dtype="<u2").tobytes()
+    with pytest.raises(ValueError):
+        packing.narrowed(np.array([65536], dtype="<u4").tobytes(), 2)
+
+
 def test_quality_counts(spark):
     rows = [*odd_texts(), (50, "a b c a b c\nx\nx\n \n#$ <&>"), (51, "w " * 70), (52, prose(9, 60), None, None)]
     found = quality_rules.judged(documents(spark, rows)).collect()
