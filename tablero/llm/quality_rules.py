@@ -3,11 +3,12 @@
 Every text becomes a vector of four transformed rates: the logarithm of the mean word length, and log(1 + rate) of symbols per word, of
 repeated lines per line and of words in repeated 3-word windows per word. For each pair of language and source the minimum covariance
 determinant is approached by concentration steps: start from medians and quartile widths, keep the half of the texts nearest to the
-centre, take its mean and covariance, repeat. Texts whose squared Mahalanobis distance exceeds the cut-off are rejected.
+centre, take its mean and covariance, repeat until centre and factor of every group stand still. Texts whose squared Mahalanobis distance exceeds the cut-off are rejected.
 
 The covariance of the central half is scaled to that of a normal sample (factor of the chi-square law), and a floor is added
 to each variance: most texts have no symbol and no repeated line at all, so that the half has no spread there. The floors state which spread is
-harmless in any source; the cut-off lies far in the tail, so that clean texts stay.
+harmless in any source; the cut-off lies far in the tail, so that clean texts stay. Each floor is small enough that the largest value of its
+dimension alone (ln 2 for lines, ln 1.5 for the repeated words that the base rule admits) lies at four times the cut-off or more.
 
 Only built-in functions are used. A source may hold any share of the rows: every statistic is a partial aggregate, the estimates are one
 row per language and source, joined in parts of a group. The vectors are written once; each step reads that narrow table.
@@ -30,10 +31,11 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: The share of texts that the estimates keep, and the factor that makes the covariance of that half consistent in four dimensions.
 HALF, CONSISTENCY = 0.5, 2.13
 #: Standard deviations that are harmless in any source: word length, symbols, repeated lines, repeated words (all on the transformed scale).
-FLOORS = (0.1, 0.02, 0.1, 0.1)
+FLOORS = (0.1, 0.02, 0.05, 0.03)
 #: Squared distance beyond which a text is rejected (chi-square of four degrees: 4e-8).
 CUTOFF = 40.0
-STEPS = 3
+#: The steps end when nothing moves by more than this share of a standard deviation; the number is a guard that they should never meet.
+STILL, STEPS = 1e-4, 60
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
 DIMENSIONS = range(4)
@@ -105,6 +107,13 @@ def with_distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return out.withColumn("d2", sum(solved[1:], solved[0])).select(*rows.columns, "d2")
 
 
+def moved(before: DataFrame, after: DataFrame) -> bool:
+    """Whether centre or factor of any group moved, measured in its standard deviations."""
+    b, a = before.alias("b"), after.alias("a")
+    changes = [F.abs(F.col(f"a.{x}{i}{j}") - F.col(f"b.{x}{i}{j}")) / F.col(f"a.l{i}{i}") for x, i, j in [*(("m", i, "") for i in DIMENSIONS), *(("l", i, j) for i, j in PAIRS)]]
+    return not a.join(b, ["lang", "source"]).where(F.greatest(*changes) > STILL).isEmpty()
+
+
 def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """Centre and factor per language and source."""
     quartiles = rows.groupBy("lang", "source").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75]).alias(f"q{i}") for i in DIMENSIONS))
@@ -120,7 +129,9 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         moments = half.groupBy("lang", "source").agg(
             *(F.avg(f"x{i}").alias(f"m{i}") for i in DIMENSIONS),
             *((F.coalesce(F.covar_pop(f"x{i}", f"x{j}"), F.lit(0.0)) * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS))
-        groups = written(factored(moments))
+        before, groups = groups, written(factored(moments))
+        if not moved(before, groups):
+            break
     return groups
 
 

@@ -188,6 +188,34 @@ def test_quality_outliers_follow_the_estimates(spark):
     assert np.allclose([found[r[0]].d2 for r in own], d, rtol=1e-6, atol=1e-9)
 
 
+def test_each_dimension_rejects_alone(spark):
+    """In a clean source one extreme text per dimension goes, and the estimates at the end are those that one more step gives."""
+    rows = [(i, prose(i, 60 + i % 50)) for i in range(300)]
+    draw, few, line, seen = random.Random(4), prose(900, 20).split(), [], set()
+    while len(line) < 100:
+        line.append(draw.choice(few))
+        if tuple(line[-3:]) in seen:
+            line.pop()
+        elif len(line) > 2:
+            seen.add(tuple(line[-3:]))
+    own, other = prose(901, 24), prose(902, 52)
+    junk = {
+        1000: " ".join(w * 5 for w in prose(903, 80).split()), 1001: " ".join(w[:-1] + "%" * (i % 4 == 0) for i, w in enumerate(prose(904, 80).split())),
+        1002: "\n".join(line), 1003: f"{own} {other} {own}"}
+    assert quality_counts(junk[1002])[3] >= 70 and quality_counts(junk[1002])[4] == 0 and quality_counts(junk[1003])[3:] == (0, 48)
+    rows += junk.items()
+    found = {r.doc_id: r for r in quality_rules.judged(documents(spark, rows)).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert {k for k, r in found.items() if not r.kept} == set(junk)
+    counts = np.array([quality_counts(text) for _, text in rows], dtype=float)
+    lines = np.array([text.count("\n") + 1 for _, text in rows])
+    x = np.stack([np.log(counts[:, 1] / counts[:, 0]), *(np.log1p(c) for c in (counts[:, 2] / counts[:, 0], counts[:, 3] / lines, counts[:, 4] / counts[:, 0]))], axis=1)
+    d = np.array([found[k].d2 for k, _ in rows])
+    half = x[d <= np.sort(d)[len(d) // 2 - 1]]
+    cov = np.cov(half.T, bias=True) * quality_rules.CONSISTENCY + np.diag(np.square(quality_rules.FLOORS))
+    assert np.allclose(((x - half.mean(0)) @ np.linalg.inv(cov) * (x - half.mean(0))).sum(1), d, rtol=1e-6, atol=1e-9)
+
+
 def toxic_rows(count: int):
     """Documents of ten sentences, one in six with one sentence that holds a bad word."""
     rows, labels = [], []
