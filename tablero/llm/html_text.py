@@ -12,7 +12,9 @@ adverts, sidebars, forms, comments and footers, under names that vary and are pa
 is one pass over whole pages.
 
 Results for odd input: a null or empty page, and one without main text, give the empty text. Broken markup is read as far as it goes: open
-elements end with their parent, stray end tags are ignored, an open comment or script runs to the end. Repeated rows and null ids give one
+elements end with their parent, stray end tags are ignored, an open comment, script or other raw text runs to the end. The tags of
+the head are passed over, since its elements hold no text of their own: it needs no end tag. Other silent elements (a button, say) go up to their
+end tag inside the same parent; one that has none there ends with its parent or before the next block. Formulas are kept as text. Repeated rows and null ids give one
 result row each. An empty table gives an empty result. Extra columns of the input are ignored.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -40,10 +43,13 @@ PRICE = 0.5
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TOKEN = re.compile(r"[a-z]+|\d")
-#: Elements whose content is no page text.
-SILENT = frozenset("script style template noscript iframe svg canvas object select textarea button head title math audio video".split())
+#: Elements whose content is no page text: raw text, which only its end tag ends, and those that hold markup.
+RAW = frozenset("script style title textarea iframe noframes".split())
+SILENT = frozenset("template noscript svg canvas object select button audio video annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var "
+    "math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
 #: A new element of these ends an open one of those.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 GROUPS = {
@@ -71,10 +77,46 @@ class Page:
     linked: list[int] = field(default_factory=lambda: [0])
 
 
+def raw_end(html: str, name: str, at: int) -> int:
+    """Where raw text that begins here is over, its end tag included."""
+    close = re.compile(rf"</{re.escape(name)}(?:[\s/>]|\Z)", re.I).search(html, at)
+    return (html.find(">", close.start()) + 1 if close else 0) or len(html)
+
+
+def silent_ends(html: str) -> dict[int, int]:
+    """Where each silent element begins that has an end tag inside its parent, and where it is over."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
+    found = TAG.search(html)
+    while found:
+        at, end, name = found.end(), found.group(1), (found.group(2) or "").lower()
+        if name in RAW:
+            at = at if end or found.group(3).rstrip().endswith("/") else raw_end(html, name, at)
+        elif not name or name in INLINE or name in VOID:
+            pass
+        elif not end:
+            if name not in SILENT or not found.group(3).rstrip().endswith("/"):
+                stack.append((name, found.start()))
+                opened[name] += 1
+        # The end of a paragraph does not reach out of a silent element.
+        elif opened[name] and not (name == "p" and next(x for x, _ in reversed(stack) if x == "p" or x in SILENT) != "p"):
+            while stack:
+                last, start = stack.pop()
+                opened[last] -= 1
+                if last == name:
+                    if name in SILENT:
+                        ends[start] = at
+                    break
+        found = TAG.search(html, at)
+    return ends
+
+
 def parse(html: str) -> Page:
     """The block elements and texts of a page."""
-    page, stack, at, link = Page(), [0], 0, False
+    page, stack, at, link, mute = Page(), [0], 0, False, False
     held: list[str] = []
+    ends: dict[int, int] | None = None
 
     def flush() -> None:
         if held:
@@ -85,7 +127,7 @@ def parse(html: str) -> Page:
 
     found = TAG.search(html)
     while found:
-        if found.start() > at:
+        if found.start() > at and not mute:
             held.append(html[at : found.start()])
             if link:
                 page.linked[stack[-1]] += found.start() - at
@@ -97,14 +139,20 @@ def parse(html: str) -> Page:
                 link = not end
             elif name == "br":
                 held.append(" ")
+            elif name in RAW:
+                if not end and not found.group(3).rstrip().endswith("/"):
+                    at = raw_end(html, name, at)
             elif name in SILENT:
                 if not end and not found.group(3).rstrip().endswith("/"):
-                    close = re.compile(rf"</{re.escape(name)}(?:[\s/>]|\Z)", re.I).search(html, at)
-                    at = html.find(">", close.start()) + 1 if close else len(html)
-                    at = at or len(html)
-            elif name not in INLINE:
+                    ends = silent_ends(html) if ends is None else ends
+                    mute |= found.start() not in ends
+                    at = ends.get(found.start(), at)
+            elif name == "head":
+                flush()
+            elif name not in INLINE and not (mute and not end and name not in GROUP):
                 flush()
                 link = False
+                mute &= not (name in GROUP or any(page.tag[x] == name for x in stack[1:]))
                 if end:
                     for depth in range(len(stack) - 1, 0, -1):
                         if page.tag[stack[depth]] == name:
@@ -123,7 +171,8 @@ def parse(html: str) -> Page:
                     page.linked.append(0)
                     stack.append(len(page.tag) - 1)
         found = TAG.search(html, at)
-    held.append(html[at:])
+    if not mute:
+        held.append(html[at:])
     flush()
     return page
 

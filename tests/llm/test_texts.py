@@ -279,6 +279,19 @@ def test_html_extraction(spark):
     assert html_text.model(table.limit(0)).depth == 4
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<html><head><title>x</title><meta charset=u><body><article><p>One.</p></article>", ["One."]),
+    ("<html><head><title>x</title><p>One.</p>", ["One."]),
+    ("<html><head><style>a</style><title>x</title></head><body><p>One.</p></body></html>", ["One."]),
+    *((f"<article><p>One.</p><{x}>gone<p>Two.</p><p>Three.</p></article><p>Four.</p>", ["One.", "Two.", "Three.", "Four."]) for x in ("button", "select", "object", "noscript", "svg", "video")),
+    ("<article><p>One.</p><div><button>gone</div><p>Two.</p></button><p>Three.</p></article>", ["One.", "Two.", "Three."]),
+    ("<article><p>One <button>gone<p>gone</p><div>gone</div></button>and two.</p><svg><g><text>gone</text></g></svg><p>Three.</p></article>", ["One and two.", "Three."]),
+    ("<p>Here <math><mi>x</mi><mo>=</mo><mn>1</mn></math> stands.</p>", ["Here x=1 stands."]),
+    ("<p>One.</p><script>gone<p>gone</p>", ["One."])])
+def test_silent_elements_drop_nothing_else(html, want):
+    assert [text for _, text in html_text.parse(html).texts] == want
+
+
 def test_html_held_out_layouts():
     """Layouts drawn with another seed and other texts than those of training."""
     texts = [prose(i, 6 + i % 60) for i in range(300)]
