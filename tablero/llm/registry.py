@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablero.llm import bpe, chat_format, html_text, jaccard_join, packing, pivot_search, quality_rules, substring_dedup, toxicity, training_order
+from tablero.llm import (
+    alignment, bpe, chat_format, html_text, jaccard_join, line_dedup, packing, pivot_search, quality_rules, spelling, substring_dedup, toxicity,
+    training_order,
+)
 from tablero.llm.common import shared_dir, table
 
 #: The vocabulary of the packed and ordered sequences.
@@ -62,9 +65,27 @@ def op10_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in (alignment.BYTE_BPE, alignment.PIECES)]
+    return alignment.aligned(table(spark, sf_dir, "documents"), *paths, spell=False)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_toxicity, op2_chat_format, op3_packing, op4_jaccard_join, op5_bpe, op6_html_text, op7_quality_rules, op8_substring_dedup, op9_training_order,
+    op10_pivot_search, op11_token_alignment, op12_spelling_variants, op13_line_dedup)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_packing, op4_jaccard_join, op5_bpe, op6_html_text, op7_quality_rules, op8_substring_dedup, op9_training_order, op10_pivot_search)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.SQL, "op10_pivot_search": pivot_search.SQL}
+    return {"op2_chat_format": chat_format.SQL, "op10_pivot_search": pivot_search.SQL, "op13_line_dedup": line_dedup.SQL}
