@@ -5,10 +5,10 @@
 2. Words of ``LEAST`` letters that occur ``TIMES`` times are the vocabulary, written once. A word's letters are a multiset, hence a binary vector with
    a dimension per letter and repetition. One replaced letter changes at most two dimensions, one more or less changes one.
 3. Partition and enumerate: the letters are dealt into ``PARTS`` parts. Vectors at a distance of at most d agree on all parts but d, so the
-   hashes of all choices of ``PARTS`` - d parts are exact signatures: 21 for words of the same length (d = 2), 7 for lengths that differ by one (d = 1),
-   each with the length of the shorter word. Equal signatures meet in an equi-join and are verified as edit distance 1; pairs are then made distinct.
-4. A signature that more than ``HOT`` words share is divided: words one edit apart agree on the first half of the shorter one's letters or on its last half,
-   so those words join on signature and half. That, too, loses no pair.
+   hashes of all choices of ``PARTS`` - d parts are exact signatures, for words of the same length (d = 2) and for lengths that differ by one (d = 1),
+   each with the length of the shorter word. Words one edit apart also agree on the first half of the shorter one's letters or on its last half, so
+   each signature comes once with either half. That loses no pair, and what shares a signature is few words however large the vocabulary is.
+4. Equal signatures meet in an equi-join over one shuffle and are verified there as edit distance 1; pairs are then made distinct.
 5. A word's form is its near word of largest count if that is at least twice its own; forms are followed by pointer jumping, and as counts double with each
    step, a path of 2^k forms takes k rounds.
 
@@ -26,21 +26,23 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablero.llm.common import keyed, written
 from tablero.llm.jaccard_join import mixed
 
 ODD, LEAST, TIMES, FACTOR = 97, 5, 3, 2
-#: Parts of the letters; words of one signature beyond which it is divided; different words that a task keeps before it sends them.
-PARTS, HOT, FLUSH = 7, 128, 200_000
+#: Parts of the letters; different words that a task keeps before it sends them; words that are signed at once.
+PARTS, FLUSH, SIGNED = 3, 200_000, 4096
+#: Roles of a signature: of words of the same length, of the shorter and of the longer one of lengths that differ.
+SAME, SHORTER, LONGER = range(3)
 #: Per byte of Latin-1: the letter, A-Z lower-cased, or a blank.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 192 else 32 for c in range(256))
 _draw = np.random.default_rng(61)
-#: Of a letter; of a choice of parts (same length first, then lengths that differ); of a length.
+#: Of a letter; of a choice of parts (same length first, then lengths that differ); factors of lengths and places.
 LETTER, CHOICE = _draw.integers(0, 2**63, 256, dtype=np.uint64), _draw.integers(0, 2**63, 64, dtype=np.uint64)
-LENGTH = np.uint64(_draw.integers(0, 2**63, dtype=np.uint64) | np.uint64(1))
+LENGTH, PLACE = _draw.integers(0, 2**63, 2, dtype=np.uint64) | np.uint64(1)
 
 
 def runs(text: str) -> list[bytes]:
@@ -84,53 +86,52 @@ def words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return keyed(named, key, text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def signed(vocabulary: DataFrame) -> DataFrame:
-    """Per word, kind (false: same length, true: lengths differ) and choice one row (key, word, size); ``size`` is the length of the shorter word of a pair,
-    and ``longer`` says that this word is not it."""
-    names = ["key", "word", "size", "longer", "differ"]
+def signatures(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """Role and one key per word, for every choice of parts and either half."""
+    sizes = np.array([len(w) for w in texts], dtype=np.int64)
+    letters = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(letters)) - np.repeat(starts, sizes)
+    behind = np.repeat(sizes, sizes) - 1 - place
+
+    def summed(values: np.ndarray, where: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.where(where, values, np.uint64(0)), starts)
+
+    part = letters % PARTS
+    parts = np.stack([summed(LETTER[letters], part == p) for p in range(PARTS)])
+    ahead, back = (mixed(LETTER[letters] + at.astype(np.uint64) * PLACE) for at in (place, behind))
+    choices = [(d, [p for p in range(PARTS) if p not in gone]) for d in (2, 1) for gone in combinations(range(PARTS), d)]
+    for role in (SAME, SHORTER, LONGER):
+        # All of it follows the length of the shorter word of a pair.
+        size = sizes - (role == LONGER)
+        half = size // 2
+        halves = [mixed(summed(ahead, place < np.repeat(half, sizes)) + size.astype(np.uint64) * LENGTH), mixed(summed(back, behind < np.repeat(size - half, sizes)) - size.astype(np.uint64) * LENGTH)]
+        for i, (d, kept) in enumerate(choices):
+            if (d == 2) == (role == SAME):
+                own = mixed(parts[kept].sum(axis=0, dtype=np.uint64) + CHOICE[i])
+                yield from ((role, mixed(own ^ h)) for h in halves)
+
 
+def signed(vocabulary: DataFrame) -> DataFrame:
+    """(key, role, word): per word a row for each of its signatures."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [[p for p in range(PARTS) if p not in c] for d in (2, 1) for c in combinations(range(PARTS), d)]
-        same = sum(1 for _ in combinations(range(PARTS), 2))
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                column = batch.column(0).slice(start, 4096)
-                texts = [w.encode("latin-1") for w in column.to_pylist()]
-                sizes = np.array([len(w) for w in texts], dtype=np.int64)
-                letters = np.frombuffer(b"".join(texts), dtype=np.uint8)
-                starts = np.cumsum(sizes) - sizes
-                parts = np.stack([np.add.reduceat(np.where(letters % PARTS == p, LETTER[letters], np.uint64(0)), starts) for p in range(PARTS)])
-                own = [mixed(parts[kept].sum(axis=0, dtype=np.uint64) + CHOICE[i]) for i, kept in enumerate(whole)]
-                at = np.arange(len(texts), dtype=np.int64)
-                for first, last, longer, differ in ((0, same, False, False), (same, len(whole), False, True), (same, len(whole), True, True)):
-                    size = sizes - 1 if longer else sizes
-                    keys = np.concatenate([mixed(x ^ (size.astype(np.uint64) * LENGTH)) for x in own[first:last]])
-                    times = last - first
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(keys.view(np.int64)), column.take(pa.array(np.tile(at, times))), pa.array(np.tile(size, times).astype(np.int32)),
-                        pa.array(np.full(len(keys), longer)), pa.array(np.full(len(keys), differ))], names)
-
-    return vocabulary.select("word").mapInArrow(run, "key long, word string, size int, longer boolean, differ boolean")
-
-
-def halves(word: str, size: str) -> Column:
-    """What the two ways to divide a hot signature add to its key."""
-    half = F.floor(F.col(size) / 2).cast("int")
-    rest = F.col(size) - half
-    return F.array(F.xxhash64(F.lit(0), F.substring(F.col(word), F.lit(1), half)), F.xxhash64(F.lit(1), F.substring(F.col(word), -rest, rest)))
+            for start in range(0, batch.num_rows, SIGNED):
+                column = batch.column(0).slice(start, SIGNED)
+                for role, keys in signatures([w.encode("latin-1") for w in column.to_pylist()]):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), role, dtype=np.int32)), column], ["key", "role", "word"])
+
+    return vocabulary.select("word").mapInArrow(run, "key long, role int, word string")
 
 
 def pairs(vocabulary: DataFrame) -> DataFrame:
     """(one, two): every unordered pair of words one edit apart, once."""
-    rows = written(signed(vocabulary))
-    crowd = rows.groupBy("key").agg(F.count("*").alias("members"))
-    hot = crowd.where(F.col("members") > HOT).select("key", F.lit(True).alias("hot"))
-    judged = rows.join(hot, "key", "left")
-    dealt = judged.select("key", F.explode(F.when(F.col("hot"), halves("word", "size")).otherwise(F.array(F.lit(0).cast("long")))).alias("half"), "word", "longer", "differ")
-    left = dealt.where("NOT longer").select("key", "half", "differ", F.col("word").alias("one"))
-    right = dealt.where("longer OR NOT differ").select("key", "half", "differ", F.col("word").alias("two"))
-    met = left.join(right, ["key", "half", "differ"])
-    return met.where("(differ OR one < two) AND levenshtein(one, two, 1) = 1").select("one", "two").distinct()
+    # A join by merging: the size that Spark assumes for these rows is the vocabulary's, which is far smaller.
+    rows = signed(vocabulary).hint("merge")
+    # Both roles stand in one expression, so neither side is filtered before the shuffle, which then serves both.
+    roles = F.col("l.role") * 3 + F.col("r.role")
+    met = rows.alias("l").join(rows.alias("r"), (F.col("l.key") == F.col("r.key")) & ((roles == 3 * SHORTER + LONGER) | ((roles == 0) & (F.col("l.word") < F.col("r.word")))) & F.expr("levenshtein(l.word, r.word, 1) = 1"))
+    return met.select(F.col("l.word").alias("one"), F.col("r.word").alias("two")).distinct()
 
 
 def rooted(forms: DataFrame) -> DataFrame:

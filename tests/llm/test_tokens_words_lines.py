@@ -156,9 +156,10 @@ def written_words() -> list[tuple]:
     return [(i, draw.choice([" ", ", ", "1", "-", "数"]).join(bag[i * 40 : i * 40 + 40]).replace("c", draw.choice("cC"))) for i in range(len(bag) // 40 + 1)]
 
 
-@pytest.mark.parametrize("hot", [128, 2])
-def test_spelling_variants(spark, monkeypatch, hot):
-    monkeypatch.setattr(spelling, "HOT", hot)
+@pytest.mark.parametrize(("parts", "signed"), [(3, 4096), (5, 7)])
+def test_spelling_variants(spark, monkeypatch, parts, signed):
+    monkeypatch.setattr(spelling, "PARTS", parts)
+    monkeypatch.setattr(spelling, "SIGNED", signed)
     rows = written_words() + [(None, "Colour COLOUR colour"), (None, "colour"), (3, None), (3, ""), (7, "tab\tnew")]
     want = variants(rows)
     assert found_variants(spelling.grouped(documents(spark, rows))) == want
