@@ -42,6 +42,33 @@ def running_sums(
         *[(F.coalesce(f"_o_{c}", zero) + F.coalesce(f"_l_{c}", zero)).alias(f"{c}_antes") for c in sums])
 
 
+def running_best(
+    points: DataFrame, group: list[str], axis: str, bucket: Column, value: str, coarser: tuple[int, ...] = (), descending: bool = False
+) -> DataFrame:
+    """Adds ``<value>_antes``: the least ``value`` of the group's points that come before on the axis, null where there is none.
+
+    ``value`` may be a struct, whose later fields then say whose value it is. Buckets and ``coarser`` widths are those of
+    :func:`running_sums`.
+    """
+    out = f"{value}_antes"
+
+    def ordered(c: str) -> Column:
+        return F.col(c).desc() if descending else F.col(c).asc()
+
+    marked = points.withColumn("_cubo", bucket)
+    best = marked.groupBy(*group, "_cubo").agg(F.min(value).alias("_m"))
+    if coarser:
+        level = best.select(*group, F.col("_cubo").alias("_eje"), "_m")
+        level = running_best(level, group, "_eje", F.floor(F.col("_eje") / coarser[0]), "_m", coarser[1:], descending)
+        offsets = level.select(*group, F.col("_eje").alias("_cubo"), F.col("_m_antes").alias("_o"))
+    else:
+        earlier_buckets = Window.partitionBy(*group).orderBy(ordered("_cubo")).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = best.select(*group, "_cubo", F.min("_m").over(earlier_buckets).alias("_o"))
+    inside = Window.partitionBy(*group, "_cubo").orderBy(ordered(axis)).rowsBetween(Window.unboundedPreceding, -1)
+    local = marked.withColumn("_l", F.min(value).over(inside)).join(offsets, [*group, "_cubo"])
+    return local.select(*points.columns, F.least("_l", "_o").alias(out))
+
+
 def value_ranks(
     df: DataFrame, group: list[str], value: str, width: int, descending: bool = False, coarser: tuple[int, ...] = ()
 ) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablero.functions.dates import in_days, is_minor
-from tablero.operators.overlap import overlap_counts
-from tablero.operators.spread import spread_join
+from tablero.operators.overlap import overlap_counts, overlap_witness
+from tablero.operators.spread import split_join, spread_join
 from tablero.schema import (
     CEREMONY,
     ENUM_COLUMNS,
@@ -86,19 +86,16 @@ def dq_orphans(t: Tables, *, tables: tuple[str, ...] | None = None, as_of: date
     for table in dict.fromkeys(rule[0] for rule in FOREIGN_KEYS):
         if tables is not None and table not in tables:
             continue
-        # One pass over the child: each parent marks what it knows, then the missing ones are listed.
-        rows, own = t[table], t[table].columns
-        marks = []
-        for number, (_, column, parent, parent_column) in enumerate(rule for rule in FOREIGN_KEYS if rule[0] == table):
-            known = t[parent].select(F.col(parent_column).alias(column)).distinct().withColumn(f"_hay{number}", F.lit(True))
-            # Persons are many and none is common among sound rows; a challenge, coach, activity or catalogue entry may be.
-            person = column in ("id_participacion", "nombre_retador")
-            rows = rows.join(known, column, "left") if person else spread_join(rows, known, [column], own, "left")
-            marks.append(F.when(F.col(column).isNotNull() & F.col(f"_hay{number}").isNull(), F.struct(
-                F.lit(f"dq_orphans:{column}->{parent}").alias("rule"), F.col(column).cast("string").alias("detalle"))))
-        lost = rows.withColumn("_perdida", F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())))
-        parts.append(lost.select(
-            F.col("_perdida.rule").alias("rule"), F.lit(table).alias("tabla"), _key(table, lost).alias("clave"), F.col("_perdida.detalle").alias("detalle")))
+        # The child shrinks to its different references, one row per key and value however often it is used; few of them, if any, are missing.
+        rules = [rule for rule in FOREIGN_KEYS if rule[0] == table]
+        value = [F.struct(F.lit(n).alias("_regla"), F.col(column).cast("string").alias("detalle")) for n, (_, column, _, _) in enumerate(rules)]
+        known = reduce(DataFrame.unionByName, [
+            t[parent].select(F.lit(n).alias("_regla"), F.col(parent_column).cast("string").alias("detalle")) for n, (_, _, parent, parent_column) in enumerate(rules)])
+        rows = t[table].select(_key(table, t[table]).alias("clave"), F.inline(F.filter(F.array(*value), lambda v: v.detalle.isNotNull())))
+        # What is missing is few values, but one of them may be named by most rows: a plain inner join, whose large side Spark divides as measured.
+        lost = rows.select("_regla", "detalle").distinct().join(known, ["_regla", "detalle"], "left_anti")
+        names = F.array(*[F.lit(f"dq_orphans:{column}->{parent}") for _, column, parent, _ in rules])
+        parts.append(rows.join(lost, ["_regla", "detalle"]).select(names[F.col("_regla")].alias("rule"), F.lit(table).alias("tabla"), "clave", "detalle"))
     return _all(t, parts)
 
 
@@ -161,6 +158,12 @@ def dq_activity_overlap(t: Tables, *, as_of: date | None = None) -> DataFrame:
     return _found(counted.filter("solapes > 0"), "dq_activity_overlap", "actividades", F.col("solapes"))
 
 
+def activity_witness(t: Tables, *, as_of: date | None = None, reto: str | None = None, retador: str | None = None) -> DataFrame:
+    """Activities that overlap another one of their challenge, with one such activity."""
+    rows = t.actividades if reto is None else t.actividades.filter(F.col("nombre_reto") == reto)
+    return overlap_witness(rows.select("id_actividad", "nombre_reto", "inicio", "fin"), "nombre_reto", "inicio", "fin", "id_actividad")
+
+
 def dq_activity_range(t: Tables, *, as_of: date | None = None) -> DataFrame:
     """Activities, ceremonies aside, not wholly inside their challenge."""
     joined = spread_join(t.actividades, t.retos.select("nombre_reto", "fecha_ini", "fecha_fin_excl"), ["nombre_reto"], ["id_actividad"])
@@ -201,7 +204,7 @@ def dq_attendance_reto(t: Tables, *, as_of: date | None = None) -> DataFrame:
     """Attendance of an activity of another challenge."""
     held = t.actividades.select("id_actividad", F.col("nombre_reto").alias("_reto_actividad"))
     people = t.participacion.select("id_participacion", "nombre_reto")
-    rows = spread_join(t.registros_actividades.join(people, "id_participacion"), held, ["id_actividad"], ["id_participacion"]).filter(
+    rows = split_join(t.registros_actividades.join(people, "id_participacion"), held, ["id_actividad"], ["id_participacion"]).filter(
         F.col("_reto_actividad") != F.col("nombre_reto"))
     return _found(rows, "dq_attendance_reto", "registros_actividades", F.concat_ws(" <> ", "_reto_actividad", "nombre_reto"))
 

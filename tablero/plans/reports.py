@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablero.functions.text import DAY_FORMAT, activity_label, challenge_name, rating_word, sentence_case
-from tablero.operators.spread import spread_join
+from tablero.operators.spread import split_join, spread_join
 from tablero.plans.scoring import habit_counts, scoreboard
 from tablero.plans.views import _only
 from tablero.schema import CHALLENGE_DAYS
@@ -58,7 +58,7 @@ def attendance_report(t: Tables, *, as_of: date | None = None, reto: str | None
     people = _only(t.participacion, reto, retador).select("id_participacion", *PERSON)
     return (
         t.registros_actividades.select("id_participacion", "id_actividad", "nombre_coach")
-        .join(people, "id_participacion").transform(lambda rows: spread_join(rows, held, ["id_actividad"], ["id_participacion"], "left"))
+        .join(people, "id_participacion").transform(lambda rows: split_join(rows, held, ["id_actividad"], ["id_participacion"], "left"))
         .select("nombre_reto", activity_label(F.col("actividad"), F.col("inicio")).alias("actividad"),
                 F.col("nombre_retador").alias("retador"), F.col("nombre_coach").alias("registrador")))
 

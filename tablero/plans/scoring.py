@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablero.functions.dates import last_day
 from tablero.operators.running import value_ranks
-from tablero.operators.spread import spread_join
+from tablero.operators.spread import split_join, spread_join
 from tablero.schema import ACTIVITIES, CEREMONY, CHALLENGE_DAYS, HABITS, INACTIVE, RATING_SCALE, RATINGS
 from tablero.sources.tables import Tables
 
@@ -200,7 +200,8 @@ def rank_totals(totals: DataFrame) -> DataFrame:
     """
     whole = totals.withColumn("_v", F.round(F.col("total") * 10**DECIMALS).cast("long"))
     places = value_ranks(whole, ["nombre_reto"], "_v", RANK_STEP, descending=True)
-    return spread_join(whole, places, ["nombre_reto", "_v"], ["nombre_retador"]).select(*PERSON, "total", "puesto")
+    # One row per total against all that have it: where many do, Spark divides them as measured.
+    return whole.join(places, ["nombre_reto", "_v"]).select(*PERSON, "total", "puesto")
 
 
 def ranking(t: Tables, *, as_of: date | None = None, reto: str | None = None, retador: str | None = None,
@@ -233,7 +234,7 @@ def _activity_days(t: Tables, reto: str | None, retador: str | None) -> DataFram
         logs_of(t, "registros_actividades", ACTIVITIES, reto, retador)
         .groupBy("id_participacion", "id_actividad").agg(F.count(F.lit(1)).alias("_n")))
     per_participation = (
-        spread_join(reduced, slots, ["id_actividad"], ["id_participacion"])
+        split_join(reduced, slots, ["id_actividad"], ["id_participacion"])
         .groupBy("id_participacion", "inicio", "fin").agg(F.sum("_n").alias("_n")))
     per_slot = (
         per_participation.join(participants(t, reto, retador), "id_participacion")

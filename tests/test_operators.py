@@ -11,9 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tablero.operators.catalogue import per_catalogue_row
-from tablero.operators.overlap import overlap_counts
-from tablero.operators.running import number_rows, running_sums, value_ranks
-from tablero.operators.spread import spread_join
+from tablero.operators.overlap import overlap_counts, overlap_witness
+from tablero.operators.running import number_rows, running_best, running_sums, value_ranks
+from tablero.operators.spread import _parts, split_join, spread_join
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 EPOCH = datetime(2024, 1, 1)
@@ -106,3 +106,55 @@ def test_spread_join_equals_join(spark):
     for how in ("inner", "left"):
         got = Counter(map(tuple, spread_join(rows, keys, ["k"], ["v"], how).select("k", "v", "n").collect()))
         assert got == Counter(map(tuple, rows.join(keys, "k", how).select("k", "v", "n").collect()))
+
+
+def test_split_join_divides_heavy_keys_only(spark):
+    """A third of the rows on one key, as many different keys on both sides, null keys in plenty."""
+    left = [(0, i) if i % 3 == 0 else (None, i) if i % 10 == 1 else (i, i) for i in range(3000)]
+    right = [(i, f"p{i}") for i in range(0, 3000, 2)]
+    a = spark.createDataFrame(left, "k long, v long")
+    b = spark.createDataFrame(right, "k long, p string")
+    names = dict(right)
+    for how in ("inner", "left"):
+        got = Counter(map(tuple, split_join(a, b, ["k"], ["v"], how).select("k", "v", "p").collect()))
+        assert got == Counter((k, v, names.get(k)) for k, v in left if how == "left" or k in names)
+    own, partner = _parts(a, ["k"], 32)
+    parts = {r.k: (r.own, r.partner) for r in a.select("k", own.alias("own"), partner.alias("partner")).distinct().collect()}
+    # A third of 32 is 10.67, and a fifteenth of the rows has no key.
+    assert parts[0] == (11, 15) and parts[None][0] == 3 and {parts[k] for k in parts if k} == {(1, 1)}
+    assert split_join(a.limit(0), b, ["k"], ["v"]).count() == 0
+
+
+@FEW
+@given(st.integers(1, 120), st.integers(0, 10_000))
+def test_overlap_among_others(spark, n, seed):
+    rows, others = intervals(n, seed), intervals(60, seed + 1)
+    schema = "id long, g string, a timestamp_ntz, b timestamp_ntz"
+    want = {i: sum(1 for _, h, c, d in others if h == g and a <= d and c <= b) for i, g, a, b in rows}
+    got = overlap_counts(spark.createDataFrame(rows, schema), "g", "a", "b", among=spark.createDataFrame(others, schema))
+    assert {r.id: r.solapes for r in got.collect()} == want
+
+
+@FEW
+@given(st.integers(1, 120), st.integers(0, 10_000))
+def test_overlap_witness(spark, n, seed):
+    rows = intervals(n, seed)
+    df = spark.createDataFrame(rows, "id long, g string, a timestamp_ntz, b timestamp_ntz")
+    found = {r.id: r.testigo for r in overlap_witness(df, "g", "a", "b", "id").collect()}
+    by_id = {i: (g, a, b) for i, g, a, b in rows}
+    meets = {i: {j for j, h, c, d in rows if h == g and j != i and a <= d and c <= b} for i, g, a, b in rows}
+    assert set(found) == {i for i in meets if meets[i]}
+    assert all(w in meets[i] for i, w in found.items())
+    same = {i: [j for j in meets[i] if by_id[j][1] == by_id[i][1]] for i in found}
+    least = {i: min([*s, i]) for i, s in same.items()}
+    assert all(found[i] == (least[i] if least[i] != i else max(s)) for i, s in same.items() if s)
+
+
+def test_running_best_names_the_holder(spark):
+    rows = [("g", i, (i * 37) % 101, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, v long, x long, who long").withColumn("s", F.struct("x", "who"))
+    for descending in (False, True):
+        line = running_best(df, ["g"], "v", F.floor(F.col("v") / 10), "s", (4, 2), descending)
+        got = {r.v: r.s_antes and tuple(r.s_antes) for r in line.collect()}
+        before = {v: [(x, w) for _, u, x, w in rows if (u > v if descending else u < v)] for _, v, _, _ in rows}
+        assert got == {v: min(b) if b else None for v, b in before.items()}
