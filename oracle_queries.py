@@ -297,6 +297,97 @@ def _blocked() -> str:
     return _q(" ".join(SCHEMAS), "\nUNION ALL\n".join(parts))
 
 
+# The timetable, line by line: what is refused for itself, what meets a stored activity, and the walk from each admitted activity to the next.
+TIMETABLE = """
+mirado AS MATERIALIZED (
+  SELECT l.*, row_number() OVER () AS fila, concat_ws(',',
+    CASE WHEN r.nombre_reto IS NULL THEN 'reto_desconocido' END, CASE WHEN NOT r.reto_activo THEN 'reto_inactivo' END,
+    CASE WHEN l.coach_expositor NOT IN (SELECT nombre_coach FROM coaches) THEN 'coach_desconocido' END,
+    CASE WHEN l.inicio > l.fin THEN 'tiempo_invalido'
+      WHEN l.actividad <> 'Ceremonia' AND (l.inicio < CAST(r.fecha_ini AS TIMESTAMP) OR l.fin >= CAST(r.fecha_fin_excl AS TIMESTAMP)) THEN 'fuera_de_reto' END) AS propios
+  FROM lote_cronograma l LEFT JOIN retos r ON r.nombre_reto = l.nombre_reto),
+sano AS MATERIALIZED (
+  SELECT m.*, EXISTS (SELECT 1 FROM actividades a WHERE a.nombre_reto = m.nombre_reto AND a.inicio <= m.fin AND m.inicio <= a.fin) AS choca
+  FROM mirado m WHERE propios = ''),
+cabeza AS MATERIALIZED (
+  SELECT nombre_reto, inicio, fin, fila FROM sano WHERE NOT choca
+  QUALIFY row_number() OVER (PARTITION BY nombre_reto, inicio ORDER BY fin, actividad, tema_actividad, coach_expositor) = 1),
+sigue AS MATERIALIZED (
+  SELECT a.nombre_reto, a.inicio, b.inicio AS luego FROM cabeza a ASOF JOIN cabeza b ON b.nombre_reto = a.nombre_reto AND b.inicio > a.fin),
+camino AS (
+  SELECT nombre_reto, min(inicio) AS inicio FROM cabeza GROUP BY nombre_reto
+  UNION ALL
+  SELECT s.nombre_reto, s.luego FROM camino c JOIN sigue s ON s.nombre_reto = c.nombre_reto AND s.inicio = c.inicio),
+admitido AS (SELECT fila FROM cabeza JOIN camino USING (nombre_reto, inicio))"""
+
+ENROLMENTS = """
+inscrito AS (SELECT p.nombre_reto, nombre_retador, reto_activo FROM participacion p JOIN retos r ON r.nombre_reto = p.nombre_reto),
+mirado AS (
+  SELECT l.*, concat_ws(',', CASE WHEN r.nombre_reto IS NULL THEN 'reto_desconocido' END, CASE WHEN NOT r.reto_activo THEN 'reto_inactivo' END,
+    CASE WHEN l.nombre_retador NOT IN (SELECT nombre_retador FROM retadores) THEN 'retador_desconocido' END,
+    CASE WHEN EXISTS (SELECT 1 FROM inscrito i WHERE i.nombre_reto = l.nombre_reto AND i.nombre_retador = l.nombre_retador) THEN 'ya_inscrito' END,
+    CASE WHEN r.reto_activo AND EXISTS (SELECT 1 FROM inscrito i WHERE i.reto_activo AND i.nombre_reto <> l.nombre_reto AND i.nombre_retador = l.nombre_retador)
+      THEN 'otro_reto_activo' END) AS propios
+  FROM lote_altas l LEFT JOIN retos r ON r.nombre_reto = l.nombre_reto),
+juzgada AS (
+  SELECT *, CASE WHEN propios <> '' THEN propios
+    WHEN row_number() OVER (PARTITION BY nombre_retador, propios = '' ORDER BY nombre_reto) > 1 THEN 'otra_inscripcion_del_lote' ELSE '' END AS motivos
+  FROM mirado)"""
+
+# Challenge by challenge in the order of their names, with the list of those activated so far.
+ACTIVATIONS = """
+dormido AS (
+  SELECT nombre_reto, row_number() OVER (ORDER BY nombre_reto) AS turno FROM (SELECT DISTINCT l.nombre_reto FROM lote_activaciones l
+    JOIN retos r ON r.nombre_reto = l.nombre_reto WHERE NOT reto_activo) d),
+socio AS (SELECT DISTINCT p.nombre_reto, nombre_retador, reto_activo FROM raw_participacion p JOIN retos r ON r.nombre_reto = p.nombre_reto),
+roce AS (SELECT DISTINCT a.nombre_reto, b.nombre_reto AS otro, b.reto_activo FROM socio a JOIN socio b ON a.nombre_retador = b.nombre_retador AND a.nombre_reto <> b.nombre_reto),
+lista AS (
+  SELECT d.nombre_reto, turno, coalesce(bool_or(roce.reto_activo), FALSE) AS preso, list(roce.otro) FILTER (roce.otro IS NOT NULL) AS vecinos
+  FROM dormido d LEFT JOIN roce ON roce.nombre_reto = d.nombre_reto GROUP BY d.nombre_reto, turno),
+paso AS (
+  SELECT CAST(0 AS BIGINT) AS turno, CAST([] AS VARCHAR[]) AS van
+  UNION ALL
+  SELECT l.turno, CASE WHEN preso OR coalesce(list_has_any(vecinos, van), FALSE) THEN van ELSE list_append(van, l.nombre_reto) END
+  FROM paso p JOIN lista l ON l.turno = p.turno + 1),
+elegido AS (SELECT unnest(van) AS nombre_reto FROM (SELECT van FROM paso ORDER BY turno DESC LIMIT 1) f)"""
+
+
+def _in_turn(views: str, body: str, extra: str) -> str:
+    """As :func:`_q`, with CTEs that refer to themselves."""
+    return _q(views, body, extra).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def _admission() -> dict[str, str]:
+    """Batches whose rows exclude each other."""
+    timetable = "coaches retos actividades lote_cronograma"
+    people = "participacion retos retadores lote_altas"
+    groups = "raw_participacion retos lote_activaciones"
+    return {
+        "save_activities": _in_turn(timetable, f"""
+SELECT id_actividad, actividad, inicio, fin, nombre_reto, tema_actividad, coach_expositor FROM actividades
+UNION ALL
+SELECT {_new_id('id_actividad', 'actividades', 'nombre_reto', 'inicio')}, actividad, inicio, fin, nombre_reto, tema_actividad, coach_expositor
+FROM sano WHERE fila IN (SELECT fila FROM admitido)""", TIMETABLE),
+        "save_activities_rejected": _in_turn(timetable, """
+SELECT m.actividad, m.inicio, m.fin, m.nombre_reto, m.tema_actividad, m.coach_expositor,
+  CASE WHEN propios <> '' THEN propios WHEN s.choca THEN 'solapa_guardada' ELSE 'solapa_lote' END AS motivos
+FROM mirado m LEFT JOIN (SELECT fila, choca FROM sano) s ON s.fila = m.fila WHERE m.fila NOT IN (SELECT fila FROM admitido)""", TIMETABLE),
+        "save_enrolments": _q(people, f"""
+SELECT id_participacion, nombre_reto, nombre_retador, objetivo_participacion FROM participacion
+UNION ALL
+SELECT {_new_id('id_participacion', 'participacion', 'nombre_reto', 'nombre_retador')}, nombre_reto, nombre_retador, objetivo_participacion
+FROM juzgada WHERE motivos = ''""", ENROLMENTS),
+        "save_enrolments_rejected": _q(people, """
+SELECT nombre_reto, nombre_retador, objetivo_participacion, motivos FROM juzgada WHERE motivos <> ''""", ENROLMENTS),
+        "activate_challenges": _in_turn(groups, """
+SELECT id_reto, nombre_reto, fecha_ini, fecha_fin_excl, reto_activo OR nombre_reto IN (SELECT nombre_reto FROM elegido) AS reto_activo FROM retos""", ACTIVATIONS),
+        "activate_challenges_rejected": _in_turn(groups, """
+SELECT l.nombre_reto, CASE WHEN r.nombre_reto IS NULL THEN 'reto_desconocido' ELSE 'retadores_compartidos' END AS motivos
+FROM lote_activaciones l LEFT JOIN retos r ON r.nombre_reto = l.nombre_reto
+WHERE r.nombre_reto IS NULL OR (NOT r.reto_activo AND l.nombre_reto NOT IN (SELECT nombre_reto FROM elegido))""", ACTIVATIONS),
+    }
+
+
 def _changes() -> dict[str, str]:
     """Results of the table operators on the change batches."""
     habit_cols = "id_registro_habito, id_participacion, fecha_ocurrencia, nombre_habito, concepto, nombre_coach, fecha_registro"
@@ -616,10 +707,22 @@ SELECT concat('Reto del ', strftime(fecha_ini, '%d/%m/%Y'), ' al ', strftime(CAS
   concat('detalle_reto_', strftime(fecha_ini, '%Y-%m-%d'), '_', replace(nombre_retador, ' ', '_'), '.html') AS archivo_retador
 FROM participacion JOIN retos USING (nombre_reto)"""),
         "delete_blocked": _blocked(),
+        "activity_witness": _q("raw_actividades", """
+SELECT id_actividad, nombre_reto, inicio, fin, testigo FROM (
+  SELECT a.*, b.id_actividad AS testigo, row_number() OVER (PARTITION BY a.id_actividad ORDER BY
+      CASE WHEN b.inicio = a.inicio THEN 0 WHEN b.inicio < a.inicio THEN 1 ELSE 2 END,
+      CASE WHEN b.inicio < a.inicio THEN b.fin END DESC, CASE WHEN b.inicio > a.inicio THEN b.inicio END,
+      CASE WHEN b.inicio = a.inicio AND b.id_actividad > a.id_actividad AND NOT EXISTS (
+        SELECT 1 FROM raw_actividades c WHERE c.nombre_reto = a.nombre_reto AND c.inicio = a.inicio AND c.id_actividad < a.id_actividad)
+        THEN -b.id_actividad ELSE b.id_actividad END) AS lugar
+  FROM raw_actividades a JOIN raw_actividades b
+    ON a.nombre_reto = b.nombre_reto AND a.id_actividad <> b.id_actividad AND a.inicio <= b.fin AND b.inicio <= a.fin) x
+WHERE lugar = 1"""),
         "intake_batch": _q("registros_habitos participacion retos", """
 SELECT l.* FROM registros_habitos l JOIN participacion p ON p.id_participacion = l.id_participacion
   JOIN retos r ON r.nombre_reto = p.nombre_reto WHERE reto_activo"""),
     }
     result.update(_rules())
     result.update(_changes())
+    result.update(_admission())
     return result

@@ -1,8 +1,11 @@
-"""Saving of logs and photos under the rules of the domain: each batch is judged before it is applied.
+"""Saving of logs, photos, activities, enrolments and activations under the rules of the domain: each batch is judged before it is applied.
 
 A change in an inactive challenge, or for an unknown participation, is rejected; so is a new habit row outside its challenge or after the
 given day and a new attendance of an unknown activity or one of another challenge. Every row of the batch is judged, whether or not it
 would change anything. The result is the new table and the rejected rows with their reasons.
+
+Activities, enrolments and activations also exclude each other within a batch; there the batch counts in a stated order. Those three write their
+judged batch and the tables of their rounds to the session's shared folder (:mod:`tablero.operators.stored`) while they are called.
 """
 
 from __future__ import annotations
@@ -14,9 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablero.operators import changes
-from tablero.operators.spread import split_join
+from tablero.operators.admission import first_free, independent_groups
+from tablero.operators.overlap import overlap_counts
+from tablero.operators.spread import split_join, spread_join
+from tablero.operators.stored import stored
 from tablero.plans.quality import dated_people, habit_reasons
-from tablero.schema import ADMIN
+from tablero.schema import ADMIN, CEREMONY
 from tablero.sources.tables import Tables
 
 
@@ -75,3 +81,98 @@ def save_ratings(t: Tables, grid: DataFrame, as_of: date, strict_criterion: bool
 def save_photos(t: Tables, batch: DataFrame, as_of: date) -> Saved:
     """New and replaced photos."""
     return _saved(_judged(t, batch), batch.columns, lambda rows: changes.upsert_photos(t.fotos, rows, as_of))
+
+
+def _reasons(*cases: tuple[Column, str]) -> Column:
+    return F.filter(F.array(*[F.when(condition, F.lit(name)) for condition, name in cases]), lambda r: r.isNotNull())
+
+
+def _numbered(batch: DataFrame) -> DataFrame:
+    """The batch, written once, with a number per row."""
+    return stored(batch.withColumn("_fila", F.monotonically_increasing_id()))
+
+
+def _split(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Accepted rows, and the others with their reasons (column ``_motivos``) as text."""
+    judged = stored(rows.select(*columns, F.concat_ws(",", "_motivos").alias("motivos")))
+    return judged.filter("motivos = ''").select(*columns), judged.filter("motivos <> ''")
+
+
+def save_activities(t: Tables, batch: DataFrame) -> Saved:
+    """New activities (all columns of the table but the id). They count in the order of their start; of several with one start the one that
+    ends first, then by kind, topic and coach.
+
+    An activity needs a known active challenge, a known coach and a proper time, which, ceremonies aside, lies wholly inside the challenge, and may
+    share no instant with a stored activity of its challenge or with one that was accepted before it.
+    """
+    numbered = _numbered(batch)
+    challenges = t.retos.select("nombre_reto", F.col("fecha_ini").cast("timestamp_ntz").alias("_ini"), F.col("fecha_fin_excl").cast("timestamp_ntz").alias("_fin"), "reto_activo")
+    coaches = t.coaches.select(F.col("nombre_coach").alias("coach_expositor"), F.lit(True).alias("_coach"))
+    rows = spread_join(numbered, challenges, ["nombre_reto"], ["_fila"], "left")
+    rows = spread_join(rows, coaches, ["coach_expositor"], ["_fila"], "left")
+    inside = (F.col("inicio") >= F.col("_ini")) & (F.col("fin") < F.col("_fin"))
+    timely = F.coalesce(F.col("inicio") <= F.col("fin"), F.lit(False))
+    first = stored(rows.select(*numbered.columns, _reasons(
+        (F.col("_ini").isNull(), "reto_desconocido"), (~F.col("reto_activo"), "reto_inactivo"), (F.col("_coach").isNull(), "coach_desconocido"),
+        (~timely, "tiempo_invalido"), (timely & ~inside & (F.col("actividad") != CEREMONY), "fuera_de_reto")).alias("_motivos")))
+    sound = first.filter(F.size("_motivos") == 0)
+    held = t.actividades.select("nombre_reto", "inicio", "fin")
+    free = stored(overlap_counts(sound.drop("_motivos"), "nombre_reto", "inicio", "fin", "_guardadas", among=held).filter("_guardadas = 0"))
+    # Of one start only the first can be admitted: if it is not, an admitted activity covers that start.
+    rank = ["fin", "actividad", "tema_actividad", "coach_expositor", "_fila"]
+    heads = changes.first_by(free.select("nombre_reto", "inicio", *rank), ["nombre_reto", "inicio"], rank)
+    kept = first_free(heads, "nombre_reto", "inicio", "fin").select("_fila", F.lit(True).alias("_queda"))
+    judged = first.join(free.select("_fila", F.lit(True).alias("_libre")), "_fila", "left").join(kept, "_fila", "left")
+    clash = _reasons((F.col("_libre").isNull(), "solapa_guardada"), (F.col("_libre") & F.col("_queda").isNull(), "solapa_lote"))
+    accepted, rejected = _split(judged.withColumn("_motivos", F.when(F.size("_motivos") == 0, clash).otherwise(F.col("_motivos"))), batch.columns)
+    return Saved(changes.insert_rows(t.actividades, accepted, "id_actividad", ["nombre_reto", "inicio"]), rejected)
+
+
+def save_enrolments(t: Tables, batch: DataFrame, order: list[str] | None = None) -> Saved:
+    """New enrolments (nombre_reto, nombre_retador, objetivo_participacion). Of several of one challenger the first in ``order`` counts, by default by
+    challenge.
+
+    An enrolment needs a known active challenge and a known challenger who is not enrolled in it already nor in any other active challenge.
+    """
+    order = order or ["nombre_reto"]
+    numbered = _numbered(batch)
+    challenges = t.retos.select("nombre_reto", "reto_activo")
+    people = t.retadores.select("nombre_retador", F.lit(True).alias("_persona"))
+    active = spread_join(t.participacion.select("nombre_reto", "nombre_retador"), challenges.filter("reto_activo"), ["nombre_reto"], ["nombre_retador"])
+    # A challenger has another active challenge if the first or the last by name is another one.
+    engaged = active.groupBy("nombre_retador").agg(F.min("nombre_reto").alias("_uno"), F.max("nombre_reto").alias("_otro"))
+    enrolled = t.participacion.select("nombre_reto", "nombre_retador").distinct().withColumn("_inscrito", F.lit(True))
+    rows = spread_join(numbered, challenges, ["nombre_reto"], ["_fila"], "left").join(people, "nombre_retador", "left")
+    rows = rows.join(engaged, "nombre_retador", "left").join(enrolled, ["nombre_reto", "nombre_retador"], "left")
+    other = (F.col("_uno") != F.col("nombre_reto")) | (F.col("_otro") != F.col("nombre_reto"))
+    first = stored(rows.select(*numbered.columns, _reasons(
+        (F.col("reto_activo").isNull(), "reto_desconocido"), (~F.col("reto_activo"), "reto_inactivo"), (F.col("_persona").isNull(), "retador_desconocido"),
+        (F.col("_inscrito"), "ya_inscrito"), (F.col("reto_activo") & other, "otro_reto_activo")).alias("_motivos")))
+    sound = first.filter(F.size("_motivos") == 0)
+    chosen = sound.groupBy("nombre_retador").agg(F.min(F.struct(*order, "_fila")).alias("_m")).select(F.col("_m._fila").alias("_fila"), F.lit(True).alias("_queda"))
+    late = _reasons((F.col("_queda").isNull(), "otra_inscripcion_del_lote"))
+    judged = first.join(chosen, "_fila", "left").withColumn("_motivos", F.when(F.size("_motivos") == 0, late).otherwise(F.col("_motivos")))
+    accepted, rejected = _split(judged, batch.columns)
+    return Saved(changes.insert_rows(t.participacion, accepted, "id_participacion", ["nombre_reto", "nombre_retador"]), rejected)
+
+
+def activate_challenges(t: Tables, batch: DataFrame, order: list[str] | None = None) -> Saved:
+    """Activates the listed challenges (nombre_reto); they count in ``order``, by default by name. Challenges that are active already stay as they are.
+
+    A challenge may share no challenger with an active one or with one that was activated before it.
+    """
+    order = order or []
+    asked = changes.first_by(batch.select("nombre_reto", *[c for c in order if c != "nombre_reto"]), ["nombre_reto"], [c for c in order if c != "nombre_reto"]) if order else batch.select("nombre_reto").distinct()
+    listed = stored(asked.join(t.retos.select("nombre_reto", "reto_activo"), "nombre_reto", "left").withColumn("_orden", F.struct(*dict.fromkeys([*order, "nombre_reto"]))))
+    idle = listed.filter(~F.col("reto_activo")).select("nombre_reto", "_orden")
+    enrolled = t.participacion.select("nombre_reto", "nombre_retador").distinct()
+    members = stored(spread_join(enrolled, idle, ["nombre_reto"], ["nombre_retador"]))
+    busy = spread_join(enrolled, t.retos.filter("reto_activo").select("nombre_reto"), ["nombre_reto"], ["nombre_retador"])
+    won = independent_groups(members, busy.select("nombre_retador").distinct(), "nombre_reto", "nombre_retador", "_orden")
+    empty = idle.join(members, "nombre_reto", "left_anti").select("nombre_reto")
+    accepted = stored(won.unionByName(empty).withColumn("reto_activo", F.lit(True)))
+    judged = listed.drop("_orden").join(accepted.select("nombre_reto", F.lit(True).alias("_queda")), "nombre_reto", "left").withColumn("_motivos", _reasons(
+        (F.col("reto_activo").isNull(), "reto_desconocido"), (~F.col("reto_activo") & F.col("_queda").isNull(), "retadores_compartidos")))
+    refused = judged.filter(F.size("_motivos") > 0).select("nombre_reto", F.concat_ws(",", "_motivos").alias("motivos"))
+    rejected = batch.join(refused, "nombre_reto").select(*batch.columns, "motivos")
+    return Saved(changes.update_rows(t.retos, accepted, ["nombre_reto"]), rejected)

@@ -30,6 +30,11 @@ PARQUET = {
     "pages": "page_id bigint, url string, html string",
 }
 
+# The challenge of a customer, and of an order: half of them belong to the challenge of a region, the others to one of the suppliers'; there
+# are 15 customers and 150 orders per supplier at every scale.
+_RETO_PERSONA = "CASE WHEN c_custkey % 2 = 0 THEN n_regionkey ELSE 1000 + CAST(FLOOR(c_custkey / 15) AS BIGINT) END"
+_RETO_ORDEN = "CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 5 ELSE 1000 + CAST(FLOOR(o_orderkey / 150) AS BIGINT) END"
+
 # Columns of the activity an order stands for.
 _ACTIVITY = """o_orderkey AS id_actividad,
   CASE o_orderkey % 12 WHEN 0 THEN 'Ceremonia' WHEN 1 THEN 'Charla Alimentación' WHEN 2 THEN 'Charla Motivación'
@@ -69,14 +74,14 @@ UNION ALL
 SELECT 1000 + s_suppkey, concat('Reto ', s_name), CAST(DATE '2024-01-01' + CAST(s_suppkey % 10 AS INT) AS DATE),
   CAST(DATE '2024-01-22' + CAST(s_suppkey % 10 AS INT) AS DATE), s_suppkey % 3 <> 0
 FROM {supplier}""",
-    "participacion": """
-SELECT c_custkey AS id_participacion, concat('Reto ', r_name) AS nombre_reto, c_name AS nombre_retador,
-  c_mktsegment AS objetivo_participacion
-FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
+    "participacion": f"""
+SELECT c_custkey AS id_participacion, nombre_reto, c_name AS nombre_retador, c_mktsegment AS objetivo_participacion
+FROM (SELECT c_custkey, c_name, c_mktsegment, {_RETO_PERSONA} AS reto FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey) c
+  JOIN {{retos}} ON id_reto = reto""",
     # Participations with the days of their challenge.
     "participacion_dias": """
-SELECT c_custkey AS id_participacion, nombre_reto, fecha_ini, fecha_fin_excl
-FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {retos} ON n_regionkey = id_reto""",
+SELECT id_participacion, p.nombre_reto, fecha_ini, fecha_fin_excl
+FROM {participacion} p JOIN {retos} r ON p.nombre_reto = r.nombre_reto""",
     "habitos": """
 SELECT * FROM (VALUES
   (1, 'Desayuno', CAST(0.12 AS DECIMAL(3,2))), (2, 'Media Mañana', CAST(0.12 AS DECIMAL(3,2))),
@@ -108,18 +113,18 @@ FROM (SELECT min(id_registro_habito) AS id_registro_habito, id_participacion, fe
   JOIN {participacion_dias} i ON q.id_participacion = i.id_participacion
 WHERE fecha_ocurrencia >= fecha_ini AND fecha_ocurrencia < fecha_fin_excl AND fecha_ocurrencia <= DATE '2024-01-25'""",
     "raw_actividades": f"""
-SELECT {_ACTIVITY} FROM {{orders}} JOIN {{retos}} ON id_reto = o_orderkey % 5""",
+SELECT {_ACTIVITY} FROM (SELECT o_orderkey, {_RETO_ORDEN} AS reto FROM {{orders}}) o JOIN {{retos}} ON id_reto = reto""",
     # One slot per challenge and day (ceremonies also after its end): the activity registered first keeps it, as the overlap
     # rule would have it.
     "actividades": f"""
 SELECT {_ACTIVITY}
-FROM (SELECT min(o_orderkey) AS o_orderkey
-      FROM (SELECT o_orderkey, o_orderkey % 5 AS reto, CAST(FLOOR(o_orderkey / 5) AS BIGINT) % 23 AS dia,
+FROM (SELECT min(o_orderkey) AS o_orderkey, reto
+      FROM (SELECT o_orderkey, {_RETO_ORDEN} AS reto, CAST(FLOOR(o_orderkey / 5) AS BIGINT) % 23 AS dia,
               CASE o_orderkey % 12 WHEN 0 THEN 'Ceremonia' ELSE 'Otra' END AS clase
             FROM {{orders}}) o
       WHERE clase = 'Ceremonia' OR dia < 21
       GROUP BY reto, dia) q
-  JOIN {{retos}} ON id_reto = o_orderkey % 5""",
+  JOIN {{retos}} ON id_reto = reto""",
     "registros_actividades": """
 SELECT min(o_orderkey) AS id_registro_actividad, p.id_participacion, a.id_actividad, 'Actividades' AS concepto,
   concat('Supplier#', lpad(CAST(min(o_orderkey) % 10 AS STRING), 9, '0')) AS nombre_coach,
@@ -163,7 +168,10 @@ UNION ALL
 SELECT 1000000000000 + c_custkey, r.nombre_reto, c_name, c_mktsegment
 FROM {customer} JOIN {retos} r ON r.id_reto = c_custkey % 5 WHERE c_acctbal < 0
 UNION ALL
-SELECT 2000000000000 + c_custkey, 'Reto inexistente', c_name, c_mktsegment FROM {customer} WHERE c_acctbal > 9900""",
+SELECT 2000000000000 + c_custkey, 'Reto inexistente', c_name, c_mktsegment FROM {customer} WHERE c_acctbal > 9900
+UNION ALL
+SELECT 3000000000000 + c_custkey, r.nombre_reto, c_name, c_mktsegment
+FROM {customer} JOIN {retos} r ON r.id_reto = 1000 + CAST(FLOOR(c_custkey * 3 / 15) AS BIGINT) WHERE c_acctbal > 9000""",
     "raw_retadores": """
 SELECT id_retador, nombre_retador,
   CASE WHEN id_retador % 43 = 0 THEN DATE '2010-06-15' ELSE fecha_nacimiento END AS fecha_nacimiento,
@@ -247,6 +255,29 @@ SELECT DISTINCT CAST(o_orderdate AS DATE) AS fecha_inicio FROM {orders}""",
     "lote_actividades": """
 SELECT event_id AS id_actividad, event_type AS tema_actividad, ts AS inicio, CAST(FLOOR(value * 10) AS BIGINT) AS duracion
 FROM {events}""",
+    # A timetable with a line per order line: unknown challenges and coaches, times outside the challenge or turned round, and many that meet.
+    "lote_cronograma": """
+SELECT CASE l_linenumber WHEN 1 THEN 'Ceremonia' WHEN 2 THEN 'Charla Motivación' ELSE 'Fit Camp' END AS actividad,
+  CAST(coalesce(fecha_ini, DATE '2024-01-01') AS {TS})
+    + INTERVAL '1' MINUTE * CAST(1440 * (l_orderkey % 23) + (l_partkey * 7 + l_linenumber * 45) % 1440 AS INT) AS inicio,
+  CAST(coalesce(fecha_ini, DATE '2024-01-01') AS {TS})
+    + INTERVAL '1' MINUTE * CAST(1440 * (l_orderkey % 23) + (l_partkey * 7 + l_linenumber * 45) % 1440 + CAST(l_quantity AS BIGINT) - 2 AS INT) AS fin,
+  concat('Reto ', CASE WHEN l_partkey % 2 = 0 THEN r_name ELSE concat('Supplier#', lpad(CAST(l_suppkey AS STRING), 9, '0')) END) AS nombre_reto,
+  concat('Línea ', CAST(l_orderkey AS STRING), '.', CAST(l_linenumber AS STRING), '.', CAST(l_partkey AS STRING)) AS tema_actividad,
+  concat('Supplier#', lpad(CAST(l_partkey % 11 AS STRING), 9, '0')) AS coach_expositor
+FROM {lineitem} JOIN {region} ON r_regionkey = l_suppkey % 5
+  LEFT JOIN {retos} ON nombre_reto = concat('Reto ', CASE WHEN l_partkey % 2 = 0 THEN r_name ELSE concat('Supplier#', lpad(CAST(l_suppkey AS STRING), 9, '0')) END)""",
+    # Enrolments asked for: some persons twice, some unknown, some challenges unknown or over.
+    "lote_altas": """
+SELECT r.nombre_reto, c_name AS nombre_retador, c_mktsegment AS objetivo_participacion
+FROM {customer} JOIN {retos} r ON r.id_reto = 1000 + c_custkey % 7
+UNION ALL
+SELECT CASE WHEN c_acctbal > 9500 THEN 'Reto inexistente' ELSE r.nombre_reto END, CASE WHEN c_acctbal < 0 THEN concat(c_name, ' II') ELSE c_name END, c_mktsegment
+FROM {customer} JOIN {retos} r ON r.id_reto = c_custkey % 5""",
+    "lote_activaciones": """
+SELECT nombre_reto FROM {retos}
+UNION ALL
+SELECT concat(nombre_reto, ' bis') FROM {retos} WHERE id_reto % 7 = 0""",
     "lote_celulares": """
 SELECT c_custkey AS id_retador, lpad(CAST(c_custkey AS STRING), 9, '8') AS num_celular_retador FROM {customer}""",
 }
