@@ -352,6 +352,48 @@ paso AS (
 elegido AS (SELECT unnest(van) AS nombre_reto FROM (SELECT van FROM paso ORDER BY turno DESC LIMIT 1) f)"""
 
 
+# Who leaves with everything that was logged; half of them keep ratings, and with them their enrolment and themselves.
+LEAVING = {
+    "registros_parametros": "id_participacion % 4 = 1", "fotos": "id_participacion % 4 = 1", "registros_actividades": "id_participacion % 4 = 1",
+    "registros_habitos": "id_participacion % 4 = 1", "registros_calificaciones": "id_participacion % 8 = 1", "participacion": "id_participacion % 4 = 1",
+    "retadores": "id_retador % 4 = 1", "retos": "id_reto > 4"}
+
+
+def _departures(rejected: bool) -> str:
+    """Rule by rule: a listed row stays if a row that stays refers to it; tables in the order in which they are decided."""
+    ctes, parts = [], []
+    for table, listed in LEAVING.items():
+        key = PRIMARY_KEYS[table]
+        reasons = []
+        for child, column, parent, parent_column in FOREIGN_KEYS:
+            if parent == table:
+                source = f"queda_{child}" if child in LEAVING else child
+                reasons.append(f"CASE WHEN EXISTS (SELECT 1 FROM {source} h WHERE h.{column} = x.{parent_column}) THEN '{child}.{column}' END")
+        motive = f"concat_ws(',', {', '.join(reasons)})" if reasons else "''"
+        ctes.append(f"juicio_{table} AS MATERIALIZED (SELECT x.*, {listed} AS pide, {motive} AS motivos FROM {table} x)")
+        ctes.append(f"queda_{table} AS (SELECT * FROM juicio_{table} WHERE NOT pide OR motivos <> '')")
+        parts.append(
+            f"SELECT '{table}' AS tabla, CAST({key} AS VARCHAR) AS clave{', motivos' if rejected else ''} FROM juicio_{table}"
+            f" WHERE pide AND motivos {'<>' if rejected else '='} ''")
+    return _q(" ".join(SCHEMAS), "\nUNION ALL\n".join(parts), ",\n".join(ctes))
+
+
+def _renamed() -> str:
+    """The renames of the batch, written out by hand per kind of name."""
+    final = {
+        "retos": "CASE {c} WHEN 'Reto ASIA' THEN 'Reto EUROPE' WHEN 'Reto EUROPE' THEN 'Reto ASIA' WHEN 'Reto AFRICA' THEN 'Reto ASIA 2' ELSE {c} END",
+        "retadores": "coalesce((SELECT concat({c}, CASE WHEN z.id_retador % 6 = 0 THEN ' III' WHEN z.id_retador % 3 = 0 THEN ' II' ELSE '' END)"
+                     " FROM retadores z WHERE z.nombre_retador = x.{c}), {c})",
+        "coaches": "coalesce((SELECT CASE WHEN z.id_coach % 2 = 0 THEN concat('Coach ', CAST(z.id_coach AS VARCHAR)) ELSE {c} END"
+                   " FROM coaches z WHERE z.nombre_coach = x.{c}), {c})",
+    }
+    kind = {"nombre_reto": "retos", "nombre_retador": "retadores", "nombre_coach": "coaches", "coach_expositor": "coaches"}
+    parts = [
+        f"SELECT '{table}' AS tabla, '{f.name}' AS columna, {final[kind[f.name]].format(c=f.name)} AS nombre, count(*) AS n FROM {table} x GROUP BY ALL"
+        for table, schema in SCHEMAS.items() for f in schema if f.name in kind]
+    return _q(" ".join(SCHEMAS), "\nUNION ALL\n".join(parts))
+
+
 def _in_turn(views: str, body: str, extra: str) -> str:
     """As :func:`_q`, with CTEs that refer to themselves."""
     return _q(views, body, extra).replace("WITH", "WITH RECURSIVE", 1)
@@ -363,6 +405,13 @@ def _admission() -> dict[str, str]:
     people = "participacion retos retadores lote_altas"
     groups = "raw_participacion retos lote_activaciones"
     return {
+        "delete_restricted": _departures(False),
+        "delete_restricted_rejected": _departures(True),
+        "rename_keys": _renamed(),
+        "shared_pairs": _q("raw_participacion retos", """
+SELECT a.nombre_reto, b.nombre_reto AS otro_reto, count(*) AS compartidos FROM miembros a JOIN miembros b ON a.nombre_retador = b.nombre_retador
+WHERE a.nombre_reto < b.nombre_reto GROUP BY ALL""", """
+miembros AS (SELECT DISTINCT nombre_reto, nombre_retador FROM raw_participacion JOIN retos USING (nombre_reto) WHERE reto_activo)"""),
         "save_activities": _in_turn(timetable, f"""
 SELECT id_actividad, actividad, inicio, fin, nombre_reto, tema_actividad, coach_expositor FROM actividades
 UNION ALL

@@ -237,6 +237,29 @@ def challenger_sets(t: Tables, *, as_of: date | None = None, reto: str | None =
     return rows
 
 
+#: Challenges of one person that meet each other in one task.
+BLOCK = 256
+
+
+def shared_pairs(t: Tables, *, as_of: date | None = None, reto: str | None = None, block: int = BLOCK) -> DataFrame:
+    """Pairs of active challenges that share members, each once, with how many.
+
+    A person with more than ``block`` challenges has them dealt into blocks, and each pair of blocks is a key of its own, so the pairs of such a
+    person are formed by many tasks. They are counted before they are shuffled.
+    """
+    members = _active_enrolments(t)
+    crowd = members.groupBy("nombre_retador").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_bloques")).filter("_bloques > 1")
+    dealt = members.join(crowd, "nombre_retador", "left").withColumn("_bloques", F.coalesce("_bloques", F.lit(1)))
+    own = dealt.withColumn("_mio", F.pmod(F.xxhash64("nombre_reto"), F.col("_bloques")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_bloques") - 1))
+    one = own.select("nombre_retador", F.col("_mio").alias("_i"), every.alias("_j"), "nombre_reto")
+    two = own.select("nombre_retador", every.alias("_i"), F.col("_mio").alias("_j"), F.col("nombre_reto").alias("otro_reto"))
+    pairs = one.join(two, ["nombre_retador", "_i", "_j"]).filter("nombre_reto < otro_reto")
+    if reto is not None:
+        pairs = pairs.filter((F.col("nombre_reto") == reto) | (F.col("otro_reto") == reto))
+    return pairs.groupBy("nombre_reto", "otro_reto").agg(F.count(F.lit(1)).alias("compartidos"))
+
+
 def dq_shared_challengers(t: Tables, *, as_of: date | None = None) -> DataFrame:
     """Members an active challenge has in common with another active one."""
     rows = challenger_sets(t).filter("compartido")

@@ -278,6 +278,16 @@ FROM {customer} JOIN {retos} r ON r.id_reto = c_custkey % 5""",
 SELECT nombre_reto FROM {retos}
 UNION ALL
 SELECT concat(nombre_reto, ' bis') FROM {retos} WHERE id_reto % 7 = 0""",
+    # Renames in steps: a swap of two, a chain of three, and plain ones.
+    "lote_renombres": """
+SELECT 'retos' AS tabla, 'nombre_reto' AS columna, 1 AS paso, 'Reto ASIA' AS viejo, 'Reto EUROPE' AS nuevo FROM {region} WHERE r_regionkey = 0
+UNION ALL SELECT 'retos', 'nombre_reto', 1, 'Reto EUROPE', 'Reto ASIA' FROM {region} WHERE r_regionkey = 0
+UNION ALL SELECT 'retos', 'nombre_reto', n, CASE n WHEN 1 THEN 'Reto AFRICA' WHEN 2 THEN 'Reto del Sur' ELSE 'Reto del Norte' END,
+  CASE n WHEN 1 THEN 'Reto del Sur' WHEN 2 THEN 'Reto del Norte' ELSE 'Reto ASIA 2' END
+FROM (SELECT r_regionkey AS n FROM {region} WHERE r_regionkey BETWEEN 1 AND 3) q
+UNION ALL SELECT 'retadores', 'nombre_retador', 1, nombre_retador, concat(nombre_retador, ' II') FROM {retadores} WHERE id_retador % 3 = 0
+UNION ALL SELECT 'retadores', 'nombre_retador', 2, concat(nombre_retador, ' II'), concat(nombre_retador, ' III') FROM {retadores} WHERE id_retador % 6 = 0
+UNION ALL SELECT 'coaches', 'nombre_coach', 5, nombre_coach, concat('Coach ', CAST(id_coach AS STRING)) FROM {coaches} WHERE id_coach % 2 = 0""",
     "lote_celulares": """
 SELECT c_custkey AS id_retador, lpad(CAST(c_custkey AS STRING), 9, '8') AS num_celular_retador FROM {customer}""",
 }
