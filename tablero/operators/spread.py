@@ -1,23 +1,17 @@
-"""Joins of many rows with one row per key where a single key may hold a large part of the rows.
+"""Joins of many rows with one row per challenge, coach or catalogue entry, where a single key may hold a large part of the rows.
 
-:func:`spread_join` is for a side of one row per challenge, coach or catalogue entry; :func:`split_join` for one that may be as large as the other.
+A table that may be as large as the other side (activities, instants, totals) is not repeated: those joins are plain inner or left joins with one
+row per key on the right, whose left side adaptive execution divides where it measures a heavy key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLOTS = 32
 #: Session setting with the number of parts; on a large cluster about the number of tasks that one key may take.
 SETTING = "tablero.spread.slots"
-#: Entries of the summary that finds heavy keys, per part. It errs by at most 3.5 rows in as many entries, so two summaries of the same
-#: rows differ by less than a thirtieth of the share that makes a key heavy.
-ENTRIES = 128
-
-
-def slots_of(df: DataFrame, slots: int | None = None) -> int:
-    return slots or int(df.sparkSession.conf.get(SETTING, str(SLOTS)))
 
 
 def spread_join(
@@ -28,38 +22,7 @@ def spread_join(
     The small side is repeated once per part. Where Spark measures it as small it is broadcast and nothing moves; otherwise the
     rows of one key are shared by up to ``slots`` tasks. Later steps cannot mistake the result for data already grouped by key.
     """
-    slots = slots_of(df, slots)
+    slots = slots or int(df.sparkSession.conf.get(SETTING, str(SLOTS)))
     parts = df.withColumn("_parte", F.pmod(F.xxhash64(*by), F.lit(slots)).cast("int"))
     copies = per_key.withColumn("_parte", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     return parts.join(copies, [*key, "_parte"], how).drop("_parte")
-
-
-def _parts(df: DataFrame, key: list[str], slots: int) -> tuple[Column, Column]:
-    """In how many parts a key's rows are divided and its partner is repeated: 1 unless it holds more than ``1 / slots`` of the rows of ``df``.
-
-    One mergeable summary of the keys' digests, read before the join starts; no job runs while the plan is built.
-    """
-    digest = "xxhash64(" + ", ".join(f"`{c}`" for c in key) + ")"
-    heavy = (
-        f"transform(filter(approx_top_k({digest}, {2 * slots}, {ENTRIES * slots}), x -> x.count * {2 * slots} > count(*)), x -> struct(x.item,"
-        f" struct(if(x.count * {slots} > count(*), cast(ceil(x.count * {slots} / count(*)) as int), 1) as own,"
-        f" cast(ceil(x.count * {slots} * 1.25D / count(*)) as int) + 1 as partner)))")
-    found = F.try_element_at(df.select(*key).agg(F.expr(f"map_from_entries({heavy})").alias("_partes")).scalar(), F.xxhash64(*key))
-    return F.coalesce(found["own"], F.lit(1)), F.coalesce(found["partner"], F.lit(1))
-
-
-def split_join(
-    df: DataFrame, per_key: DataFrame, key: list[str], by: list[str], how: str = "inner", slots: int | None = None
-) -> DataFrame:
-    """``df`` joined with ``per_key``, where only the keys that are heavy in ``df`` are divided and only their partners repeated.
-
-    A key with the share s of all rows of ``df`` is heavy if s > 1 / ``slots`` and then goes to s * ``slots`` tasks (rounded up), dealt by the columns
-    ``by``; all other keys join plainly. ``per_key`` holds one row per key, as many keys as it likes: at most about four times ``slots`` of its rows
-    are repeated. A partner counts as heavy from half that share on and gets a quarter more copies, so a part without its partner
-    is impossible even if the summary were read once per side. Rows with a null key are heavy like any other.
-    """
-    slots = slots_of(df, slots)
-    own, partner = _parts(df, key, slots)
-    parts = df.withColumn("_parte", F.pmod(F.xxhash64(*by), own).cast("int"))
-    copies = per_key.withColumn("_parte", F.explode(F.sequence(F.lit(0), partner - 1)))
-    return parts.join(copies, [*key, "_parte"], how).drop("_parte")

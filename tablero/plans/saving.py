@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tablero.operators import changes
 from tablero.operators.admission import first_free, independent_groups
 from tablero.operators.overlap import overlap_counts
-from tablero.operators.spread import split_join, spread_join
+from tablero.operators.spread import spread_join
 from tablero.operators.stored import stored
 from tablero.plans.quality import dated_people, habit_reasons
 from tablero.schema import ADMIN, CEREMONY
@@ -65,7 +65,7 @@ def save_habits(t: Tables, grid: DataFrame, me: str, as_of: date, role: str = AD
 def save_attendance(t: Tables, grid: DataFrame, me: str, as_of: date, role: str = ADMIN) -> Saved:
     """An edited checklist of attendance by participation and activity."""
     held = t.actividades.select("id_actividad", F.col("nombre_reto").alias("_reto_actividad"))
-    known = split_join(grid, held, ["id_actividad"], ["id_participacion"], "left")
+    known = grid.join(held, "id_actividad", "left")
     reasons = F.array(
         F.when(F.col("_reto_actividad").isNull(), F.lit("actividad_desconocida")),
         F.when(F.col("_reto_actividad") != F.col("nombre_reto"), F.lit("actividad_de_otro_reto")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablero.functions.dates import last_day
 from tablero.operators.running import value_ranks
-from tablero.operators.spread import split_join, spread_join
+from tablero.operators.spread import spread_join
 from tablero.schema import ACTIVITIES, CEREMONY, CHALLENGE_DAYS, HABITS, INACTIVE, RATING_SCALE, RATINGS
 from tablero.sources.tables import Tables
 
@@ -234,7 +234,7 @@ def _activity_days(t: Tables, reto: str | None, retador: str | None) -> DataFram
         logs_of(t, "registros_actividades", ACTIVITIES, reto, retador)
         .groupBy("id_participacion", "id_actividad").agg(F.count(F.lit(1)).alias("_n")))
     per_participation = (
-        split_join(reduced, slots, ["id_actividad"], ["id_participacion"])
+        reduced.join(slots, "id_actividad")
         .groupBy("id_participacion", "inicio", "fin").agg(F.sum("_n").alias("_n")))
     per_slot = (
         per_participation.join(participants(t, reto, retador), "id_participacion")
