@@ -1,15 +1,16 @@
 """Main text of web pages: boosted trees over DOM nodes, decoded along the tree.
 
-A page is read into its block elements (inline tags only count as links). Each node gets features: its tag, tokens of class, id and role,
-the nearest telling ancestor, depth, characters, link share and text density of its subtree, and how it compares with
-its siblings. Boosted trees give each node the log-odds of main text. Decoding then chooses for every subtree the best of three: all text,
+A page is read into its block elements (inline tags only count as links). Each node gets features: its tag, what its attribute tokens (class, id,
+role and tag, hashed) and those above it stood for in training, depth, place, characters, link share and text density of its subtree, and how it
+compares with its siblings. No list of names decides anything. Boosted trees give each node the log-odds of main text. Decoding then chooses for every subtree the best of three: all text,
 none, or a mixture decided by the children at a small price and against the evidence that the node itself is no text; so no kept block stands
 below a dropped one and no dropped block below a kept one.
 
 The model is trained here. Pages carry no labels, so training pages are rendered: blocks of text from at most ``SAMPLE`` given pages (those with
 the smallest digests, up to ``LONGEST`` characters each) are put into layouts drawn at random, with known main text and known menus, headers, notices,
-adverts, sidebars, forms, comments and footers, under names that vary and are partly left out, so that the trees learn shape as well as names. Extraction
-is one pass over whole pages.
+adverts, sidebars, forms, comments and footers. Names vary, are partly left out, and partly mislead: main text also goes under words of the page and under
+names joined with those of other areas, and the other way round, so that the trees learn shape as well as names. One half of the training pages tells what
+a token stands for, the other half trains the trees on it. Extraction is one pass over whole pages.
 
 Results for odd input: a null or empty page, and one without main text, give the empty text. Broken markup is read as far as it goes: open
 elements end with their parent, stray end tags are ignored, an open comment, script or other raw text runs to the end. The tags of
@@ -26,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from tablero.llm.boosting import Trees, boost
 from tablero.llm.common import sampled
 
 #: Pages that training takes text from, their length at most, rendered pages, and the seed of the layouts.
-SAMPLE, LONGEST, RENDERED, SEED = 200, 200_000, 600, 7
+SAMPLE, LONGEST, RENDERED, SEED = 200, 200_000, 1200, 7
 #: Log-odds that a mixture costs a subtree.
 PRICE = 0.5
 
@@ -57,13 +59,22 @@ GROUPS = {
     "p": "p", "heading": "h1 h2 h3 h4 h5 h6 hgroup", "list": "ul ol dl li dt dd", "table": "table tbody thead tr td th caption", "div": "div center", "quote": "blockquote pre figure figcaption address",
 }
 GROUP = {tag: i for i, tags in enumerate(GROUPS.values()) for tag in tags.split()}
-#: Name parts that speak for or against main text.
-GOOD = frozenset("article content main post entry story body text prose copy page blog".split())
-BAD = frozenset(
-    "ad ads advert advertisement sponsor sponsored promo banner cookie consent gdpr notice alert popup modal overlay newsletter subscribe signup login search menu nav navigation navbar "
-    "breadcrumb breadcrumbs header masthead footer copyright sidebar side rail widget aside related recommended more share social comment comments reply replies respond discussion disqus form "
-    "tags meta pager pagination toolbar complementary contentinfo dialog".split())
-
+#: Attribute tokens are hashed into so many cells.
+CELLS = 1 << 14
+#: Elements and names of the areas of training pages: main text first.
+MAIN = ["article", "article post", "main", "div content", "div entry-content", "section article-body", "div main", "div story", "div post-text", "div page-content", "section", "div"]
+AREAS = {
+    "menu": ["nav", "div menu", "ul nav", "div navbar", "nav main-nav", "div navigation", "div toolbar", "div pagination"],
+    "header": ["header", "div header", "div masthead", "header page-header", "div top-banner"],
+    "notice": ["div cookie-notice", "div alert", "div banner", "section notice", "div gdpr-consent", "div popup", "div modal", "div newsletter", "div subscribe"],
+    "advert": ["div ad", "div ads", "div sponsored", "aside promo", "section advert", "div advertisement"],
+    "trail": ["div breadcrumb", "ol breadcrumbs"],
+    "side": ["aside", "div sidebar", "aside widget", "div related", "div recommended", "div complementary"],
+    "form": ["form", "form search", "form login", "form signup"],
+    "comments": ["section comments", "div comments", "div comment-list", "ol comments", "div discussion", "div replies"],
+    "footer": ["footer", "div footer", "footer page-footer", "div copyright", "div contentinfo"],
+    "inner": ["div ad", "div share social", "aside related", "div newsletter signup", "div tags"],
+}
 
 @dataclass
 class Page:
@@ -177,8 +188,25 @@ def parse(html: str) -> Page:
     return page
 
 
-def features(page: Page) -> np.ndarray:
-    """A row per node."""
+def cells(tag: str, names: str) -> list[int]:
+    """Cells of an element's attribute tokens and tag."""
+    found = {f"<{tag}", *TOKEN.findall(names)} if names else {f"<{tag}"}
+    return [crc32(x.encode()) % CELLS for x in found]
+
+
+def evidence(pages: list[Page]) -> np.ndarray:
+    """Per cell the log-odds that an element with such a token is main text, from labelled pages; near 0 for tokens that are rare or on both sides."""
+    seen = np.zeros((2, CELLS))
+    for page in pages:
+        for i, y in enumerate(page.label):
+            if y:
+                seen[int(y), cells(page.tag[i], page.names[i])] += 1
+    total = seen.sum(axis=1) + 1
+    return np.log(seen[1] / total[1] + 0.002) - np.log(seen[0] / total[0] + 0.002)
+
+
+def features(page: Page, known: np.ndarray) -> np.ndarray:
+    """A row per node; ``known`` is what tokens stand for."""
     n = len(page.tag)
     parent = np.array(page.parent)
     own, stops = np.zeros(n), np.zeros(n)
@@ -186,23 +214,24 @@ def features(page: Page) -> np.ndarray:
         own[node] += len(text)
         stops[node] += text.count(".") + text.count(",")
     chars, links, marks, size, depth = own.copy(), np.array(page.linked, dtype=float), stops, np.ones(n), np.zeros(n)
+    ahead = np.cumsum(own) - own
     group = np.array([GROUP.get(tag, -1) for tag in page.tag])
-    good, bad, near = np.zeros(n), np.zeros(n), np.zeros(n)
+    # Of the tokens of an element: the lowest, the highest, their sum; and the lowest and highest sum from the page down to it.
+    low, high, told, worst, top = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     children = np.zeros(n)
     order = np.zeros(n)
+    memo: dict[tuple[str, str], tuple[float, float, float]] = {}
     for i in range(1, n):
         p = page.parent[i]
         depth[i] = depth[p] + 1
         order[i] = children[p]
         children[p] += 1
-        if page.names[i]:
-            tokens = set(TOKEN.findall(page.names[i]))
-            good[i], bad[i] = len(tokens & GOOD), len(tokens & BAD)
-        mine = -1.0 if bad[i] or group[i] in (1, 2, 3, 4, 5) else 1.0 if good[i] or group[i] == 0 else 0.0
-        near[i] = mine or near[p]
-        # Whatever stands in a notice, a list of comments or the like stays there, whatever its own name says.
-        if near[p] < 0:
-            near[i] = -1.0
+        name = (page.tag[i], page.names[i])
+        if name not in memo:
+            found = known[cells(*name)]
+            memo[name] = float(found.min()), float(found.max()), float(found.sum())
+        low[i], high[i], told[i] = memo[name]
+        worst[i], top[i] = min(worst[p], told[i]), max(top[p], told[i])
     for i in range(n - 1, 0, -1):
         p = page.parent[i]
         chars[p] += chars[i]
@@ -224,7 +253,7 @@ def features(page: Page) -> np.ndarray:
     flags[np.flatnonzero(group >= 0), group[group >= 0]] = 1
     above = group[up]
     columns = [
-        good, bad, near, near[up], above, depth, log, np.log1p(own), links / np.maximum(chars, 1), chars / size, children, order / siblings, siblings,
+        low, high, told, worst, top, worst[up], above, depth, ahead / max(1.0, chars[0]), log, np.log1p(own), links / np.maximum(chars, 1), chars / size, children, order / siblings, siblings,
         sums[up] / siblings - log, same / siblings, marks / np.maximum(chars, 1), chars / max(1.0, chars[0])]
     return np.concatenate([flags, np.stack(columns, axis=1)], axis=1)
 
@@ -261,9 +290,16 @@ def rendered(main: list[str], other: list[str], draw: random.Random) -> str:
     def words(low: int, high: int) -> str:
         return " ".join(draw.choice(other).split()[: draw.randint(low, high)]) or "more"
 
-    def named(kinds: list[tuple[str, str]], inner: str, y: int) -> str:
-        tag, name = draw.choice(kinds)
-        shown = f' {draw.choice(["class", "id"])}="{name}"' if name and draw.random() < 0.8 else ""
+    def strange() -> str:
+        found = TOKEN.findall(words(1, 3).lower())
+        return found[0] if found else "x"
+
+    def named(kinds: list[str], inner: str, y: int) -> str:
+        tag, _, name = draw.choice(kinds).partition(" ")
+        across = draw.choice(draw.choice([MAIN, *AREAS.values()])).split(" ")[-1]
+        if draw.random() < 0.3:
+            name = draw.choice([strange(), f"{across}-{strange()}", f"{strange()}-{across}", f"{name or tag}-{across}" if not y else f"{across}-{strange()}"])
+        shown = f' {draw.choice(["class", "id"])}="{name}"' if name and draw.random() < 0.85 else ""
         return f'<{tag}{shown} data-y="{y}">{inner}</{tag}>'
 
     def links() -> str:
@@ -280,52 +316,72 @@ def rendered(main: list[str], other: list[str], draw: random.Random) -> str:
             f"<h2>{words(2, 6)}</h2>", f"<blockquote><p>{draw.choice(main)}</p></blockquote>", f"<ul><li>{draw.choice(main)}</li><li>{words(3, 12)}</li></ul>",
             f"<p>{words(1, 4)} <a href='/y'>{words(1, 3)}</a> {draw.choice(main)}</p>", f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>", f"<p><b>{draw.choice(main)}<br><p>{draw.choice(main)}</p>"]))
     head = f"<h1>{words(3, 9)}</h1>" if draw.random() < 0.8 else ""
-    inner = [named([("div", "ad"), ("div", "share social"), ("aside", "related"), ("div", "newsletter signup")], words(3, 15), 0) if draw.random() < 0.15 else "" for _ in range(2)]
-    text = named([("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "entry-content"), ("section", "article-body"), ("div", "main"), ("div", "story")],
-                 head + "".join(blocks[: count // 2]) + inner[0] + "".join(blocks[count // 2 :]) + inner[1], 1)
+    if head and draw.random() < 0.2:
+        head = f"<header>{head}</header>"
+    inner = [named(AREAS["inner"], words(3, 15), 0) if draw.random() < 0.15 else "" for _ in range(2)]
+    text = named(MAIN, head + "".join(blocks[: count // 2]) + inner[0] + "".join(blocks[count // 2 :]) + inner[1], 1)
+    said = "".join(f'<div class="comment"><p>{draw.choice(main)}</p></div>' if draw.random() < 0.7 else f"<p>{draw.choice(main)}</p>" for _ in range(draw.randint(1, 5)))
     ahead = [
-        named([("nav", ""), ("div", "menu"), ("ul", "nav"), ("div", "navbar"), ("nav", "main-nav")], links(), 0),
-        named([("header", ""), ("div", "header"), ("div", "masthead"), ("header", "page-header")], f"<h2>{words(1, 4)}</h2><p>{words(2, 8)}</p>", 0),
-        named([("div", "cookie-notice"), ("div", "alert"), ("div", "banner"), ("section", "notice"), ("div", "gdpr-consent")], lines(other, 1, 1), 0),
-        named([("div", "ad"), ("div", "ads"), ("div", "sponsored"), ("aside", "promo"), ("section", "advert")], lines(other, 1, 2) if draw.random() < 0.5 else draw.choice(other), 0),
-        named([("div", "breadcrumb"), ("ol", "breadcrumbs")], f"<a href='/z'>{words(1, 2)}</a> &gt; {words(1, 3)}", 0)]
+        named(AREAS["menu"], links(), 0),
+        named(AREAS["header"], f"<h2>{words(1, 4)}</h2><p>{words(2, 8)}</p>", 0),
+        named(AREAS["notice"], lines(other, 1, 1), 0),
+        named(AREAS["advert"], lines(other, 1, 2) if draw.random() < 0.5 else draw.choice(other), 0),
+        named(AREAS["trail"], f"<a href='/z'>{words(1, 2)}</a> &gt; {words(1, 3)}", 0)]
     after = [
-        named([("aside", ""), ("div", "sidebar"), ("aside", "widget"), ("div", "related")], f"<h3>{words(1, 3)}</h3>" + (links() if draw.random() < 0.6 else lines(other, 1, 3)), 0),
-        named([("form", ""), ("form", "search"), ("form", "login")], f"<p>{words(2, 8)}</p><label>{words(1, 3)}</label><input name='q'>", 0),
-        named([("section", "comments"), ("div", "comments"), ("div", "comment-list"), ("ol", "comments"), ("div", "discussion")],
-              "".join(f'<div class="comment"><p>{draw.choice(main)}</p></div>' if draw.random() < 0.7 else f"<p>{draw.choice(main)}</p>" for _ in range(draw.randint(1, 5))), 0),
-        named([("footer", ""), ("div", "footer"), ("footer", "page-footer")], f"&copy; {words(3, 12)}" + (links() if draw.random() < 0.3 else ""), 0)]
+        named(AREAS["side"], f"<h3>{words(1, 3)}</h3>" + (links() if draw.random() < 0.6 else lines(other, 1, 3)), 0),
+        named(AREAS["form"], f"<p>{words(2, 8)}</p><label>{words(1, 3)}</label><input name='q'>", 0),
+        named(AREAS["comments"], said, 0),
+        named(AREAS["footer"], f"&copy; {words(3, 12)}" + (links() if draw.random() < 0.3 else ""), 0)]
     page = "".join(x for x in ahead if draw.random() < 0.5) + text + "".join(x for x in after if draw.random() < 0.5)
     if draw.random() < 0.5:
         page = f'<div class="{draw.choice(["wrapper", "container", "page", "site"])}">{page}</div>'
     return f"<html><body>{page}</body></html>"
 
 
-def train(pages: list[str], count: int = RENDERED, seed: int = SEED) -> Trees:
-    """Trees fitted on pages rendered from the texts of the given ones."""
+@dataclass
+class Blocks:
+    """What attribute tokens stand for, and the trees over the features of a node."""
+
+    known: np.ndarray
+    trees: Trees
+
+    def odds(self, pages: list[Page]) -> list[np.ndarray]:
+        """Log-odds of main text per node of each page."""
+        rows = [features(page, self.known) for page in pages]
+        return np.split(self.trees.score(np.concatenate(rows)), np.cumsum([len(r) for r in rows])[:-1]) if rows else []
+
+
+def labelled(html: str) -> Page:
+    """A rendered page; nodes inherit the label of the area around them."""
+    page = parse(html)
+    for i in range(1, len(page.label)):
+        page.label[i] = page.label[i] or page.label[page.parent[i]]
+    return page
+
+
+def train(pages: list[str], count: int = RENDERED, seed: int = SEED) -> Blocks:
+    """The model fitted on pages rendered from the texts of the given ones."""
     texts = [text for html in pages for _, text in parse(html).texts]
     long = [x for x in texts if len(x) >= 40] or ["A plain sentence, of some length, that stands for the text of a page."]
     short = [x for x in texts if len(x) < 160] or ["A short line of text."]
     draw = random.Random(seed)
+    made = [labelled(rendered([x[:2000] for x in draw.choices([*long, *short], k=12)], draw.choices(short, k=12), draw)) for _ in range(count)]
+    known = evidence(made[: count // 2])
     rows, labels = [], []
-    for _ in range(count):
-        page = parse(rendered([x[:2000] for x in draw.choices([*long, *short], k=12)], draw.choices(short, k=12), draw))
-        label = page.label
-        for i in range(1, len(label)):
-            label[i] = label[i] or label[page.parent[i]]
-        known = [i for i, y in enumerate(label) if y]
-        rows.append(features(page)[known])
-        labels.append(np.array([label[i] == "1" for i in known], dtype=float))
-    return boost(np.concatenate(rows), np.concatenate(labels))
-
-
-def model(pages: DataFrame, sample: int = SAMPLE, key: str = "page_id", html: str = "html") -> Trees:
-    """The trees, trained with texts from a bounded sample of the pages."""
+    for page in made[count // 2 :]:
+        used = [i for i, y in enumerate(page.label) if y]
+        rows.append(features(page, known)[used])
+        labels.append(np.array([page.label[i] == "1" for i in used], dtype=float))
+    return Blocks(known, boost(np.concatenate(rows), np.concatenate(labels)))
+
+
+def model(pages: DataFrame, sample: int = SAMPLE, key: str = "page_id", html: str = "html") -> Blocks:
+    """The model, trained with texts from a bounded sample of the pages."""
     some = sampled(pages.where(F.length(html) <= LONGEST).select(key, html), sample, key, html).select(html).collect()
     return train([row[0] for row in some])
 
 
-def extracted(pages: DataFrame, trees: Trees, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def extracted(pages: DataFrame, blocks: Blocks, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Key, url, text and n_chars of every page."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,9 +389,7 @@ def extracted(pages: DataFrame, trees: Trees, key: str = "page_id", url: str = "
             # A few pages at a time: the trees like long columns, memory does not.
             for first in range(0, batch.num_rows, 64):
                 parsed = [parse(x.as_py()) for x in batch.column(2).slice(first, 64)]
-                rows = [features(page) for page in parsed]
-                odds = np.split(trees.score(np.concatenate(rows)), np.cumsum([len(r) for r in rows])[:-1])
-                texts += [decode(page, own) for page, own in zip(parsed, odds, strict=True)]
+                texts += [decode(page, own) for page, own in zip(parsed, blocks.odds(parsed), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["key", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
