@@ -48,9 +48,12 @@ def words_of(text: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``; only where it is unset (tests) a local one."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``. Where it is unset, a session on one machine (tests) gets a local one; a
+    cluster is refused, since its nodes do not share local folders."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         named = "file://" + tempfile.mkdtemp(prefix="tablero-")
         spark.sparkContext.setCheckpointDir(named)
     return named

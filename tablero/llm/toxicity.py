@@ -1,17 +1,18 @@
 """Toxicity by multiple-instance learning: only documents are labelled, sentences are scored.
 
 A document is a bag of sentences. Sentence s is toxic with probability p(s), a logistic function of the words and word beginnings that it
-holds, and the document is toxic with probability 1 - prod(1 - p(s)) (noisy-or). Weights are fitted to the document labels
+holds, and the document is toxic with probability 1 - prod(1 - p(s)) (noisy-or). Sentences without any known feature share at most ``PLAIN`` of
+that probability, however many there are, so that length alone makes no text toxic. Weights are fitted to the document labels
 through that formula, so that the model itself has to find which sentences carry the label; the same p(s) then locates them.
 
-Training sees at most ``SAMPLE`` labelled documents, those with the smallest digests of their ids, and only rows whose crc32(id) mod 3 is not 1. Features are
-hashed in the tasks that hold the texts; features are screened by counting documents, and only screened features reach the driver:
+Training sees at most ``SAMPLE`` different labelled documents of the table, those with the smallest digests of id and text, and only rows whose crc32(id) mod 3
+is not 1; they are written once to the shared folder. Features are hashed in the tasks that hold the texts; features are screened by counting documents, and only screened features reach the driver:
 at most ``2**BITS`` numbers and, per sampled document, the sentences that hold one. Fitting is proximal gradient descent with an L1 penalty (a
 feature must explain about ``PENALTY`` documents before it counts) and a small share of wrong labels built in. Scoring is one pass over whole texts.
 
 Results for odd input: a null or empty text, or one without words, has score 0. Without usable labels every score is
-that of the prior, near 0. A repeated label counts once (the larger wins), a null label not at all. Repeated rows give one result row each; a
-null id is not held out and not trained on. An empty table gives an empty result. Extra columns of the input are ignored.
+that of the prior, at most ``PLAIN``. A repeated label counts once (the larger wins), a null label or one without a document not at all. Repeated rows
+are learned from once and give one result row each; a null id is not held out and not trained on. An empty table gives an empty result. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablero.llm.common import keyed, sampled
+from tablero.llm.common import keyed, sampled, written
 
 #: Labelled documents that training uses at most.
 SAMPLE = 20_000
@@ -39,6 +40,8 @@ MIN_DOCS, MIN_TOXIC, LIFT = 3, 2, 3.0
 PENALTY, WRONG, STEPS, PRIOR = 0.2, 0.02, 300, -7.0
 #: Log-odds that a sentence without any known feature keeps at most.
 HIGHEST = -5.0
+#: The share in a document's score that all its sentences without known features have together at most.
+PLAIN = 0.1
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -100,17 +103,18 @@ def fit(bags: list[tuple[int, int, list[list[int]]]], counts: dict[int, tuple[in
     docs_of, toxic_of = np.array([counts[x] for x in names.tolist()], dtype=float).reshape(-1, 2).T
     base = min(label.mean(), 1 - 1e-9)
     weights = np.maximum(0, np.log((toxic_of + 0.5) / (docs_of - toxic_of + 0.5)) - np.log(base / (1 - base)))
-    step, bias = 1.0 / (0.25 * docs_of + 1.0), PRIOR
+    step, bias, most = 1.0 / (0.25 * docs_of + 1.0), PRIOR, float(np.log1p(-PLAIN))
     for _ in range(steps):
         z = bias + np.bincount(row, weights=weights[column], minlength=len(sizes))
-        none = np.bincount(doc, weights=-np.logaddexp(0, z), minlength=len(bags)) - plain * np.logaddexp(0, bias)
+        rest = -plain * np.logaddexp(0, bias)
+        none = np.bincount(doc, weights=-np.logaddexp(0, z), minlength=len(bags)) + np.maximum(rest, most)
         toxic = np.clip(-np.expm1(none), 1e-9, 1 - 1e-9)
         seen = wrong + (1 - 2 * wrong) * toxic
         slope = (label / seen - (1 - label) / (1 - seen)) * (1 - 2 * wrong) * (1 - toxic)
         own = slope[doc] / (1 + np.exp(-z))
         weights = weights + step * np.bincount(column, weights=own[row], minlength=len(names))
         weights = np.clip(np.sign(weights) * np.maximum(0, np.abs(weights) - penalty * step), -12, 12)
-        bias = min(HIGHEST, bias + (own.sum() + (slope * plain).sum() / (1 + np.exp(-bias))) / len(bags))
+        bias = min(HIGHEST, bias + (own.sum() + (slope * plain)[rest > most].sum() / (1 + np.exp(-bias))) / len(bags))
     used = weights != 0
     return Model(dict(zip(names[used].tolist(), weights[used].tolist(), strict=True)), float(bias))
 
@@ -123,9 +127,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     """The model from the labelled rows that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     known = known.groupBy(F.col(key).alias("key")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = sampled(known, sample, "key")
-    # The sample has at most SAMPLE rows of two numbers: small enough for every task by definition.
-    rows = keyed(docs, key, text).withColumnRenamed(key, "key").join(F.broadcast(chosen), "key").select("toxic", "text")
+    texts = keyed(docs, key, text).withColumnRenamed(key, "key").withColumn("digest", F.xxhash64("text"))
+    # Only ids and digests meet the labels; what is drawn from them has at most SAMPLE rows of three numbers, small enough for every task by definition.
+    here = texts.select("key", "digest").distinct().join(known, "key")
+    chosen = sampled(here, sample, "key", "digest")
+    rows = written(texts.join(F.broadcast(chosen), ["key", "digest"]).dropDuplicates(["key", "digest"]).select("toxic", "text"))
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Known(None)
@@ -165,7 +171,7 @@ def judge(text: str, model: Model, memo: Known, base: float) -> tuple[float, lis
         none += float(np.log1p(-min(p, 1 - 1e-12)))
         if p >= 0.5:
             own.append({"start": start, "end": end, "score": p})
-    return float(-np.expm1(none + plain * np.log1p(-base))), own
+    return float(-np.expm1(none + max(plain * np.log1p(-base), np.log1p(-PLAIN)))), own
 
 
 def score_of(model: Model):

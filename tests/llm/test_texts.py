@@ -259,6 +259,47 @@ def test_toxicity_without_labels(spark):
     assert toxicity.scored(documents(spark, []), toxicity.train(documents(spark, []), none)).count() == 0
 
 
+def test_toxicity_scores_are_noisy_or(spark):
+    """Scores against the formula, sentence by sentence, from the words that a model of known weights holds."""
+    word = {w: toxicity.features(w)[0] for w in ("vile", "nasty", "kind")}
+    model = toxicity.Model({word["vile"]: 6.0, word["nasty"]: 3.5, word["kind"]: -2.0}, -5.0)
+    weight = {"vile": 6.0, "nasty": 3.5, "kind": -2.0}
+    rows = [(1, "A vile day. Then a nasty, kind one! Plain."), (2, "Nasty nasty. Nasty?"), (3, "Plain. " * 5000), (4, "... !"), (5, "Vile nasty kind\nkind")]
+    found = {r.doc_id: r for r in toxicity.scored(documents(spark, rows), model).collect()}
+    for number, text in rows:
+        none, plain = 1.0, 0
+        for sentence in re.split(r"[.!?\n]+", text.lower()):
+            words = set(re.findall(r"\w+", sentence))
+            held = words & set(weight)
+            plain += bool(words) and not held
+            none *= 1 - 1 / (1 + np.exp(5.0 - sum(weight[w] for w in held))) if held else 1
+        want = 1 - none * max((1 - 1 / (1 + np.exp(5.0))) ** plain, 1 - toxicity.PLAIN)
+        assert abs(found[number].score - want) < 1e-9
+    assert [len(found[i].offending) for i in range(1, 6)] == [1, 0, 0, 0, 1]
+
+
+def test_length_alone_is_not_toxic(spark):
+    clean = " ".join(f"{prose(i, 9)}." for i in range(20_000))
+    rows, labels = toxic_rows(300)
+    docs = documents(spark, [*rows, (9000, clean), (9001, clean + " You grunkle.")])
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in toxicity.scored(docs, toxicity.train(docs, known)).where("doc_id >= 9000").collect()}
+    assert found[9000].predicted == 0 and found[9001].predicted == 1 and len(found[9001].offending) == 1
+    assert toxicity.scored(docs, toxicity.Model()).where("doc_id = 9000").first().score <= toxicity.PLAIN + 1e-12
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """A labelled id that very many rows repeat, equal or not, and labels without documents."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda bags, counts: seen.append(len(bags)) or toxicity.Model())
+    many, same, once = [i for i in range(50) if zlib.crc32(str(i).encode()) % 3 != 1][:3]
+    docs = documents(spark, [*((many, f"{prose(i, 9)}.") for i in range(600)), *((same, "The same text.") for _ in range(600)), (once, "Third text.")])
+    known = spark.createDataFrame([(i, 1, i % 2) for i in (many, same, once, *range(5000, 5400))], "doc_id long, quality int, toxic int")
+    toxicity.train(docs, known, sample=10)
+    toxicity.train(docs, known, sample=10_000)
+    assert seen == [10, 602]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><div class="cookie-notice">We use cookies, accept?</div><!-- <p>no</p> -->
 <article><h1>Title &amp; more</h1><p>First  paragraph, with <a href="/x">a link</a> and some&nbsp;words.<p>Second &lt;b&gt; paragraph,
