@@ -560,6 +560,42 @@ FROM lote_celulares l LEFT JOIN retadores r ON l.id_retador = r.id_retador"""),
     }
 
 
+def _refreshed() -> dict[str, str]:
+    """Scores and indicators counted anew over the three saved logs."""
+    saves = {"registros_habitos": "save_habits", "registros_actividades": "save_attendance", "registros_calificaciones": "save_ratings"}
+    changes = _changes()
+    after = ",\n".join(f"tras_{log} AS ({changes[save]})" for log, save in saves.items())
+
+    def over_saved(text: str) -> str:
+        for log in saves:
+            text = text.replace(f"FROM {log}", f"FROM tras_{log}")
+        return text
+
+    def numbers(prefix: str) -> str:
+        sign = 1 if prefix else -1
+        return f"""
+  SELECT id_participacion, 0 AS a, {sign} * CAST(100 * peso_habito AS BIGINT) AS h, 0 AS c, 0 AS na, {sign} AS nh, 0 AS nc
+  FROM {prefix}registros_habitos l JOIN habitos x ON x.nombre_habito = l.nombre_habito
+  UNION ALL
+  SELECT id_participacion, {sign}, 0, 0, {sign}, 0, 0 FROM {prefix}registros_actividades
+  UNION ALL
+  SELECT id_participacion, 0, 0, {sign} * calificacion * CAST(100 * peso_criterio AS BIGINT), 0, 0, {sign}
+  FROM {prefix}registros_calificaciones l JOIN criterios_calificacion k ON k.criterio_calificacion = l.criterio_calificacion"""
+
+    scores = "registros_habitos registros_calificaciones registros_actividades habitos criterios_calificacion participacion conceptos actividades coaches"
+    return {
+        "score_deltas": _q(scores, """
+SELECT id_participacion, CAST(sum(a) AS BIGINT) AS _actividades, CAST(sum(h) AS BIGINT) AS _habitos, CAST(sum(c) AS BIGINT) AS _calificacion,
+  CAST(sum(na) AS BIGINT) AS _n_actividades, CAST(sum(nh) AS BIGINT) AS _n_habitos, CAST(sum(nc) AS BIGINT) AS _n_calificacion
+FROM cambios GROUP BY id_participacion HAVING sum(a) <> 0 OR sum(h) <> 0 OR sum(c) <> 0 OR sum(na) <> 0 OR sum(nh) <> 0 OR sum(nc) <> 0""",
+            f"{after},\ncambios AS ({numbers('')} UNION ALL {numbers('tras_')})"),
+        "scoreboard_refreshed": _q(scores, """
+SELECT nombre_reto, nombre_retador, concepto, round(puntaje, 6) AS puntaje, total FROM tablero""", f"{after},\n{over_saved(SCORES).strip()}"),
+        "kpis_refreshed": _q("retos participacion actividades registros_habitos registros_actividades habitos",
+            "SELECT id_reto, nombre_reto, gente AS retadores, habitos, actividades FROM tasas", f"{after},\n{over_saved(RATES).strip()}"),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     habits = "habitos conceptos registros_habitos participacion"
     attended = "conceptos actividades registros_actividades participacion"
@@ -774,4 +810,5 @@ SELECT l.* FROM registros_habitos l JOIN participacion p ON p.id_participacion =
     result.update(_rules())
     result.update(_changes())
     result.update(_admission())
+    result.update(_refreshed())
     return result

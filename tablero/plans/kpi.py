@@ -80,17 +80,19 @@ def _rate(logged: Column, expected: Column) -> Column:
     return F.round(share, RATE_DECIMALS).cast("double")
 
 
-def kpis(t: Tables, *, as_of: date, ids: Iterable[int] | DataFrame | None = None, reto: str | None = None) -> DataFrame:
+def kpis(t: Tables, *, as_of: date, ids: Iterable[int] | DataFrame | None = None, reto: str | None = None,
+         counted: DataFrame | None = None) -> DataFrame:
     """Habit fill rate and attendance rate of each active challenge.
 
     Habits are expected from every challenger on every elapsed day, attendance at every scored activity so far. The two logs are
-    counted per participation in one pass before they meet the participations.
+    counted per participation in one pass before they meet the participations. ``counted`` has the participations with the numbers of their rows
+    where those are known already.
     """
     active = _active(t, ids, reto)
     wanted = None if ids is None and reto is None else active.select("nombre_reto")
-    counted = t.replace(participacion=_counted_participations(t, wanted))
+    people = _counted_participations(t, wanted) if counted is None else counted
     per_challenge = _per_challenge(
-        counted, active, as_of, F.sum("_h").alias("_h"), F.sum("_a").alias("_a"))
+        t.replace(participacion=people), active, as_of, F.sum("_h").alias("_h"), F.sum("_a").alias("_a"))
     habits = t.habitos.agg(F.count(F.lit(1))).scalar()
     joined = per_challenge.join(activities_to_date(t, as_of), "nombre_reto", "left")
     return joined.select(

@@ -77,6 +77,11 @@ def _worth(t: Tables, component: str, reto: str | None, retador: str | None) ->
     return logs_of(t, "registros_actividades", component, reto, retador).withColumn("_valor", F.lit(1).cast("long"))
 
 
+def component_worth(t: Tables, component: str) -> DataFrame:
+    """Rows of a component's log, with any further columns, and their worth in ``_valor``."""
+    return _worth(t, component, None, None)
+
+
 def _sums(t: Tables, components: list[str], reto: str | None, retador: str | None) -> DataFrame:
     """One row per challenger of a challenge and one worth column per component, null where nothing was logged."""
     parts = []
@@ -88,7 +93,10 @@ def _sums(t: Tables, components: list[str], reto: str | None, retador: str | Non
     for part in parts[1:]:
         logs = logs.unionByName(part)
     cols = [COMPONENTS[c] for c in components]
-    per_participation = logs.groupBy("id_participacion").agg(*[F.sum(c).alias(c) for c in cols])
+    return _by_person(t, logs.groupBy("id_participacion").agg(*[F.sum(c).alias(c) for c in cols]), cols, reto, retador)
+
+
+def _by_person(t: Tables, per_participation: DataFrame, cols: list[str], reto: str | None, retador: str | None) -> DataFrame:
     named = per_participation.join(participants(t, reto, retador), "id_participacion")
     return named.groupBy(*PERSON).agg(*[F.sum(c).alias(c) for c in cols])
 
@@ -109,10 +117,12 @@ def _points(t: Tables, component: str, dias: int, escala: int) -> Column:
 
 
 def _wide_points(
-    t: Tables, components: list[str], reto: str | None, retador: str | None, dias: int, escala: int
+    t: Tables, components: list[str], reto: str | None, retador: str | None, dias: int, escala: int, earned: DataFrame | None = None
 ) -> DataFrame:
-    """Unclamped points in one column per component; null where the component does not apply."""
-    sums = _sums(t, components, reto, retador)
+    """Unclamped points in one column per component; null where the component does not apply. ``earned`` has the worths per participation
+    where they are known already."""
+    known = earned is not None
+    sums = _by_person(t, earned, [COMPONENTS[c] for c in components], reto, retador) if known else _sums(t, components, reto, retador)
     if ACTIVITIES in components:
         sums = spread_join(sums, scored_activities(t, reto), ["nombre_reto"], ["nombre_retador"], "left")
     return sums.select(*PERSON, *[_points(t, c, dias, escala).alias(COMPONENTS[c]) for c in components])
@@ -174,21 +184,22 @@ def rating_means(t: Tables, *, as_of: date | None = None, reto: str | None = Non
         .select(*PERSON, "criterio_calificacion", _rounded(mean).alias("prom")))
 
 
-def _scored(t: Tables, reto: str | None, retador: str | None, dias: int, escala: int) -> DataFrame:
+def _scored(t: Tables, reto: str | None, retador: str | None, dias: int, escala: int, earned: DataFrame | None = None) -> DataFrame:
     """Clamped points per component and their total, one row per challenger of a challenge."""
-    wide = _wide_points(t, list(COMPONENTS), reto, retador, dias, escala)
+    wide = _wide_points(t, list(COMPONENTS), reto, retador, dias, escala, earned)
     clamped = wide.select(*PERSON, *[clamp(F.col(c)).alias(c) for c in COMPONENTS.values()])
     total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in COMPONENTS.values()), F.lit(0.0))
     return clamped.filter(F.coalesce(*COMPONENTS.values()).isNotNull()).withColumn("total", _rounded(total))
 
 
 def scoreboard(t: Tables, *, as_of: date | None = None, reto: str | None = None, retador: str | None = None,
-               dias: int = CHALLENGE_DAYS, escala: int = RATING_SCALE) -> DataFrame:
-    """One row per challenger and component with its points, none below zero, and the challenger's total."""
+               dias: int = CHALLENGE_DAYS, escala: int = RATING_SCALE, earned: DataFrame | None = None) -> DataFrame:
+    """One row per challenger and component with its points, none below zero, and the challenger's total. ``earned`` (id_participacion and a worth
+    per component) stands for the logs where :mod:`tablero.plans.upkeep` keeps their sums."""
     rows = F.array(*[
         F.struct(F.lit(name).alias("concepto"), _rounded(F.col(c)).alias("puntaje")) for name, c in COMPONENTS.items()])
     return (
-        _scored(t, reto, retador, dias, escala).select(*PERSON, "total", F.inline(rows))
+        _scored(t, reto, retador, dias, escala, earned).select(*PERSON, "total", F.inline(rows))
         .filter(F.col("puntaje").isNotNull()).select(*PERSON, "concepto", "puntaje", "total"))
 
 
