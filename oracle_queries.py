@@ -560,6 +560,39 @@ FROM lote_celulares l LEFT JOIN retadores r ON l.id_retador = r.id_retador"""),
     }
 
 
+def _listed() -> dict[str, str]:
+    """Reports with the position that their printed order gives each row."""
+    def placed(order: str, hidden: str = "") -> str:
+        return f"SELECT *{hidden}, row_number() OVER (ORDER BY {', '.join(f'{c} NULLS LAST' for c in order.split())}) AS posicion FROM filas"
+
+    logs = "registros_habitos participacion"
+    return {
+        "scores_listed": _q(
+            "registros_habitos registros_calificaciones registros_actividades habitos criterios_calificacion participacion conceptos actividades coaches",
+            placed("nombre_reto nombre_retador concepto"),
+            SCORES + ", filas AS (SELECT nombre_reto, nombre_retador, concepto, round(puntaje, 6) AS puntaje, total FROM tablero)"),
+        "habit_counts_listed": _q(f"{logs} habitos", placed("nombre_reto nombre_retador id_habito", " EXCLUDE (id_habito)"), """
+filas AS (
+  SELECT nombre_reto, nombre_retador, l.nombre_habito, id_habito, count(*) AS n FROM registros_habitos l JOIN participacion p USING (id_participacion)
+  JOIN habitos h ON h.nombre_habito = l.nombre_habito GROUP BY ALL)"""),
+        "habit_days_listed": _q(f"{logs} habitos coaches", placed("nombre_reto nombre_retador id_habito fecha", " EXCLUDE (id_habito)"), """
+filas AS (
+  SELECT nombre_reto, nombre_retador, fecha_ocurrencia AS fecha, l.nombre_habito, id_habito, max(user_coach) AS user_coach, count(*) AS n
+  FROM registros_habitos l JOIN participacion p USING (id_participacion) JOIN coaches USING (nombre_coach)
+  JOIN habitos h ON h.nombre_habito = l.nombre_habito GROUP BY ALL)"""),
+        "attendance_listed": _q("registros_actividades participacion actividades", placed(
+            "nombre_reto inicio retador actividad registrador", " EXCLUDE (inicio)"), """
+filas AS (
+  SELECT p.nombre_reto, concat(coalesce(actividad, 'NA'), ' ', coalesce(strftime(inicio, '%d/%m/%Y'), 'NA')) AS actividad,
+    nombre_retador AS retador, nombre_coach AS registrador, CAST(inicio AS DATE) AS inicio
+  FROM registros_actividades r JOIN participacion p USING (id_participacion) LEFT JOIN actividades a ON r.id_actividad = a.id_actividad)"""),
+        "ratings_listed": _q("registros_calificaciones participacion retos", placed("nombre_reto retador calificador criterio"), f"""
+filas AS (
+  SELECT nombre_reto, nombre_retador AS retador, nombre_coach AS calificador, criterio_calificacion AS criterio, {_word('calificacion')} AS calificacion
+  FROM registros_calificaciones JOIN participacion USING (id_participacion) JOIN retos USING (nombre_reto))"""),
+    }
+
+
 def _refreshed() -> dict[str, str]:
     """Scores and indicators counted anew over the three saved logs."""
     saves = {"registros_habitos": "save_habits", "registros_actividades": "save_attendance", "registros_calificaciones": "save_ratings"}
@@ -811,4 +844,5 @@ SELECT l.* FROM registros_habitos l JOIN participacion p ON p.id_participacion =
     result.update(_changes())
     result.update(_admission())
     result.update(_refreshed())
+    result.update(_listed())
     return result

@@ -51,16 +51,21 @@ def pivot_habit_days(t: Tables, names: Sequence[str], *, reto: str | None = None
     return _spread(habit_days(t, reto=reto, retador=retador), [*PERSON, "fecha"], "nombre_habito", names, "user_coach", "n")
 
 
-def attendance_report(t: Tables, *, as_of: date | None = None, reto: str | None = None,
-                      retador: str | None = None) -> DataFrame:
-    """Attendance with activity label and registering coach; activities no longer known still show."""
+def attendance_rows(t: Tables, *, reto: str | None = None, retador: str | None = None) -> DataFrame:
+    """The rows of :func:`attendance_report` with the start of the activity."""
     held = t.actividades.select("id_actividad", "actividad", "inicio")
     people = _only(t.participacion, reto, retador).select("id_participacion", *PERSON)
     return (
         t.registros_actividades.select("id_participacion", "id_actividad", "nombre_coach")
         .join(people, "id_participacion").join(held, "id_actividad", "left")
         .select("nombre_reto", activity_label(F.col("actividad"), F.col("inicio")).alias("actividad"),
-                F.col("nombre_retador").alias("retador"), F.col("nombre_coach").alias("registrador")))
+                F.col("nombre_retador").alias("retador"), F.col("nombre_coach").alias("registrador"), "inicio"))
+
+
+def attendance_report(t: Tables, *, as_of: date | None = None, reto: str | None = None,
+                      retador: str | None = None) -> DataFrame:
+    """Attendance with activity label and registering coach; activities no longer known still show."""
+    return attendance_rows(t, reto=reto, retador=retador).drop("inicio")
 
 
 def ratings_report(t: Tables, *, as_of: date | None = None, reto: str | None = None,
