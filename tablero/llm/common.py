@@ -67,6 +67,22 @@ def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     return spark.read.schema(StructType(df.schema.fields)).parquet(path)
 
 
+#: Keys that hold more than this part of all rows are joined apart: there are fewer of them than this number.
+PARTS, FEW = 1024, 1000
+
+
+def heavy_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """An inner join with one row per key on the right, whose column ``count`` says how many of the ``total`` rows on the left have that key (or more).
+
+    Keys with more than ``total / PARTS`` rows number fewer than ``PARTS``, whatever the size of the tables: that bounds the two broadcasts. Their rows stay
+    where they are; all others meet in a plain join, in which no key is heavy.
+    """
+    heavy = F.col(count) > max(total // PARTS, FEW)
+    hot = right.where(heavy)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(~heavy), keys)
+    return rest.unionByName(left.join(F.broadcast(hot), keys))
+
+
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     """Only the key and the text column, a null text as the empty one; other columns cannot clash with what an operator adds."""
     return df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))

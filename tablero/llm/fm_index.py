@@ -30,12 +30,15 @@ class Bits:
 
 
 class Index:
-    """Counts how often patterns occur in a text of symbols 0 .. n; 0 separates and is never part of a pattern."""
+    """Counts how often patterns occur in a text of symbols 0 .. n; 0 separates and is never part of a pattern. ``weights`` says for each position how
+    often its part of the text stands (once, if left out): a part that occurs many times is indexed once."""
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, weights: np.ndarray | None = None):
         n = len(text)
         self.size = n
         order = self._suffixes(text)
+        own = np.ones(n, dtype=np.int64) if weights is None else weights[order]
+        self.weight = np.concatenate([[0], np.cumsum(own)])
         last = np.where(order > 0, text[order - 1], 0)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1))]).astype(np.int64)
         self.levels: list[Bits] = []
@@ -78,7 +81,7 @@ class Index:
 
     def matches(self, text: np.ndarray, ends: np.ndarray, length: int | np.ndarray, least: int = 2, at_once: int = 1 << 16) -> np.ndarray:
         """Matching statistics up to ``length`` (of each): for each end position of the streamed text how many symbols up to it
-        occur at least ``least`` times in the index as they stand."""
+        occur at least ``least`` times in the index as they stand, each occurrence by its weight."""
         out = np.zeros(len(ends), dtype=np.int64)
         limits = np.broadcast_to(length, len(ends))
         for begin in range(0, len(ends), at_once):
@@ -87,7 +90,7 @@ class Index:
             symbols = text[own[alive]]
             low, high = self.first[symbols], self.first[symbols + 1]
             for step in range(1, int(limit.max(initial=0)) + 1):
-                keep = high - low >= least
+                keep = self.weight[high] - self.weight[low] >= least
                 alive, low, high = alive[keep], low[keep], high[keep]
                 out[begin + alive] += 1
                 more = limit[alive] > step

@@ -6,14 +6,15 @@ A window is ``WINDOW`` consecutive words of one text. Every word that lies in a
    mostly share one. Anchors that occur once in the corpus cannot belong to a repeated window and are left behind.
 2. The windows that one anchor owns are contiguous; their words are its segment. Each window of the corpus lies in exactly one
    segment, and all windows equal to it lie in segments of the same anchor.
-3. Segments are dealt by anchor. A task gathers whole anchors into shards of about ``SHARD`` words, indexes the shard's different segments (one that
-   occurs more often stands twice) and streams them through the index: backward search gives, for each position, how many words up to it
-   occur at least twice. Where that reaches the window length, the window is reported.
+3. Segments are dealt by anchor. A task gathers whole anchors into shards of about ``SHARD`` words, indexes the shard's different segments, each with the
+   number of its occurrences as weight, and streams them through the index: backward search gives, for each position, how many words up to
+   it occur at least twice. Where that reaches the window length, the window is reported.
 4. Reports return to the texts, which lose the union of their reported windows.
 
-Texts that equal each other whole are one text with a count from the start; with a count of two all their windows are repeated. An anchor
-that occurs more than ``HOT`` times (a passage or line in very many texts) is divided by content: its windows go one by one, keyed by anchor and
-their four first and four last words, equal ones pre-aggregated to one row with a count. So no shard depends on how common a passage is.
+Texts that equal each other whole are cut into segments once; their segments carry the number of copies into the index. An anchor that occurs in
+more than ``HOT`` places of different texts (a passage or line in very many texts) is divided by content: its windows go one by one, keyed by
+anchor and their four first and four last words, equal ones pre-aggregated to one row with a count. So no shard depends on how common a passage is, and
+joins on anchors and segments keep the rows of very common ones where they are.
 
 Words count as equal if their 64-bit hashes are. Nothing is capped: every text is read whole, every repeated anchor is followed.
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablero.llm.common import words_of, written
+from tablero.llm.common import heavy_join, words_of, written
 from tablero.llm.fm_index import Index
 from tablero.llm.jaccard_join import WordHashes, mixed
 
@@ -109,11 +110,11 @@ SEGMENT = pa.struct([("start", pa.int32()), ("key", pa.int64()), ("hot", pa.bool
 
 
 def segmented(texts: DataFrame) -> DataFrame:
-    """From (t1, t2, text, places: array of (position, hot)) the written table (t1, t2, text, segments)."""
+    """From (t1, t2, text, copies, places: array of (position, hot)) the written table (t1, t2, text, copies, segments)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        names, kinds = ["t1", "t2", "text", "segments"], [pa.int64(), pa.int64(), pa.string(), pa.list_(SEGMENT)]
-        out: list[list] = [[], [], [], []]
+        names, kinds = ["t1", "t2", "text", "copies", "segments"], [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(SEGMENT)]
+        out: list[list] = [[], [], [], [], []]
         size = 0
         for batch in batches:
             for i in range(batch.num_rows):
@@ -121,7 +122,7 @@ def segmented(texts: DataFrame) -> DataFrame:
                 words = hashed(words_of(text), memo)
                 grams, at = elected(words)
                 raw, own = words.tobytes(), []
-                places = batch.column(3)[i].values
+                places = batch.column(4)[i].values
                 pos, hots = places.field("pos").to_numpy(), places.field("hot").to_numpy(zero_copy_only=False)
                 firsts, lasts = np.searchsorted(at, pos), np.searchsorted(at, pos, side="right")
                 anchors = grams[pos].view(np.int64).tolist()
@@ -137,7 +138,7 @@ def segmented(texts: DataFrame) -> DataFrame:
                         edges += mixed(words[end : end + last - first] + EDGE_FACTORS[EDGE + j]) * EDGE_FACTORS[EDGE + j]
                     keys = mixed(edges ^ anchor).view(np.int64)
                     own += [{"start": s, "key": int(keys[s - first]), "hot": True, "words": raw[8 * s : 8 * (s + WINDOW)]} for s in range(first, last)]
-                for c, x in zip(out, (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), text, own), strict=True):
+                for c, x in zip(out, (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), text, batch.column(3)[i].as_py(), own), strict=True):
                     c.append(x)
                 size += sum(len(x["words"]) for x in own)
                 if size > 4 << 20:
@@ -146,22 +147,22 @@ def segmented(texts: DataFrame) -> DataFrame:
         if out[0]:
             yield flushed(out, kinds, names)
 
-    return written(texts.mapInArrow(run, "t1 long, t2 long, text string, segments array<struct<start: int, key: long, hot: boolean, words: binary>>"))
+    return written(texts.mapInArrow(run, "t1 long, t2 long, text string, copies long, segments array<struct<start: int, key: long, hot: boolean, words: binary>>"))
 
 
-def search(shard: dict[bytes, int]) -> Iterator[tuple[bytes, bytes]]:
-    """The segments of a shard that hold repeated windows, with one byte (0 or 1) per window."""
+def search(shard: dict[bytes, list[int]]) -> Iterator[tuple[bytes, bytes, int]]:
+    """The segments of a shard that hold repeated windows, with one byte (0 or 1) per window and the number of texts' places they stand in. The shard
+    has for each segment how often it occurs, copies of texts included, and in how many places of different texts."""
     segments = list(shard)
     sizes = np.array([len(x) // 8 for x in segments], dtype=np.int64)
     words = np.frombuffer(b"".join(segments), dtype=np.uint64)
     symbols = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    # Each segment and a separator; those that occur more than once a second time.
+    # Each segment and a separator.
     spread = np.zeros(len(symbols) + len(segments), dtype=np.int64)
     spread[np.arange(len(symbols)) + np.repeat(np.arange(len(segments)), sizes)] = symbols
-    again = [spread[s + i : e + i + 1] for i, (s, e, x) in enumerate(zip(starts.tolist(), ends.tolist(), segments, strict=True)) if shard[x] > 1]
-    index = Index(np.concatenate([spread, *again]))
+    index = Index(spread, np.repeat(np.array([shard[x][0] for x in segments], dtype=np.int64), sizes + 1))
     windows = sizes - WINDOW + 1
     # First whole segments (they are shorter than what the index orders): if one occurs twice, so do all its windows.
     whole = index.matches(symbols, ends - 1, sizes) == sizes
@@ -176,38 +177,40 @@ def search(shard: dict[bytes, int]) -> Iterator[tuple[bytes, bytes]]:
         own = marks[at : at + count]
         at += count
         if b"\x01" in own:
-            yield segments[i], own
+            yield segments[i], own, shard[segments[i]][1]
 
 
 def repeated(segments: DataFrame) -> DataFrame:
-    """(w1, w2, marks) of the different segments that hold repeated windows, from (key, words, n)."""
+    """(w1, w2, marks, places) of the different segments that hold repeated windows, from (key, words, n, places)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: dict[bytes, int] = {}
+        shard: dict[bytes, list[int]] = {}
         size, now = 0, None
-        names, kinds = ["words", "marks"], [pa.binary(), pa.binary()]
+        names, kinds = ["words", "marks", "places"], [pa.binary(), pa.binary(), pa.int64()]
 
         def report() -> Iterator[pa.RecordBatch]:
-            out: list[list] = [[], []]
-            for words, marks in search(shard):
-                out[0].append(words)
-                out[1].append(marks)
+            out: list[list] = [[], [], []]
+            for found in search(shard):
+                for c, x in zip(out, found, strict=True):
+                    c.append(x)
             if out[0]:
                 yield flushed(out, kinds, names)
 
         for batch in batches:
-            for key, words, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for key, words, n, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != now and size >= SHARD:
                     yield from report()
                     shard, size = {}, 0
                 now = key
                 if words not in shard:
                     size += len(words) // 8
-                shard[words] = shard.get(words, 0) + n
+                own = shard.setdefault(words, [0, 0])
+                own[0] += n
+                own[1] += places
         if shard:
             yield from report()
 
-    found = segments.repartition("key").sortWithinPartitions("key").mapInArrow(run, "words binary, marks binary")
-    return found.select(*digest("words"), "marks")
+    found = segments.repartition("key").sortWithinPartitions("key").mapInArrow(run, "words binary, marks binary, places long")
+    return found.select(*digest("words"), "marks", "places")
 
 
 def digest(words: str) -> tuple[Column, Column]:
@@ -239,52 +242,44 @@ def cleaned(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "t1 long, t2 long, n_removed long, digest string, kept string")
 
 
-def stages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows (anchored), one row per different text (t1, t2, copies), and the changed texts (t1, t2, n_removed, digest, kept) of those
-    that occur once."""
+def stages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows (anchored) and the changed texts (t1, t2, n_removed, digest, kept)."""
     whole = identity(docs, key, text)
     rows = anchored(whole)
-    texts = written(rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("row").alias("row")))
+    texts = written(rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("row").alias("row"))).select("row", "copies")
     anchors = rows.select("row", F.explode(F.arrays_zip(F.col("places").alias("pos"), F.col("hashes").alias("hash"))).alias("a")).select("row", "a.pos", "a.hash")
-    twice = anchors.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    # Copies of whole texts leave again before the final count.
-    candidates = written(anchors.join(twice, "hash").join(texts.select("row"), "row", "left_semi"))
-    counts = candidates.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", (F.col("n") > HOT).alias("hot"))
-    places = candidates.join(counts, "hash").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "hot"))).alias("places"))
+    total = rows.agg(F.sum(F.size("places"))).first()[0] or 0
+    twice = anchors.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    # One row per different text from here on.
+    candidates = written(heavy_join(anchors, twice, ["hash"], "n", total).drop("n").join(texts, "row"))
+    counts = candidates.groupBy("hash").agg(F.count("*").alias("n")).withColumn("hot", F.col("n") > HOT)
+    places = heavy_join(candidates, counts, ["hash"], "n", candidates.count()).groupBy("row", "copies").agg(F.sort_array(F.collect_list(F.struct("pos", "hot"))).alias("places"))
     owners = rows.select("row", F.col("key").alias("own"), "t1", "t2").join(places, "row").drop("row")
     same = F.col("key").eqNullSafe(F.col("own")) & (whole.t1 == owners.t1) & (whole.t2 == owners.t2)
-    found = segmented(whole.join(owners, same).select(whole.t1, whole.t2, "text", "places"))
-    flat = found.select("t1", "t2", F.explode("segments").alias("s")).select("t1", "t2", "s.start", "s.key", "s.hot", "s.words")
-    single = flat.where("NOT hot").select("key", "words", F.lit(1).cast("long").alias("n"))
-    common = flat.where("hot").groupBy("key", "words").agg(F.count("*").alias("n"))
+    found = segmented(whole.join(owners, same).select(whole.t1, whole.t2, "text", "copies", "places"))
+    flat = found.select("t1", "t2", "copies", F.explode("segments").alias("s")).select("t1", "t2", "copies", "s.start", "s.key", "s.hot", "s.words")
+    single = flat.where("NOT hot").select("key", "words", F.col("copies").alias("n"), F.lit(1).cast("long").alias("places"))
+    common = flat.where("hot").groupBy("key", "words").agg(F.sum("copies").alias("n"), F.count("*").alias("places"))
     marks = written(repeated(single.unionByName(common)))
     named = flat.select("t1", "t2", "start", *digest("words"))
-    reports = named.join(marks, ["w1", "w2"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "marks")).alias("marks"))
-    once = texts.where("copies = 1").select("t1", "t2")
-    changed = found.select("t1", "t2", "text").join(reports.join(once, ["t1", "t2"]), ["t1", "t2"])
-    return rows, texts, cleaned(changed)
+    pieces = found.agg(F.sum(F.size("segments.start"))).first()[0] or 0
+    reports = heavy_join(named, marks, ["w1", "w2"], "places", pieces).groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "marks")).alias("marks"))
+    # A repeated id with one text stands here more than once.
+    return rows, cleaned(found.select("t1", "t2", "text").join(reports, ["t1", "t2"]).dropDuplicates(["t1", "t2"]))
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row n_words, n_removed and the digest of the kept words."""
-    rows, texts, changed = stages(docs, key, text)
-    by_text = texts.select("t1", "t2", "copies").join(changed.drop("kept"), ["t1", "t2"], "left").withColumnRenamed("digest", "new")
-    narrow = rows.select("key", "t1", "t2", "n_words", "digest").join(by_text, ["t1", "t2"])
-    gone = (F.col("copies") > 1) & (F.col("n_words") >= WINDOW)
-    return narrow.select(
-        F.col("key").alias(key), "n_words",
-        F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(gone, F.lit(kept_digest([]))).otherwise(F.coalesce("new", "digest")).alias("kept_sha256"))
+    rows, changed = stages(docs, key, text)
+    narrow = rows.select("key", "t1", "t2", "n_words", "digest").join(changed.select("t1", "t2", "n_removed", F.col("digest").alias("new")), ["t1", "t2"], "left")
+    return narrow.select(F.col("key").alias(key), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("new", "digest").alias("kept_sha256"))
 
 
 def cleaned_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the repeated passages taken out of their texts; unchanged texts stay as they are, n_chars follows."""
-    rows, texts, changed = stages(docs, key, text)
-    by_text = texts.select("t1", "t2", "copies").join(changed.select("t1", "t2", "kept"), ["t1", "t2"], "left")
-    size = rows.groupBy("t1", "t2").agg(F.max("n_words").alias("n_words"))
+    _, changed = stages(docs, key, text)
     whole = F.coalesce(F.col(text), F.lit(""))
     marked = docs.withColumns({"_t1": F.xxhash64(F.lit(1), whole), "_t2": F.xxhash64(F.lit(2), whole)})
-    by_text = by_text.join(size, ["t1", "t2"]).select(
-        F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.when((F.col("copies") > 1) & (F.col("n_words") >= WINDOW), F.lit("")).otherwise(F.col("kept")).alias("_kept"))
-    out = marked.join(by_text, ["_t1", "_t2"]).withColumn(text, F.coalesce("_kept", text)).select(*docs.columns)
+    by_text = changed.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("kept").alias("_kept"))
+    out = marked.join(by_text, ["_t1", "_t2"], "left").withColumn(text, F.coalesce("_kept", text)).select(*docs.columns)
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out

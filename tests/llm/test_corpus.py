@@ -13,7 +13,7 @@ import pytest
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from tablero.llm import chat_format, graph, jaccard_join, pivot_search, substring_dedup
+from tablero.llm import chat_format, common, graph, jaccard_join, pivot_search, substring_dedup
 from tablero.llm.common import table
 from tablero.llm.fm_index import Index
 from tests.llm.frames import SMALL, documents, links, odd_texts, prose, quality_counts, removed, words
@@ -77,6 +77,18 @@ def test_substring_dedup(spark, monkeypatch, hot, shard):
     assert substring_dedup.removed(documents(spark, [])).count() == 0
 
 
+def test_copies_pass_through_the_index(spark, monkeypatch):
+    """Texts whose only repetition is their copies, a repeated id among them, and heavy keys joined apart."""
+    monkeypatch.setattr(common, "FEW", 3)
+    monkeypatch.setattr(common, "PARTS", 50)
+    rows = [(i, prose(i // 7 + 50, 120)) for i in range(28)] + [(90, prose(70, 80))] * 3 + [(None, prose(71, 80))] * 2 + [(91, prose(72, 300)), (92, prose(50, 34))]
+    _, changed = substring_dedup.stages(documents(spark, rows))
+    assert changed.count() == 6 and changed.where("n_removed > 0 AND kept = ''").count() == 6
+    found = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.removed(documents(spark, rows).repartition(3)).collect())
+    assert found == Counter((k, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for k, n, gone, kept in removed(rows))
+    assert substring_dedup.cleaned_documents(documents(spark, rows)).where("text = ''").count() == 33
+
+
 def test_cleaned_documents(spark):
     rows = passages()
     docs = documents(spark, rows)
@@ -101,6 +113,9 @@ def test_full_text_index():
             for symbol in reversed(pattern):
                 low, high = index.back(np.array([symbol]), low, high)
             assert high[0] - low[0] == sum(plain[i : i + length] == pattern for i in range(len(plain) - length + 1))
+    heavy = Index(np.array([1, 2, 3, 4, 0, 2, 3, 5, 0]), np.array([3, 3, 3, 3, 3, 1, 1, 1, 1]))
+    line = np.array([1, 2, 3, 5])
+    assert [heavy.matches(line, np.arange(4), 3, least).tolist() for least in (1, 2, 4, 5)] == [[1, 2, 3, 3], [1, 2, 3, 0], [0, 1, 2, 0], [0, 0, 0, 0]]
     ends = np.array([i for i in range(50, 2900) if 0 not in plain[i - 34 : i + 1]])
     found = index.matches(text, ends, 35)
     for i in range(0, len(ends), 97):
