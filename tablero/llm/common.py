@@ -72,13 +72,16 @@ PARTS, FEW = 1024, 1000
 
 
 def heavy_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """An inner join with one row per key on the right, whose column ``count`` says how many of the ``total`` rows on the left have that key (or more).
+    """An inner join with one row per key on the right (a written table), whose column ``count`` says how many of the ``total`` rows on the left have that
+    key, or more.
 
     Keys with more than ``total / PARTS`` rows number fewer than ``PARTS``, whatever the size of the tables: that bounds the two broadcasts. Their rows stay
-    where they are; all others meet in a plain join, in which no key is heavy.
+    where they are; all others meet in a plain join, in which no key is heavy. Without heavy keys that is the whole join.
     """
     heavy = F.col(count) > max(total // PARTS, FEW)
     hot = right.where(heavy)
+    if hot.isEmpty():
+        return left.join(right, keys)
     rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(~heavy), keys)
     return rest.unionByName(left.join(F.broadcast(hot), keys))
 

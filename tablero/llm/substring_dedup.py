@@ -40,6 +40,8 @@ from tablero.llm.jaccard_join import WordHashes, mixed
 WINDOW, GRAM = 35, 8
 #: Occurrences of an anchor beyond which its windows are dealt by content, words of a shard, words at either end that make the finer key.
 HOT, SHARD, EDGE = 2048, 200_000, 4
+#: Bits for the number of windows that one anchor owns, at most WINDOW - GRAM + 1.
+OWNED = 5
 _draw = np.random.default_rng(41)
 GRAM_FACTORS = (_draw.integers(0, 2**63, GRAM, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 EDGE_FACTORS = (_draw.integers(0, 2**63, 2 * EDGE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -55,8 +57,9 @@ def elected(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     count = len(words) - GRAM + 1
     grams = np.zeros(count, dtype=np.uint64)
+    spread = mixed(words)
     for j in range(GRAM):
-        grams += mixed(words[j : j + count] + GRAM_FACTORS[j]) * GRAM_FACTORS[j]
+        grams += spread[j : j + count] * GRAM_FACTORS[j]
     grams = mixed(grams)
     span = WINDOW - GRAM + 1
     windows = np.lib.stride_tricks.sliding_window_view(grams, span)
@@ -75,7 +78,8 @@ def kept_digest(words: list[str]) -> str:
 
 
 def anchored(rows: DataFrame) -> DataFrame:
-    """Written once, per row: number, key, text digest, n_words, digest of all words, and its anchors (position and hash)."""
+    """Written once, per row: number, key, text digest, n_words, digest of all words, and its anchors (the first window that each owns and how many, in one
+    number, and the anchor's hash)."""
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,17 +89,17 @@ def anchored(rows: DataFrame) -> DataFrame:
             for value in batch.column(1):
                 words = words_of(value.as_py())
                 grams, at = elected(hashed(words, memo))
-                at = np.unique(at)
+                at, firsts, counts = np.unique(at, return_index=True, return_counts=True)
                 sizes.append(len(words))
                 digests.append(kept_digest(words))
-                places.append(at.astype(np.int32))
+                places.append(firsts.astype(np.int64) << OWNED | counts)
                 hashes.append(grams[at].view(np.int64))
-            lists = [pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))]
+            lists = [pa.array(places, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), *lists],
                 ["key", "t1", "t2", "n_words", "digest", "places", "hashes"])
 
-    found = rows.mapInArrow(run, f"key {kind}, t1 long, t2 long, n_words long, digest string, places array<int>, hashes array<long>")
+    found = rows.mapInArrow(run, f"key {kind}, t1 long, t2 long, n_words long, digest string, places array<long>, hashes array<long>")
     return written(found.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -106,46 +110,60 @@ def flushed(columns: list[list], kinds: list[pa.DataType], names: list[str]) ->
     return batch
 
 
-SEGMENT = pa.struct([("start", pa.int32()), ("key", pa.int64()), ("hot", pa.bool_()), ("words", pa.binary())])
+class Segments:
+    """Texts and their segments, gathered for one batch of output."""
+
+    def __init__(self) -> None:
+        self.texts: list[list] = [[], [], [], []]
+        self.counts, self.starts, self.keys, self.hots, self.words = [0], [], [], [], []
+        self.size = 0
+
+    def add(self, row: list, words: np.ndarray, places: np.ndarray, anchors: np.ndarray, hot: np.ndarray) -> None:
+        raw, first, windows = words.tobytes(), places >> OWNED, places & ((1 << OWNED) - 1)
+        cold = ~hot
+        starts, sizes = first[cold], windows[cold] + WINDOW - 1
+        own = [raw[8 * s : 8 * (s + n)] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        # Of hot anchors each window by itself, its key made of the anchor and the words at both ends.
+        many = windows[hot]
+        each = np.repeat(first[hot] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        edges = np.zeros(len(each), dtype=np.uint64)
+        for j in range(EDGE):
+            edges += mixed(words[each + j] + EDGE_FACTORS[j]) * EDGE_FACTORS[j]
+            edges += mixed(words[each + WINDOW - EDGE + j] + EDGE_FACTORS[EDGE + j]) * EDGE_FACTORS[EDGE + j]
+        finer = mixed(edges ^ np.repeat(anchors[hot], many).view(np.uint64)).view(np.int64)
+        own += [raw[8 * s : 8 * (s + WINDOW)] for s in each.tolist()]
+        for c, x in zip(self.texts, row, strict=True):
+            c.append(x)
+        self.counts.append(len(own))
+        self.starts.append(np.concatenate([starts, each]))
+        self.keys.append(np.concatenate([anchors[cold], finer]))
+        self.hots.append(np.arange(len(own)) >= len(starts))
+        self.words += own
+        self.size += sum(map(len, own))
+
+    def batch(self) -> pa.RecordBatch:
+        fields = [np.concatenate(self.starts).astype(np.int32), np.concatenate(self.keys), np.concatenate(self.hots), pa.array(self.words, pa.binary())]
+        segments = pa.StructArray.from_arrays([pa.array(x) for x in fields], ["start", "key", "hot", "words"])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(self.counts).astype(np.int32)), segments)
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(self.texts, kinds, strict=True)), lists], ["t1", "t2", "text", "copies", "segments"])
 
 
 def segmented(texts: DataFrame) -> DataFrame:
-    """From (t1, t2, text, copies, places: array of (position, hot)) the written table (t1, t2, text, copies, segments)."""
+    """From (t1, t2, text, copies, places: array of (place, hash, hot)) the written table (t1, t2, text, copies, segments)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        names, kinds = ["t1", "t2", "text", "copies", "segments"], [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(SEGMENT)]
-        out: list[list] = [[], [], [], [], []]
-        size = 0
+        memo, out = WordHashes(), Segments()
         for batch in batches:
             for i in range(batch.num_rows):
-                text = batch.column(2)[i].as_py()
-                words = hashed(words_of(text), memo)
-                grams, at = elected(words)
-                raw, own = words.tobytes(), []
+                row = [batch.column(c)[i].as_py() for c in range(4)]
                 places = batch.column(4)[i].values
-                pos, hots = places.field("pos").to_numpy(), places.field("hot").to_numpy(zero_copy_only=False)
-                firsts, lasts = np.searchsorted(at, pos), np.searchsorted(at, pos, side="right")
-                anchors = grams[pos].view(np.int64).tolist()
-                for p, hot, first, last, key in zip(pos.tolist(), hots.tolist(), firsts.tolist(), lasts.tolist(), anchors, strict=True):
-                    if not hot:
-                        own.append({"start": first, "key": key, "hot": False, "words": raw[8 * first : 8 * (last - 1 + WINDOW)]})
-                        continue
-                    anchor = grams[p : p + 1]
-                    edges = np.zeros(last - first, dtype=np.uint64)
-                    for j in range(EDGE):
-                        edges += mixed(words[first + j : last + j] + EDGE_FACTORS[j]) * EDGE_FACTORS[j]
-                        end = first + WINDOW - EDGE + j
-                        edges += mixed(words[end : end + last - first] + EDGE_FACTORS[EDGE + j]) * EDGE_FACTORS[EDGE + j]
-                    keys = mixed(edges ^ anchor).view(np.int64)
-                    own += [{"start": s, "key": int(keys[s - first]), "hot": True, "words": raw[8 * s : 8 * (s + WINDOW)]} for s in range(first, last)]
-                for c, x in zip(out, (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), text, batch.column(3)[i].as_py(), own), strict=True):
-                    c.append(x)
-                size += sum(len(x["words"]) for x in own)
-                if size > 4 << 20:
-                    yield flushed(out, kinds, names)
-                    size = 0
-        if out[0]:
-            yield flushed(out, kinds, names)
+                place, anchors, hot = (places.field(c).to_numpy(zero_copy_only=False) for c in ("place", "hash", "hot"))
+                out.add(row, hashed(words_of(row[2]), memo), place, anchors, hot)
+                if out.size > 4 << 20:
+                    yield out.batch()
+                    out = Segments()
+        if len(out.counts) > 1:
+            yield out.batch()
 
     return written(texts.mapInArrow(run, "t1 long, t2 long, text string, copies long, segments array<struct<start: int, key: long, hot: boolean, words: binary>>"))
 
@@ -247,13 +265,14 @@ def stages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Da
     whole = identity(docs, key, text)
     rows = anchored(whole)
     texts = written(rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("row").alias("row"))).select("row", "copies")
-    anchors = rows.select("row", F.explode(F.arrays_zip(F.col("places").alias("pos"), F.col("hashes").alias("hash"))).alias("a")).select("row", "a.pos", "a.hash")
+    anchors = rows.select("row", F.explode(F.arrays_zip(F.col("places").alias("place"), F.col("hashes").alias("hash"))).alias("a")).select("row", "a.place", "a.hash")
     total = rows.agg(F.sum(F.size("places"))).first()[0] or 0
-    twice = anchors.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    twice = written(anchors.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
     # One row per different text from here on.
     candidates = written(heavy_join(anchors, twice, ["hash"], "n", total).drop("n").join(texts, "row"))
-    counts = candidates.groupBy("hash").agg(F.count("*").alias("n")).withColumn("hot", F.col("n") > HOT)
-    places = heavy_join(candidates, counts, ["hash"], "n", candidates.count()).groupBy("row", "copies").agg(F.sort_array(F.collect_list(F.struct("pos", "hot"))).alias("places"))
+    counts = written(candidates.groupBy("hash").agg(F.count("*").alias("n")).withColumn("hot", F.col("n") > HOT))
+    placed = heavy_join(candidates, counts, ["hash"], "n", candidates.count())
+    places = placed.groupBy("row", "copies").agg(F.sort_array(F.collect_list(F.struct("place", "hash", "hot"))).alias("places"))
     owners = rows.select("row", F.col("key").alias("own"), "t1", "t2").join(places, "row").drop("row")
     same = F.col("key").eqNullSafe(F.col("own")) & (whole.t1 == owners.t1) & (whole.t2 == owners.t2)
     found = segmented(whole.join(owners, same).select(whole.t1, whole.t2, "text", "copies", "places"))
