@@ -640,6 +640,14 @@ def oracle_sql() -> dict[str, str]:
         for h in ["Desayuno", "Media Mañana", "Almuerzo", "Media Tarde", "Cena", "Hidratación", "Actividad Física"])
     other = "nombre_habito NOT IN ('Desayuno', 'Media Mañana', 'Almuerzo', 'Media Tarde', 'Cena', 'Hidratación', 'Actividad Física')"
     ical = """strftime({c} + INTERVAL 5 HOUR, '%Y%m%dT%H%M%SZ')"""
+
+    def fold(line: str) -> str:
+        """Pieces of 74 characters, or 18 where some take more than one byte, if the line has more than 75 bytes."""
+        width = f"(CASE WHEN strlen({line}) = length({line}) THEN 74 ELSE 18 END)"
+        pieces = f"list_transform(range((length({line}) + {width} - 1) // {width}), lambda i: substr({line}, 1 + i * {width}, {width}))"
+        return f"CASE WHEN strlen({line}) <= 75 THEN {line} ELSE array_to_string({pieces}, chr(13) || chr(10) || ' ') END"
+
+    folded = ", ".join(fold(line) for line in ["uid", "l_stamp", "l_start", "l_end", "l_summary", "l_description", "l_location"])
     result = {
         "scan_coaches": _q("coaches", "SELECT * FROM coaches"),
         "active_coaches": _q("coaches", "SELECT id_coach, nombre_coach FROM coaches WHERE permiso <> 'Inactivo'"),
@@ -791,6 +799,20 @@ SELECT id_reto, actividad AS summary, concat(nombre_reto, '\\n - ', tema_activid
   {ical.format(c='inicio')} AS dtstart, {ical.format(c='fin')} AS dtend, 'Zoom' AS location,
   concat(nombre_reto, '-', actividad, '-', strftime(inicio, '%Y-%m-%d %H:%M:%S')) AS uid
 FROM raw_actividades JOIN retos USING (nombre_reto) WHERE reto_activo"""),
+        "calendar_parts": _q("retos raw_actividades", f"""
+SELECT id_reto, posicion, concat(
+    CASE WHEN posicion = min(posicion) OVER (PARTITION BY id_reto) THEN concat_ws(fin, 'BEGIN:VCALENDAR', 'PRODID:-//tablero//ES', 'VERSION:2.0', '') ELSE '' END,
+    value,
+    CASE WHEN posicion = max(posicion) OVER (PARTITION BY id_reto) THEN concat(fin, 'END:VCALENDAR') ELSE '' END) AS value
+FROM (
+  SELECT *, concat_ws(fin, 'BEGIN:VEVENT', {folded}, 'END:VEVENT') AS value, row_number() OVER (ORDER BY id_reto, dtstart, uid, value) AS posicion
+  FROM eventos)""", f"""
+eventos AS (
+  SELECT id_reto, concat(chr(13), chr(10)) AS fin, {ical.format(c='inicio')} AS dtstart, concat('UID:', nombre_reto, '-', actividad, '-', strftime(inicio, '%Y-%m-%d %H:%M:%S')) AS uid,
+    concat('DTSTAMP:', {ical.format(c='inicio')}) AS l_stamp, concat('DTSTART:', {ical.format(c='inicio')}) AS l_start, concat('DTEND:', {ical.format(c='fin')}) AS l_end,
+    concat('SUMMARY:', actividad) AS l_summary, 'LOCATION:Zoom' AS l_location,
+    concat('DESCRIPTION:', nombre_reto, '\\n - ', tema_actividad, '\\n - ', coach_expositor) AS l_description
+  FROM raw_actividades JOIN retos USING (nombre_reto) WHERE reto_activo)"""),
         "pivot_habit_counts": _q(habits, f"""
 SELECT nombre_reto, nombre_retador, {wide.format(v='n')}, CAST(coalesce(sum(CASE WHEN {other} THEN n END), 0) AS BIGINT) AS otros
 FROM (SELECT nombre_reto, nombre_retador, nombre_habito, count(*) AS n FROM registros_habitos JOIN participacion USING (id_participacion)

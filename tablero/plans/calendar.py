@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablero.functions.dates import last_day, to_utc
+from tablero.operators.positions import positioned
 from tablero.operators.running import value_ranks
 from tablero.operators.spread import spread_join
 from tablero.plans.kpi import selected
@@ -106,19 +107,23 @@ def ical_events(t: Tables, *, ids: Iterable[int] | DataFrame | None = None, reto
         _escaped(F.concat("nombre_reto", F.lit("-"), "actividad", F.lit("-"), F.date_format("inicio", "yyyy-MM-dd HH:mm:ss"))).alias("uid"))
 
 
-def ical_text(events: DataFrame) -> DataFrame:
-    """Each event as a calendar object of its own; any sequence of such objects is a valid calendar stream."""
+HEAD = ["BEGIN:VCALENDAR", "PRODID:-//tablero//ES", "VERSION:2.0"]
+TAIL = "END:VCALENDAR"
+
 
+def _event() -> Column:
     def line(name: str, value: Column) -> Column:
         return _folded(F.concat(F.lit(f"{name}:"), value))
 
-    lines = [
-        F.lit("BEGIN:VCALENDAR"), F.lit("PRODID:-//tablero//ES"), F.lit("VERSION:2.0"), F.lit("BEGIN:VEVENT"),
-        line("UID", F.col("uid")), line("DTSTAMP", F.col("dtstart")), line("DTSTART", F.col("dtstart")),
+    return F.concat_ws(
+        "\r\n", F.lit("BEGIN:VEVENT"), line("UID", F.col("uid")), line("DTSTAMP", F.col("dtstart")), line("DTSTART", F.col("dtstart")),
         line("DTEND", F.col("dtend")), line("SUMMARY", F.col("summary")), line("DESCRIPTION", F.col("description")),
-        line("LOCATION", F.col("location")), F.lit("END:VEVENT"), F.lit("END:VCALENDAR"),
-    ]
-    return events.select("id_reto", "dtstart", F.concat_ws("\r\n", *lines).alias("value"))
+        line("LOCATION", F.col("location")), F.lit("END:VEVENT"))
+
+
+def ical_text(events: DataFrame) -> DataFrame:
+    """Each event as a calendar object of its own; any sequence of such objects is a valid calendar stream."""
+    return events.select("id_reto", "dtstart", F.concat_ws("\r\n", *map(F.lit, HEAD), _event(), F.lit(TAIL)).alias("value"))
 
 
 def write_ical(events: DataFrame, path: str, max_records_per_file: int = 1_000_000) -> None:
@@ -126,3 +131,26 @@ def write_ical(events: DataFrame, path: str, max_records_per_file: int = 1_000_0
     text = ical_text(events).repartitionByRange("id_reto", "dtstart").sortWithinPartitions("id_reto", "dtstart")
     (text.select("id_reto", "value").write.mode("errorifexists").option("lineSep", "\r\n")
      .option("maxRecordsPerFile", max_records_per_file).partitionBy("id_reto").text(path))
+
+
+def calendar_parts(events: DataFrame) -> DataFrame:
+    """One calendar object per challenge, cut into its events: ``value`` of all rows of a challenge by ``posicion`` is the object, head and tail included.
+
+    Positions run through all challenges in order of challenge, time and text and are computed in jobs that run while this is called. The two ends of a
+    challenge are found by their positions, each of which one row has, so a challenge with very many events is no burden.
+    """
+    order = ["id_reto", "dtstart", "uid", "value"]
+    placed = positioned(events.withColumn("value", _event()).select(*order), [F.col(c).asc_nulls_first() for c in order]).drop("dtstart", "uid")
+    reach = placed.groupBy("id_reto").agg(F.min("posicion").alias("desde"), F.max("posicion").alias("hasta"))
+    ends = reach.select(F.explode(F.array("desde", "hasta")).alias("posicion"), "desde", "hasta").distinct()
+    opens, closes = F.col("posicion") == F.col("desde"), F.col("posicion") == F.col("hasta")
+    return placed.join(ends, "posicion", "left").select(
+        "id_reto", "posicion",
+        F.concat_ws("\r\n", *(F.when(opens, F.lit(line)) for line in HEAD), F.col("value"), F.when(closes, F.lit(TAIL))).alias("value"))
+
+
+def write_calendars(parts: DataFrame, path: str) -> None:
+    """Writes one folder per challenge (``id_reto=...``) whose files, put together by name, are its calendar file. Tasks take ranges of positions, so several
+    write a large calendar, and file names follow the ranges; merging them is a plain copy, for example by ``hdfs dfs -getmerge``."""
+    ranged = parts.repartitionByRange("posicion").sortWithinPartitions("id_reto", "posicion")
+    ranged.select("id_reto", "value").write.mode("errorifexists").option("lineSep", "\r\n").partitionBy("id_reto").text(path)

@@ -58,7 +58,7 @@ READS = [
         "roster", "activities", "activity_labels", "measurements_dense", "measurement_deltas", "habit_checklist")),
     named("attendance_checklist", lambda t: views.attendance_checklist(t, actividades=t.actividades)),
     *(named(f.__name__, lambda t, f=f: f(t, HABITS)) for f in (reports.pivot_habit_counts, reports.pivot_habit_days)), reports.habit_days, reports.attendance_report, reports.ratings_report, reports.report_names,
-    calendar.calendar_feed, calendar.activity_calendar, calendar.group_slots, calendar.hidden_calendars, calendar.ical_events,
+    calendar.calendar_feed, calendar.activity_calendar, calendar.group_slots, calendar.hidden_calendars, calendar.ical_events, named("calendar_parts", lambda t: calendar.calendar_parts(calendar.ical_events(t))),
     photos.photos_decoded, photos.pivot_photos,
 ]
 
@@ -90,6 +90,29 @@ def test_calendar_files(spark, small, tmp_path):
     assert all(file.startswith("BEGIN:VCALENDAR\r\n") for file in files if file)
 
 
+def test_one_calendar_file_per_challenge(spark, tmp_path):
+    """100,000 events of one challenge and one of another: several files, put together by name, are one calendar in order of time."""
+    made = spark.range(100_001).selectExpr(
+        "id AS id_actividad", "'Charla' AS actividad", "concat('t', id) AS tema_actividad", "'C' AS coach_expositor", "if(id = 7, 'S', 'R') AS nombre_reto",
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, int(pmod(xxhash64(id), 50000)), 0) AS inicio", "timestamp_ntz'2025-01-01 00:00:00' AS fin")
+    t = base(spark, actividades=made, retos=spark.createDataFrame([(1, "R", True), (2, "S", True), (3, "T", True)], "id_reto long, nombre_reto string, reto_activo boolean"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        calendar.write_calendars(calendar.calendar_parts(calendar.ical_events(t)), str(tmp_path / "ics"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "ics" / "id_reto=1").glob("*.txt"))
+    text = b"".join(p.read_bytes() for p in files).decode()
+    assert len(files) > 2 and text.count("BEGIN:VEVENT\r\n") == text.count("END:VEVENT\r\n") == 100_000
+    assert text.startswith("BEGIN:VCALENDAR\r\nPRODID:") and text.endswith("END:VEVENT\r\nEND:VCALENDAR\r\n")
+    assert text.count("BEGIN:VCALENDAR") == text.count("END:VCALENDAR") == text.count("VERSION:2.0") == 1
+    starts = [line for line in text.split("\r\n") if line.startswith("DTSTART:")]
+    assert starts == sorted(starts) and "\n" not in text.replace("\r\n", "")
+    single = b"".join(p.read_bytes() for p in (tmp_path / "ics" / "id_reto=2").glob("*.txt")).decode().split("\r\n")
+    assert single[0] == "BEGIN:VCALENDAR" and single[-2] == "END:VCALENDAR" and single.count("BEGIN:VEVENT") == 1
+    assert not (tmp_path / "ics" / "id_reto=3").exists()
+
+
 def test_photo_files_round_trip(spark, tmp_path):
     (tmp_path / "a.jpg").write_bytes(bytes(range(256)))
     (tmp_path / "b.txt").write_bytes(b"no")
