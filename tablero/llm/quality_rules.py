@@ -2,8 +2,11 @@
 
 Every text becomes a vector of four transformed rates: the logarithm of the mean word length, and log(1 + rate) of symbols per word, of
 repeated lines per line and of words in repeated 3-word windows per word. For each pair of language and source the minimum covariance
-determinant is approached by concentration steps: start from medians and quartile widths, keep the half of the texts nearest to the
-centre, take its mean and covariance, repeat until centre and factor of every group stand still. Texts whose squared Mahalanobis distance exceeds the cut-off are rejected.
+determinant is sought by concentration steps (keep the half of the texts nearest to the centre, take its mean and covariance) from three
+starts: medians with quartile widths, mean and covariance of all texts, and medians with the correlations of the hyperbolic tangents of the standardised
+values. After ``TRIAL`` steps each group goes on from the start with the smallest determinant; a later step counts only where the determinant does not
+rise, and steps end when it falls in no group. Since floors bound it from below, they do end. Texts whose squared Mahalanobis distance exceeds the
+cut-off are rejected.
 
 The covariance of the central half is scaled to that of a normal sample (factor of the chi-square law), and a floor is added
 to each variance: most texts have no symbol and no repeated line at all, so that the half has no spread there. The floors state which spread is
@@ -34,8 +37,8 @@ HALF, CONSISTENCY = 0.5, 2.13
 FLOORS = (0.1, 0.02, 0.05, 0.03)
 #: Squared distance beyond which a text is rejected (chi-square of four degrees: 4e-8).
 CUTOFF = 40.0
-#: The steps end when nothing moves by more than this share of a standard deviation; the number is a guard that they should never meet.
-STILL, STEPS = 1e-4, 60
+#: Steps from every start; the fall of a determinant (its logarithm) that calls for one more step, and the rise that is only rounding.
+TRIAL, FALL, ROUNDING = 2, 1e-6, 1e-9
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
 DIMENSIONS = range(4)
@@ -84,54 +87,91 @@ def vectors(counts: DataFrame) -> DataFrame:
         F.log1p(F.col("n_repeat_words") / n).alias("x3"))
 
 
-def factored(estimates: DataFrame) -> DataFrame:
-    """Means m*, and the lower triangle l** of the Cholesky factor of the covariances c**, as columns of each group's row."""
+GROUP = ["lang", "source"]
+
+
+def factored(estimates: DataFrame, by: list[str] = GROUP) -> DataFrame:
+    """Means m*, the lower triangle l** of the Cholesky factor of the covariances c**, and the logarithm of the determinant, as columns of each
+    group's row."""
     out = estimates
     for i, j in PAIRS:
         rest = F.col(f"c{i}{j}")
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("lang", "source", *(f"m{i}" for i in DIMENSIONS), *(f"l{i}{j}" for i, j in PAIRS))
+    logs = [2 * F.log(F.col(f"l{i}{i}")) for i in DIMENSIONS]
+    return out.select(*by, *(f"m{i}" for i in DIMENSIONS), *(f"l{i}{j}" for i, j in PAIRS), sum(logs[1:], logs[0]).alias("logdet"))
 
 
 def with_distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows with their squared distance d2 from the centre of their group; null where the group has no estimate."""
-    out, solved = spread_join(rows, groups, ["lang", "source"], ["key"], "left"), []
+    """The rows with their squared distance d2 from the centre of their group, null where the group has no estimate; one row per start if the groups have
+    several."""
+    out, solved = spread_join(rows, groups, GROUP, ["key"], "left"), []
     for i in DIMENSIONS:
         left = F.col(f"x{i}") - F.col(f"m{i}")
         for k in range(i):
             left = left - F.col(f"l{i}{k}") * F.col(f"y{k}")
         out = out.withColumn(f"y{i}", left / F.col(f"l{i}{i}"))
         solved.append(F.col(f"y{i}") * F.col(f"y{i}"))
-    return out.withColumn("d2", sum(solved[1:], solved[0])).select(*rows.columns, "d2")
-
-
-def moved(before: DataFrame, after: DataFrame) -> bool:
-    """Whether centre or factor of any group moved, measured in its standard deviations."""
-    b, a = before.alias("b"), after.alias("a")
-    changes = [F.abs(F.col(f"a.{x}{i}{j}") - F.col(f"b.{x}{i}{j}")) / F.col(f"a.l{i}{i}") for x, i, j in [*(("m", i, "") for i in DIMENSIONS), *(("l", i, j) for i, j in PAIRS)]]
-    return not a.join(b, ["lang", "source"]).where(F.greatest(*changes) > STILL).isEmpty()
-
-
-def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Centre and factor per language and source."""
-    quartiles = rows.groupBy("lang", "source").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75]).alias(f"q{i}") for i in DIMENSIONS))
-    spread = {i: (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in DIMENSIONS}
-    start = quartiles.select(
-        "lang", "source", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in DIMENSIONS),
-        *((spread[i] * spread[i] + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS))
-    groups = written(factored(start))
-    for _ in range(steps):
-        near = with_distance(rows, groups)
-        limit = near.groupBy("lang", "source").agg(F.percentile_approx("d2", HALF).alias("limit"))
-        half = spread_join(near, limit, ["lang", "source"], ["key"]).where("d2 <= limit")
-        moments = half.groupBy("lang", "source").agg(
-            *(F.avg(f"x{i}").alias(f"m{i}") for i in DIMENSIONS),
-            *((F.coalesce(F.covar_pop(f"x{i}", f"x{j}"), F.lit(0.0)) * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS))
-        before, groups = groups, written(factored(moments))
-        if not moved(before, groups):
-            break
+    return out.withColumn("d2", sum(solved[1:], solved[0])).select(*rows.columns, *(c for c in groups.columns if c == "start"), "d2")
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """The three starting estimates of each group, numbered by ``start``."""
+    def covariance(x: str, i: int, j: int) -> Column:
+        return F.coalesce(F.covar_pop(f"{x}{i}", f"{x}{j}"), F.lit(0.0))
+
+    def floor(i: int, j: int) -> float:
+        return FLOORS[i] ** 2 if i == j else 0.0
+
+    plain = written(rows.groupBy(*GROUP).agg(
+        *(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75]).alias(f"q{i}") for i in DIMENSIONS), *(F.avg(f"x{i}").alias(f"a{i}") for i in DIMENSIONS),
+        *(covariance("x", i, j).alias(f"v{i}{j}") for i, j in PAIRS)))
+    width = {i: (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in DIMENSIONS}
+    middle = plain.select(*GROUP, *(F.col(f"q{i}")[1].alias(f"m{i}") for i in DIMENSIONS), *(F.sqrt(width[i] * width[i] + floor(i, i)).alias(f"s{i}") for i in DIMENSIONS))
+    bent = spread_join(rows, middle, GROUP, ["key"]).withColumns({f"t{i}": F.tanh((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}")) for i in DIMENSIONS})
+    shapes = bent.groupBy(*GROUP).agg(*(covariance("t", i, j).alias(f"r{i}{j}") for i, j in PAIRS)).join(middle, GROUP)
+
+    def correlated(i: int, j: int) -> Column:
+        both = F.sqrt(F.col(f"r{i}{i}") * F.col(f"r{j}{j}"))
+        return F.col(f"s{i}") * F.col(f"s{j}") * (F.lit(1.0) if i == j else F.when(both > 0, F.col(f"r{i}{j}") / both).otherwise(0.0))
+
+    centres = [f"m{i}" for i in DIMENSIONS]
+    quartiles = middle.select(*GROUP, F.lit(0).alias("start"), *centres, *((F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS))
+    moments = plain.select(
+        *GROUP, F.lit(1).alias("start"), *(F.col(f"a{i}").alias(f"m{i}") for i in DIMENSIONS), *((F.col(f"v{i}{j}") + floor(i, j)).alias(f"c{i}{j}") for i, j in PAIRS))
+    tangents = shapes.select(*GROUP, F.lit(2).alias("start"), *centres, *(correlated(i, j).alias(f"c{i}{j}") for i, j in PAIRS))
+    return written(factored(quartiles.unionByName(moments).unionByName(tangents), [*GROUP, "start"]))
+
+
+def concentrated(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The estimates of the half of each group that is nearest to the given ones."""
+    by = [*GROUP, *(c for c in groups.columns if c == "start")]
+    near = with_distance(rows, groups)
+    limit = near.groupBy(*by).agg(F.percentile_approx("d2", HALF).alias("limit"))
+    half = spread_join(near, limit, by, ["key"]).where("d2 <= limit")
+    return factored(half.groupBy(*by).agg(
+        *(F.avg(f"x{i}").alias(f"m{i}") for i in DIMENSIONS),
+        *((F.coalesce(F.covar_pop(f"x{i}", f"x{j}"), F.lit(0.0)) * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS)), by)
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """Centre and factor per language and source, with the logarithm of the determinant."""
+    trial = starts(rows)
+    for _ in range(TRIAL):
+        trial = written(concentrated(rows, trial))
+    row = F.struct(*(c for c in trial.columns if c not in GROUP))
+    # Of equal determinants the first start's.
+    groups = written(trial.groupBy(*GROUP).agg(F.min_by(row, F.struct(F.round("logdet", 9), "start")).alias("e")).select(*GROUP, "e.*").drop("start"))
+    falling = True
+    while falling:
+        names = [c for c in groups.columns if c not in GROUP]
+        after, before = concentrated(rows, groups).select(*GROUP, F.struct(*names).alias("a")), groups.select(*GROUP, F.struct(*names).alias("b"))
+        lower = F.col("a.logdet") <= F.col("b.logdet") + ROUNDING
+        step = written(after.join(before, GROUP).select(
+            *GROUP, F.when(lower, F.col("a")).otherwise(F.col("b")).alias("e"), (F.col("a.logdet") < F.col("b.logdet") - FALL).alias("falls")))
+        falling = not step.where("falls").isEmpty()
+        groups = step.select(*GROUP, "e.*")
     return groups
 
 
