@@ -186,18 +186,20 @@ def challenger_age(t: Tables, *, as_of: date, reto: str | None = None, retador:
 def habit_checklist(t: Tables, *, as_of: date | None = None, fecha: date | None = None, reto: str | None = None,
                     retador: str | None = None) -> DataFrame:
     """Every habit on every day of a participation, whether logged and by whom."""
-    days = t.retos.select("nombre_reto", F.explode(F.sequence("fecha_ini", last_day(F.col("fecha_fin_excl")))).alias("fecha"))
+    spans = t.retos.select("nombre_reto", "fecha_ini", last_day(F.col("fecha_fin_excl")).alias("_ultima"))
     logged = t.registros_habitos
     if reto is not None or retador is not None:
         logged = logged.join(_only(t.participacion, reto, retador).select("id_participacion"), "id_participacion", "left_semi")
     if fecha is not None:
-        days = days.filter(F.col("fecha") == fecha)
         logged = logged.filter(F.col("fecha_ocurrencia") == fecha)
     logged = logged.groupBy(
         "id_participacion", F.col("fecha_ocurrencia").alias("fecha"), "nombre_habito", "nombre_coach",
     ).agg(F.count("id_registro_habito").alias("_n"))
     people = _only(t.participacion, reto, retador).select("id_participacion", "nombre_reto")
-    dated = spread_join(people, days, ["nombre_reto"], ["id_participacion"]).drop("nombre_reto")
+    # The days unfold beside the participations: the side that is repeated and perhaps broadcast has one row per challenge.
+    dated = spread_join(people, spans, ["nombre_reto"], ["id_participacion"]).select("id_participacion", F.explode(F.sequence("fecha_ini", "_ultima")).alias("fecha"))
+    if fecha is not None:
+        dated = dated.filter(F.col("fecha") == fecha)
     grid = per_catalogue_row(dated, t.habitos.select("nombre_habito"))
     return (
         grid.join(logged, ["id_participacion", "fecha", "nombre_habito"], "left")
