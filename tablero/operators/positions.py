@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablero.operators.stored import stored
@@ -11,10 +11,16 @@ from tablero.operators.stored import stored
 LOCAL = (1 << 33) - 1
 
 
+def parts(spark: SparkSession) -> int:
+    """How many tasks share rows that are sorted whole. A given number is not brought together by compressed size: texts that compress well would make
+    sorts of several GB of it."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def by_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
     """The rows dealt by ranges of an order and written once to the session's shared folder, each with its range (``_rango``) and its place in it
     (``_lugar``, from 0)."""
-    ranged = df.orderBy(*order).withColumn("_rango", F.spark_partition_id())
+    ranged = df.repartitionByRange(parts(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("_rango", F.spark_partition_id())
     return stored(ranged.withColumn("_lugar", F.monotonically_increasing_id().bitwiseAND(LOCAL)))
 
 

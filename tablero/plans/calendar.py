@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablero.functions.dates import last_day, to_utc
-from tablero.operators.positions import positioned
+from tablero.operators.positions import parts, positioned
 from tablero.operators.running import value_ranks
 from tablero.operators.spread import spread_join
 from tablero.plans.kpi import selected
@@ -144,7 +144,7 @@ def calendar_parts(events: DataFrame) -> DataFrame:
     reach = placed.groupBy("id_reto").agg(F.min("posicion").alias("desde"), F.max("posicion").alias("hasta"))
     ends = reach.select(F.explode(F.array("desde", "hasta")).alias("posicion"), "desde", "hasta").distinct()
     opens, closes = F.col("posicion") == F.col("desde"), F.col("posicion") == F.col("hasta")
-    return placed.join(ends, "posicion", "left").select(
+    return placed.repartition(parts(events.sparkSession), "posicion").join(ends, "posicion", "left").select(
         "id_reto", "posicion",
         F.concat_ws("\r\n", *(F.when(opens, F.lit(line)) for line in HEAD), F.col("value"), F.when(closes, F.lit(TAIL))).alias("value"))
 
