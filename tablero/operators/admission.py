@@ -14,14 +14,37 @@ from tablero.operators.overlap import LEVELS, second_of
 from tablero.operators.running import running_best
 from tablero.operators.stored import stored
 
+#: Rows of a group that are gone through in order as one list.
+FEW = 4096
 
-def first_free(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
+
+def first_free(df: DataFrame, group: str, start: str, end: str, few: int = FEW) -> DataFrame:
     """The rows of ``df``, one per (group, start) with start <= end, that are admitted in the order of their start: each begins after
     the end of the one admitted before it.
 
+    A group of up to ``few`` rows is one list, which is gone through in order. The others are spread over all tasks, whatever their size
+    (:func:`_path`).
+    """
+    rows = stored(df)
+    crowded = stored(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > few).select(group))
+    instant, rest = df.schema[start].dataType, [c for c in df.columns if c not in (group, start)]
+    lists = rows.join(crowded, group, "left_anti").groupBy(group).agg(F.array_sort(F.collect_list(F.struct(start, *rest))).alias("_filas"))
+    admitted = F.aggregate(
+        "_filas", F.struct(F.lit(None).cast(instant).alias("hasta"), F.slice("_filas", 1, 0).alias("quedan")),
+        lambda held, row: F.when(held["hasta"].isNull() | (row[start] > held["hasta"]), F.struct(
+            row[end].alias("hasta"), F.array_append(held["quedan"], row).alias("quedan"))).otherwise(held),
+        lambda held: held["quedan"])
+    kept = lists.select(group, F.inline(admitted)).select(*df.columns)
+    if crowded.isEmpty():
+        return kept
+    return kept.unionByName(_path(rows.join(crowded, group, "left_semi").select(*df.columns), group, start, end))
+
+
+def _path(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
+    """The admitted rows of groups of any size.
+
     After a row the next admitted one is the first that starts later than it ends. So all rows point to one successor, and the admitted ones are
-    the path from the first row of the group. Its first 2^k rows are known after k rounds; each round is two joins by
-    row. A group of any size is spread over all tasks.
+    the path from the first row of the group. Its first 2^k rows are known after k rounds; each round is two joins by row.
     """
     instants = df.select(group, F.inline(F.array(
         F.struct(F.col(start).alias("_t"), F.col(start).alias("_ini")),

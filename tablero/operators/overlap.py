@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablero.operators.running import running_best, running_sums
+from tablero.operators.spread import spread_join
+from tablero.operators.stored import stored
 
 #: Hours of seconds and years of hours: at most a million instants in a window over seconds, then 3,600, then 8,784.
 LEVELS = (3_600, 8_784)
+#: Intervals of a group that may meet each row of another table as a list, and the number of copies of such a list.
+FEW, LIST_SLOTS = 256, 4
 
 
 def second_of(instant: str) -> Column:
@@ -25,13 +29,30 @@ def proper(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
     return df.filter(F.col(group).isNotNull() & (F.col(start) <= F.col(end)))
 
 
-def overlap_counts(df: DataFrame, group: str, start: str, end: str, out: str = "solapes", among: DataFrame | None = None) -> DataFrame:
+def overlap_counts(df: DataFrame, group: str, start: str, end: str, out: str = "solapes", among: DataFrame | None = None, few: int = FEW) -> DataFrame:
     """``df`` with the number of *other* rows of the group that share at least one instant with the row, or of the rows ``among`` another table
     with the same columns.
 
-    Rows without a group or without a proper interval (start after end, null bounds) overlap nothing and are left out.
+    Rows without a group or without a proper interval (start after end, null bounds) overlap nothing and are left out. Where ``among`` has up to
+    ``few`` rows in a group, they come to the rows of ``df`` as two short lists; only larger groups pass through the timeline. Which ones these are is found
+    and written to the session's shared folder while this is called.
     """
     rows, others = proper(df, group, start, end), None if among is None else proper(among, group, start, end)
+    if others is None:
+        return _along(rows, None, df.columns, group, start, end, out)
+    crowded = stored(others.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > few).select(group))
+    lists = others.join(crowded, group, "left_anti").groupBy(group).agg(F.collect_list(start).alias("_de"), F.collect_list(end).alias("_a"))
+    near = spread_join(rows.join(crowded, group, "left_anti"), lists, [group], [start, end], "left", LIST_SLOTS)
+    met = F.size(F.filter("_de", lambda x: x <= F.col(end))) - F.size(F.filter("_a", lambda x: x < F.col(start)))
+    counted = near.select(*df.columns, F.when(F.col("_de").isNull(), 0).otherwise(met).cast("long").alias(out))
+    if crowded.isEmpty():
+        return counted
+    far = _along(rows.join(crowded, group, "left_semi"), others.join(crowded, group, "left_semi"), df.columns, group, start, end, out)
+    return counted.unionByName(far)
+
+
+def _along(rows: DataFrame, others: DataFrame | None, columns: list[str], group: str, start: str, end: str, out: str) -> DataFrame:
+    """The counts by running sums along the timeline of each group, however large."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
 
     def ends(x: DataFrame, counts: bool) -> DataFrame:
@@ -47,7 +68,7 @@ def overlap_counts(df: DataFrame, group: str, start: str, end: str, out: str = "
     before = line.select(group, F.col("_t").alias(start), F.col("_fin_antes").alias("_antes_inicio"))
     # One row per instant on the right: where many rows share an instant, Spark divides them as measured.
     met = rows.join(starts, [group, end]).join(before, [group, start])
-    return met.select(*df.columns, (F.col("_hasta_fin") - F.col("_antes_inicio") - (1 if others is None else 0)).alias(out))
+    return met.select(*columns, (F.col("_hasta_fin") - F.col("_antes_inicio") - (1 if others is None else 0)).alias(out))
 
 
 def overlap_witness(df: DataFrame, group: str, start: str, end: str, key: str, out: str = "testigo") -> DataFrame:

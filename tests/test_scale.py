@@ -63,3 +63,37 @@ def test_ranges_do_not_grow_with_compression(spark, setting):
     sizes = [r["count"] for r in by_ranges(df, [F.col("id").asc()]).groupBy("_rango").count().collect()]
     assert len(sizes) == 12 and max(sizes) < 4000
     assert positioned(df, [F.col("id").asc()]).filter("posicion <> id + 1").count() == 0
+
+
+def chain(n: int, seed: int) -> list[tuple]:
+    """Intervals of three groups with different starts in each."""
+    draw, rows = random.Random(seed), []
+    for g, size in (("x", n), ("y", n // 5), ("z", 2)):
+        for start in draw.sample(range(4 * n), size):
+            rows.append((len(rows), g, EPOCH + timedelta(minutes=start), EPOCH + timedelta(minutes=start + draw.choice([0, 1, 7, 60]))))
+    return rows
+
+
+def test_small_groups_are_admitted_without_rounds(spark, monkeypatch):
+    rows = chain(300, 1)
+    written = []
+    monkeypatch.setattr(admission, "stored", lambda df, write=admission.stored: written.append(df) or write(df))
+    want, until = set(), {}
+    for i, g, a, b in sorted(rows, key=lambda r: r[2]):
+        if g not in until or a > until[g]:
+            until[g] = b
+            want.add(i)
+    df = spark.createDataFrame(rows, INTERVALS)
+    assert {r.id for r in admission.first_free(df, "g", "a", "b").collect()} == want
+    assert len(written) == 2
+    assert {r.id for r in admission.first_free(df, "g", "a", "b", few=50).collect()} == want  # two groups in rounds
+
+
+def test_meetings_with_small_groups_of_another_table(spark):
+    rows, others = chain(120, 2), [(i, "w" if g == "z" else g, a, b) for i, g, a, b in chain(100, 3)]
+    want = {i: sum(1 for _, h, c, d in others if h == g and a <= d and c <= b) for i, g, a, b in rows}
+    df, among = (spark.createDataFrame(x, INTERVALS) for x in (rows, others))
+    plan = overlap.overlap_counts(df, "g", "a", "b", among=among)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    for few in (0, 50, 1000):
+        assert {r.id: r.solapes for r in overlap.overlap_counts(df, "g", "a", "b", among=among, few=few).collect()} == want
