@@ -32,12 +32,6 @@ def setting(spark):
         spark.conf.set(key, value)
 
 
-def ran(df) -> str:
-    """The plan as adaptive execution ended it, after the rows were computed."""
-    df.collect()
-    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-
-
 def test_days_of_the_checklist_unfold_after_the_join(spark):
     """What is repeated, and broadcast by its estimate, has one row per challenge, not one per day."""
     t = base(spark)
@@ -47,11 +41,11 @@ def test_days_of_the_checklist_unfold_after_the_join(spark):
     assert views.habit_checklist(t, fecha=START).count() == 2 * t.habitos.count()
 
 
-def test_orphans_are_found_without_sorting_the_rows(spark, setting):
+def test_orphans_are_found_without_sorting_the_rows(spark):
     rows = [r for n in range(300) for r in ratings(n, "Coach Uno Abc", [0, 0, 0])]
     t = base(spark, registros_calificaciones=frame(spark, "registros_calificaciones", [(i, *r[1:2], "Otro" if i % 2 else r[2], *r[3:]) for i, r in enumerate(rows)]))
     found = quality.dq_orphans(t, tables=("registros_calificaciones",))
-    assert "SortMergeJoin" not in ran(found)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
     want = Counter({("dq_orphans:criterio_calificacion->criterios_calificacion", "Otro"): 450})
     assert Counter((r.rule, r.detalle) for r in found.collect() if "criterio" in r.rule) == want
 
