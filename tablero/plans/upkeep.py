@@ -4,8 +4,8 @@ What a participation has earned is a row of whole numbers: per component the wor
 the logs is a row of signed numbers per touched participation: what its rows are worth afterwards less what they were worth before. Added to the
 stored numbers it gives those of the changed logs, exactly. Weights are part of the numbers: with other weights they are counted anew.
 
-A save looks only at the rows of the participations in its batch (:func:`touched`): they are read from the log once and written to the session's shared
-folder, and the rules of :mod:`tablero.plans.saving` run over them alone, since no rule of a log looks at another participation's rows.
+A save looks only at the rows that its batch may change (:func:`touched`): they are read from the log once and written to the session's shared
+folder, and the rules of :mod:`tablero.plans.saving` run over them alone, since no rule of a log looks at rows of another key.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ from tablero.schema import ACTIVITIES, CHALLENGE_DAYS, HABITS, RATING_SCALE, RAT
 from tablero.sources.tables import Tables
 
 LOGS = {"registros_actividades": ACTIVITIES, "registros_habitos": HABITS, "registros_calificaciones": RATINGS}
+#: What a row of a batch and the log rows that saving it may change have in common: a blank rating removes all of its coach for the participation.
+TOUCHES = {
+    "registros_actividades": ["id_participacion", "id_actividad"], "registros_habitos": ["id_participacion", "fecha_ocurrencia", "nombre_habito"],
+    "registros_calificaciones": ["id_participacion", "nombre_coach"]}
 #: Columns of the stored numbers: worth and number of rows per component.
 WORTHS = list(COMPONENTS.values())
 COUNTS = {c: f"_n{name}" for c, name in COMPONENTS.items()}
@@ -48,8 +52,9 @@ def worths(t: Tables) -> DataFrame:
 
 
 def touched(t: Tables, log: str, batch: DataFrame) -> DataFrame:
-    """The rows of a log that belong to participations of a batch, written once."""
-    return stored(t[log].join(batch.select("id_participacion"), "id_participacion", "left_semi").select(*t[log].columns))
+    """The rows of a log that saving a batch may change, written once."""
+    key = TOUCHES[log]
+    return stored(t[log].join(batch.select(*key), key, "left_semi").select(*t[log].columns))
 
 
 def deltas(t: Tables, changes: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
@@ -63,9 +68,10 @@ def deltas(t: Tables, changes: dict[str, tuple[DataFrame, DataFrame]]) -> DataFr
 
 def saved_deltas(t: Tables, saves: dict[str, tuple[DataFrame, Callable[[Tables, DataFrame], Saved]]]) -> DataFrame:
     """Signed numbers of saving a batch into each named log under its rules; ``saves`` gives per log the batch and the function of
-    :mod:`tablero.plans.saving` that judges and applies it. The result is written once."""
+    :mod:`tablero.plans.saving` that judges and applies it. Batches, which a save reads several times, and the result are written once."""
     changes = {}
-    for log, (batch, save) in saves.items():
+    for log, (rows, save) in saves.items():
+        batch = stored(rows)
         before = touched(t, log, batch)
         changes[log] = (before, save(t.replace(**{log: before}), batch).table)
     return stored(deltas(t, changes))

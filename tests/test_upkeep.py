@@ -63,6 +63,22 @@ def test_random_batches(spark, tables, seed):
     agree(tables, after, change)
 
 
+def test_a_save_reads_only_rows_that_it_may_change(spark, tables):
+    """Not all rows of a participation: other coaches' ratings, other days and other activities stay in the log."""
+    words = spark.createDataFrame([(1, COACHES[1], CRITERIA[0], None), (2, COACHES[1], CRITERIA[0], None), (None, None, CRITERIA[0], "Igual")],
+                                  "id_participacion long, nombre_coach string, criterio_calificacion string, calificacion string")
+    habits = habit_batch(spark, [(1, START, HABITS[0], False), (1, START, HABITS[0], True), (1, None, HABITS[1], False)])
+    places = spark.createDataFrame([(1, 2, False), (2, 1, True)], "id_participacion long, id_actividad long, registro boolean")
+    read = {log: upkeep.touched(tables, log, batch) for log, batch in
+            {"registros_calificaciones": words, "registros_habitos": habits, "registros_actividades": places}.items()}
+    assert {log: rows.count() for log, rows in read.items()} == {"registros_calificaciones": 3, "registros_habitos": 1, "registros_actividades": 1}
+    # A blank criterion removes all three ratings of its coach, and those alone.
+    save = lambda t, rows: saving.save_ratings(t, rows, AS_OF)
+    change = upkeep.saved_deltas(tables, {"registros_calificaciones": (words, save)})
+    assert [(r.id_participacion, r._n_calificacion) for r in change.collect()] == [(2, -3)]
+    agree(tables, tables.replace(registros_calificaciones=save(tables, words).table), change)
+
+
 def test_batch_without_effect_changes_nothing(spark, tables):
     batch = habit_batch(spark, [(1, START, HABITS[0], True), (77, START, HABITS[0], True)])
     saves = {"registros_habitos": (batch, lambda part, rows: saving.save_habits(part, rows, COACHES[0], AS_OF))}
