@@ -7,7 +7,8 @@ shuffle table. Slots are dealt to partitions by range, so a partition holds whol
 slot s is record s % rows of shard s // rows, so a reader resumes at any slot with one seek.
 
 The partition of a slot is computed, not sampled. The driver sees one count per input task, never a row. Ids take ``WIDTH`` bytes wherever they
-are written (pieces, shuffle, shards); one that needs more stops the run.
+are written (pieces, shuffle, shards); one that needs more stops the run. Single sequences hardly compress, so those that a task has for one partition
+are packed together before they are moved (:func:`packed`).
 
 Results for odd input: a null or empty text is one sequence with the closing id only. Repeated rows and null keys are sequences like any
 others. An empty table gives no shard. Extra columns of the input are ignored.
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablero.llm.common import written
 from tablero.llm.packing import token_pieces
@@ -38,6 +40,9 @@ ROWS = 8192
 #: Fills the records: the closing text id of the vocabulary.
 PAD = 49407
 ROUNDS = 6
+#: Bytes of sequences that a task gathers before it packs them by partition, and the level at which they are compressed.
+GATHERED = 16 << 20
+LEVEL = 6
 
 
 def mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -66,7 +71,7 @@ def permuted(numbers: np.ndarray, count: int, key: int, rounds: int = ROUNDS) ->
 
 def slots(docs: DataFrame, path: str, seed: int, stride: int = STRIDE, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> tuple[DataFrame, int]:
     """Every token piece with its ids and its slot, and how many there are."""
-    unnumbered = token_pieces(docs, path, stride, key, text, with_ids=True, width=width)
+    unnumbered = token_pieces(docs, path, stride, key, text, with_ids=True, width=width).drop("local")
     pieces = written(unnumbered.withColumn("nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "zstd")
     made = sorted((row[0], row[1]) for row in pieces.groupBy("part").agg((F.max("nth") + 1).alias("n")).collect())
     parts, ahead = np.array([p for p, _ in made], dtype=np.int64), np.cumsum([0, *(n for _, n in made)])
@@ -79,11 +84,56 @@ def slots(docs: DataFrame, path: str, seed: int, stride: int = STRIDE, key: str
     return pieces.select(key, "piece", "start", "length", "ids_crc32", "ids", slot("part", "nth").alias("slot")), count
 
 
+def packed(sequences: DataFrame, count: int, rows: int, partitions: int) -> DataFrame:
+    """The sequences in packages: the number of a partition, and compressed what a task has gathered for it, with its size before."""
+    total = max(1, -(-count // rows))
+
+    def packages(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = pa.Table.from_batches(held).combine_chunks()
+        of = gathered["slot"].to_numpy() // rows * partitions // total
+        order = np.argsort(of, kind="stable")
+        dealt, numbers = gathered.take(pa.array(order)).combine_chunks(), of[order]
+        firsts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+        codec = pa.Codec("zstd", compression_level=LEVEL)
+        for first, end in pairwise(firsts):
+            with pa.ipc.new_stream(sink := pa.BufferOutputStream(), dealt.schema) as out:
+                out.write_table(dealt.slice(first, end - first))
+            raw = sink.getvalue()
+            yield pa.RecordBatch.from_pydict({
+                "partition": pa.array([int(numbers[first])], pa.int32()), "size": [raw.size], "content": [codec.compress(raw, asbytes=True)]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= GATHERED:
+                yield from packages(held)
+                held, size = [], 0
+        if held:
+            yield from packages(held)
+
+    return sequences.mapInArrow(run, "partition int, size long, content binary")
+
+
+def unpacked(packages: DataFrame, schema: StructType) -> DataFrame:
+    """The sequences of :func:`packed`, which had the given schema."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            for size, content in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                with pa.ipc.open_stream(codec.decompress(content.as_buffer(), size)) as found:
+                    yield from found
+
+    return packages.mapInArrow(run, schema)
+
+
 def by_range(sequences: DataFrame, count: int, rows: int, partitions: int) -> DataFrame:
     """A range of whole shards per partition, in the order of their slots. Slots are even, so the ranges are known without a sample."""
-    total = max(1, -(-count // rows))
-    shard = F.floor(F.col("slot") / rows)
-    return sequences.repartitionById(partitions, F.floor(shard * partitions / total).cast("int")).sortWithinPartitions("slot")
+    dealt = packed(sequences, count, rows, partitions).repartitionById(partitions, "partition")
+    return unpacked(dealt, sequences.schema).sortWithinPartitions("slot")
 
 
 def shards(docs: DataFrame, path: str, seed: int, folder: str | None = None, stride: int = STRIDE, rows: int = ROWS, pad: int = PAD,

@@ -13,6 +13,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tablero.llm import bpe, html_text, packing, quality_rules, registry, toxicity, training_order
 from tablero.llm.boosting import boost
@@ -131,6 +132,26 @@ def test_training_order(spark, tmp_path):
     assert training_order.shards(documents(spark, []), VOCABULARY, 11).count() == 0
 
 
+def test_sequences_travel_packed(spark):
+    """What is moved between tasks is much smaller than the sequences, and nothing of them is lost, whatever the key."""
+    rows = [*((str(i), prose(i, 200)) for i in range(300)), ("0", prose(0, 200)), (None, "x"), (None, None), ("a", "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").coalesce(2)
+    sequences, count = training_order.slots(docs, VOCABULARY, 5, 64)
+    ordered = training_order.by_range(sequences, count, 8, 7)
+    # The exchange holds no single sequences.
+    exchange = next(line for line in ordered._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
+    assert "partition" in exchange and "slot" not in exchange
+    packages = training_order.packed(sequences, count, 8, 7)
+    numbers = [r.partition for r in packages.select("partition").collect()]
+    assert set(numbers) == set(range(7)) and len(numbers) <= 7 * 2
+    moved = packages.agg(F.sum(F.length("content"))).first()[0]
+    assert moved < 0.9 * sequences.agg(F.sum(F.length("ids"))).first()[0]
+    assert Counter(map(tuple, ordered.select(*sequences.columns).collect())) == Counter(map(tuple, sequences.collect()))
+    at = ordered.select("slot", F.spark_partition_id().alias("p")).collect()
+    assert all(r.p == r.slot // 8 * 7 // -(-count // 8) for r in at) and [r.slot for r in at] == list(range(count))
+    assert training_order.by_range(sequences.limit(0), 0, 8, 7).count() == 0
+
+
 def test_training_order_query_writes_its_shards(spark):
     """The registered query leaves the shard files, their digests are in its rows, and they hold the ids of every sequence."""
     found = registry.op9_training_order(spark, SMALL).collect()
