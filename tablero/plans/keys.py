@@ -9,10 +9,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablero.operators.spread import spread_join
 from tablero.operators.stored import stored
 from tablero.schema import FOREIGN_KEYS, PRIMARY_KEYS
 from tablero.sources.tables import Tables
 
+#: Tables with few rows that many rows refer to.
+CATALOGUES = ("conceptos", "habitos", "criterios_calificacion", "parametros")
+
 
 def children_first() -> list[str]:
     """All tables, each after those that refer to it."""
@@ -104,7 +108,9 @@ def rename_keys(t: Tables, renames: DataFrame) -> Tables:
         for n, (column, (parent, parent_column)) in enumerate(columns.items()):
             own = ends.filter((F.col("tabla") == parent) & (F.col("columna") == parent_column))
             text: Column = F.col("viejo").cast(t[table].schema[column].dataType).alias(column)
-            rows = rows.join(own.select(text, F.col("nuevo").cast(t[table].schema[column].dataType).alias(f"_nuevo{n}")), column, "left")
+            names = own.select(text, F.col("nuevo").cast(t[table].schema[column].dataType).alias(f"_nuevo{n}"))
+            # A log has few catalogue entries, often one: a key alone would gather its rows, and one that Spark knows to be constant leaves no key at all.
+            rows = spread_join(rows, names, [column], [PRIMARY_KEYS[table]], "left") if parent in CATALOGUES else rows.join(names, column, "left")
             new[column] = F.coalesce(f"_nuevo{n}", column)
         changed[table] = rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in t[table].columns])
     return t.replace(**changed)
