@@ -30,14 +30,18 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablero.llm.common import heavy_join, words_of, written
 from tablero.llm.fm_index import Index
-from tablero.llm.jaccard_join import WordHashes, mixed
+from tablero.llm.jaccard_join import mixed
 
 WINDOW, GRAM = 35, 8
+#: Bytes of texts whose words are hashed in one go, and of a word beyond which it is hashed by itself.
+STRETCH, LONG = 1 << 21, 512
 #: Occurrences of an anchor beyond which its windows are dealt by content, words of a shard, words at either end that make the finer key.
 HOT, SHARD, EDGE = 2048, 200_000, 4
 #: Bits for the number of windows that one anchor owns, at most WINDOW - GRAM + 1.
@@ -45,26 +49,81 @@ OWNED = 5
 _draw = np.random.default_rng(41)
 GRAM_FACTORS = (_draw.integers(0, 2**63, GRAM, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 EDGE_FACTORS = (_draw.integers(0, 2**63, 2 * EDGE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-
-
-def hashed(words: list[str], memo: WordHashes) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def elected(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every gram, and for every window the position of its anchor; positions never fall along the text."""
+SIZE_FACTOR, STEP_FACTOR = (_draw.integers(0, 2**63, 2, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+GAPS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: The bytes of a word that are left, up to eight, as a mask on its next eight bytes.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+class Words:
+    """The words of some texts in UTF-8, one text after the other: where they start in ``data``, their sizes in bytes, and how many each text has."""
+
+    def __init__(self, texts: list[bytes]):
+        # Gaps part the texts; those at the end can be read beyond the last word.
+        self.data = np.frombuffer(b" %b%b" % (b" ".join(texts), b" " * 8), dtype=np.uint8)
+        self.gap = GAPS[self.data]
+        edges = np.flatnonzero(self.gap[1:] != self.gap[:-1]) + 1
+        self.starts, self.sizes = edges[::2], edges[1::2] - edges[::2]
+        ends = np.cumsum([len(x) + 1 for x in texts], dtype=np.int64)
+        self.ends = np.searchsorted(self.starts, ends)
+        self.counts = np.diff(self.ends, prepend=0)
+
+    def hashes(self) -> np.ndarray:
+        """64 bits per word, from its size and its bytes, eight at a time."""
+        eight = np.ndarray(len(self.data) - 7, dtype="<u8", buffer=self.data, strides=(1,))
+        out = mixed((eight[self.starts] & MASKS[np.minimum(self.sizes, 8)]) ^ self.sizes.astype(np.uint64) * SIZE_FACTOR)
+        rest, at = np.flatnonzero((self.sizes > 8) & (self.sizes <= LONG)), 8
+        while len(rest):
+            left = self.sizes[rest] - at
+            out[rest] = mixed(out[rest] * STEP_FACTOR ^ (eight[self.starts[rest] + at] & MASKS[np.minimum(left, 8)]))
+            rest, at = rest[left > 8], at + 8
+        for i in np.flatnonzero(self.sizes > LONG).tolist():
+            out[i] = xxhash.xxh64_intdigest(self.data[self.starts[i] : self.starts[i] + self.sizes[i]].tobytes())
+        return out
+
+    def digests(self) -> list[str]:
+        """For each text the digest of its words joined by one space."""
+        # Each word with the gap behind it.
+        kept = np.append(False, ~self.gap[:-1] | ~self.gap[1:])
+        kept[1:] &= ~(self.gap[1:] & self.gap[:-1])
+        joined = memoryview(np.where(self.gap, np.uint8(0x20), self.data)[kept].tobytes())
+        ends = np.append(0, np.cumsum(self.sizes + 1))[np.append(0, self.ends)].tolist()
+        return [hashlib.sha256(joined[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends, ends[1:])]
+
+
+def stretches(texts: pa.Array) -> Iterator[tuple[int, Words]]:
+    """The texts of a column in stretches of about ``STRETCH`` bytes: the row where each starts, and its words."""
+    before = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // STRETCH
+    cuts = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield a, Words(texts.slice(a, b - a).cast(pa.binary()).to_pylist())
+
+
+def elected(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of the windows of texts, given their hashed words and how many each has: text, first window that the anchor owns, how many, hash."""
     if len(words) < WINDOW:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        return *(np.empty(0, dtype=np.int64) for _ in range(3)), np.empty(0, dtype=np.uint64)
     count = len(words) - GRAM + 1
     grams = np.zeros(count, dtype=np.uint64)
     spread = mixed(words)
     for j in range(GRAM):
         grams += spread[j : j + count] * GRAM_FACTORS[j]
     grams = mixed(grams)
-    span = WINDOW - GRAM + 1
-    windows = np.lib.stride_tricks.sliding_window_view(grams, span)
-    at = np.concatenate([windows[i : i + 65536].argmin(axis=1) for i in range(0, len(windows), 65536)])
-    return grams, at + np.arange(len(windows))
+    # The smallest of ever longer runs of grams, of equal ones the first; along a text its position never falls.
+    least, at, reach, span = grams, np.arange(count), 1, WINDOW - GRAM + 1
+    while reach < span:
+        step = min(reach, span - reach)
+        later = least[step:] < least[:-step]
+        least, at = np.where(later, least[step:], least[:-step]), np.where(later, at[step:], at[:-step])
+        reach += step
+    # Only windows inside one text.
+    windows = np.maximum(counts - WINDOW + 1, 0)
+    owner = np.repeat(np.arange(len(counts)), windows)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = at[(np.cumsum(counts) - counts)[owner] + nth]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return owner[first], nth[first], np.diff(first, append=len(at)), grams[at[first]]
 
 
 def identity(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -83,21 +142,15 @@ def anchored(rows: DataFrame) -> DataFrame:
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
-            sizes, digests, places, hashes = [], [], [], []
-            for value in batch.column(1):
-                words = words_of(value.as_py())
-                grams, at = elected(hashed(words, memo))
-                at, firsts, counts = np.unique(at, return_index=True, return_counts=True)
-                sizes.append(len(words))
-                digests.append(kept_digest(words))
-                places.append(firsts.astype(np.int64) << OWNED | counts)
-                hashes.append(grams[at].view(np.int64))
-            lists = [pa.array(places, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), *lists],
-                ["key", "t1", "t2", "n_words", "digest", "places", "hashes"])
+            for start, words in stretches(batch.column(1)):
+                owner, first, windows, anchors = elected(words.hashes(), words.counts)
+                ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(words.counts)))).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (first << OWNED | windows, anchors.view(np.int64))]
+                own = batch.slice(start, len(words.counts))
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0), own.column(2), own.column(3), pa.array(words.counts, pa.int64()), pa.array(words.digests(), pa.string()), *lists],
+                    ["key", "t1", "t2", "n_words", "digest", "places", "hashes"])
 
     found = rows.mapInArrow(run, f"key {kind}, t1 long, t2 long, n_words long, digest string, places array<long>, hashes array<long>")
     return written(found.withColumn("row", F.monotonically_increasing_id()))
@@ -152,16 +205,17 @@ class Segments:
 def segmented(texts: DataFrame) -> DataFrame:
     """From (t1, t2, text, copies, places: array of (place, hash, hot)) the written table (t1, t2, text, copies, segments)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, out = WordHashes(), Segments()
+        out = Segments()
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = [batch.column(c)[i].as_py() for c in range(4)]
-                places = batch.column(4)[i].values
-                place, anchors, hot = (places.field(c).to_numpy(zero_copy_only=False) for c in ("place", "hash", "hot"))
-                out.add(row, hashed(words_of(row[2]), memo), place, anchors, hot)
-                if out.size > 4 << 20:
-                    yield out.batch()
-                    out = Segments()
+            for start, stretch in stretches(batch.column(2)):
+                for i, words in enumerate(np.split(stretch.hashes(), stretch.ends[:-1]), start):
+                    row = [batch.column(c)[i].as_py() for c in range(4)]
+                    places = batch.column(4)[i].values
+                    place, anchors, hot = (places.field(c).to_numpy(zero_copy_only=False) for c in ("place", "hash", "hot"))
+                    out.add(row, words, place, anchors, hot)
+                    if out.size > 4 << 20:
+                        yield out.batch()
+                        out = Segments()
         if len(out.counts) > 1:
             yield out.batch()
 

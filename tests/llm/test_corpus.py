@@ -9,6 +9,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as contract
@@ -77,6 +78,31 @@ def test_substring_dedup(spark, monkeypatch, hot, shard):
     assert substring_dedup.removed(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("stretch", [1, 40, 1 << 21])
+def test_words_are_hashed_and_anchored_in_bulk(monkeypatch, stretch):
+    """Many texts at once give each word its own hash, each text its digest, and each window the first smallest gram, as text by text."""
+    monkeypatch.setattr(substring_dedup, "STRETCH", stretch)
+    draw = random.Random(8)
+    texts = ["", " ", "a", " b\tc\n", "\x00 \x00\x00 ab\x00 ab", "é　ü x\x1cy", "12345678 123456789", *(" ".join("w" * n for n in (511, 512, 513, 520)) for _ in range(2)), "again " * 90]
+    texts += ["".join(draw.choice("ab é\n\t\x0b\x0c\r\x1f\x00 ") for _ in range(draw.randint(0, 600))) for _ in range(60)] + ["x " * 34 + "x"]
+    seen, at = {}, 0
+    for start, found in substring_dedup.stretches(pa.array(texts)):
+        hashes, anchors = found.hashes(), {}
+        assert start == at
+        for owner, first, windows, anchor in zip(*(x.tolist() for x in substring_dedup.elected(hashes, found.counts)), strict=True):
+            anchors.update({(owner, first + i): anchor for i in range(windows)})
+        for i, (own, digest) in enumerate(zip(np.split(hashes, found.ends[:-1]), found.digests(), strict=True)):
+            plain = common.words_of(texts[at])
+            assert found.counts[i] == len(own) == len(plain) and digest == substring_dedup.kept_digest(plain)
+            assert all(seen.setdefault(word, value) == value for word, value in zip(plain, own.tolist()))
+            spread, factors = substring_dedup.mixed(own), substring_dedup.GRAM_FACTORS
+            grams = [int(substring_dedup.mixed((spread[j : j + 8] * factors).sum(keepdims=True))[0]) for j in range(len(own) - 7)]
+            want = {(i, j): min(grams[j : j + 28]) for j in range(len(own) - 34)}
+            assert {k: v for k, v in anchors.items() if k[0] == i} == want
+            at += 1
+    assert at == len(texts) and len(set(seen.values())) == len(seen) > 100
+
+
 def test_copies_pass_through_the_index(spark, monkeypatch):
     """Texts whose only repetition is their copies, a repeated id among them, and heavy keys joined apart."""
     monkeypatch.setattr(common, "FEW", 3)
