@@ -54,7 +54,7 @@ def worths(t: Tables) -> DataFrame:
 def touched(t: Tables, log: str, batch: DataFrame) -> DataFrame:
     """The rows of a log that saving a batch may change, written once."""
     key = TOUCHES[log]
-    return stored(t[log].join(batch.select(*key), key, "left_semi").select(*t[log].columns))
+    return stored(t[log].join(batch.select(*key), key, "left_semi").select(*t[log].columns), "zstd")
 
 
 def deltas(t: Tables, changes: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
@@ -71,7 +71,7 @@ def saved_deltas(t: Tables, saves: dict[str, tuple[DataFrame, Callable[[Tables,
     :mod:`tablero.plans.saving` that judges and applies it. Batches, which a save reads several times, and the result are written once."""
     changes = {}
     for log, (rows, save) in saves.items():
-        batch = stored(rows)
+        batch = stored(rows, "zstd")
         before = touched(t, log, batch)
         changes[log] = (before, save(t.replace(**{log: before}), batch).table)
     return stored(deltas(t, changes))

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+import __spark_entry__ as contract
 from tablero.operators import changes
 from tablero.plans import kpi, saving, scoring, upkeep
 from tests.frames import ANA, AS_OF, COACHES, CRITERIA, HABITS, LUIS, RETO, START, activity, attendance, base, frame, habit_rows, ratings
@@ -109,3 +110,11 @@ def test_changes_add_up(spark, tables):
     two = upkeep.saved_deltas(middle, {"registros_habitos": (second, save)})
     after = middle.replace(registros_habitos=save(middle, second).table)
     assert rows_of(upkeep.updated(upkeep.updated(upkeep.worths(tables), one), two)) == rows_of(upkeep.worths(after))
+
+
+def test_stored_logs_keep_the_rows_of_a_person_together(spark, small):
+    t = contract._stored_logs(small)
+    for log in upkeep.LOGS:
+        files = [[r.id_participacion for r in spark.read.parquet(file).coalesce(1).collect()] for file in t[log].inputFiles()]
+        assert files and all(ids == sorted(ids) for ids in files)
+        assert rows_of(t[log]) == rows_of(small[log])
