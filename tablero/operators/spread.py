@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablero.operators.stored import broadcast_limit
+
 SLOTS = 32
 #: Session setting with the number of parts; on a large cluster about the number of tasks that one key may take.
 SETTING = "tablero.spread.slots"
@@ -19,10 +21,25 @@ def spread_join(
 ) -> DataFrame:
     """``df`` joined with ``per_key``, each key divided into ``slots`` parts by the columns ``by`` of ``df``.
 
-    The small side is repeated once per part. Where Spark measures it as small it is broadcast and nothing moves; otherwise the
-    rows of one key are shared by up to ``slots`` tasks. Later steps cannot mistake the result for data already grouped by key.
+    Where Spark takes the small side as it is for small enough to be broadcast, it is not repeated: nothing moves, so no key is heavy. Otherwise it is
+    repeated once per part, and the rows of one key are shared by up to ``slots`` tasks. The copies are an ``unpivot``, since Spark counts those when it
+    compares sizes (rows of an ``explode`` count once, and all copies would come to the driver where one is small). Later steps cannot mistake the
+    result for data already grouped by key.
     """
+    if key and estimated_size(per_key) <= broadcast_limit(df.sparkSession):
+        return df.join(per_key, key, how)
     slots = slots or int(df.sparkSession.conf.get(SETTING, str(SLOTS)))
     parts = df.withColumn("_parte", F.pmod(F.xxhash64(*by), F.lit(slots)).cast("int"))
-    copies = per_key.withColumn("_parte", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    return parts.join(copies, [*key, "_parte"], how).drop("_parte")
+    return parts.join(copies(per_key, slots), [*key, "_parte"], how).drop("_parte")
+
+
+def estimated_size(df: DataFrame) -> int:
+    """Bytes as Spark's optimizer estimates them before anything runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def copies(df: DataFrame, slots: int) -> DataFrame:
+    """Each row once per part, numbered in ``_parte``."""
+    numbers = [f"_parte_{n}" for n in range(slots)]
+    wide = df.select("*", *[F.lit(n).alias(name) for n, name in enumerate(numbers)])
+    return wide.unpivot(df.columns, numbers, "_copia", "_parte").drop("_copia")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tablero.operators import admission, overlap
 from tablero.operators.positions import by_ranges, positioned
+from tablero.operators.spread import copies, estimated_size, spread_join
+from tablero.operators.stored import stored
 from tablero.plans import quality, views
 from tests.frames import START, base, frame, ratings
 
@@ -91,3 +93,34 @@ def test_meetings_with_small_groups_of_another_table(spark):
     assert "Window" not in plan
     for few in (0, 50, 1000):
         assert {r.id: r.solapes for r in overlap.overlap_counts(df, "g", "a", "b", among=among, few=few).collect()} == want
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_what_is_broadcast_is_not_repeated(spark, setting, how):
+    rows = spark.range(3000).select("id", F.concat(F.lit("Reto "), F.col("id") % 50).alias("reto"))
+    names = stored(spark.range(1, 48).select(F.concat(F.lit("Reto "), "id").alias("reto"), F.col("id").alias("n")))
+    want = Counter((f"Reto {r % 50}", r, r % 50 if 0 < r % 50 < 48 else None) for r in range(3000) if how == "left" or 0 < r % 50 < 48)
+    size = estimated_size(names)
+    for limit, broadcast in ((size, True), (size - 1, False)):
+        setting("spark.sql.autoBroadcastJoinThreshold", str(limit))
+        joined = spread_join(stored(rows), names, ["reto"], ["id"], how)
+        assert Counter(map(tuple, joined.collect())) == want
+        assert ("BroadcastHashJoin" in plan_of(joined), "_parte" in plan_of(joined)) == (broadcast, not broadcast)
+
+
+def test_copies_count_in_what_spark_measures(spark, setting):
+    """A summary whose size is known only when it is there: its copies, not the summary, must be within the limit."""
+    names = spark.range(40_000).select((F.col("id") % 300).alias("reto")).groupBy("reto").agg(F.count(F.lit(1)).alias("n"))
+    assert estimated_size(copies(names, 32)) >= 32 * estimated_size(names)
+    assert Counter(r._parte for r in copies(names, 32).collect()) == dict.fromkeys(range(32), 300)
+    setting("spark.sql.autoBroadcastJoinThreshold", "30000")
+    rows = spark.range(60_000).select("id", (F.col("id") % 300).alias("reto"))
+    joined = spread_join(rows, names, ["reto"], ["id"])
+    assert joined.count() == 60_000
+    joined.collect()
+    plan = plan_of(joined)
+    assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan.split("Initial Plan")[0]
