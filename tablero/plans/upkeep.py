@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablero.operators.stored import stored
+from tablero.operators.stored import fits, stored, weighed
 from tablero.plans import kpi
 from tablero.plans.saving import Saved
 from tablero.plans.scoring import COMPONENTS, PERSON, component_worth, scoreboard
@@ -29,6 +29,8 @@ LOGS = {"registros_actividades": ACTIVITIES, "registros_habitos": HABITS, "regis
 TOUCHES = {
     "registros_actividades": ["id_participacion", "id_actividad"], "registros_habitos": ["id_participacion", "fecha_ocurrencia", "nombre_habito"],
     "registros_calificaciones": ["id_participacion", "nombre_coach"]}
+#: The column of these that tells few people's entries from all others: where a batch has few of its values, they leave out other rows before the log is moved.
+NARROWS = {"registros_calificaciones": "nombre_coach"}
 #: Columns of the stored numbers: worth and number of rows per component.
 WORTHS = list(COMPONENTS.values())
 COUNTS = {c: f"_n{name}" for c, name in COMPONENTS.items()}
@@ -53,8 +55,11 @@ def worths(t: Tables) -> DataFrame:
 
 def touched(t: Tables, log: str, batch: DataFrame) -> DataFrame:
     """The rows of a log that saving a batch may change, written once."""
-    key = TOUCHES[log]
-    return stored(t[log].join(batch.select(*key), key, "left_semi").select(*t[log].columns), "zstd")
+    key, rows = TOUCHES[log], t[log]
+    if log in NARROWS:
+        few = stored(batch.select(NARROWS[log]).distinct())
+        rows = rows.join(few, NARROWS[log], "left_semi") if fits(few) else rows
+    return weighed(stored(rows.join(batch.select(*key), key, "left_semi").select(*t[log].columns), "zstd"))
 
 
 def deltas(t: Tables, changes: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
@@ -71,10 +76,10 @@ def saved_deltas(t: Tables, saves: dict[str, tuple[DataFrame, Callable[[Tables,
     :mod:`tablero.plans.saving` that judges and applies it. Batches, which a save reads several times, and the result are written once."""
     changes = {}
     for log, (rows, save) in saves.items():
-        batch = stored(rows, "zstd")
+        batch = weighed(stored(rows, "zstd"))
         before = touched(t, log, batch)
         changes[log] = (before, save(t.replace(**{log: before}), batch).table)
-    return stored(deltas(t, changes))
+    return weighed(stored(deltas(t, changes)))
 
 
 def updated(numbers: DataFrame, change: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tablero.operators import admission, overlap
 from tablero.operators.positions import by_ranges, positioned
 from tablero.operators.spread import copies, estimated_size, spread_join
-from tablero.operators.stored import stored
-from tablero.plans import quality, views
-from tests.frames import START, base, frame, ratings
+from tablero.operators.stored import stored, weighed
+from tablero.plans import quality, saving, upkeep, views
+from tests.frames import AS_OF, COACHES, CRITERIA, START, base, frame, ratings
 
 EPOCH = datetime(2024, 1, 1)
 INTERVALS = "id long, g string, a timestamp_ntz, b timestamp_ntz"
@@ -124,3 +124,30 @@ def test_copies_count_in_what_spark_measures(spark, setting):
     joined.collect()
     plan = plan_of(joined)
     assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan.split("Initial Plan")[0]
+
+
+def test_packed_tables_are_weighed_by_their_rows(spark, setting):
+    rows = stored(spark.range(9000).select(F.col("id").alias("k"), F.lit("Coach Uno Abc").alias("nombre")), "zstd")
+    log = stored(spark.range(9000).select(F.col("id").alias("k"), F.rand(1).alias("x")))
+    setting("spark.sql.autoBroadcastJoinThreshold", str(2 * estimated_size(rows)))
+    assert "BroadcastHashJoin" in plan_of(log.join(rows, "k", "left_semi"))
+    for how in ("left_semi", "inner", "left_anti"):
+        assert "BroadcastHashJoin" not in plan_of(log.join(weighed(rows).select("k"), "k", how))
+    assert log.join(weighed(rows), "k").count() == 9000
+    setting("spark.sql.autoBroadcastJoinThreshold", "1000000")
+    assert "BroadcastHashJoin" in plan_of(log.join(weighed(rows), "k", "left_semi"))
+
+
+def test_a_large_batch_is_not_broadcast_by_a_save(spark, setting, monkeypatch):
+    people = range(2500)
+    t = base(spark, registros_calificaciones=stored(frame(spark, "registros_calificaciones", [
+        (i, *r[1:]) for i, r in enumerate(r for n in people for r in ratings(n, COACHES[n % 2], [0, 1, 2]))])))
+    batch = spark.createDataFrame(
+        [(n, COACHES[0], c, "Igual") for n in people for c in CRITERIA], "id_participacion long, nombre_coach string, criterio_calificacion string, calificacion string")
+    setting("spark.sql.autoBroadcastJoinThreshold", "60000")
+    plans = []
+    monkeypatch.setattr(upkeep, "stored", lambda df, *a: plans.append(plan_of(df)) or stored(df, *a))
+    change = upkeep.saved_deltas(t, {"registros_calificaciones": (batch, lambda part, rows: saving.save_ratings(part, rows, AS_OF))})
+    assert change.count() == 2  # the two who are enrolled
+    big = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin [id_participacion" in line]
+    assert len(plans) == 4 and not big
