@@ -1,7 +1,8 @@
 """Joins of many rows with one row per challenge, coach or catalogue entry, where a single key may hold a large part of the rows.
 
-A table that may be as large as the other side (activities, instants, totals) is not repeated: those joins are plain inner or left joins with one
-row per key on the right, whose left side adaptive execution divides where it measures a heavy key.
+A table that may be as large as the other side (instants, totals) is not repeated: those joins are plain inner or left joins with one row per key on
+the right, whose left side adaptive execution divides where it measures a heavy key. Activities, of which one may be attended by very many, are
+repeated ``FEW_SLOTS`` times.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablero.operators.stored import broadcast_limit
 
-SLOTS = 32
+SLOTS, FEW_SLOTS = 32, 4
 #: Session setting with the number of parts; on a large cluster about the number of tasks that one key may take.
 SETTING = "tablero.spread.slots"
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablero.functions.text import DAY_FORMAT, activity_label, challenge_name, rating_word, sentence_case
-from tablero.operators.spread import spread_join
+from tablero.operators.spread import FEW_SLOTS, spread_join
 from tablero.plans.scoring import habit_counts, scoreboard
 from tablero.plans.views import _only
 from tablero.schema import CHALLENGE_DAYS
@@ -55,9 +55,9 @@ def attendance_rows(t: Tables, *, reto: str | None = None, retador: str | None =
     """The rows of :func:`attendance_report` with the start of the activity."""
     held = t.actividades.select("id_actividad", "actividad", "inicio")
     people = _only(t.participacion, reto, retador).select("id_participacion", *PERSON)
+    attended = t.registros_actividades.select("id_participacion", "id_actividad", "nombre_coach").join(people, "id_participacion")
     return (
-        t.registros_actividades.select("id_participacion", "id_actividad", "nombre_coach")
-        .join(people, "id_participacion").join(held, "id_actividad", "left")
+        spread_join(attended, held, ["id_actividad"], ["id_participacion"], "left", FEW_SLOTS)
         .select("nombre_reto", activity_label(F.col("actividad"), F.col("inicio")).alias("actividad"),
                 F.col("nombre_retador").alias("retador"), F.col("nombre_coach").alias("registrador"), "inicio"))
 
